@@ -15,15 +15,19 @@ from .storage import bounded_batches
 BITS = 18  # hashed term space
 FACTORS = 4
 MAX_ROWS = 20_000  # labelled rows to fit on at most: the documented bound of the sample
-EPOCHS = 6
+EPOCHS = 20
+PREFIX = 5  # bytes of a word that form a term of their own, for families of forms
+MIN_CHI2 = 15.0  # a term enters the machine if its chi-square against the labels is this large
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_/\\`~"
 
 
 def terms(data: bytes) -> np.ndarray:
-    """Distinct hashed terms of a whole text: words lowered (A-Z), punctuation at their ends dropped."""
+    """Distinct hashed terms of a whole text: words lowered (A-Z), punctuation at their ends dropped, and
+    the starts of longer words."""
     crc, mask = zlib.crc32, (1 << BITS) - 1
     found = {w.strip(_STRIP) for w in set(data.lower().split())}
     found.discard(b"")
+    found |= {b"^" + w[:PREFIX] for w in found if len(w) > PREFIX}
     return np.array(sorted({crc(w) & mask for w in found}), np.int32)
 
 
@@ -38,11 +42,22 @@ class FactorizationMachine:
         rng = np.random.default_rng(seed)
         self.bias = 0.0
         self.weight = np.zeros(1 << bits, np.float32)
+        self.used = np.zeros(1 << bits, bool)
         self.factor = rng.normal(0, 0.02, (1 << bits, factors)).astype(np.float32)
 
-    @staticmethod
-    def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def select(self, rows: list[np.ndarray], labels: np.ndarray, least: float = MIN_CHI2) -> None:
+        """Use the terms of three rows or more whose presence and label are dependent."""
+        size, n, n1 = len(self.used), len(rows), labels.sum()
+        both = lambda own: np.bincount(np.concatenate(own), minlength=size) if own else np.zeros(size)
+        df, c1 = both(list(rows)), both([r for r, y in zip(rows, labels) if y])
+        e = df * (n1 / max(n, 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chi2 = (c1 - e) ** 2 / e + (c1 - e) ** 2 / (df - e)
+        self.used = (df >= 3) & (np.nan_to_num(chi2, posinf=0) >= least)
+
+    def _flat(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Terms of all rows, their rows, the rows' starts for reduceat (an empty row gets none), the rows with terms."""
+        rows = [r[self.used[r]] for r in rows]
         size = np.array([len(r) for r in rows])
         full = np.flatnonzero(size)
         ids = np.concatenate(rows) if len(full) else np.empty(0, np.int32)
@@ -66,8 +81,9 @@ class FactorizationMachine:
         line[full] = np.add.reduceat(self.weight[ids], starts)
         return out + line + 0.5 * ((total * total).sum(1) - square), scale, vx, total
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
         rng = np.random.default_rng(seed)
+        self.select(rows, labels)
         gw, gv, gb = np.full_like(self.weight, 1e-4), np.full_like(self.factor, 1e-4), 1e-4
         for _ in range(epochs):
             order = rng.permutation(len(rows))
