@@ -4,7 +4,8 @@ The sort is deep-shallow: suffixes are ordered by multikey quicksort to a shallo
 still agree there by blind tries over the rest. It need not see every suffix. A string of 50 bytes holds
 35 windows of 16 bytes; the least hash of them is a property of the string alone, so equal strings meet
 under that hash. Consecutive starts with the same least hash form a segment, some 6 for 100 bytes. Only
-segments whose hash turns up in two documents are sorted, and equal segments first become one.
+segments whose hash turns up in two documents matter; equal ones (a second hash, of their bytes) first
+become one, and what still differs under a hash is sorted.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,19 +23,19 @@ from .storage import bounded_batches, write_table
 
 LENGTH = 50
 GRAM = 16
+NO_ID = -(1 << 63)
 RUN = 64  # starts of one segment at most
 SHALLOW = 16  # bytes that multikey quicksort looks at
 SMALL = 12
 
 
-def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each start of a ``length``-byte string in ``data``: the least hash of the 16-byte grams inside it."""
-    n = len(data) - length + 1
-    if n <= 0:
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes at each place of ``data``."""
+    m = len(data) - GRAM + 1
+    if m <= 0:
         return np.empty(0, np.uint64)
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
     word = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    m = len(data) - GRAM + 1
     with np.errstate(over="ignore"):
         h = word[:m] * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
@@ -44,47 +44,52 @@ def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
+    return h
+
+
+def window_minima(h: np.ndarray, length: int) -> np.ndarray:
+    """For each start of a ``length``-byte string: the least hash of the grams inside it."""
     width, span = length - GRAM + 1, 1
+    if len(h) < width:
+        return np.empty(0, np.uint64)
     while span * 2 <= width:
         h = np.minimum(h[: len(h) - span], h[span:])
         span *= 2
-    if span < width:
-        h = np.minimum(h[: len(h) - (width - span)], h[width - span :])
-    return h[:n]
+    return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if span < width else h
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: (hash, text number, first start in the text, number of starts) of each segment."""
-    sizes = np.diff(offsets)
-    least = window_hashes(data, length)
-    starts = np.maximum(sizes - length + 1, 0)
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: (least hash, hash of the bytes, text number, first start in the text, number of starts) of each segment."""
+    grams = gram_hashes(data)
+    least = window_minima(grams, length)
+    starts = np.maximum(np.diff(offsets) - length + 1, 0)
     if not len(least) or not starts.sum():
         empty = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), empty, empty, empty
-    valid = np.zeros(len(least) + 1, bool)
-    edge = np.zeros(len(data) + 2, np.int32)
-    np.add.at(edge, offsets[:-1][starts > 0], 1)
-    np.add.at(edge, (offsets[:-1] + starts)[starts > 0], -1)
-    valid[:-1] = np.cumsum(edge)[: len(least)] > 0
-    new = np.empty(len(least) + 1, bool)
-    new[0] = True
+        return np.empty(0, np.uint64), np.empty(0, np.int32), empty, empty, empty
+    begin, end = offsets[:-1][starts > 0], (offsets[:-1] + starts)[starts > 0]
+    edge = np.zeros(len(least) + 1, np.int8)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, end, -1)
+    valid = np.cumsum(edge, dtype=np.int8)[:-1] > 0
+    new = np.ones(len(least) + 1, bool)
     new[1:-1] = least[1:] != least[:-1]
-    new[-1] = True
-    new[offsets[:-1][starts > 0]] = True
-    ends = (offsets[:-1] + starts)[starts > 0]
-    new[ends] = True
+    new[begin] = new[end] = True
     cut = np.flatnonzero(new)
     at, count = cut[:-1], np.diff(cut)
-    ok = valid[at]
-    at, count = at[ok], count[ok]
+    at, count = at[valid[at]], count[valid[at]]
     if (count > RUN).any():
         parts = -(-count // RUN)
-        first = np.repeat(at, parts)
-        k = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
-        total = np.repeat(count, parts)
-        at, count = first + k * RUN, np.minimum(RUN, total - k * RUN)
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, count = np.repeat(at, parts) + k * RUN, np.minimum(RUN, np.repeat(count, parts) - k * RUN)
+    # bytes of a segment by the polynomial of its grams' hashes, shifted to the segment's start
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(grams), 0x9E3779B97F4A7C15, np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * power)])
+        back = np.cumprod(np.full(len(grams), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+        own = (total[at + count + length - GRAM] - total[at]) * back[at]
+        own = (own ^ own >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64)
     text = np.searchsorted(offsets, at, "right") - 1
-    return least[at], text, at - offsets[text], count
+    return least[at], (own >> np.uint64(32)).astype(np.uint32).view(np.int32), text, at - offsets[text], count
 
 
 def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,151 +196,126 @@ def deep_shallow(data: bytes, starts: np.ndarray, length: int = LENGTH) -> list[
 # --- Spark ------------------------------------------------------------------------------------
 
 
-def _local_segments(docs: DataFrame, length: int) -> DataFrame:
-    """``(key, h, id, at, shared)``: segments by hash. Within a batch, a hash that two documents have is
-    known to be shared: its segments scatter under keys of their own and one probe (at = -1) stands for
-    them all, so a frequent passage reaches its hash's task once per batch, not once per document."""
+def _all_segments(docs: DataFrame, length: int) -> DataFrame:
+    """``(h, k, id, at)``: least hash, hash of the bytes, document, and start * 128 + number of starts of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = _binary(b.column(1))
-            h, text, start, count = segments(data, offsets, length)
-            ids = np.asarray(b.column(0))
-            doc = ids[text] if len(text) else np.empty(0, np.int64)
-            order = np.argsort(h, kind="stable")
-            hs, ds = h[order], doc[order]
-            first = np.flatnonzero(np.append(True, hs[1:] != hs[:-1])) if len(hs) else np.empty(0, int)
-            size = np.diff(np.append(first, len(hs)))
-            low, high = (np.minimum.reduceat(ds, first), np.maximum.reduceat(ds, first)) if len(hs) else (ds, ds)
-            flag = np.empty(len(hs), bool)
-            flag[order] = np.repeat(low < high, size)
-            probe = hs[first[low < high]] if len(hs) else hs
-            h = h.view(np.int64)
-            with np.errstate(over="ignore"):
-                scattered = (h ^ doc * np.int64(0x2545F4914F6CDD1D)) + start * np.int64(0x9E3779B97F4A7)
-            key = np.concatenate([np.where(flag, scattered, h), probe.view(np.int64)])
-            at = np.concatenate([start << 7 | count, np.full(len(probe), -1)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([doc, np.full(len(probe), np.iinfo(np.int64).min)])), pa.array(at), pa.array(np.concatenate([flag, np.zeros(len(probe), bool)]))], ["key", "id", "at", "shared"])
-
-    return docs.mapInArrow(run, "key bigint, id bigint, at bigint, shared boolean")
-
-
-def _instances(texts: DataFrame, length: int) -> DataFrame:
-    """``(h, k, id, at, seg)``: the bytes of each candidate segment, ``k`` a 128-bit hash of them."""
+        for whole in batches:
+            sizes = np.cumsum(np.diff(_binary(whole.column(1))[1]))
+            at = 0
+            while at < whole.num_rows:  # 2 MB of texts at a time, as each byte takes some 60 here
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (2 << 20), "right")))
+                b = whole.slice(at, end - at)
+                at = end
+                h, k, text, start, count = segments(*_binary(b.column(1)), length)
+                ids = np.asarray(b.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(ids[text]), pa.array(start << 7 | count)], ["h", "k", "id", "at"])
+
+    return docs.mapInArrow(run, "h bigint, k int, id bigint, at bigint")
+
+
+def _segment_bytes(texts: DataFrame, length: int) -> DataFrame:
+    """``(h, k, id, seg)`` of the wanted segments ``xs(h, k, at)`` of each text, each distinct one once per batch with its smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for b in batches:
-            for i in range(b.num_rows):
-                data, own = b.column(1)[i].as_py(), np.sort(np.asarray(b.column(2)[i].values))
-                start, count = (own >> 7).tolist(), (own & 127).tolist()
-                seg = [data[a : a + n + length - 1] for a, n in zip(start, count)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in seg], pa.binary()), pa.array(np.full(len(seg), b.column(0)[i].as_py())), pa.array(start, pa.int64()), pa.array(seg, pa.binary())], ["k", "id", "start", "seg"])
+            found: dict[tuple[int, int], tuple[int, bytes]] = {}
+            for i, key in enumerate(b.column(0).to_pylist()):
+                data, xs = b.column(1)[i].as_py(), b.column(2)[i].values
+                for h, k, at in zip(*(f.to_pylist() for f in xs.flatten())):
+                    if (h, k) not in found or key < found[h, k][0]:
+                        found[h, k] = key, data[at >> 7 : (at >> 7) + (at & 127) + length - 1]
+            hs, ks = zip(*found) if found else ((), ())
+            ids, segs = zip(*found.values()) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.int32()), pa.array(ids, pa.int64()), pa.array(segs, pa.binary())], ["h", "k", "id", "seg"])
 
-    return texts.mapInArrow(run, "k binary, id bigint, start bigint, seg binary")
+    return texts.mapInArrow(run, "h bigint, k int, id bigint, seg binary")
 
 
-def _first_owners(distinct: DataFrame, length: int) -> DataFrame:
-    """``(k, low, high, owner)``: for runs of starts in each distinct segment, the smallest id that has those strings.
+def _owners(segs: DataFrame, length: int) -> DataFrame:
+    """``(h, k, low, high, owner)``: for runs of starts in each distinct segment, the smallest id that has those strings.
 
-    Rows come sorted by least hash, all of a hash in one task.
+    Rows come sorted by hash, all of a hash in one task; equal segments become one, then the suffixes are sorted.
     """
 
-    def solve(rows: list[tuple[int, bytes, bytes, int]]) -> list[tuple[bytes, int, int, int]]:
-        out, together, at = [], [], 0
-        while at < len(rows):
-            end = at + 1
-            while end < len(rows) and rows[end][0] == rows[at][0]:
-                end += 1
-            if end == at + 1:
-                out.append((rows[at][1], 0, len(rows[at][2]) - length, rows[at][3]))
-            else:
-                together += rows[at:end]
-            at = end
-        if together:
-            data = b"".join(r[2] for r in together)
-            sizes = np.array([len(r[2]) for r in together])
-            count = sizes - length + 1
-            seg = np.repeat(np.arange(len(together)), count)
-            base = np.cumsum(sizes) - sizes
-            off = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-            own = np.array([r[3] for r in together])
-            best = own[seg]
-            for group in deep_shallow(data, base[seg] + off, length):
-                if len(group) > 1:
-                    best[group] = best[group].min()
-            new = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (best[1:] != best[:-1])))
-            last = np.append(new[1:], len(seg)) - 1
-            for a, z in zip(new.tolist(), last.tolist()):
-                out.append((together[seg[a]][1], int(off[a]), int(off[z]), int(best[a])))
-        return out
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
+        sizes = np.array([len(r[3]) for r in rows])
+        count = sizes - length + 1
+        seg = np.repeat(np.arange(len(rows)), count)
+        base = np.cumsum(sizes) - sizes
+        off = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+        best = np.array([r[2] for r in rows])[seg]
+        for group in deep_shallow(b"".join(r[3] for r in rows), base[seg] + off, length):
+            if len(group) > 1:
+                best[group] = best[group].min()
+        new = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (best[1:] != best[:-1])))
+        last = np.append(new[1:], len(seg)) - 1
+        return [(*rows[seg[a]][:2], int(off[a]), int(off[z]), int(best[a])) for a, z in zip(new.tolist(), last.tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes, int]] = []
+        held: list[tuple[int, int, int, bytes]] = []
 
         def batch(rows) -> pa.RecordBatch:
-            cols = list(zip(*solve(rows))) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["k", "low", "high", "owner"])
+            cols = list(zip(*solve(rows))) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["h", "k", "low", "high", "owner"])
 
         for b in batches:
-            held += zip(*(c.to_pylist() for c in b.columns))
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut > 5000:
-                yield batch(held[:cut])
-                held = held[cut:]
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[-1][:2] == r[:2]:
+                    continue  # sorted by id as well, so the first is the smallest
+                if len(held) > 20_000 and held[-1][0] != r[0]:
+                    yield batch(held)
+                    held = []
+                held.append(r)
         yield batch(held)
 
-    return distinct.mapInArrow(run, "k binary, low bigint, high bigint, owner bigint")
-
-
-def _least_hash(docs: DataFrame, length: int) -> DataFrame:
-    """Least hash of each distinct segment's first string: the same for all its strings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = _binary(b.column(1))
-            h = window_hashes(data, length)[offsets[:-1]] if len(data) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *b.columns], ["h", "k", "seg", "owner"])
-
-    return docs.mapInArrow(run, "h bigint, k binary, seg binary, owner bigint")
+    return segs.mapInArrow(run, "h bigint, k int, low bigint, high bigint, owner bigint")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``(id, spans)``: per document that loses something, its maximal byte runs ``[start, end)`` to remove, in order.
+    """``(id, spans)``: per document that loses something, its maximal byte runs ``[s, e)`` to remove, in order.
 
     A byte goes if a ``length``-byte string over it also starts in a document with a smaller id.
     Null and short texts lose nothing, nor do rows with a null id; rows that repeat an id are one document.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark, 5000)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("data")).filter(F.col("id").isNotNull() & (F.length("data") >= length))
-    local = _local_segments(own, length)
-    by_key = W.partitionBy("key")
-    candidates = local.withColumns({"low": F.min("id").over(by_key), "high": F.max("id").over(by_key)}).filter("at >= 0 AND (shared OR low < high)")
-    wanted = candidates.groupBy("id").agg(F.collect_set("at").alias("ats"))
-    texts = own.withColumnRenamed("id", "d_id").join(wanted, F.col("d_id") == F.col("id")).select("id", "data", "ats")
-    inst = write_table(_instances(texts, length), "segments")
-    distinct = inst.groupBy("k", "seg").agg(F.min("id").alias("owner"))
-    hashed = _least_hash(distinct, length).repartition("h").sortWithinPartitions("h")
-    owners = _first_owners(hashed, length)
+    bounded_batches(docs.sparkSession, 5000)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("data"))
+    by_hash = W.partitionBy("h")  # memory is bounded: a window's group spills
+    seen = _all_segments(own.filter(F.col("id").isNotNull() & (F.length("data") >= length)), length)
+    seen = seen.withColumns({"low": F.min("id").over(by_hash), "high": F.max("id").over(by_hash), "one": F.min("k").over(by_hash) == F.max("k").over(by_hash)})
+    shared = write_table(seen.filter("low < high AND (NOT one OR id > low)").select(F.expr("if(one, null, h)").alias("h"), F.expr("if(one, null, k)").alias("k"), "id", "at"), "shared")
+    start, count = F.shiftright("at", 7), F.col("at").bitwiseAND(127)
+    equal = shared.filter("h IS NULL").select("id", start.alias("s"), (start + count + length - 1).alias("e"))
+    mixed = shared.filter("h IS NOT NULL")
+    wanted = mixed.groupBy(F.col("id").alias("w_id")).agg(F.collect_list(F.struct("h", "k", "at")).alias("xs"))
+    texts = _dealt(docs, id_col, text_col).join(wanted, F.col("key") == F.col("w_id")).select("key", "data", "xs")
+    owners = _owners(_segment_bytes(texts, length).repartition("h").sortWithinPartitions("h", "k", "id"), length)
     # a passage of many documents is hot on the left, where AQE can split it; the right has a few rows a segment
-    cut = inst.select("k", "id", "start").join(owners, "k").filter("owner < id")
-    pieces = cut.select("id", F.struct((F.col("start") + F.col("low")).alias("s"), (F.col("start") + F.col("high") + length).alias("e")).alias("x"))
-    spans = pieces.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    cut = mixed.join(owners, ["h", "k"]).filter("owner < id")
+    pieces = equal.union(cut.select("id", start + F.col("low"), start + F.col("high") + length))
+    spans = pieces.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("xs"))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
     merged = F.aggregate(
         "xs", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).e >= x.s), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1)).s.alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1)).e, x.e).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc).e >= x.s), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc).s.alias("s"), F.greatest(last(acc).e, x.e).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
     )
     return spans.select("id", merged.alias("spans"))
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(key, data)`` of all rows, dealt by key: the same exchange serves the search and the cut, so texts move once.
+
+    No value is null (a null id becomes ``NO_ID``), which keeps both uses of the exchange alike.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b"")).alias("data"))
+    return own.repartition(n, "key")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``(id, n_bytes, n_removed, spans, kept)``: ``kept`` is the rest of each text's bytes (null text: empty)."""
-    spans = write_table(repeated_spans(docs, id_col, text_col, length), "spans").withColumnRenamed("id", "s_id")
-    own = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("data"))
-    both = own.join(spans, F.col("id").cast("long") == F.col("s_id"), "left")
+    spans = repeated_spans(docs, id_col, text_col, length).withColumnRenamed("id", "s_id")
+    both = _dealt(docs, id_col, text_col).join(spans, F.col("key") == F.col("s_id"), "left").withColumn("id", F.nullif("key", F.lit(NO_ID)))
     ends = F.concat(F.transform("spans", lambda x: x.s), F.array(F.length("data").cast("long")))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x.e))
     kept = F.when(F.col("spans").isNull(), F.col("data")).otherwise(F.unhex(F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda x: F.hex(F.substring(F.col("data"), (x.a + 1).cast("int"), (x.z - x.a).cast("int")))), "")))
