@@ -2,8 +2,8 @@
 
 The sort is deep-shallow: suffixes are ordered by multikey quicksort to a shallow depth, and groups that
 still agree there by blind tries over the rest. It need not see every suffix. A string of 50 bytes holds
-35 windows of 16 bytes; the least hash of them is a property of the string alone, so equal strings meet
-under that hash. Consecutive starts with the same least hash form a segment, some 6 for 100 bytes. Only
+27 windows of 24 bytes; the least hash of them is a property of the string alone, so equal strings meet
+under that hash. Consecutive starts with the same least hash form a segment, some 7 for 100 bytes. Only
 segments whose hash turns up in two documents matter; equal ones (a second hash, of their bytes) first
 become one, and what still differs under a hash is sorted.
 """
@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, write_table
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 NO_ID = -(1 << 63)
 RUN = 64  # starts of one segment at most
 SHALLOW = 16  # bytes that multikey quicksort looks at
@@ -30,11 +30,11 @@ SMALL = 12
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes at each place of ``data``."""
+    """A hash of the ``GRAM`` (24) bytes at each place of ``data``."""
     m = len(data) - GRAM + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
         h = word[:m] * np.uint64(0x9E3779B97F4A7C15)
@@ -42,6 +42,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         h += word[8 : 8 + m]
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
+        h += word[16 : 16 + m]
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     return h
@@ -197,7 +198,8 @@ def deep_shallow(data: bytes, starts: np.ndarray, length: int = LENGTH) -> list[
 
 
 def _all_segments(docs: DataFrame, length: int) -> DataFrame:
-    """``(h, k, id, at)``: least hash, hash of the bytes, document, and start * 128 + number of starts of every segment."""
+    """``(h, ka, id, far)`` of every segment: least hash; hash of the bytes over the low half of ``at``, which is
+    start * 128 + number of starts; document; high half of ``at``. Few wide columns, as this is what is shuffled most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -209,9 +211,9 @@ def _all_segments(docs: DataFrame, length: int) -> DataFrame:
                 at = end
                 h, k, text, start, count = segments(*_binary(b.column(1)), length)
                 ids = np.asarray(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(ids[text]), pa.array(start << 7 | count)], ["h", "k", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64) << 32 | ((start << 7 | count) & 0xFFFFFFFF)), pa.array(ids[text]), pa.array(start >> 25)], ["h", "ka", "id", "far"])
 
-    return docs.mapInArrow(run, "h bigint, k int, id bigint, at bigint")
+    return docs.mapInArrow(run, "h bigint, ka bigint, id bigint, far bigint")
 
 
 def _segment_bytes(texts: DataFrame, length: int) -> DataFrame:
@@ -281,9 +283,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession, 5000)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("data"))
     by_hash = W.partitionBy("h")  # memory is bounded: a window's group spills
+    k = F.shiftright("ka", 32).cast("int")
+    at = F.col("ka").bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft("far", 32)).alias("at")
     seen = _all_segments(own.filter(F.col("id").isNotNull() & (F.length("data") >= length)), length)
-    seen = seen.withColumns({"low": F.min("id").over(by_hash), "high": F.max("id").over(by_hash), "one": F.min("k").over(by_hash) == F.max("k").over(by_hash)})
-    shared = write_table(seen.filter("low < high AND (NOT one OR id > low)").select(F.expr("if(one, null, h)").alias("h"), F.expr("if(one, null, k)").alias("k"), "id", "at"), "shared")
+    seen = seen.withColumns({"low": F.min("id").over(by_hash), "high": F.max("id").over(by_hash), "one": F.min(k).over(by_hash) == F.max(k).over(by_hash)})
+    shared = write_table(seen.filter("low < high AND (NOT one OR id > low)").select(F.expr("if(one, null, h)").alias("h"), F.when(~F.col("one"), k).alias("k"), "id", at), "shared")
     start, count = F.shiftright("at", 7), F.col("at").bitwiseAND(127)
     equal = shared.filter("h IS NULL").select("id", start.alias("s"), (start + count + length - 1).alias("e"))
     mixed = shared.filter("h IS NOT NULL")
@@ -312,13 +316,19 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.repartition(n, "key")
 
 
+def kept_bytes(data: Column, spans: Column) -> Column:
+    """The bytes outside the spans; all of them where ``spans`` is null."""
+    ends = F.concat(F.transform(spans, lambda x: x.s), F.array(F.length(data).cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda x: x.e))
+    parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda x: F.hex(F.substring(data, (x.a + 1).cast("int"), (x.z - x.a).cast("int"))))
+    return F.when(spans.isNull(), data).otherwise(F.unhex(F.array_join(parts, "")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``(id, n_bytes, n_removed, spans, kept)``: ``kept`` is the rest of each text's bytes (null text: empty)."""
     spans = repeated_spans(docs, id_col, text_col, length).withColumnRenamed("id", "s_id")
     both = _dealt(docs, id_col, text_col).join(spans, F.col("key") == F.col("s_id"), "left").withColumn("id", F.nullif("key", F.lit(NO_ID)))
-    ends = F.concat(F.transform("spans", lambda x: x.s), F.array(F.length("data").cast("long")))
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x.e))
-    kept = F.when(F.col("spans").isNull(), F.col("data")).otherwise(F.unhex(F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda x: F.hex(F.substring(F.col("data"), (x.a + 1).cast("int"), (x.z - x.a).cast("int")))), "")))
+    kept = kept_bytes(F.col("data"), F.col("spans"))
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x.e - x.s), F.lit(0).cast("long"))
     return both.select(F.col("id").alias(id_col), F.length("data").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.coalesce("spans", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")).alias("spans"), kept.alias("kept"))
 
