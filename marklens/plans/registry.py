@@ -90,10 +90,15 @@ def _words(t: Tables) -> DataFrame:
 
 
 _EMB = TOK + ", e AS (SELECT CAST(vec_id AS VARCHAR) AS token, embedding AS vec FROM embeddings)"
-_sum = F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total")
-_add("f15_embed_zero", lambda t: features.embed(t.tokens(), _words(t), 64).select("doc_id", "pos", _sum), _EMB + " SELECT doc_id, pos, round(coalesce(list_sum(CAST(vec AS DOUBLE[])), 0), 4) AS total FROM tokens LEFT JOIN e USING (token)")
-_add("f15_embed_drop", lambda t: features.embed(t.tokens(), _words(t), 64, "drop").select("doc_id", "pos", _sum), _EMB + " SELECT doc_id, pos, round(list_sum(CAST(vec AS DOUBLE[])), 4) AS total FROM tokens JOIN e USING (token)")
-_add("f15_embed_random", lambda t: features.embed(t.tokens(), _words(t), 64, "random").select("doc_id", "pos", _sum))
+
+
+def _sum():
+    return F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total")
+
+
+_add("f15_embed_zero", lambda t: features.embed(t.tokens(), _words(t), 64).select("doc_id", "pos", _sum()), _EMB + " SELECT doc_id, pos, round(coalesce(list_sum(CAST(vec AS DOUBLE[])), 0), 4) AS total FROM tokens LEFT JOIN e USING (token)")
+_add("f15_embed_drop", lambda t: features.embed(t.tokens(), _words(t), 64, "drop").select("doc_id", "pos", _sum()), _EMB + " SELECT doc_id, pos, round(list_sum(CAST(vec AS DOUBLE[])), 4) AS total FROM tokens JOIN e USING (token)")
+_add("f15_embed_random", lambda t: features.embed(t.tokens(), _words(t), 64, "random").select("doc_id", "pos", _sum()))
 _add("f16_moments", lambda t: features.moments(t.table("embeddings"), "embedding").select(*_r("mean", "std")),
      "SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")
 _add("f18_vocabulary_cut", lambda t: features.vocabulary(t.tokens()).filter("index <= 1000"), _VOC + " SELECT token, index FROM v WHERE index <= 1000")
