@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DOC = W.partitionBy("doc_id")
-TERM = W.partitionBy("doc_id", "token")
+
+def _doc():
+    return W.partitionBy("doc_id")
+
+
+def _term():
+    return W.partitionBy("doc_id", "token")
 
 
 def _zero(a: Column, b: Column) -> Column:
@@ -34,12 +39,12 @@ def idf(tokens: DataFrame) -> DataFrame:
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:
-    return tokens.select("*", (F.count("*").over(TERM) / F.count("*").over(DOC)).alias("tf"))
+    return tokens.select("*", (F.count("*").over(_term()) / F.count("*").over(_doc())).alias("tf"))
 
 
 def normalise(df: DataFrame, value: str, order: int = 1) -> DataFrame:
     """``value`` divided by its document's Lp norm over all positions; 0 where the norm is 0."""
-    norm = F.sum(F.pow(F.abs(value), F.lit(order))).over(DOC)
+    norm = F.sum(F.pow(F.abs(value), F.lit(order))).over(_doc())
     return df.withColumn(value, _zero(F.col(value), norm if order == 1 else F.pow(norm, F.lit(1 / order))))
 
 
@@ -61,7 +66,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 
 def _observed(tokens: DataFrame) -> DataFrame:
-    own = tokens.select("*", F.count("*").over(TERM).alias("c"), F.count("*").over(DOC).alias("l")).join(word_counts(tokens), "token")
+    own = tokens.select("*", F.count("*").over(_term()).alias("c"), F.count("*").over(_doc()).alias("l")).join(word_counts(tokens), "token")
     totals = tokens.agg(F.count("*").alias("total"), F.countDistinct("doc_id").alias("n"))
     return _constants(own, totals)
 
@@ -94,7 +99,7 @@ def keyphraseness_transform(tokens: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def keyphraseness_leave_one_out(tokens: DataFrame) -> DataFrame:
-    own = tokens.select("*", F.sum((F.col("label") != 0).cast("long")).over(TERM).alias("own")).join(keyphraseness(tokens).drop("keyphraseness"), "token")
+    own = tokens.select("*", F.sum((F.col("label") != 0).cast("long")).over(_term()).alias("own")).join(keyphraseness(tokens).drop("keyphraseness"), "token")
     return own.withColumn("keyphraseness", F.when(F.col("df") > 1, (F.col("kf") - F.col("own")) / (F.col("df") - 1)).otherwise(0.0))
 
 
