@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS = 10  # 64-bit words of a sketch, each two 32-bit fingerprints
 SIMILAR = 0.8
-SPREAD = 0.03  # the estimate's two standard errors at 0.8: what is truly 0.8 must not fall out
+SPREAD = 0.03  # leniency of the estimate, about one standard error (0.033) at 0.8
 
 
 def sketch(data: bytes, size: int = 5) -> list[int]:
@@ -191,14 +191,46 @@ def sketch(data: bytes, size: int = 5) -> list[int]:
     return out
 
 
+def _leaders(rows: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: links among ``rows(spot, low, sk)`` that share a spot and whose sketches differ in ``limit`` bits or fewer.
+
+    Rows come sorted by spot. A row is compared with the spot's leaders, rows like none before them, and linked
+    to each that it is like; else it becomes one. Copies of one text thus cost one leader, however many.
+    """
+    typed = rows.schema["low"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot, ids, held = None, [], np.empty((16, WORDS), np.uint64)
+        for b in batches:
+            sks = np.asarray(b.column(2).flatten()).view(np.uint64).reshape(-1, WORDS)
+            out = []
+            for at, low, sk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sks):
+                if at != spot:
+                    spot, ids = at, []
+                hits = np.flatnonzero(np.bitwise_count(held[: len(ids)] ^ sk).sum(1, dtype=np.int64) <= limit)
+                out += [(low, ids[i]) for i in hits]
+                if not len(hits):
+                    if len(ids) == len(held):
+                        held = np.concatenate([held, np.empty_like(held)])
+                    held[len(ids)] = sk
+                    ids.append(low)
+            x, y = zip(*out) if out else ((), ())
+            kind = b.schema.field(1).type
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], ["a", "b"])
+
+    return rows.repartition("spot").sortWithinPartitions("spot", "low").mapInArrow(run, f"a {typed}, b {typed}")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """``(id, component)``: smallest id reachable over pairs whose five-word shingles have a Jaccard similarity
     of ``similarity`` or more, as their sketches of 640 bits estimate it.
 
     At 0.8, 64 bits differ in 10 places, beyond any code's reach, so the sketch is cut into 20
     fingerprints of 32 bits: at 0.8 each is within 2 bits with probability 0.12, some one of the 20 with 0.92
-    (0.85: 0.99). Each goes to its anchors; there, every fingerprint is paired with the anchor's smallest
-    id alone, and pairs stay if the whole sketches agree. Equal sketches, then equal fingerprints, are one before.
+    (0.85: 0.99). Equal sketches are one before; each fingerprint goes to its anchors. There, every row is
+    compared by whole sketches with the anchor's smallest id, which settles groups of copies of any size.
+    Rows unlike that one may be like each other (with many documents, unrelated ones meet at an
+    anchor), so where two or more of them remain they are compared among themselves.
     Nulls, repeated rows, empty tables: as ``near_duplicates``.
     """
     bounded_batches(docs.sparkSession)
@@ -212,17 +244,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = write_table(rows.groupBy("sk").agg(F.min("id").alias("low")).filter("low IS NOT NULL"), "classes")
     halves = F.transform("sk", lambda w, i: F.array(F.struct((2 * i).alias("t"), w.bitwiseAND(0xFFFFFFFF).alias("fp")), F.struct((2 * i + 1).alias("t"), F.shiftrightunsigned(w, 32).alias("fp"))))
     prints = classes.select("low", F.explode(F.flatten(halves)).alias("x")).select("low", "x.t", "x.fp")
-    # equal fingerprints: one stands for all, the others are paired with it
-    prints = prints.withColumn("head", F.min("low").over(W.partitionBy("t", "fp")))
-    prints = write_table(prints, "prints")
-    at = anchors(prints.filter("low = head").select("low", "t", "fp"), bits=32).select("low", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
-    at = at.withColumn("head", F.min("low").over(W.partitionBy("spot")))
-    pairs = at.filter("low <> head").select("low", "head").union(prints.filter("low <> head").select("low", "head")).distinct()
+    at = anchors(prints, bits=32).select("low", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
+    # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
+    meets = write_table(at.withColumn("head", F.min("low").over(W.partitionBy("spot"))).filter("low <> head"), "meets")
+    # the cosine of the angle and the similarity s of sets: 2s / (1 + s)
+    least = similarity - SPREAD
+    limit = int(64 * WORDS * np.arccos(2 * least / (1 + least)) / np.pi)
     a, b = classes.select(F.col("low").alias("a"), F.col("sk").alias("sa")), classes.select(F.col("low").alias("b"), F.col("sk").alias("sb"))
-    both = pairs.select(F.col("low").alias("a"), F.col("head").alias("b")).join(a, "a").join(b, "b")
+    both = meets.select(F.col("low").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-    cosine = F.cos(F.lit(float(np.pi)) * differ / (64 * WORDS))
-    comp = components(both.filter(cosine / (2 - cosine) >= similarity - SPREAD).select("a", "b"))
+    alike = write_table(both.filter(differ <= limit).select("a", "b"), "alike")
+    rest = meets.join(alike, (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti")
+    rest = rest.withColumn("n", F.count("*").over(W.partitionBy("spot"))).filter("n > 1").select("spot", "low")
+    more = _leaders(rest.join(classes, "low").select("spot", "low", "sk"), limit)
+    comp = components(alike.union(more))
     named = classes.join(comp, F.col("low") == F.col("node"), "left").select(F.col("sk").alias("c_sk"), F.coalesce("root", "low").alias("component"))
     return rows.join(named, F.col("sk") == F.col("c_sk"), "left").select(F.col("id").alias(id_col), "component")
 

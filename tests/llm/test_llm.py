@@ -162,6 +162,15 @@ def test_similar_groups(spark, docs):
     assert {r.doc_id: r.component for r in simhash.similar_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_similar_groups_at_crowded_anchors(spark, monkeypatch):
+    """All fingerprints of a table at one anchor, as with very many documents: links away from the smallest id stay."""
+    monkeypatch.setattr(simhash, "anchors", lambda df, fp="fp", bits=64: df.withColumn("anchor", F.lit(0).cast("long")))
+    text = lambda seed, k: " ".join(f"{seed}{i}" for i in range(k)) + " x" + " ".join(f"{seed}{i}" for i in range(k, 300))
+    rows = [(1, text("a", 5)), (2, text("b", 10)), (3, text("c", 10)), (4, text("b", 200)), (5, text("c", 150)), (6, text("c", 290)), (7, text("d", 3)), (8, text("a", 99))]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component for r in got} == {1: 1, 8: 1, 2: 2, 4: 2, 3: 3, 5: 3, 6: 3, 7: 7}
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(5)
     plain = [" ".join(rng.choice("the a of in on to and is was for".split()) + rng.choice(["", "x", "y"]) for _ in range(40)) for _ in range(400)]
