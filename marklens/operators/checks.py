@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import link
+from . import link, markup
 
 # fixed values: severities and diagnostic codes
 SEVERITY = {"error": 1, "warning": 2, "information": 3, "hint": 4}
@@ -55,6 +55,14 @@ def all_checks(args: DataFrame, modules: DataFrame, symbols: DataFrame, deps: Da
     return reduce(DataFrame.unionByName, parts)
 
 
+def misplaced(args: DataFrame, envs: DataFrame) -> DataFrame:
+    """Symbol macros that lie in no module."""
+    m = envs.filter(F.col("env").isin(*markup.MODULE_ENVS)).select(F.col("path").alias("m_path"), "begin_pos", "end_pos")
+    inside = (F.col("path") == F.col("m_path")) & (F.col("begin_pos") < F.col("pos")) & (F.coalesce("end_pos", F.lit(1 << 40)) > F.col("pos"))
+    own = args.filter(F.col("name").rlike(markup.SYMBOL)).join(m, inside, "left_anti")
+    return _rows(own, "location-check", F.concat(F.lit("outside a module: "), F.col("name")))
+
+
 def at_most(diagnostics: DataFrame, level: int) -> DataFrame:
     return diagnostics.filter(F.col("severity") <= level)
 

@@ -138,6 +138,17 @@ def moments(table: DataFrame, vec: str = "vec") -> DataFrame:
     return x.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
+def pca(table: DataFrame, size: int, vec: str = "vec") -> DataFrame:
+    """``table`` plus ``reduced``: the centred vectors on their first ``size`` principal components (signs are free)."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    own = table.withColumn("__v", array_to_vector(F.col(vec).cast("array<double>")))
+    own = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(own).transform(own)
+    out = PCA(k=size, inputCol="__c", outputCol="__r").fit(own).transform(own)
+    return out.withColumn("reduced", vector_to_array("__r")).drop("__v", "__c", "__r")
+
+
 def one_hot(tokens: DataFrame, column: str, categories: DataFrame) -> DataFrame:
     """0/1 array over the sorted categories; an unknown value gives zeros."""
     cats = categories.agg(F.array_sort(F.collect_set(column)).alias("cats"))  # the tag set is a fixed alphabet

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marklens.sources.shared import checkpoint
+
 
 def contained(symbol_type: Column, mask: Column) -> Column:
     return mask.bitwiseAND(symbol_type) == symbol_type
@@ -78,13 +78,6 @@ def name_mismatches(modules: DataFrame) -> DataFrame:
     return modules.withColumn("stem", stem).filter(F.col("module") != F.col("stem"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # on a cluster spark.checkpoint.dir names it
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "export") -> DataFrame:
     """``(root, node)``: what each root reaches. ``edges(src, dst[, export])``.
 
@@ -94,12 +87,15 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "expor
     """
     first = edges if roots is None else edges.join(roots.select(F.col("node").alias("src")), "src", "left_semi")
     onward = (edges.filter("export") if rule == "export" else edges).select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    new = _checkpoint(first.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
-    known = new
+    new = checkpoint(first.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
+    known, rounds = new, 0
     while not new.isEmpty():
         step = new.join(onward, "node").select("root", F.col("next").alias("node")).distinct()
-        new = _checkpoint(step.join(known, ["root", "node"], "left_anti"))
-        known = _checkpoint(known.union(new))
+        new = checkpoint(step.join(known, ["root", "node"], "left_anti"))
+        rounds += 1
+        known = known.union(new)  # each part is a checkpoint of its own; a few at a time become one
+        if rounds % 8 == 0:
+            known = checkpoint(known)
     return known
 
 
@@ -135,8 +131,8 @@ def missing_import_hints(undefined: DataFrame, symbols: DataFrame) -> DataFrame:
 def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.6, best: int = 3) -> DataFrame:
     """``(symbol, name, ratio)``: up to three names of Levenshtein similarity ``least`` or more.
 
-    A pair that similar shares a deletion-tolerant key: its lengths lie within the band, and one of the
-    three-letter grams agrees unless the name is short; candidates come from an equi-join on the grams.
+    Candidates share a three-letter gram (a shorter name is its own gram) and their lengths lie within the band;
+    they come from an equi-join on the grams of distinct names.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))
     a = wanted.select("symbol").distinct().withColumn("g", F.explode(grams("symbol")))
@@ -150,9 +146,81 @@ def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.6, best:
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """``(node, ancestor, distance)`` of ``parents(node, parent)``, round by round like ``closure``."""
-    new = _checkpoint(parents.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
+    new = checkpoint(parents.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
     out, up = new, parents.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent")
     while not new.isEmpty():
-        new = _checkpoint(new.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
+        new = checkpoint(new.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
         out = out.union(new)
     return out
+
+
+def private_access(deps: DataFrame, modules: DataFrame) -> DataFrame:
+    """Imports of a module that is private (``access = 3``)."""
+    own = modules.filter("access = 3").select("module").distinct()
+    return deps.join(own, "module", "left_semi")
+
+
+def visible_access(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """``(node, visible)``: modifiers of a node and all above it, joined by OR. A private one (3) has all bits, so
+    what is above it changes nothing and the walk need not stop there."""
+    up = ancestors(parents).select("node", F.col("ancestor").alias("at")).union(nodes.select("node", F.col("node").alias("at")))
+    return up.join(nodes.select(F.col("node").alias("at"), "access"), "at").groupBy("node").agg(F.bit_or("access").alias("visible"))
+
+
+def resolve_references(refs: DataFrame, bindings: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(path, pos, symbol, provider, distance)``: definitions that a reference may mean, the nearest only.
+
+    The scope is the named module, or the file's own where none is named: its own symbols are at distance 0, what
+    its imports bring at 1. ``refs.mask`` holds the wanted types, ``symbols.type`` one. Only scopes that
+    some reference asks for are followed over the imports.
+    """
+    own = bindings.groupBy("path").agg(F.min("module").alias("own"))
+    r = refs.join(own, "path", "left").withColumn("root", F.coalesce("module", "own")).filter("root IS NOT NULL").select("path", "pos", "symbol", "mask", "root")
+    roots = r.select(F.col("root").alias("node")).distinct()
+    scopes = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("distance")).union(closure(edges, roots).filter("root <> node").select("root", "node", F.lit(1)))
+    s = symbols.select(F.col("module").alias("node"), F.col("name").alias("symbol"), "type").distinct()
+    hit = r.join(scopes, "root").join(s, ["node", "symbol"]).filter(contained(F.col("type"), F.col("mask")))
+    near = hit.withColumn("least", F.min("distance").over(W.partitionBy("path", "pos"))).filter("distance = least")
+    return near.select("path", "pos", "symbol", F.col("node").alias("provider"), "distance").distinct()
+
+
+def namespaces(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(path, pos, names)``: names of the ``ranges(path, name, begin, end)`` around each point, outer to inner."""
+    r = ranges.select(F.col("path").alias("r_path"), "name", "begin", "end")
+    hit = points.select("path", "pos").join(r, (F.col("path") == F.col("r_path")) & (F.col("begin") <= F.col("pos")) & (F.col("end") >= F.col("pos")))
+    return hit.groupBy("path", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("begin", -F.col("end"), "name"))), lambda x: x["name"]).alias("names"))
+
+
+def smallest_reference(points: DataFrame, refs: DataFrame) -> DataFrame:
+    """``points`` with the smallest of the ``refs(path, begin, end, module, symbol)`` around each; the first wins ties."""
+    r = refs.select(F.col("path").alias("r_path"), "begin", "end", "module", "symbol")
+    hit = points.join(r, (F.col("path") == F.col("r_path")) & (F.col("begin") <= F.col("pos")) & (F.col("end") >= F.col("pos")))
+    best = hit.groupBy("path", "pos").agg(F.min(F.struct(F.col("end") - F.col("begin"), "begin", "module", "symbol")).alias("x"))
+    return best.select("path", "pos", "x.module", "x.symbol")
+
+
+def definitions_at(points: DataFrame, refs: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
+    """``(path, pos, d_path, d_pos)``: definitions that the smallest reference around a point means, and the
+    ``modules(path, pos, end)`` that contain the point."""
+    targets = symbols.select("module", F.col("name").alias("symbol"), F.col("path").alias("d_path"), F.col("pos").alias("d_pos"))
+    meant = smallest_reference(points, refs).join(targets, ["module", "symbol"]).select("path", "pos", "d_path", "d_pos")
+    m = modules.select(F.col("path").alias("d_path"), F.col("pos").alias("d_pos"), "end")
+    around = points.select("path", "pos").join(m, (F.col("path") == F.col("d_path")) & (F.col("d_pos") <= F.col("pos")) & (F.col("end") >= F.col("pos")))
+    return meant.union(around.select("path", "pos", "d_path", "d_pos")).distinct()
+
+
+def references_to(targets: DataFrame, refs: DataFrame) -> DataFrame:
+    """``(module, symbol, path, pos)``: the definitions ``targets(path, pos, module, symbol)`` and all references to them."""
+    found = refs.select("module", "symbol", "path", "pos").join(targets.select("module", "symbol").distinct(), ["module", "symbol"])
+    return found.select("module", "symbol", "path", "pos").union(targets.select("module", "symbol", "path", "pos")).distinct()
+
+
+def maintain_index(index: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
+    """``(name, path)`` rows after files changed: theirs go, their new ones come."""
+    return index.join(changed.select("path").distinct(), "path", "left_anti").select("name", "path").union(new.select("name", "path")).distinct()
+
+
+def type_mismatches(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References whose name exists in the module, but with a type outside their mask."""
+    s = symbols.select("module", F.col("name").alias("symbol"), "type").distinct()
+    return refs.join(s, ["module", "symbol"]).filter(~contained(F.col("type"), F.col("mask")))

@@ -111,3 +111,16 @@ def embeddings_text(spark: SparkSession, path: str, size: int, first: int | None
     out = spark.read.text(path).filter(F.size(parts) == size + 1)
     out = out.limit(first) if first else out
     return out.select(F.get(parts, F.lit(0)).alias("token"), F.slice(parts, 2, size).cast("array<float>").alias("vec"))
+
+
+def cached(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at ``path``; where there is none yet, ``build()`` is written there first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.parquet(path)
+    return spark.read.parquet(path)

@@ -52,6 +52,50 @@ def recheck_on_save(edits: DataFrame, users: DataFrame) -> DataFrame:
     return saved.union(saved.join(users, F.col("path") == F.col("used")).select(F.col("user").alias("path"))).distinct()
 
 
+STATE = "version long, open boolean"
+VERDICTS = "path string, version long, kind string, verdict string"
+
+
+def verdicts_stream(edits: DataFrame) -> DataFrame:
+    """``(path, version, kind, verdict)`` of each edit on a stream: the document's highest version and whether it is
+    open are the state. ``late``: a lower version than seen. ``duplicate-open``, ``not-open``: by the life
+    cycle. Else ``accepted``. A close frees the document, its version stays known.
+
+    Within a micro-batch a document's edits go by ``(ts, version)``; only one document's new edits are in
+    memory at a time, as Arrow batches.
+    """
+    import pandas as pd
+
+    def run(key, batches, state):
+        rows = pd.concat(list(batches)).sort_values(["ts", "version"])
+        seen, is_open = state.get if state.exists else (None, False)
+        out = []
+        for v, kind in zip(rows["version"].tolist(), rows["kind"]):
+            if seen is not None and v < seen:
+                verdict = "late"
+            elif kind == "open" and is_open:
+                verdict = "duplicate-open"
+            elif kind == "close" and not is_open:
+                verdict = "not-open"
+            else:
+                verdict = "accepted"
+                is_open = kind == "open" or (is_open and kind != "close")
+            seen = v if seen is None else max(seen, v)
+            out.append((key[0], v, kind, verdict))
+        state.update((seen, is_open))
+        yield pd.DataFrame(out, columns=["path", "version", "kind", "verdict"])
+
+    return edits.groupBy("path").applyInPandasWithState(run, VERDICTS, STATE, "append", "NoTimeout")
+
+
+def run_all(stream: DataFrame, table: str, checkpoint: str, each=None) -> DataFrame:
+    """Process all that a stream has now into ``table`` (or by ``each(batch, number)``) and read the table."""
+    w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    w = w.foreachBatch(each) if each else w.format("parquet").option("path", table).outputMode("append")
+    w.start().awaitTermination()
+    return stream.sparkSession.read.parquet(table)
+
+
 def publish(batch: DataFrame, path: str, check) -> None:
     """A micro-batch's diagnostics, replacing those of its files only; for ``foreachBatch``.
 
