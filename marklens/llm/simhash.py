@@ -227,8 +227,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     At 0.8, 64 bits differ in 10 places, beyond any code's reach, so the sketch is cut into 20
     fingerprints of 32 bits: at 0.8 each is within 2 bits with probability 0.12, some one of the 20 with 0.92
-    (0.85: 0.99). Equal sketches are one before; each fingerprint goes to its anchors. There, every row is
-    compared by whole sketches with the anchor's smallest id, which settles groups of copies of any size.
+    (0.85: 0.99). Equal sketches are one before, and rows like the smallest id of an equal fingerprint are
+    linked to it; the others' fingerprints go to their anchors. There, every row is compared by whole sketches with the anchor's smallest id, which settles groups of copies of any size.
     Rows unlike that one may be like each other (with many documents, unrelated ones meet at an
     anchor), so where two or more of them remain they are compared among themselves.
     Nulls, repeated rows, empty tables: as ``near_duplicates``.
@@ -244,20 +244,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = write_table(rows.groupBy("sk").agg(F.min("id").alias("low")).filter("low IS NOT NULL"), "classes")
     halves = F.transform("sk", lambda w, i: F.array(F.struct((2 * i).alias("t"), w.bitwiseAND(0xFFFFFFFF).alias("fp")), F.struct((2 * i + 1).alias("t"), F.shiftrightunsigned(w, 32).alias("fp"))))
     prints = classes.select("low", F.explode(F.flatten(halves)).alias("x")).select("low", "x.t", "x.fp")
-    at = anchors(prints, bits=32).select("low", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
-    # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
-    meets = write_table(at.withColumn("head", F.min("low").over(W.partitionBy("spot"))).filter("low <> head"), "meets")
+    prints = write_table(prints.withColumn("head", F.min("low").over(W.partitionBy("t", "fp"))), "prints")
     # the cosine of the angle and the similarity s of sets: 2s / (1 + s)
     least = similarity - SPREAD
     limit = int(64 * WORDS * np.arccos(2 * least / (1 + least)) / np.pi)
     a, b = classes.select(F.col("low").alias("a"), F.col("sk").alias("sa")), classes.select(F.col("low").alias("b"), F.col("sk").alias("sb"))
-    both = meets.select(F.col("low").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-    alike = write_table(both.filter(differ <= limit).select("a", "b"), "alike")
-    rest = meets.join(alike, (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti")
+
+    def like_head(rows: DataFrame) -> DataFrame:
+        """Distinct pairs of a row and its head, ``(a, b)``, whose whole sketches are alike."""
+        pairs = rows.filter("low <> head").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
+        return write_table(pairs.join(a, "a").join(b, "b").filter(differ <= limit).select("a", "b"), "alike")
+
+    linked = (F.col("low") == F.col("a")) & (F.col("head") == F.col("b"))
+    equal = like_head(prints)
+    # a row that is like another one of its fingerprint leaves the anchors to that one
+    others = prints.filter("low <> head").join(equal, linked, "left_anti")
+    at = anchors(prints.filter("low = head").union(others).select("low", "t", "fp"), bits=32).select("low", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
+    # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
+    meets = write_table(at.withColumn("head", F.min("low").over(W.partitionBy("spot"))).filter("low <> head"), "meets")
+    alike = like_head(meets)
+    rest = meets.join(alike, linked, "left_anti")
     rest = rest.withColumn("n", F.count("*").over(W.partitionBy("spot"))).filter("n > 1").select("spot", "low")
     more = _leaders(rest.join(classes, "low").select("spot", "low", "sk"), limit)
-    comp = components(alike.union(more))
+    comp = components(equal.union(alike).union(more))
     named = classes.join(comp, F.col("low") == F.col("node"), "left").select(F.col("sk").alias("c_sk"), F.coalesce("root", "low").alias("component"))
     return rows.join(named, F.col("sk") == F.col("c_sk"), "left").select(F.col("id").alias(id_col), "component")
 
