@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS = 10  # 64-bit words of a sketch, each two 32-bit fingerprints
 SIMILAR = 0.8
+TURNS = (2, 6, 12)  # how many of the 32-bit fingerprints are compared at a time
 SPREAD = 0.03  # leniency of the estimate, about one standard error (0.033) at 0.8
 
 
@@ -230,7 +231,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (0.85: 0.99). Equal sketches are one before; each fingerprint goes to its anchors. There, every row is
     compared by whole sketches with the anchor's smallest id, which settles groups of copies of any size.
     Rows unlike that one may be like each other (with many documents, unrelated ones meet at an
-    anchor), so where two or more of them remain they are compared among themselves.
+    anchor), so where two or more of them remain they are compared among themselves. The fingerprints
+    take turns: an anchor whose rows are all of one group by then has no link left to find, and
+    no pair is compared twice.
     Nulls, repeated rows, empty tables: as ``near_duplicates``.
     """
     bounded_batches(docs.sparkSession)
@@ -242,22 +245,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     typed = docs.schema[id_col].dataType.simpleString()
     rows = write_table(docs.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("data")).mapInArrow(run, f"id {typed}, sk array<bigint>"), "sketches")
     classes = write_table(rows.groupBy("sk").agg(F.min("id").alias("low")).filter("low IS NOT NULL"), "classes")
-    halves = F.transform("sk", lambda w, i: F.array(F.struct((2 * i).alias("t"), w.bitwiseAND(0xFFFFFFFF).alias("fp")), F.struct((2 * i + 1).alias("t"), F.shiftrightunsigned(w, 32).alias("fp"))))
-    prints = classes.select("low", F.explode(F.flatten(halves)).alias("x")).select("low", "x.t", "x.fp")
-    at = anchors(prints, bits=32).select("low", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
-    # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
-    meets = write_table(at.withColumn("head", F.min("low").over(W.partitionBy("spot"))).filter("low <> head"), "meets")
+    halves = F.flatten(F.transform("sk", lambda w, i: F.array(F.struct((2 * i).alias("t"), w.bitwiseAND(0xFFFFFFFF).alias("fp")), F.struct((2 * i + 1).alias("t"), F.shiftrightunsigned(w, 32).alias("fp")))))
     # the cosine of the angle and the similarity s of sets: 2s / (1 + s)
     least = similarity - SPREAD
     limit = int(64 * WORDS * np.arccos(2 * least / (1 + least)) / np.pi)
     a, b = classes.select(F.col("low").alias("a"), F.col("sk").alias("sa")), classes.select(F.col("low").alias("b"), F.col("sk").alias("sb"))
-    both = meets.select(F.col("low").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-    alike = write_table(both.filter(differ <= limit).select("a", "b"), "alike")
-    rest = meets.join(alike, (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti")
-    rest = rest.withColumn("n", F.count("*").over(W.partitionBy("spot"))).filter("n > 1").select("spot", "low")
-    more = _leaders(rest.join(classes, "low").select("spot", "low", "sk"), limit)
-    comp = components(alike.union(more))
+    comp, tried, first = None, None, 1
+    for many in TURNS:
+        known = classes.withColumn("root", F.col("low")) if comp is None else classes.join(comp, F.col("low") == F.col("node"), "left").select("low", "sk", F.coalesce("root", "low").alias("root"))
+        prints = known.select("low", "root", F.explode(F.slice(halves, first, many)).alias("x")).select("low", "root", "x.t", "x.fp")
+        first += many
+        at = anchors(prints, bits=32).select("low", "root", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
+        # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
+        here = W.partitionBy("spot")
+        at = at.select("spot", "low", F.min("low").over(here).alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"))
+        meets = write_table(at.filter("mixed AND low <> head").drop("mixed"), "meets")
+        pairs = meets.select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        compared = write_table(pairs.join(a, "a").join(b, "b").select("a", "b", (differ <= limit).alias("alike")), "compared")
+        tried = compared if tried is None else tried.union(compared)
+        rest = meets.join(tried.filter("alike"), (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti")
+        rest = rest.withColumn("n", F.count("*").over(here)).filter("n > 1").select("spot", "low")
+        edges = compared.filter("alike").select("a", "b").union(_leaders(rest.join(classes, "low").select("spot", "low", "sk"), limit))
+        comp = components(edges if comp is None else edges.union(comp))
     named = classes.join(comp, F.col("low") == F.col("node"), "left").select(F.col("sk").alias("c_sk"), F.coalesce("root", "low").alias("component"))
     return rows.join(named, F.col("sk") == F.col("c_sk"), "left").select(F.col("id").alias(id_col), "component")
 
