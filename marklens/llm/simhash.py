@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WORDS = 10  # 64-bit words of a sketch, each two 32-bit fingerprints
 SIMILAR = 0.8
 TURNS = (2, 6, 12)  # how many of the 32-bit fingerprints are compared at a time
+BLOCK = 1024  # rows of a crowded anchor that meet others in one unit of work
 SPREAD = 0.03  # leniency of the estimate, about one standard error (0.033) at 0.8
 
 
@@ -192,34 +193,61 @@ def sketch(data: bytes, size: int = 5) -> list[int]:
     return out
 
 
-def _leaders(rows: DataFrame, limit: int) -> DataFrame:
-    """``(a, b)``: links among ``rows(spot, low, sk)`` that share a spot and whose sketches differ in ``limit`` bits or fewer.
+def _cross_links(rows: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: links that join, at each spot, all of ``rows(spot, low, root, main, sk)`` whose sketches differ in ``limit`` bits or fewer.
 
-    Rows come sorted by spot. A row is compared with the spot's leaders, rows like none before them, and linked
-    to each that it is like; else it becomes one. Copies of one text thus cost one leader, however many.
+    Rows of one root are joined already, and so are those with ``main`` set; every other pair of a spot is
+    compared. A spot's rows fall into blocks of some ``BLOCK``, the ``main`` ones into blocks of their own, and a
+    unit of work is two blocks, so what a task holds doesn't grow with the spot.
     """
     typed = rows.schema["low"].dataType.simpleString()
+    here = W.partitionBy("spot")
+    other = F.ceil(F.sum(F.when(F.col("main"), 0).otherwise(1)).over(here) / BLOCK).cast("int")
+    main = F.ceil(F.sum(F.when(F.col("main"), 1).otherwise(0)).over(here) / BLOCK).cast("int")
+    rows = rows.withColumns({"n": other, "n_main": main})
+    own = F.when(F.col("main"), F.col("n") + F.pmod(F.xxhash64("low"), "n_main")).otherwise(F.pmod(F.xxhash64("low"), "n")).cast("int")
+    rows = rows.withColumn("k", own)
+    # a block meets every other one, but no two of main; units of two hold the pairs inside a block as well
+    met = F.when(F.col("main"), F.sequence(F.lit(0), F.col("n") - 1)).when(F.col("n") + F.col("n_main") == 1, F.array("k")).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") + F.col("n_main") - 1), lambda x: x != F.col("k")))
+    rows = rows.withColumn("m", F.explode(met)).select("spot", F.least("k", "m").alias("k"), F.greatest("k", "m").alias("m"), "low", "root", "main", "sk")
+
+    def solve(held: list[tuple]) -> list[tuple]:
+        names: dict = {}
+        label = np.array([names.setdefault(r[1], len(names)) for r in held])
+        main = np.array([r[2] for r in held])
+        label[main] = label[main].min(initial=len(names))
+        sks = np.stack([r[3] for r in held])
+        out = []
+        for i in np.flatnonzero(~main):
+            apart = np.flatnonzero(label != label[i])
+            hits = apart[np.bitwise_count(sks[apart] ^ sks[i]).sum(1, dtype=np.int64) <= limit]
+            for j in hits:
+                if label[j] != label[i]:
+                    out.append((held[i][0], held[j][0]))
+                    label[label == label[j]] = label[i]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot, ids, held = None, [], np.empty((16, WORDS), np.uint64)
+        unit, held = None, []
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            x, y = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], ["a", "b"])
+
         for b in batches:
-            sks = np.asarray(b.column(2).flatten()).view(np.uint64).reshape(-1, WORDS)
+            kind = b.schema.field(3).type
+            sks = np.asarray(b.column(6).flatten()).view(np.uint64).reshape(-1, WORDS)
             out = []
-            for at, low, sk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sks):
-                if at != spot:
-                    spot, ids = at, []
-                hits = np.flatnonzero(np.bitwise_count(held[: len(ids)] ^ sk).sum(1, dtype=np.int64) <= limit)
-                out += [(low, ids[i]) for i in hits]
-                if not len(hits):
-                    if len(ids) == len(held):
-                        held = np.concatenate([held, np.empty_like(held)])
-                    held[len(ids)] = sk
-                    ids.append(low)
-            x, y = zip(*out) if out else ((), ())
-            kind = b.schema.field(1).type
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], ["a", "b"])
+            for *at, low, root, main, sk in zip(*(b.column(c).to_pylist() for c in range(6)), sks):
+                if at != unit:
+                    out += solve(held) if len(held) > 1 else []
+                    unit, held = at, []
+                held.append((low, root, main, sk))
+            yield batch(out)
+        if len(held) > 1:
+            yield batch(solve(held))
 
-    return rows.repartition("spot").sortWithinPartitions("spot", "low").mapInArrow(run, f"a {typed}, b {typed}")
+    return rows.repartition("spot", "k", "m").sortWithinPartitions("spot", "k", "m", "low").mapInArrow(run, f"a {typed}, b {typed}")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILAR) -> DataFrame:
@@ -230,10 +258,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints of 32 bits: at 0.8 each is within 2 bits with probability 0.12, some one of the 20 with 0.92
     (0.85: 0.99). Equal sketches are one before; each fingerprint goes to its anchors. There, every row is
     compared by whole sketches with the anchor's smallest id, which settles groups of copies of any size.
-    Rows unlike that one may be like each other (with many documents, unrelated ones meet at an
-    anchor), so where two or more of them remain they are compared among themselves. The fingerprints
-    take turns: an anchor whose rows are all of one group by then has no link left to find, and
-    no pair is compared twice.
+    Rows unlike that one are then compared with all others of the anchor, those like it too, so every pair
+    that meets is compared or joined by others. The fingerprints take turns: rows of one group by then
+    are not compared again.
     Nulls, repeated rows, empty tables: as ``near_duplicates``.
     """
     bounded_batches(docs.sparkSession)
@@ -259,16 +286,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = anchors(prints, bits=32).select("low", "root", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
         # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
         here = W.partitionBy("spot")
-        at = at.select("spot", "low", F.min("low").over(here).alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"))
-        meets = write_table(at.filter("mixed AND low <> head").drop("mixed"), "meets")
-        pairs = meets.select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
+        at = at.select("spot", "low", "root", F.min(F.struct("low", "root")).over(here).alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"))
+        meets = write_table(at.filter("mixed AND low <> head.low").select("spot", "low", "root", F.col("head.low").alias("head"), (F.col("root") == F.col("head.root")).alias("main")), "meets")
+        pairs = meets.filter("NOT main").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         compared = write_table(pairs.join(a, "a").join(b, "b").select("a", "b", (differ <= limit).alias("alike")), "compared")
         tried = compared if tried is None else tried.union(compared)
-        rest = meets.join(tried.filter("alike"), (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left_anti")
-        rest = rest.withColumn("n", F.count("*").over(here)).filter("n > 1").select("spot", "low")
-        edges = compared.filter("alike").select("a", "b").union(_leaders(rest.join(classes, "low").select("spot", "low", "sk"), limit))
+        like = tried.filter("alike").select("a", "b", F.lit(True).alias("like"))
+        rest = meets.join(like, (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "low", "root", (F.col("main") | F.col("like").isNotNull()).alias("main"))
+        rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "low", "root", "main")
+        edges = compared.filter("alike").select("a", "b").union(_cross_links(rest.join(classes, "low").select("spot", "low", "root", "main", "sk"), limit))
         comp = components(edges if comp is None else edges.union(comp))
     named = classes.join(comp, F.col("low") == F.col("node"), "left").select(F.col("sk").alias("c_sk"), F.coalesce("root", "low").alias("component"))
     return rows.join(named, F.col("sk") == F.col("c_sk"), "left").select(F.col("id").alias(id_col), "component")

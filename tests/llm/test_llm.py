@@ -171,6 +171,29 @@ def test_similar_groups_at_crowded_anchors(spark, monkeypatch):
     assert {r.doc_id: r.component for r in got} == {1: 1, 8: 1, 2: 2, 4: 2, 3: 3, 5: 3, 6: 3, 7: 7}
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_similar_groups_equal_all_pairs(spark, monkeypatch, block):
+    """Near copies around the limit, all at one anchor: links between rows like and unlike the smallest id stay."""
+    monkeypatch.setattr(simhash, "anchors", lambda df, fp="fp", bits=64: df.withColumn("anchor", F.lit(0).cast("long")))
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(6)
+    order = rng.sample(range(10, 90), 80)
+    rows = [(order[i], " ".join(f"w{j}" for j in range(12 * i, 12 * i + 300))) for i in range(40)]
+    rows += [(order[40 + i], " ".join(f"v{j}" if rng.random() > 0.02 else f"x{i}" for j in range(300))) for i in range(40)]
+    rows.append((1, " ".join(f"w{j}" for j in range(240, 540))))  # the smallest id lies amid the chain
+    sk = {i: simhash.sketch(t.encode()) for i, t in rows}
+    least = simhash.SIMILAR - simhash.SPREAD
+    limit = int(640 * np.arccos(2 * least / (1 + least)) / np.pi)
+    want = {i: i for i in sk}
+    for a in sorted(sk):
+        for b in sorted(sk):
+            if a < b and want[a] != want[b] and sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(sk[a], sk[b])) <= limit:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if r == high else r for i, r in want.items()}
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component for r in got.collect()} == want and 2 < len(set(want.values())) < 60
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(5)
     plain = [" ".join(rng.choice("the a of in on to and is was for".split()) + rng.choice(["", "x", "y"]) for _ in range(40)) for _ in range(400)]
