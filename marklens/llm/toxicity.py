@@ -1,18 +1,17 @@
-"""Toxicity by a factorization machine over hashed terms."""
+"""Toxicity by a factorization machine over chosen terms, known by 64-bit hashes."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
+from .storage import bounded_batches, write_table
 
-BITS = 18  # hashed term space
 FACTORS = 4
 MAX_ROWS = 20_000  # labelled rows to fit on at most: the documented bound of the sample
 EPOCHS = 20
@@ -22,13 +21,13 @@ _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_/\\`~"
 
 
 def terms(data: bytes) -> np.ndarray:
-    """Distinct hashed terms of a whole text: words lowered (A-Z), punctuation at their ends dropped, and
-    the starts of longer words."""
-    crc, mask = zlib.crc32, (1 << BITS) - 1
+    """Distinct 64-bit hashes of a whole text's terms: words lowered (A-Z), punctuation at their ends dropped, and
+    the starts of longer words, which a space before them keeps apart from words."""
+    digest = xxhash.xxh64_intdigest
     found = {w.strip(_STRIP) for w in set(data.lower().split())}
     found.discard(b"")
-    found |= {b"^" + w[:PREFIX] for w in found if len(w) > PREFIX}
-    return np.array(sorted({crc(w) & mask for w in found}), np.int32)
+    found |= {b" " + w[:PREFIX] for w in found if len(w) > PREFIX}
+    return np.unique(np.fromiter(map(digest, found), np.uint64, len(found)).view(np.int64))
 
 
 class FactorizationMachine:
@@ -38,26 +37,22 @@ class FactorizationMachine:
     don't drown in pairs.
     """
 
-    def __init__(self, bits: int = BITS, factors: int = FACTORS, seed: int = 7):
+    def __init__(self, hashes: np.ndarray, factors: int = FACTORS, seed: int = 7):
         rng = np.random.default_rng(seed)
+        self.hashes = np.unique(hashes).astype(np.int64)
         self.bias = 0.0
-        self.weight = np.zeros(1 << bits, np.float32)
-        self.used = np.zeros(1 << bits, bool)
-        self.factor = rng.normal(0, 0.02, (1 << bits, factors)).astype(np.float32)
-
-    def select(self, rows: list[np.ndarray], labels: np.ndarray, least: float = MIN_CHI2) -> None:
-        """Use the terms of three rows or more whose presence and label are dependent."""
-        size, n, n1 = len(self.used), len(rows), labels.sum()
-        both = lambda own: np.bincount(np.concatenate(own), minlength=size) if own else np.zeros(size)
-        df, c1 = both(list(rows)), both([r for r, y in zip(rows, labels) if y])
-        e = df * (n1 / max(n, 1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi2 = (c1 - e) ** 2 / e + (c1 - e) ** 2 / (df - e)
-        self.used = (df >= 3) & (np.nan_to_num(chi2, posinf=0) >= least)
+        self.weight = np.zeros(len(self.hashes), np.float32)
+        self.factor = rng.normal(0, 0.02, (len(self.hashes), factors)).astype(np.float32)
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Places among the machine's terms of those of ``found`` that are among them."""
+        if not len(self.hashes):
+            return np.empty(0, np.int32)
+        at = np.searchsorted(self.hashes, found).clip(max=len(self.hashes) - 1)
+        return at[self.hashes[at] == found].astype(np.int32)
 
     def _flat(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Terms of all rows, their rows, the rows' starts for reduceat (an empty row gets none), the rows with terms."""
-        rows = [r[self.used[r]] for r in rows]
         size = np.array([len(r) for r in rows])
         full = np.flatnonzero(size)
         ids = np.concatenate(rows) if len(full) else np.empty(0, np.int32)
@@ -83,7 +78,6 @@ class FactorizationMachine:
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
         rng = np.random.default_rng(seed)
-        self.select(rows, labels)
         gw, gv, gb = np.full_like(self.weight, 1e-4), np.full_like(self.factor, 1e-4), 1e-4
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -111,7 +105,8 @@ class FactorizationMachine:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> FactorizationMachine:
     """Fit on the labelled rows whose crc32(id as text) mod 5 isn't 0: all of them, or the ``max_rows`` first by a
-    hash of the id. Executors turn texts to hashed terms; only those and the labels of the bounded sample
+    hash of the id. Executors turn texts to hashed terms and count them; the terms of three rows or more whose
+    presence and label are dependent are chosen, and only those, by their places, and the labels of the bounded sample
     come to the driver. Without usable labels every score is 0.5."""
     bounded_batches(docs.sparkSession)
     train = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(id_col, label_col)
@@ -123,10 +118,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(v.as_py() or b"").tobytes() for v in b.column(2)], pa.binary())], ["id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(v.as_py() or b"") for v in b.column(2)], pa.list_(pa.int64()))], ["id", "label", "terms"])
+
+    typed = docs.schema[id_col].dataType.simpleString()
+    sample = write_table(own.mapInArrow(run, f"id {typed}, label int, terms array<bigint>"), "terms")
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("label") != 0).alias("c1")).filter("df >= 3")
+    e = F.col("df") * F.lit(n1 / max(n, 1))
+    off = (F.col("c1") - e) * (F.col("c1") - e)
+    chosen = counts.filter(F.try_divide(off, e) + F.try_divide(off, F.col("df") - e) >= MIN_CHI2).select("term").collect()
+    model = FactorizationMachine(np.array([r.term for r in chosen], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.places(v.values.to_numpy()).tobytes() for v in b.column(2)], pa.binary())], ["id", "label", "places"])
 
-    rows = sorted(own.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, label int, terms binary").collect(), key=lambda r: str(r.id))
-    return FactorizationMachine().fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
+    rows = sorted(sample.mapInArrow(place, f"id {typed}, label int, places binary").collect(), key=lambda r: str(r.id))
+    return model.fit([np.frombuffer(r.places, np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,12 +145,12 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     Null or empty text: the score of no terms. Repeated rows stay repeated; only the two named columns are read.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS * (FACTORS + 1) floats: 5 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the chosen terms' hashes and FACTORS + 1 floats each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            z = m.logits([terms(v.as_py() or b"") for v in b.column(1)])
+            z = m.logits([m.places(terms(v.as_py() or b"")) for v in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [id_col, "score"])
 
     own = docs.select(id_col, F.encode(text_col, "UTF-8").alias("__data"))

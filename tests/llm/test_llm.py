@@ -1,5 +1,6 @@
 """The training-data operators against brute force, libraries and exact round trips, with awkward rows."""
 
+import itertools
 import random
 import zlib
 
@@ -204,3 +205,16 @@ def test_toxicity(spark, empty):
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert held and all(r.held_out and r.predicted == int(r.doc_id % 4 == 0) for r in held)
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_toxicity_of_words_never_seen(spark):
+    """Clean texts of words that no labelled text has, one of them an insult's neighbour in a small term space."""
+    want = zlib.crc32(b"idiot") & (1 << 18) - 1
+    like = next(w for w in map("".join, itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=5)) if zlib.crc32(w.encode()) & (1 << 18) - 1 == want and w != "idiot")
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("the a of in on to and is was for".split()) for _ in range(40)) + (" idiot" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    new = spark.createDataFrame([(1, "the a of " + like), (2, "the a of"), (3, " ".join(f"n{i}" for i in range(60_000))), (4, "the idiot")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(new, model).collect()}
+    assert [got[i].predicted for i in (1, 2, 3, 4)] == [0, 0, 0, 1] and got[1].score == got[2].score
