@@ -66,7 +66,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     starts = np.maximum(np.diff(offsets) - length + 1, 0)
     if not len(least) or not starts.sum():
         empty = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), np.empty(0, np.int32), empty, empty, empty
+        return np.empty(0, np.uint64), empty, empty, empty, empty
     begin, end = offsets[:-1][starts > 0], (offsets[:-1] + starts)[starts > 0]
     edge = np.zeros(len(least) + 1, np.int8)
     np.add.at(edge, begin, 1)
@@ -90,7 +90,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
         own = (total[at + count + length - GRAM] - total[at]) * back[at]
         own = (own ^ own >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64)
     text = np.searchsorted(offsets, at, "right") - 1
-    return least[at], (own >> np.uint64(32)).astype(np.uint32).view(np.int32), text, at - offsets[text], count
+    return least[at], own.view(np.int64), text, at - offsets[text], count
 
 
 def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +198,9 @@ def deep_shallow(data: bytes, starts: np.ndarray, length: int = LENGTH) -> list[
 
 
 def _all_segments(docs: DataFrame, length: int) -> DataFrame:
-    """``(h, ka, id, far)`` of every segment: least hash; hash of the bytes over the low half of ``at``, which is
-    start * 128 + number of starts; document; high half of ``at``. Few wide columns, as this is what is shuffled most."""
+    """``(h, ka, id, far)`` of every segment: least hash; high half of the bytes' 64-bit hash over the low half of ``at``,
+    which is start * 128 + number of starts; document; low half of the bytes' hash over the high half of ``at``. Few wide
+    columns, as this is what is shuffled most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -211,7 +212,7 @@ def _all_segments(docs: DataFrame, length: int) -> DataFrame:
                 at = end
                 h, k, text, start, count = segments(*_binary(b.column(1)), length)
                 ids = np.asarray(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64) << 32 | ((start << 7 | count) & 0xFFFFFFFF)), pa.array(ids[text]), pa.array(start >> 25)], ["h", "ka", "id", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k & ~0xFFFFFFFF | ((start << 7 | count) & 0xFFFFFFFF)), pa.array(ids[text]), pa.array(k << 32 | start >> 25)], ["h", "ka", "id", "far"])
 
     return docs.mapInArrow(run, "h bigint, ka bigint, id bigint, far bigint")
 
@@ -229,9 +230,9 @@ def _segment_bytes(texts: DataFrame, length: int) -> DataFrame:
                         found[h, k] = key, data[at >> 7 : (at >> 7) + (at & 127) + length - 1]
             hs, ks = zip(*found) if found else ((), ())
             ids, segs = zip(*found.values()) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.int32()), pa.array(ids, pa.int64()), pa.array(segs, pa.binary())], ["h", "k", "id", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.int64()), pa.array(ids, pa.int64()), pa.array(segs, pa.binary())], ["h", "k", "id", "seg"])
 
-    return texts.mapInArrow(run, "h bigint, k int, id bigint, seg binary")
+    return texts.mapInArrow(run, "h bigint, k bigint, id bigint, seg binary")
 
 
 def _owners(segs: DataFrame, length: int) -> DataFrame:
@@ -259,7 +260,7 @@ def _owners(segs: DataFrame, length: int) -> DataFrame:
 
         def batch(rows) -> pa.RecordBatch:
             cols = list(zip(*solve(rows))) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["h", "k", "low", "high", "owner"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["h", "k", "low", "high", "owner"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
@@ -271,7 +272,7 @@ def _owners(segs: DataFrame, length: int) -> DataFrame:
                 held.append(r)
         yield batch(held)
 
-    return segs.mapInArrow(run, "h bigint, k int, low bigint, high bigint, owner bigint")
+    return segs.mapInArrow(run, "h bigint, k bigint, low bigint, high bigint, owner bigint")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -283,7 +284,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession, 5000)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_col, "UTF-8").alias("data"))
     by_hash = W.partitionBy("h")  # memory is bounded: a window's group spills
-    k = F.shiftright("ka", 32).cast("int")
+    k = F.col("ka").bitwiseAND(~0xFFFFFFFF).bitwiseOR(F.shiftrightunsigned("far", 32))
     at = F.col("ka").bitwiseAND(0xFFFFFFFF).bitwiseOR(F.shiftleft("far", 32)).alias("at")
     seen = _all_segments(own.filter(F.col("id").isNotNull() & (F.length("data") >= length)), length)
     seen = seen.withColumns({"low": F.min("id").over(by_hash), "high": F.max("id").over(by_hash), "one": F.min(k).over(by_hash) == F.max(k).over(by_hash)})

@@ -52,6 +52,26 @@ def test_suffix_against_brute_force(spark, docs, empty):
     assert suffix.remove_repeats(empty).count() == 0 and suffix.remove_repeats(docs).count() == len(ROWS)
 
 
+def test_suffix_tells_segments_of_one_hash_apart(spark):
+    """Segments under one least hash whose bytes' hashes agree in 32 bits, with one that agrees in none."""
+    rng = np.random.default_rng(1)
+    grams = rng.integers(97, 123, (100_000, suffix.GRAM)).astype(np.uint8)
+    gram = min(map(bytes, grams), key=lambda g: suffix.gram_hashes(np.frombuffer(g, np.uint8))[0])
+    n, side = 300_000, (suffix.LENGTH - suffix.GRAM) // 2
+    texts = rng.integers(97, 123, (n, suffix.LENGTH)).astype(np.uint8)
+    texts[:, side:-side] = np.frombuffer(gram, np.uint8)
+    h, k, text, _, _ = suffix.segments(texts.reshape(-1), np.arange(n + 1) * suffix.LENGTH)
+    own = h == suffix.gram_hashes(np.frombuffer(gram, np.uint8))[0]
+    top, text = (k[own] if k.dtype == np.int32 else k[own] >> 32), text[own]
+    order = np.argsort(top, kind="stable")
+    at = np.flatnonzero(top[order][1:] == top[order][:-1])
+    rows = [bytes(texts[text[0]]).decode()] + [bytes(texts[text[order[i + d]]]).decode() for i in at for d in (0, 1)]
+    assert len(rows) >= 5 and len(set(rows)) == len(rows)
+    rows = list(enumerate(rows + rows[-1:]))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == suffix.brute_force(rows)
+
+
 def test_deep_shallow_order():
     rng = random.Random(1)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) * 2
