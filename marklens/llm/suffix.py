@@ -27,6 +27,7 @@ NO_ID = -(1 << 63)
 RUN = 64  # starts of one segment at most
 SHALLOW = 16  # bytes that multikey quicksort looks at
 SMALL = 12
+CROWD = 20_000  # occurrences of one least hash beyond which its strings are grouped by Spark, not sorted in one task
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -275,6 +276,15 @@ def _owners(segs: DataFrame, length: int) -> DataFrame:
     return segs.mapInArrow(run, "h bigint, k bigint, low bigint, high bigint, owner bigint")
 
 
+def _crowd_owners(segs: DataFrame, length: int) -> DataFrame:
+    """As ``_owners``, start by start, for hashes of very many segments: equal strings meet by an exchange that spills."""
+    distinct = segs.groupBy("h", "k").agg(F.min("id").alias("id"), F.first("seg").alias("seg"))
+    each = distinct.select("h", "k", "id", "seg", F.explode(F.sequence(F.lit(0), F.length("seg") - length)).alias("low"))
+    each = each.select("h", "k", "id", F.col("low").cast("long").alias("low"), F.substring("seg", F.col("low") + 1, F.lit(length)).alias("own"))
+    first = each.groupBy("h", "own").agg(F.min("id").alias("owner"))
+    return each.join(first, ["h", "own"]).select("h", "k", "low", F.col("low").alias("high"), "owner")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``(id, spans)``: per document that loses something, its maximal byte runs ``[s, e)`` to remove, in order.
 
@@ -292,9 +302,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start, count = F.shiftright("at", 7), F.col("at").bitwiseAND(127)
     equal = shared.filter("h IS NULL").select("id", start.alias("s"), (start + count + length - 1).alias("e"))
     mixed = shared.filter("h IS NOT NULL")
-    wanted = mixed.groupBy(F.col("id").alias("w_id")).agg(F.collect_list(F.struct("h", "k", "at")).alias("xs"))
-    texts = _dealt(docs, id_col, text_col).join(wanted, F.col("key") == F.col("w_id")).select("key", "data", "xs")
-    owners = _owners(_segment_bytes(texts, length).repartition("h").sortWithinPartitions("h", "k", "id"), length)
+    crowds = write_table(mixed.groupBy("h").count().filter(F.col("count") > CROWD).select("h"), "crowds")
+
+    def bytes_of(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy(F.col("id").alias("w_id")).agg(F.collect_list(F.struct("h", "k", "at")).alias("xs"))
+        return _segment_bytes(_dealt(docs, id_col, text_col).join(wanted, F.col("key") == F.col("w_id")).select("key", "data", "xs"), length)
+
+    if crowds.isEmpty():
+        owners = _owners(bytes_of(mixed).repartition("h").sortWithinPartitions("h", "k", "id"), length)
+    else:
+        owners = _owners(bytes_of(mixed.join(crowds, "h", "left_anti")).repartition("h").sortWithinPartitions("h", "k", "id"), length)
+        owners = owners.union(_crowd_owners(bytes_of(mixed.join(crowds, "h", "left_semi")), length))
     # a passage of many documents is hot on the left, where AQE can split it; the right has a few rows a segment
     cut = mixed.join(owners, ["h", "k"]).filter("owner < id")
     pieces = equal.union(cut.select("id", start + F.col("low"), start + F.col("high") + length))

@@ -72,6 +72,18 @@ def test_suffix_tells_segments_of_one_hash_apart(spark):
     assert sorted(map(tuple, got)) == suffix.brute_force(rows)
 
 
+def test_suffix_crowded_hash(spark, monkeypatch):
+    """One phrase with differing neighbours in all texts: its segments don't meet in one task's list."""
+    monkeypatch.setattr(suffix, "CROWD", 5, raising=False)
+    rng, sizes, owners = random.Random(8), [], suffix._owners
+    monkeypatch.setattr(suffix, "_owners", lambda segs, length: sizes.append(segs.groupBy("h").count().agg(F.max("count")).first()[0] or 0) or owners(segs, length))
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows = [(i, word(40) + "qqq licence, see the file zzz" + word(3) + "x" * rng.randrange(30)) for i in range(60)]
+    rows += [(60 + i, "left " * 9 + word(1) + "qqq licence, see the file zzz" + word(2) + " and right" * 4) for i in range(20)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == suffix.brute_force(rows) and max(sizes) <= 5
+
+
 def test_deep_shallow_order():
     rng = random.Random(1)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) * 2
