@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches, new_path
 
 END_ID = 2
+LONG_SPACE = 100_000  # white space that tiktoken's split, which backtracks over it, isn't given; it fails at some million
 _ENCODERS: dict = {}
 
 
@@ -27,7 +29,8 @@ def vocabulary_path(name: str) -> str:
 def byte_bpe(path: str):
     """``text -> list of ids`` for a byte-level BPE vocabulary file (``.json``), strings of special tokens as ordinary text.
 
-    The ranks are read from the file, so the ids are those of its own library; tiktoken only runs the merges.
+    The ranks are read from the file, so the ids are those of its own library; tiktoken only runs the
+    merges. Texts with very long white space go to the file's own library.
     """
     if path not in _ENCODERS:
         import tiktoken
@@ -40,7 +43,20 @@ def byte_bpe(path: str):
         ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         # fixed value: the split pattern of this vocabulary
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _ENCODERS[path] = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        short = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        space, library = re.compile(r"\s{%d}" % LONG_SPACE), []
+
+        def encode(text: str) -> list[int]:
+            if len(text) < LONG_SPACE or not space.search(text):
+                return short(text)
+            if not library:
+                from tokenizers import Tokenizer
+
+                library.append(Tokenizer.from_file(path))
+                library[0].encode_special_tokens = True
+            return library[0].encode(text, add_special_tokens=False).ids
+
+        _ENCODERS[path] = encode
     return _ENCODERS[path]
 
 

@@ -140,6 +140,15 @@ def test_tokenizer_equals_the_library():
         assert tokens.byte_bpe(path)(x) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_tokenizer_on_very_long_white_space():
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for x in [" " * 2_000_000 + "a", "b" + "\n \t" * 50_000 + "c", " " * 99_999 + "a"]:
+        assert tokens.byte_bpe(path)(x) == t.encode(x, add_special_tokens=False).ids
+
+
 def test_feistel_and_shards(spark, docs, tmp_path):
     for n in (1, 2, 7, 1000):
         assert sorted(tokens.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
