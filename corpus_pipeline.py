@@ -37,13 +37,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A cut through a character leaves out the rest of it. Documents stay, if only with an empty text.
     """
-    spans = suffix.repeated_spans(docs).withColumnRenamed("id", "s_id")
-    out = docs.join(spans, F.col("doc_id") == F.col("s_id"), "left")
-    kept = suffix.kept_bytes(F.encode("text", "UTF-8"), F.col("spans"))
-    clean = F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "\ufffd", "")
-    cut = F.col("spans").isNotNull()
-    out = out.withColumn("clean", F.when(cut, clean))
-    return out.select("doc_id", F.when(cut, F.col("clean")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    own = docs.withColumn("no_text", F.col("text").isNull())
+    out = suffix.remove_repeats(own, carry=("lang", "source", "n_chars", "no_text"), whole_characters=True)
+    text = F.when(~F.col("no_text"), F.col("kept").cast("string"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

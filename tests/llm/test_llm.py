@@ -73,15 +73,39 @@ def test_suffix_tells_segments_of_one_hash_apart(spark):
 
 
 def test_suffix_crowded_hash(spark, monkeypatch):
-    """One phrase with differing neighbours in all texts: its segments don't meet in one task's list."""
-    monkeypatch.setattr(suffix, "CROWD", 5, raising=False)
-    rng, sizes, owners = random.Random(8), [], suffix._owners
-    monkeypatch.setattr(suffix, "_owners", lambda segs, length: sizes.append(segs.groupBy("h").count().agg(F.max("count")).first()[0] or 0) or owners(segs, length))
+    """One phrase with differing neighbours in all texts: its segments don't meet under one key."""
+    rng = random.Random(8)
     word = lambda n: "".join(rng.choice("ab") for _ in range(n))
     rows = [(i, word(40) + "qqq licence, see the file zzz" + word(3) + "x" * rng.randrange(30)) for i in range(60)]
     rows += [(60 + i, "left " * 9 + word(1) + "qqq licence, see the file zzz" + word(2) + " and right" * 4) for i in range(20)]
-    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
-    assert sorted(map(tuple, got)) == suffix.brute_force(rows) and max(sizes) <= 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    most = {}
+    for crowd in (5, 10_000):
+        monkeypatch.setattr(suffix, "CROWD", crowd)
+        got = suffix.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+        assert sorted(map(tuple, got)) == suffix.brute_force(rows)
+        chunks = suffix._chunks(df.select("doc_id", F.encode("text", "UTF-8").alias("data")), 500)
+        states = suffix._by_bucket(suffix._hash_blobs(chunks, 40, 4, 50), 4, 4, lambda blobs, crowd=crowd: suffix._shared(blobs, crowd))
+        sent = suffix._with_chunks(chunks, states, suffix._segment_blobs(40, 4, 50), "bucket int, chunk bigint, blob binary").collect()
+        met = {}
+        for r in sent:
+            d, count, _, _, _, text = suffix._unpack(r.blob, "<u8", "u1", "<u4", "<i8", "<u4", "u1")
+            ends = np.cumsum(count.astype(int) + 49)
+            for key, a, z in zip(np.cumsum(d), ends - count - 49, ends):
+                met.setdefault(int(key), set()).add(bytes(text[a:z]))
+        most[crowd] = max(map(len, met.values()))
+    assert most[5] <= 5 < most[10_000]
+
+
+def test_suffix_characters_and_carried_columns(spark):
+    """Whole characters go, a replacement character of the text stays, other columns travel whatever their names."""
+    long = "é\ufffd" * 30
+    rows = [(1, "x" + long, 1, "a"), (2, long + "y", 2, None), (2, long + "y", 3, "c"), (None, long, 4, "d"), (3, None, 5, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, `a.b` string")
+    out = suffix.remove_repeats(df, carry=("n", "a.b"), whole_characters=True)
+    got = {r.n: r for r in out.collect()}
+    assert {n: r.kept.decode() for n, r in got.items()} == {1: "x" + long, 2: "y", 3: "y", 4: long, 5: ""}
+    assert got[4].doc_id is None and got[5].n_bytes == 0 and got[2]["a.b"] is None and got[3]["a.b"] == "c"
 
 
 def test_deep_shallow_order():
