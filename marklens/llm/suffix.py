@@ -254,7 +254,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _chunk_bytes(total: int, parts: int) -> int:
-    return min(8 << 20, max(1 << 16, total // (8 * parts)))
+    return min(8 << 20, max(1 << 17, total // (8 * parts)))
 
 
 def _chunks(rows: DataFrame, size: int) -> DataFrame:
