@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, new_path
+from .storage import bounded_batches, drop_table, new_path, write_table
 
 END_ID = 2
 LONG_SPACE = 100_000  # white space that tiktoken's split, which backtracks over it, isn't given; it fails at some million
@@ -27,33 +28,32 @@ def vocabulary_path(name: str) -> str:
 
 
 def byte_bpe(path: str):
-    """``text -> list of ids`` for a byte-level BPE vocabulary file (``.json``), strings of special tokens as ordinary text.
+    """``text -> list of ids`` for a byte-level BPE vocabulary file (``.json``), as its own library gives with ``add_special_tokens=False``.
 
-    The ranks are read from the file, so the ids are those of its own library; tiktoken only runs the
-    merges. Texts with very long white space go to the file's own library.
+    The ranks are read from the file and tiktoken runs the merges. Texts that hold one of the vocabulary's added
+    tokens, such as ``<|endoftext|>``, or very long white space go to the file's own library.
     """
     if path not in _ENCODERS:
         import tiktoken
 
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = [t["content"] for t in spec.get("added_tokens", [])]
         # fixed values: the printable stand-ins that byte-level vocabularies use for bytes
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-        ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+        ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
         # fixed value: the split pattern of this vocabulary
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         short = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         space, library = re.compile(r"\s{%d}" % LONG_SPACE), []
 
         def encode(text: str) -> list[int]:
-            if len(text) < LONG_SPACE or not space.search(text):
+            if not any(x in text for x in added) and (len(text) < LONG_SPACE or not space.search(text)):
                 return short(text)
             if not library:
                 from tokenizers import Tokenizer
 
                 library.append(Tokenizer.from_file(path))
-                library[0].encode_special_tokens = True
             return library[0].encode(text, add_special_tokens=False).ids
 
         _ENCODERS[path] = encode
@@ -92,9 +92,9 @@ def feistel(index: np.ndarray, domain: int, key: int, rounds: int = 6) -> np.nda
 # --- shards -------------------------------------------------------------------------------------
 
 SEQUENCE = 1024  # tokens of a record
-PER_TASK = 1 << 20  # sequences one input partition may hold in the index domain
+NO_ID = -(1 << 63)  # stands for a null id
 HEADER = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<u2")])
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = (8 << 20, 64 << 20)  # of one shard, least and most; between them it follows the size of all
 
 
 def record_type(length: int = SEQUENCE) -> np.dtype:
@@ -102,25 +102,24 @@ def record_type(length: int = SEQUENCE) -> np.dtype:
     return np.dtype([("head", HEADER), ("ids", "<u2", (length,)), ("end", "u1")])
 
 
-def sequences(docs: DataFrame, tokenizer: str, domain: int, key: int, shards: int, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(shard, walk, record)``: each input partition's documents as one token stream, each closed by the
-    end id, cut every ``length`` ids. Record k of partition p has index p * PER_TASK + k, which the keyed
-    permutation of ``domain`` sends to ``walk``; equal ranges of walk are shards."""
+def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(part, k, record, held)``: each input partition's documents as one token stream, each closed by the
+    end id, cut every ``length`` ids; ``held`` lists the documents that begin in the record, ``(doc_id, offset, n)``.
+
+    Null or empty text: its end id alone. A null id stays null in ``held``; ids are whole numbers, others raise.
+    Repeated rows are written each; an empty table gives no rows. Only the two named columns are read.
+    """
     bounded_batches(docs.sparkSession)
     rec = record_type(length)
+    pair = pa.struct([("doc_id", pa.int64()), ("offset", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer)
-        task = TaskContext.get().partitionId()
-        done = 0
-        ids = np.empty(0, np.uint16)
-        owner = np.empty(0, np.int64)
-        offset = np.empty(0, np.int32)
+        part, done = TaskContext.get().partitionId(), 0
+        ids, owner, offset, begun = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int32), []
 
         def flush(n: int) -> pa.RecordBatch:
-            nonlocal ids, owner, offset, done
-            if done + n > PER_TASK or (task + 1) * PER_TASK > domain:
-                raise ValueError("the input has more partitions or sequences than the index domain")
+            nonlocal ids, owner, offset, begun, done
             out = np.zeros(n, rec)
             full = min(len(ids), n * length)
             padded = np.zeros(n * length, np.uint16)
@@ -129,21 +128,26 @@ def sequences(docs: DataFrame, tokenizer: str, domain: int, key: int, shards: in
             first = np.arange(n) * length
             out["head"]["doc_id"], out["head"]["start"] = owner[first], offset[first]
             out["head"]["n"] = np.minimum(length, len(ids) - first)
-            out["end"] = 10
-            walk = feistel(np.arange(done, done + n, dtype=np.uint64) + np.uint64(task * PER_TASK), domain, key)
-            ids, owner, offset, done = ids[full:], owner[full:], offset[full:], done + n
-            shard = (walk.astype(object) * shards // domain).astype(np.int32) if domain > (1 << 40) else (walk * np.uint64(shards) // np.uint64(domain)).astype(np.int32)
-            data = out.tobytes()
-            size = rec.itemsize - 1  # the writer adds the line end itself
-            rows = [data[i * rec.itemsize : i * rec.itemsize + size] for i in range(n)]
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(walk.astype(np.int64)), pa.array(rows, pa.binary())], ["shard", "walk", "record"])
+            data, size = out.tobytes(), rec.itemsize
+            rows = [data[i * size : (i + 1) * size - 1] for i in range(n)]  # the writer adds the line end itself
+            held = [[] for _ in range(n)]
+            for d, at, m in begun:
+                if at < full:
+                    held[at // length].append((d, at % length, m))
+            begun = [(d, at - full, m) for d, at, m in begun if at >= full]
+            ids, owner, offset = ids[full:], owner[full:], offset[full:]
+            done += n
+            k = np.arange(done - n, done)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(k), pa.array(rows, pa.binary()), pa.array(held, pa.list_(pair))], ["part", "k", "record", "held"])
 
         for b in batches:
-            parts, own, off = [ids], [owner], [offset]
+            parts, own, off, size = [ids], [owner], [offset], len(ids)
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 e = np.array([*encode(t or ""), END_ID], np.uint16)
+                begun.append((d, size, len(e)))
+                size += len(e)
                 parts.append(e)
-                own.append(np.full(len(e), -1 if d is None else d, np.int64))
+                own.append(np.full(len(e), NO_ID if d is None else d, np.int64))
                 off.append(np.arange(len(e), dtype=np.int32))
             ids, owner, offset = np.concatenate(parts), np.concatenate(own), np.concatenate(off)
             if n := len(ids) // length:
@@ -152,61 +156,81 @@ def sequences(docs: DataFrame, tokenizer: str, domain: int, key: int, shards: in
             yield flush(1)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "shard int, walk bigint, record binary")
+    return own.mapInArrow(run, "part int, k bigint, record binary, held array<struct<doc_id:bigint,offset:int,n:bigint>>")
 
 
-def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Write all sequences in training order as ``path/shard=K/part-*``: fixed-stride records sorted by
-    their permuted index. One exchange; Spark's commit protocol makes the files appear once and whole.
+def _before(counts: DataFrame) -> DataFrame:
+    """``(part, before)``: how many records the partitions before have; two levels, so no task ranks all partitions."""
+    blocks = counts.withColumn("block", F.shiftright("part", 10))
+    whole = blocks.groupBy("block").agg(F.sum("n").alias("all"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    whole = whole.select("block", earlier("all", W.orderBy("block")).alias("base"))
+    return blocks.join(whole, "block").select("part", (F.col("base") + earlier("n", W.partitionBy("block").orderBy("part"))).alias("before"))
 
-    The number of shards follows the bytes of the texts, so a shard stays near ``SHARD_BYTES``. Null or
-    empty text: its end id alone. Returns the number of shards.
-    """
-    size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 8)).first()[0] or 0
-    shards = max(1, round(size / SHARD_BYTES))
-    domain = PER_TASK * max(64, 1 << (2 * size // (1 << 20)).bit_length())
-    seqs = sequences(docs, tokenizer, domain, key, shards, length, id_col, text_col)
-    # a binary value cast to string keeps its bytes; the text writer adds one line end, part of the stride
-    rows = seqs.repartition(max(1, min(shards, 20_000)), "shard").sortWithinPartitions("shard", "walk")
-    rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
-    return shards
 
+def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write all sequences in training order as ``path/shards/shard=K/part-*``: fixed-stride records in order of slot.
 
-def manifest(spark: SparkSession, path: str, length: int = SEQUENCE) -> DataFrame:
-    """``(shard, path, records, first_slot)``: from the files' sizes alone; slots count on from shard to shard."""
-    stride = record_type(length).itemsize
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("int").alias("shard"), "path", (F.col("length") / stride).cast("long").alias("records"))
-    from pyspark.sql import Window as W
+    The records are written once and counted; record i of all n gets slot ``feistel(i, n)``, a keyed bijection of 0..n-1, so the
+    permuted index is the slot and shard K holds slots K * R to K * R + R - 1. One exchange; Spark's commit protocol
+    makes the files appear once and whole. ``path/layout`` holds n, R and the length; the result, at ``path/documents``, is
+    ``(doc_id, slot, offset, n)``: where each document begins and how many ids it has.
+    Nulls, repeats, empty tables: as ``sequences``.
+    """
+    spark = docs.sparkSession
+    rows = write_table(sequences(docs, tokenizer, length, id_col, text_col), "records")
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    stride, parts = record_type(length).itemsize, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_shard = min(SHARD_BYTES[1], max(SHARD_BYTES[0], total * stride // (8 * parts))) // stride
+
+    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = feistel(np.asarray(b.column(0)).astype(np.uint64), total, key).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[1:]], ["slot", *b.schema.names[1:]])
 
-    before = F.sum("records").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # one row per shard
-    return files.withColumn("first_slot", F.coalesce(before, F.lit(0)))
+    at = rows.join(_before(counts).withColumnRenamed("part", "p"), F.col("part") == F.col("p")).withColumn("index", F.col("before") + F.col("k"))
+    records = at.select("index", "record").mapInArrow(permute, "slot bigint, record binary").withColumn("shard", F.expr(f"slot div {per_shard}"))
+    shards = max(1, -(-total // per_shard))
+    # a binary value cast to string keeps its bytes; the text writer adds one line end, part of the stride
+    dealt = records.repartitionById(min(shards, 8 * parts), F.pmod("shard", F.lit(min(shards, 8 * parts))).cast("int")).sortWithinPartitions("shard", "slot")
+    dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/shards")
+    held = at.filter(F.size("held") > 0).select("index", "held").mapInArrow(permute, "slot bigint, held array<struct<doc_id:bigint,offset:int,n:bigint>>")
+    held.select("slot", F.explode("held").alias("x")).select("x.doc_id", "slot", "x.offset", "x.n").write.parquet(f"{path}/documents")
+    spark.range(1).select(F.lit(total).alias("records"), F.lit(per_shard).alias("per_shard"), F.lit(length).alias("length")).write.parquet(f"{path}/layout")
+    drop_table(rows)
+    return spark.read.schema("doc_id long, slot long, offset int, n long").parquet(f"{path}/documents")
 
 
-def read_shards(spark: SparkSession, path: str, length: int = SEQUENCE, from_slot: int = 0) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
     """Records in training order from ``from_slot`` on: ``(slot, shard, position, doc_id, start, n_tokens, ids)``.
 
-    A reader that stopped at a slot resumes there: earlier shards are not opened and earlier records skipped by stride.
+    A reader that stopped at a slot resumes there: earlier shards are not opened, and in its own shard, which is read whole (``SHARD_BYTES``
+    at most), records are skipped by stride. ``doc_id`` and ``start`` tell the document that a record begins in. A path
+    without records gives no rows.
     """
+    total, per_shard, length = spark.read.parquet(f"{path}/layout").first()
     rec = record_type(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, first, content in zip(*(b.column(i).to_pylist() for i in range(3))):
-                a = np.frombuffer(content, rec)[max(0, from_slot - first) :]
-                skipped = max(0, from_slot - first)
-                for at in range(0, len(a), 2000):
-                    c = a[at : at + 2000]
-                    pos = np.arange(skipped + at, skipped + at + len(c))
-                    n = c["head"]["n"].astype(np.int64)
+            for shard, content in zip(b.column(0).to_pylist(), b.column(1)):
+                data = np.frombuffer(content.as_buffer(), rec)
+                for at in range(max(0, from_slot - shard * per_shard), len(data), 2000):
+                    c = data[at : at + 2000]
+                    pos = np.arange(at, at + len(c))
+                    n, doc = c["head"]["n"].astype(np.int64), c["head"]["doc_id"].astype(np.int64)
                     ids = [row[:k].tobytes() for row, k in zip(c["ids"], n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(pos + first), pa.array(np.full(len(c), shard, np.int32)), pa.array(pos), pa.array(c["head"]["doc_id"].astype(np.int64)), pa.array(c["head"]["start"].astype(np.int64)), pa.array(n), pa.array(ids, pa.binary())], ["slot", "shard", "position", "doc_id", "start", "n_tokens", "ids"])
-
-    m = manifest(spark, path, length).filter(F.col("first_slot") + F.col("records") > from_slot).select("path", "shard", "first_slot")
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    own = data.join(m, "path").select("shard", "first_slot", "content")
+                    cols = [pa.array(pos + shard * per_shard), pa.array(np.full(len(c), shard)), pa.array(pos), pa.array(doc, mask=doc == NO_ID), pa.array(c["head"]["start"].astype(np.int64)), pa.array(n), pa.array(ids, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "position", "doc_id", "start", "n_tokens", "ids"])
+
+    schema = "slot bigint, shard bigint, position bigint, doc_id bigint, start bigint, n_tokens bigint, ids binary"
+    if not total:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
+    own = files.filter(F.col("shard") >= from_slot // per_shard).select(F.col("shard").cast("long"), "content")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return own.mapInArrow(run, "slot bigint, shard int, position bigint, doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return own.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
