@@ -1,8 +1,8 @@
-"""Toxicity by a factorization machine over chosen terms, known by 64-bit hashes."""
+"""Toxicity by a factorization machine over the terms of a labelled sample, known by 64-bit hashes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, write_table
+from .storage import bounded_batches
 
 FACTORS = 4
 MAX_ROWS = 20_000  # labelled rows to fit on at most: the documented bound of the sample
-EPOCHS = 20
+STEPS, EARLY = 2000, 400  # mini-batches to fit on, and those after which terms that stand at zero leave
+BATCH = 128
+SPARSE = 3e-4  # pull towards zero of a weight, and of a term's factors as a whole
 PREFIX = 5  # bytes of a word that form a term of their own, for families of forms
-MIN_CHI2 = 15.0  # a term enters the machine if its chi-square against the labels is this large
+MIN_ROWS = 3  # a term enters the machine if so many labelled rows have it, whatever their labels: pairs may matter where a term alone doesn't
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_/\\`~"
 
 
@@ -34,7 +36,8 @@ class FactorizationMachine:
     """logit(x) = bias + sum of weights + pairwise interactions as products of factors; AdaGrad on mini-batches.
 
     A term counts 1 in the weights and 1/sqrt(number of terms) in the interactions, so long texts
-    don't drown in pairs.
+    don't drown in pairs. Every term may enter, however little it tells alone. What the labels don't bear out goes to zero:
+    weights one by one, a term's factors together, so chance terms of long texts add nothing and pairs that matter keep theirs.
     """
 
     def __init__(self, hashes: np.ndarray, factors: int = FACTORS, seed: int = 7):
@@ -42,7 +45,7 @@ class FactorizationMachine:
         self.hashes = np.unique(hashes).astype(np.int64)
         self.bias = 0.0
         self.weight = np.zeros(len(self.hashes), np.float32)
-        self.factor = rng.normal(0, 0.02, (len(self.hashes), factors)).astype(np.float32)
+        self.factor = rng.normal(0, 0.1, (len(self.hashes), factors)).astype(np.float32)
 
     def places(self, found: np.ndarray) -> np.ndarray:
         """Places among the machine's terms of those of ``found`` that are among them."""
@@ -76,13 +79,24 @@ class FactorizationMachine:
         line[full] = np.add.reduceat(self.weight[ids], starts)
         return out + line + 0.5 * ((total * total).sum(1) - square), scale, vx, total
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-        rng = np.random.default_rng(seed)
-        gw, gv, gb = np.full_like(self.weight, 1e-4), np.full_like(self.factor, 1e-4), 1e-4
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(order), 128):
-                pick = order[at : at + 128]
+    def prune(self) -> None:
+        """Leave out terms that bear on no score."""
+        live = (self.weight != 0) | (self.factor != 0).any(1)
+        self.hashes, self.weight, self.factor = self.hashes[live], self.weight[live], self.factor[live]
+
+    def fit(self, found: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, early: int = EARLY, seed: int = 7) -> FactorizationMachine:
+        """Fit on rows of term hashes: whole passes, at least ``early`` mini-batches before and ``steps`` after terms at zero leave."""
+        rng, per_pass = np.random.default_rng(seed), max(1, -(-len(found) // BATCH))
+        for passes in (-(-early // per_pass), max(1, -(-(steps - early) // per_pass))):
+            self._passes([self.places(t) for t in found], labels, passes, rng)
+            self.prune()
+        return self
+
+    def _passes(self, rows: list[np.ndarray], labels: np.ndarray, passes: int, rng: np.random.Generator, rate: float = 0.2, rate_factors: float = 0.3) -> None:
+        gw, gv, gb = np.full_like(self.weight, 1e-4), np.full_like(self.weight, 1e-4), 1e-4
+        for order in (rng.permutation(len(rows)) for _ in range(passes)):
+            for at in range(0, len(order), BATCH):
+                pick = order[at : at + BATCH]
                 ids, row, starts, full = self._flat([rows[i] for i in pick])
                 z, scale, vx, total = self._forward(ids, row, starts, full, len(pick))
                 err = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - labels[pick]) / len(pick)
@@ -93,69 +107,78 @@ class FactorizationMachine:
                     continue
                 own, back = np.unique(ids, return_inverse=True)
                 e = err[row].astype(np.float32)
-                w = np.bincount(back, e, len(own)).astype(np.float32) + decay * self.weight[own]
+                w = np.bincount(back, e, len(own)).astype(np.float32)
                 gw[own] += w * w
-                self.weight[own] -= rate * w / np.sqrt(gw[own])
+                step = rate / np.sqrt(gw[own])
+                new = self.weight[own] - step * w
+                self.weight[own] = np.sign(new) * np.maximum(np.abs(new) - step * SPARSE, 0)
                 d = (e * scale[row])[:, None] * (total[row] - vx)
-                v = np.stack([np.bincount(back, d[:, k], len(own)) for k in range(d.shape[1])], 1).astype(np.float32) + decay * self.factor[own]
-                gv[own] += v * v
-                self.factor[own] -= 0.5 * rate * v / np.sqrt(gv[own])
-        return self
+                v = np.stack([np.bincount(back, d[:, k], len(own)) for k in range(d.shape[1])], 1).astype(np.float32)
+                gv[own] += (v * v).mean(1)
+                step = (rate_factors / np.sqrt(gv[own]))[:, None]
+                new = self.factor[own] - step * v
+                self.factor[own] = new * np.maximum(0, 1 - step * SPARSE / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> FactorizationMachine:
     """Fit on the labelled rows whose crc32(id as text) mod 5 isn't 0: all of them, or the ``max_rows`` first by a
-    hash of the id. Executors turn texts to hashed terms and count them; the terms of three rows or more whose
-    presence and label are dependent are chosen, and only those, by their places, and the labels of the bounded sample
-    come to the driver. Without usable labels every score is 0.5."""
+    hash of the id. Executors turn texts to hashed terms; one task fits on the bounded sample, and only its model comes
+    to the driver.
+
+    Null labels are left out; of repeated labels the larger counts. Repeated documents count each, null or empty texts as rows without terms.
+    Without usable labels every score is 0.27, so nothing counts as toxic. Other columns aren't read.
+    """
     bounded_batches(docs.sparkSession)
     train = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(id_col, label_col)
-    # one label a document: repeated labels agree, or the larger counts
     train = train.groupBy(F.col(id_col).alias("t_id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("t_id"), "t_id").limit(max_rows)
     # max_rows rows of 12 bytes at most: a proven bound
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(train), F.col("id") == F.col("t_id"))
-    own = own.select("id", "label", F.encode("text", "UTF-8").alias("data"))
+    own = own.select(F.col("id").cast("string").alias("id"), "label", F.encode("text", "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(v.as_py() or b"") for v in b.column(2)], pa.list_(pa.int64()))], ["id", "label", "terms"])
-
-    typed = docs.schema[id_col].dataType.simpleString()
-    sample = write_table(own.mapInArrow(run, f"id {typed}, label int, terms array<bigint>"), "terms")
-    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("label") != 0).alias("c1")).filter("df >= 3")
-    e = F.col("df") * F.lit(n1 / max(n, 1))
-    off = (F.col("c1") - e) * (F.col("c1") - e)
-    chosen = counts.filter(F.try_divide(off, e) + F.try_divide(off, F.col("df") - e) >= MIN_CHI2).select("term").collect()
-    model = FactorizationMachine(np.array([r.term for r in chosen], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m.places(v.values.to_numpy()).tobytes() for v in b.column(2)], pa.binary())], ["id", "label", "places"])
-
-    rows = sorted(sample.mapInArrow(place, f"id {typed}, label int, places binary").collect(), key=lambda r: str(r.id))
-    return model.fit([np.frombuffer(r.places, np.int32) for r in rows], np.array([r.label for r in rows], np.float64))
-
-
-def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, held_out, score, predicted)`` of each whole text.
-
-    Null or empty text: the score of no terms. Repeated rows stay repeated; only the two named columns are read.
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(v.as_py() or b"").tobytes() for v in b.column(2)], pa.binary())], ["id", "label", "terms"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found = [np.frombuffer(t, np.int64) for _, _, t in rows]
+        held, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+        m = FactorizationMachine(held[n >= MIN_ROWS])
+        m.bias = 0.0 if rows else -1.0
+        m.fit(found, np.array([r[1] for r in rows], np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.hashes, m.weight, m.factor)] + [pa.array([m.bias])], ["hashes", "weight", "factor", "bias"])
+
+    sample = own.mapInArrow(run, "id string, label int, terms binary").repartition(1)
+    model, got = FactorizationMachine(np.empty(0, np.int64)), sample.mapInArrow(learn, "hashes binary, weight binary, factor binary, bias double").first()
+    if got is not None:
+        model.hashes, model.weight, model.bias = np.frombuffer(got.hashes, np.int64), np.frombuffer(got.weight, np.float32), got.bias
+        model.factor = np.frombuffer(got.factor, np.float32).reshape(len(model.hashes), -1 if len(model.hashes) else FACTORS)
+    return model
+
+
+def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, held_out, score, predicted, *carry)`` of each whole text.
+
+    Null or empty text: the score of no terms. Repeated rows stay repeated. Columns in ``carry`` travel with their row; others
+    aren't read, and none but the text bears on a score.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the chosen terms' hashes and FACTORS + 1 floats each
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms' hashes and FACTORS + 1 floats each
+    names = [f"x{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            z = m.logits([m.places(terms(v.as_py() or b"")) for v in b.column(1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [id_col, "score"])
-
-    own = docs.select(id_col, F.encode(text_col, "UTF-8").alias("__data"))
-    out = own.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
-    return out.select(id_col, (F.crc32(F.col(id_col).cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+            z = m.logits([m.places(terms(v or b"")) for v in b.column(1).cast(pa.binary()).to_pylist()])
+            rest = iter(b.columns[2:])
+            kept = [b.column(1) if c == text_col else next(rest) for c in carry]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60)))), *kept], ["id", "score", *names])
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("data"), *(F.col(f"`{c}`").alias(x) for c, x in zip(carry, names) if c != text_col))
+    types = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(carry, names))
+    out = own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, score double" + types)
+    out = out.select("id", (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *names)
+    return out.toDF(id_col, "held_out", "score", "predicted", *carry)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
