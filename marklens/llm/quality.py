@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,56 +42,64 @@ def measure(data: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
-def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)`` of each whole text."""
+def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, x0, x1...)`` of each whole text; x0, x1 are ``carry``."""
     bounded_batches(docs.sparkSession)
+    names = [f"x{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(v.as_py() or b"") for v in b.column(2)]
+            rows = [measure(v or b"") for v in b.column(2).cast(pa.binary()).to_pylist()]
             cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            rest = iter(b.columns[3:])
+            kept = [b.column(2) if c == text_col else next(rest) for c in carry]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, *kept], ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names])
 
-    typed = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.encode(text_col, "UTF-8").alias("data"))
-    out = own.mapInArrow(run, f"id {typed}, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
+    types = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(carry, names))
+    own = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("data"), *(F.col(f"`{c}`").alias(x) for c, x in zip(carry, names) if c != text_col))
+    out = own.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint" + types)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """``(host, n_docs, n_failed, shrunk_rate, host_rejected)``.
 
-    The beta prior is fitted to the hosts' own rates by the method of moments; with no spread between
-    hosts, or one host, it falls back to the corpus rate with the weight of two documents. One
-    grouped aggregate makes one row per host; the prior is one row.
+    The beta prior has the corpus rate; its weight comes from the hosts' spread around that rate, weighted by their
+    documents and less what sampling alone gives, so that hosts of few documents don't pass for different ones. If sampling explains
+    all spread, the prior weighs as much as all documents; with one host, two documents. One grouped aggregate makes one row per
+    host; the prior is one row.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"), (F.sum("n_failed") / F.sum("n_docs")).alias("r"))
-    usable = (F.col("v") > 0) & (F.col("m") > 0) & (F.col("m") < 1) & (F.col("m") * (1 - F.col("m")) > F.col("v"))
-    weight = F.when(usable, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(2.0))
-    prior = prior.select((F.when(usable, F.col("m")).otherwise(F.col("r")) * weight).alias("alpha"), weight.alias("weight"))
+    n, f = F.col("n_docs"), F.col("n_failed")
+    sums = hosts.agg(F.count("*").alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff"))
+    rate = F.col("f") / F.col("n")
+    spread = F.try_divide(F.col("ff") - F.col("f") * rate, rate * (1 - rate)) - (F.col("k") - 1)
+    share = F.try_divide(spread, F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1))  # of the variance, what isn't sampling
+    weight = F.when(F.col("k") < 2, F.lit(2.0)).when(share > 0, F.greatest(1 / share - 1, F.lit(0.0))).otherwise(F.col("n").cast("double"))
+    prior = sums.filter("n > 0").select((rate * weight).alias("alpha"), weight.alias("weight"))
     shrunk = (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("weight"))
     # the prior is one row, so this adds two constants to each host
     joined = hosts.join(F.broadcast(prior), F.lit(True), "left")
     return joined.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (F.round(shrunk, 9) > limit).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Rule results of every document with its host's verdict: ``kept`` is false if the document itself
-    fails the base rules or its host is rejected.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, carry: Sequence[str] = ()) -> DataFrame:
+    """Rule results of every document with its ``host`` and that host's verdict: ``kept`` is false if the document itself
+    fails the base rules or its host is rejected, which hangs on base failures alone.
 
     Null text: no words, so it fails. Null host: all such rows form one host. Repeated rows count and
-    return as often as they occur. Empty table: no rows. Only the three named columns are read.
+    return as often as they occur. Empty table: no rows. Columns in ``carry`` travel with their row; others are not read.
     """
-    measured = write_table(document_rules(docs, id_col, text_col, host_col), "rules")
+    measured = write_table(document_rules(docs, id_col, text_col, host_col, carry), "rules")
     verdicts = host_verdicts(measured, limit).withColumnRenamed("host", "v_host")
     out = measured.join(verdicts, F.col("host").eqNullSafe(F.col("v_host")), "left")
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "shrunk_rate")
+    names = [f"x{i}" for i in range(len(carry))]
+    out = out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "shrunk_rate", "host", *names)
+    return out.toDF(id_col, *out.columns[1:10], *carry)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("shrunk_rate")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("shrunk_rate", "host")
 
 
 SQL = r"""
@@ -107,10 +115,10 @@ m AS (SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length
   FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
-p AS (SELECT avg(f / n) AS mu, coalesce(var_pop(f / n), 0) AS va, sum(f) / sum(n) AS ra FROM h),
-q AS (SELECT CASE WHEN va > 0 AND mu > 0 AND mu < 1 AND mu * (1 - mu) > va THEN mu ELSE ra END AS mean,
-  CASE WHEN va > 0 AND mu > 0 AND mu < 1 AND mu * (1 - mu) > va THEN mu * (1 - mu) / va - 1 ELSE 2 END AS weight FROM p),
-v AS (SELECT source, round((f + mean * weight) / (n + weight), 9) > 0.5 AS bad FROM h, q)
+p AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS rate, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff FROM h),
+s AS (SELECT *, ((ff - f * rate) / nullif(rate * (1 - rate), 0) - (k - 1)) / nullif(n - nn / n - (k - 1), 0) AS share FROM p),
+q AS (SELECT rate, CASE WHEN k < 2 THEN 2.0 WHEN share > 0 THEN greatest(1 / share - 1, 0.0) ELSE n END AS weight FROM s),
+v AS (SELECT source, round((h.f + rate * weight) / (h.n + weight), 9) > 0.5 AS bad FROM h, q)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
