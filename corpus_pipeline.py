@@ -10,26 +10,24 @@ from marklens.llm import packing, quality, simhash, storage, suffix, tokens, tox
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ``ids(k_id)``; a null id counts as equal to itself."""
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine, fitted on the labels, scores below 0.5."""
+    """Documents that the factorization machine, fitted on the labels, scores below 0.5; each row on its own, so null and
+    repeated ids need nothing special."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return _keep(docs, scored.filter("predicted = 0").select(F.col("doc_id").alias("k_id")))
+    return toxicity.score(docs, model, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host isn't rejected."""
-    return _keep(docs, quality.judge(docs).filter("kept").select(F.col("doc_id").alias("k_id")))
+    """Documents that pass the rules and whose host isn't rejected; each row on its own."""
+    return quality.judge(docs, carry=["text", "lang", "n_chars"]).filter("kept").select("doc_id", "text", "lang", F.col("host").alias("source"), "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return _keep(docs, simhash.similar_groups(docs).filter("doc_id <=> component").select(F.col("doc_id").alias("k_id")))
+    """One document, the one with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Documents without words are one group. Repeated rows: one stays. A null id stays where its group has no other.
+    """
+    return simhash.keep_first(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

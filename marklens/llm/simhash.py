@@ -10,7 +10,7 @@ only add copies (about 680) that meet the same pairs again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, write_table
+from .storage import bounded_batches, drop_table, write_table
 
 SHINGLE = 3
 SEED = 42
@@ -40,19 +40,19 @@ def _shingles(data: bytes, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends - 1).tolist()[size - 1 :])), np.uint64, len(words) - size + 1)
 
 
-def _majority(h: np.ndarray) -> int:
-    """The fingerprint: each bit set in over half of the hashes."""
-    if not h.size:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(h), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+def _majority(h: np.ndarray) -> np.ndarray:
+    """For each column of hashes the fingerprint: a bit is set if it is in over half of the rows; no rows: 0."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for at in range(0, len(h), 1 << 13):
+        bits = np.unpackbits(np.ascontiguousarray(h[at : at + (1 << 13)]).view(np.uint8), axis=1, bitorder="little")
+        # eight bits' counters side by side in a word; 255 rows can't overflow one
+        part = np.add.reduceat(bits.view(np.uint64), np.arange(0, len(bits), 255), axis=0)
+        ones += part.view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    return _majority(_shingles((text or "").encode(), size))
+    return int(_majority(_shingles((text or "").encode(), size)[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([_majority(_shingles(v.as_py() or b"", size)) for v in b.column(1)], np.uint64).view(np.int64)
+            fp = np.array([_majority(_shingles(v.as_py() or b"", size)[:, None])[0] for v in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("data")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
@@ -127,29 +127,56 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return held.select("fps").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _contract(edges: DataFrame) -> DataFrame:
+    """The same components from fewer edges: in each partition every node links to the smallest one it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.get(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                root.setdefault(u, u)
+                root.setdefault(v, v)
+                x, y = find(u), find(v)
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        for at in range(0, len(nodes), 100_000):
+            own = nodes[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([find(x) for x in own], pa.int64())], ["u", "v"])
+
+    return edges.mapInArrow(run, "u bigint, v bigint").filter("u <> v")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: smallest node reachable, for all nodes of ``edges(a, b)``.
 
-    Alternating large-star and small-star rounds; each round's edges are a written table, and the
-    loop ends when a round changes nothing. Grouping only takes minima, so a node of many links
-    is combined before the exchange.
+    Alternating large-star and small-star rounds over what each partition leaves of its edges; each round's
+    edges are a written table, and the loop ends when a round changes nothing. Grouping only takes minima, so a
+    node of many links is combined before the exchange.
     """
-    e = write_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    e = write_table(_contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node's smaller neighbours, and the node, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        e = write_table(small, "edges")
+        before, e = e, write_table(small, "edges")
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        drop_table(before)
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components didn't settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -175,53 +202,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 WORDS = 10  # 64-bit words of a sketch, each two 32-bit fingerprints
 SIMILAR = 0.8
-TURNS = (2, 6, 12)  # how many of the 32-bit fingerprints are compared at a time
-BLOCK = 1024  # rows of a crowded anchor that meet others in one unit of work
-SPREAD = 0.03  # leniency of the estimate, about one standard error (0.033) at 0.8
+TURNS = (4, 16)  # how many of the 32-bit fingerprints are compared at a time
+BLOCK = 1024  # rows of a crowded anchor or group that meet others in one unit of work
+LENIENT = 0.1  # three standard errors of the sketches' estimate at 0.8; shingles decide what passes
 
 
-def sketch(data: bytes, size: int = 5) -> list[int]:
-    """``WORDS`` independent fingerprints of a text's shingles, as signed integers."""
-    h = np.unique(_shingles(data, size))
-    out = []
+def shingle_set(data: bytes, size: int = 5) -> np.ndarray:
+    """64-bit hashes of a text's distinct shingles of ``size`` words, A-Z lowered, in order (fewer words: all of them as one)."""
+    words = data.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(h) - size + 1)
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(WORDS):
-            x = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & ((1 << 64) - 1))
-            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            out.append(_signed(_majority(x ^ x >> np.uint64(31))))
-    return out
+        for i in range(min(size, len(h))):
+            out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def sketch(found: np.ndarray) -> list[int]:
+    """``WORDS`` independent fingerprints of a set of shingles, as signed integers."""
+    with np.errstate(over="ignore"):
+        x = found[:, None] + np.array([(0x9E3779B97F4A7C15 * (i + 1)) & ((1 << 64) - 1) for i in range(WORDS)], np.uint64)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return _majority(x ^ x >> np.uint64(31)).view(np.int64).tolist()
 
 
-def _cross_links(rows: DataFrame, limit: int) -> DataFrame:
-    """``(a, b)``: links that join, at each spot, all of ``rows(spot, low, root, main, sk)`` whose sketches differ in ``limit`` bits or fewer.
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sets have that Jaccard similarity; two empty ones do."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a).clip(max=max(0, len(b) - 1))
+    both = int((b[at] == a).sum()) if len(b) else 0
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _like_sketches(limit: int) -> Callable:
+    """For a unit's rows: which of ``others`` have sketches within ``limit`` bits of row ``i``."""
+
+    def prepare(held: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+        sks = np.frombuffer(b"".join(held), np.uint64).reshape(-1, WORDS)
+        return lambda i, others: others[np.bitwise_count(sks[others] ^ sks[i]).sum(1, dtype=np.int64) <= limit]
+
+    return prepare
+
+
+def _like_sets(least: float) -> Callable:
+    """For a unit's rows: which of ``others`` have sets of similarity ``least`` or more with row ``i``."""
+
+    def prepare(held: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+        size = np.array([len(x) // 8 for x in held])
+        item = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)[1]
+        begin = np.cumsum(size) - size
+        flag = np.zeros(len(item) + 1, bool)
+
+        def hits(i: int, others: np.ndarray) -> np.ndarray:
+            near = others[np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i])]
+            if not len(near) or not size[i]:
+                return near  # empty sets are alike
+            own = item[begin[i] : begin[i] + size[i]]
+            flag[own] = True
+            n = size[near]
+            at = np.repeat(begin[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.add.reduceat(flag[item[at]].astype(np.int64), np.cumsum(n) - n)
+            flag[own] = False
+            return near[both >= least * (n + size[i] - both) - 1e-9]
+
+        return hits
+
+    return prepare
+
+
+def _cross_links(rows: DataFrame, payload: DataFrame, prepare: Callable) -> DataFrame:
+    """``(a, b)``: links that join, at each spot, all of ``rows(spot, node, root, main)`` that are alike by what ``payload(node, value)`` has of them.
 
     Rows of one root are joined already, and so are those with ``main`` set; every other pair of a spot is
     compared. A spot's rows fall into blocks of some ``BLOCK``, the ``main`` ones into blocks of their own, and a
     unit of work is two blocks, so what a task holds doesn't grow with the spot.
     """
-    typed = rows.schema["low"].dataType.simpleString()
-    here = W.partitionBy("spot")
-    other = F.ceil(F.sum(F.when(F.col("main"), 0).otherwise(1)).over(here) / BLOCK).cast("int")
-    main = F.ceil(F.sum(F.when(F.col("main"), 1).otherwise(0)).over(here) / BLOCK).cast("int")
-    rows = rows.withColumns({"n": other, "n_main": main})
-    own = F.when(F.col("main"), F.col("n") + F.pmod(F.xxhash64("low"), "n_main")).otherwise(F.pmod(F.xxhash64("low"), "n")).cast("int")
+    sizes = rows.groupBy(F.col("spot").alias("at")).agg(F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("n"), F.ceil(F.count_if(F.col("main")) / BLOCK).cast("int").alias("n_main"))
+    rows = rows.join(sizes, F.col("spot") == F.col("at"))
+    own = F.when(F.col("main"), F.col("n") + F.pmod(F.xxhash64("node"), "n_main")).otherwise(F.pmod(F.xxhash64("node"), "n")).cast("int")
     rows = rows.withColumn("k", own)
     # a block meets every other one, but no two of main; units of two hold the pairs inside a block as well
     met = F.when(F.col("main"), F.sequence(F.lit(0), F.col("n") - 1)).when(F.col("n") + F.col("n_main") == 1, F.array("k")).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") + F.col("n_main") - 1), lambda x: x != F.col("k")))
-    rows = rows.withColumn("m", F.explode(met)).select("spot", F.least("k", "m").alias("k"), F.greatest("k", "m").alias("m"), "low", "root", "main", "sk")
+    rows = rows.withColumn("m", F.explode(met)).select("spot", F.least("k", "m").alias("k"), F.greatest("k", "m").alias("m"), "node", "root", "main")
+    rows = rows.join(payload, "node").select("spot", "k", "m", "node", "root", "main", "value")
 
     def solve(held: list[tuple]) -> list[tuple]:
         names: dict = {}
         label = np.array([names.setdefault(r[1], len(names)) for r in held])
         main = np.array([r[2] for r in held])
         label[main] = label[main].min(initial=len(names))
-        sks = np.stack([r[3] for r in held])
+        hits = prepare([r[3] for r in held])
         out = []
         for i in np.flatnonzero(~main):
             apart = np.flatnonzero(label != label[i])
-            hits = apart[np.bitwise_count(sks[apart] ^ sks[i]).sum(1, dtype=np.int64) <= limit]
-            for j in hits:
+            for j in hits(i, apart) if len(apart) else ():
                 if label[j] != label[i]:
                     out.append((held[i][0], held[j][0]))
                     label[label == label[j]] = label[i]
@@ -232,74 +312,144 @@ def _cross_links(rows: DataFrame, limit: int) -> DataFrame:
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
             x, y = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(x, kind), pa.array(y, kind)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
         for b in batches:
-            kind = b.schema.field(3).type
-            sks = np.asarray(b.column(6).flatten()).view(np.uint64).reshape(-1, WORDS)
             out = []
-            for *at, low, root, main, sk in zip(*(b.column(c).to_pylist() for c in range(6)), sks):
+            for *at, node, root, main, value in zip(*(c.to_pylist() for c in b.columns)):
                 if at != unit:
                     out += solve(held) if len(held) > 1 else []
                     unit, held = at, []
-                held.append((low, root, main, sk))
+                held.append((node, root, main, value))
             yield batch(out)
         if len(held) > 1:
             yield batch(solve(held))
 
-    return rows.repartition("spot", "k", "m").sortWithinPartitions("spot", "k", "m", "low").mapInArrow(run, f"a {typed}, b {typed}")
+    return rows.repartition("spot", "k", "m").sortWithinPartitions("spot", "k", "m", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILAR) -> DataFrame:
-    """``(id, component)``: smallest id reachable over pairs whose five-word shingles have a Jaccard similarity
-    of ``similarity`` or more, as their sketches of 640 bits estimate it.
-
-    At 0.8, 64 bits differ in 10 places, beyond any code's reach, so the sketch is cut into 20
-    fingerprints of 32 bits: at 0.8 each is within 2 bits with probability 0.12, some one of the 20 with 0.92
-    (0.85: 0.99). Equal sketches are one before; each fingerprint goes to its anchors. There, every row is
-    compared by whole sketches with the anchor's smallest id, which settles groups of copies of any size.
-    Rows unlike that one are then compared with all others of the anchor, those like it too, so every pair
-    that meets is compared or joined by others. The fingerprints take turns: rows of one group by then
-    are not compared again.
-    Nulls, repeated rows, empty tables: as ``near_duplicates``.
-    """
-    bounded_batches(docs.sparkSession)
+def _rooted(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``nodes`` with the root of each, a node without links being its own."""
+    if comp is None:
+        return nodes.withColumn("root", F.col("node"))
+    comp = comp.select(F.col("node").alias("of"), F.col("root").alias("its"))
+    return nodes.join(comp, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("its", "node")).drop("of", "its")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(v.as_py() or b"", size) for v in b.column(1)], pa.list_(pa.int64()))], ["id", "sk"])
 
-    typed = docs.schema[id_col].dataType.simpleString()
-    rows = write_table(docs.select(F.col(id_col).alias("id"), F.encode(text_col, "UTF-8").alias("data")).mapInArrow(run, f"id {typed}, sk array<bigint>"), "sketches")
-    classes = write_table(rows.groupBy("sk").agg(F.min("id").alias("low")).filter("low IS NOT NULL"), "classes")
+def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
+    """``(node, root)`` over pairs of ``classes(node, sk)`` that meet at an anchor and whose sketches are alike, with leniency."""
     halves = F.flatten(F.transform("sk", lambda w, i: F.array(F.struct((2 * i).alias("t"), w.bitwiseAND(0xFFFFFFFF).alias("fp")), F.struct((2 * i + 1).alias("t"), F.shiftrightunsigned(w, 32).alias("fp")))))
     # the cosine of the angle and the similarity s of sets: 2s / (1 + s)
-    least = similarity - SPREAD
+    least = similarity - LENIENT
     limit = int(64 * WORDS * np.arccos(2 * least / (1 + least)) / np.pi)
-    a, b = classes.select(F.col("low").alias("a"), F.col("sk").alias("sa")), classes.select(F.col("low").alias("b"), F.col("sk").alias("sb"))
+    a, b = classes.select(F.col("node").alias("a"), F.col("sk").alias("sa")), classes.select(F.col("node").alias("b"), F.col("sk").alias("sb"))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    little = lambda w: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(w, 8 * i).bitwiseAND(255)), 2, "0") for i in range(8))))
+    packed = classes.select("node", F.concat(*(little(F.col("sk")[i]) for i in range(WORDS))).alias("value"))
     comp, tried, first = None, None, 1
     for many in TURNS:
-        known = classes.withColumn("root", F.col("low")) if comp is None else classes.join(comp, F.col("low") == F.col("node"), "left").select("low", "sk", F.coalesce("root", "low").alias("root"))
-        prints = known.select("low", "root", F.explode(F.slice(halves, first, many)).alias("x")).select("low", "root", "x.t", "x.fp")
+        prints = _rooted(classes, comp).select("node", "root", F.explode(F.slice(halves, first, many)).alias("x")).select("node", "root", "x.t", "x.fp")
         first += many
-        at = anchors(prints, bits=32).select("low", "root", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
+        at = anchors(prints, bits=32).select("node", "root", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
         # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
         here = W.partitionBy("spot")
-        at = at.select("spot", "low", "root", F.min(F.struct("low", "root")).over(here).alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"))
-        meets = write_table(at.filter("mixed AND low <> head.low").select("spot", "low", "root", F.col("head.low").alias("head"), (F.col("root") == F.col("head.root")).alias("main")), "meets")
-        pairs = meets.filter("NOT main").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
+        at = at.select("spot", "node", "root", F.min(F.struct("node", "root")).over(here).alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"))
+        meets = write_table(at.filter("mixed AND node <> head.node").select("spot", "node", "root", F.col("head.node").alias("head"), (F.col("root") == F.col("head.root")).alias("main")), "meets")
+        pairs = meets.filter("NOT main").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         compared = write_table(pairs.join(a, "a").join(b, "b").select("a", "b", (differ <= limit).alias("alike")), "compared")
         tried = compared if tried is None else tried.union(compared)
         like = tried.filter("alike").select("a", "b", F.lit(True).alias("like"))
-        rest = meets.join(like, (F.col("low") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "low", "root", (F.col("main") | F.col("like").isNotNull()).alias("main"))
-        rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "low", "root", "main")
-        edges = compared.filter("alike").select("a", "b").union(_cross_links(rest.join(classes, "low").select("spot", "low", "root", "main", "sk"), limit))
+        rest = meets.join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "node", "root", (F.col("main") | F.col("like").isNotNull()).alias("main"))
+        rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "node", "root", "main")
+        edges = compared.filter("alike").select("a", "b").union(_cross_links(rest, packed, _like_sketches(limit)))
         comp = components(edges if comp is None else edges.union(comp))
-    named = classes.join(comp, F.col("low") == F.col("node"), "left").select(F.col("sk").alias("c_sk"), F.coalesce("root", "low").alias("component"))
-    return rows.join(named, F.col("sk") == F.col("c_sk"), "left").select(F.col("id").alias(id_col), "component")
+        drop_table(meets)
+    return comp
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """All rows as ``(id, digest, sk, print)`` and their classes ``(node, sk, print, low, low_digest, root)``: rows of equal sets are one
+    class, and classes of one root are a group."""
+    bounded_batches(docs.sparkSession)
+    typed = docs.schema[id_col].dataType.simpleString()
+    data = F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b""))
+    own = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(data)).alias("digest"), data.alias("data"))
+
+    def fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(v.as_py(), size) for v in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())], ["id", "digest", "sk", "print"])
+
+    rows = write_table(own.mapInArrow(fingers, f"id {typed}, digest binary, sk array<bigint>, print binary"), "sketches")
+    lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("low")
+    classes = rows.groupBy("print").agg(lowest, F.min("sk").alias("sk"))
+    classes = write_table(classes.select(F.monotonically_increasing_id().alias("node"), "print", "sk", F.col("low.id").alias("low"), F.col("low.digest").alias("low_digest")), "classes")
+    comp = _candidates(classes, similarity)
+    # what passed the sketches is held against whole sets: first every row of a group with the group's smallest
+    met = _rooted(classes, comp)
+    wide = met.groupBy("root").count().filter("count > 1").select(F.col("root").alias("group"))
+    met = met.join(wide, F.col("root") == F.col("group")).select("group", "node", F.col("low").alias("m_id"), F.col("low_digest").alias("m_digest"))
+    texts = own.join(met, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest"))).select("group", "node", "data")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(v.as_py(), size).tobytes() for v in b.column(2)], pa.binary())], ["group", "node", "value"])
+
+    # rows that repeat id and text give the same set more than once; one stays
+    sets = texts.mapInArrow(to_sets, "group bigint, node bigint, value binary").groupBy("node").agg(F.min("group").alias("group"), F.min("value").alias("value"))
+    sets = write_table(sets, "sets")
+
+    def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([similar(p, q, similarity) for p, q in zip(x, y)], pa.bool_())], ["spot", "node", "main"])
+
+    head = sets.filter("group = node").select(F.col("group").alias("h"), F.col("value").alias("head"))
+    held = sets.join(head, F.col("group") == F.col("h")).select("group", "node", "value", "head").mapInArrow(with_head, "spot bigint, node bigint, main boolean")
+    held = write_table(held, "held")
+    open_groups = held.groupBy("spot").agg(F.count("*").alias("n"), F.min("main").alias("all")).filter("n > 2 AND NOT all").select(F.col("spot").alias("o"))
+    rest = held.join(open_groups, F.col("spot") == F.col("o")).select("spot", "node", F.col("node").alias("root"), "main")
+    edges = held.filter("main").select(F.col("node").alias("a"), F.col("spot").alias("b")).union(_cross_links(rest, sets.select("node", "value"), _like_sets(similarity)))
+    return rows, _rooted(classes, components(edges))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """``(id, component)``: smallest id reachable over pairs whose sets of five-word shingles have a Jaccard similarity
+    of ``similarity`` or more, for all rows.
+
+    At 0.8, 64 bits differ in 10 places, beyond any code's reach, so a sketch of 640 bits is cut into 20
+    fingerprints of 32 bits: at 0.8 each is within 2 bits with probability 0.12, some one of the 20 with 0.92
+    (0.85: 0.99). Equal sets are one before; each fingerprint goes to its anchors. There, every row is
+    compared by whole sketches with the anchor's smallest, which settles groups of copies of any size.
+    Rows unlike that one are then compared with all others of the anchor, those like it too, so every pair
+    that meets is compared or joined by others. The fingerprints take turns: rows of one group by then
+    are not compared again. The sketches are lenient; within the groups they give, the shingles themselves
+    decide, again first with the smallest and then, in blocks, whatever that leaves open.
+
+    Null and wordless texts have the empty set, and are alike. Repeated rows stay repeated. A null id joins a
+    group but never names one (its own is null if no other id is there). An empty table gives no rows;
+    only the two named columns are read.
+    """
+    rows, classes = _groups(docs, id_col, text_col, size, similarity)
+    lows = classes.groupBy("root").agg(F.min("low").alias("component"))
+    named = classes.join(lows, "root").select(F.col("print").alias("c_print"), "component")
+    return rows.join(named, F.col("print") == F.col("c_print")).select(F.col("id").alias(id_col), "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of ``similar_groups`` the one with the smallest id.
+
+    Of rows that repeat that id, the one whose text's digest is smallest; of rows that repeat both, one.
+    A null id stays only where its group has no other. All columns return, whatever their names.
+    """
+    _, classes = _groups(docs, id_col, text_col, size, similarity)
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "low_digest")).alias("x")
+    kept = classes.groupBy("root").agg(first).select(F.col("x.low").alias("__k_id"), F.col("x.low_digest").alias("__k_digest"))
+    digest = F.unhex(F.md5(F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b""))))
+    own = docs.withColumn("__digest", digest).join(kept, F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.col("__digest") == F.col("__k_digest")), "left_semi")
+    return own.dropDuplicates([id_col, "__digest"]).drop("__digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

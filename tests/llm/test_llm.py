@@ -155,12 +155,12 @@ def test_pieces_equal_the_library(docs):
 
 
 def test_tokenizer_equals_the_library():
+    """In its default setting, which gives the id of a special token whose string stands in a text."""
     from tokenizers import Tokenizer
 
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for x in [x or "" for _, x in ROWS] + ["<|endoftext|> it's 12３ \n\n  x", "  \x85é"]:
+    for x in [x or "" for _, x in ROWS] + ["<|endoftext|> it's 12\uff13 \n\n  x", "  \x85\xe9", "a <|endoftext|><|endoftext|> b"]:
         assert tokens.byte_bpe(path)(x) == t.encode(x, add_special_tokens=False).ids
 
 
@@ -173,16 +173,42 @@ def test_tokenizer_on_very_long_white_space():
         assert tokens.byte_bpe(path)(x) == t.encode(x, add_special_tokens=False).ids
 
 
-def test_feistel_and_shards(spark, docs, tmp_path):
+def _order_by_hand(parts, vocab, length, key=42):
+    """Slots and ids by the definition: partitions' streams cut in records, record i of n at slot feistel(i, n)."""
+    records = []
+    for own in parts:
+        ids, where = [], []
+        for d, t in own:
+            e = [*tokens.byte_bpe(vocab)(t or ""), 2]
+            ids += e
+            where += [(d, i) for i in range(len(e))]
+        records += [(where[a], ids[a : a + length]) for a in range(0, len(ids), length)]
+    slots = tokens.feistel(np.arange(len(records)), len(records), key).tolist()
+    return sorted((slot, d, start, len(ids), np.array(ids, "<u2").tobytes()) for slot, ((d, start), ids) in zip(slots, records))
+
+
+@pytest.mark.parametrize("n", [1, 3, 300])
+def test_training_order_equals_brute_force(spark, tmp_path, monkeypatch, n):
+    """Any number of partitions, most of them empty or small; nulls, repeats, shards of a few records; resumed reads."""
+    monkeypatch.setattr(tokens, "SHARD_BYTES", (3 * tokens.record_type(64).itemsize, 3 * tokens.record_type(64).itemsize))
+    path, vocab = str(tmp_path / "o"), tokens.vocabulary_path("byte_bpe_50k.json")
+    rows = [(None if i == 10 else i, t) for i, t in ROWS]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, 1, "k") for i, t in rows], n), "doc_id long, text string, slot int, record string")
+    held = tokens.materialise(df, path, vocab, length=64).collect()
+    got = sorted((r.slot, r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in tokens.read_shards(spark, path).collect())
+    want = _order_by_hand(df.select("doc_id", "text").rdd.glom().collect(), vocab, 64)
+    assert got == want
+    at = 7
+    assert sorted(r.slot for r in tokens.read_shards(spark, path, from_slot=at).collect()) == list(range(at, len(want)))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n) for r in held) == sorted((d is None, d or 0, len(tokens.byte_bpe(vocab)(t or "")) + 1) for d, t in rows)
+
+
+def test_training_order_permutation(spark, empty, tmp_path):
     for n in (1, 2, 7, 1000):
         assert sorted(tokens.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
-    path, vocab = str(tmp_path / "o"), tokens.vocabulary_path("byte_bpe_50k.json")
-    tokens.materialise(docs, path, vocab, length=64)
-    got = tokens.read_shards(spark, path, 64).orderBy("slot").collect()
-    assert [r.slot for r in got] == list(range(len(got)))
-    total = sum(len(tokens.byte_bpe(vocab)(t or "")) + 1 for _, t in ROWS)
-    assert sum(r.n_tokens for r in got) == total
-    assert tokens.read_shards(spark, path, 64, from_slot=5).count() == len(got) - 5
+    path = str(tmp_path / "e")
+    assert tokens.materialise(empty, path, tokens.vocabulary_path("byte_bpe_50k.json")).count() == 0
+    assert tokens.read_shards(spark, path).count() == 0
 
 
 def test_warc(spark):
@@ -247,13 +273,11 @@ def test_similar_groups_equal_all_pairs(spark, monkeypatch, block):
     rows = [(order[i], " ".join(f"w{j}" for j in range(12 * i, 12 * i + 300))) for i in range(40)]
     rows += [(order[40 + i], " ".join(f"v{j}" if rng.random() > 0.02 else f"x{i}" for j in range(300))) for i in range(40)]
     rows.append((1, " ".join(f"w{j}" for j in range(240, 540))))  # the smallest id lies amid the chain
-    sk = {i: simhash.sketch(t.encode()) for i, t in rows}
-    least = simhash.SIMILAR - simhash.SPREAD
-    limit = int(640 * np.arccos(2 * least / (1 + least)) / np.pi)
-    want = {i: i for i in sk}
-    for a in sorted(sk):
-        for b in sorted(sk):
-            if a < b and want[a] != want[b] and sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(sk[a], sk[b])) <= limit:
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: i for i in grams}
+    for a in sorted(grams):
+        for b in sorted(grams):
+            if a < b and want[a] != want[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
                 low, high = sorted((want[a], want[b]))
                 want = {i: low if r == high else r for i, r in want.items()}
     got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
