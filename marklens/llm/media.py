@@ -209,7 +209,8 @@ def from_ogg(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def packet_times(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per data packet: ``(id, serial, packet, start_s, end_s, data)``; damaged media gives no rows."""
+    """One row per data packet: ``(id, serial, packet, start_s, end_s, data)``; null or damaged media gives no rows, one bad page
+    fails its whole file. Repeated rows give their packets again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

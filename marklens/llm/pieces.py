@@ -24,7 +24,8 @@ class PieceModel:
     round merges, in each word, all leftmost places of that word's best-ranked pair.
     """
 
-    CACHE = 400_000
+    CACHE_BYTES = 64 << 20  # of words and their ids kept from batch to batch, with some 150 bytes each for the table
+    CACHED_WORD = 64  # characters of the longest word that is kept
 
     def __init__(self, path: str):
         import sentencepiece
@@ -74,6 +75,7 @@ class PieceModel:
         own = {c for p in plain if len(p) > 1 for c in p}
         self.split = re.compile(f" *[^ \n]+| +|\n" if "\n" not in own else " *[^ ]+| +")
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # bytes in the cache
         self.space_runs: dict[int, bytes] = {}
         surface = [b""] * n
         for p, i in plain.items():
@@ -196,32 +198,33 @@ class PieceModel:
                 out[i] = again
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         space = np.uint32(self.space).tobytes()
         made = self._bytes([SPACE + w.lstrip(" ") if w[0] == " " else w for w in words])
-        self.cache.update(zip(words, made))
+        out = dict(zip(words, made))
         for w, data in zip(words, made):
             if w[:2] == "  " or w == " ":
                 alone = data[:4] == space
-                self.cache[w] = self._spaces(len(w) - len(w.lstrip(" ")) - 1 + alone) + data[4 * alone :]
+                out[w] = self._spaces(len(w) - len(w.lstrip(" ")) - 1 + alone) + data[4 * alone :]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, with begin and end ids, as little-endian 32-bit integers."""
         head, tail = np.uint32(self.bos).tobytes(), np.uint32(self.eos).tobytes()
         units = [self.split.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        cache = self.cache
-        new = {u for own in units for u in own if u not in cache}
-        if new:
-            if len(cache) + len(new) > self.CACHE:  # what this batch needs is then learnt anew
-                cache.clear()
-                new = {u for own in units for u in own}
-            todo = list(new)
-            for i in range(0, len(todo), 50_000):
-                part = todo[i : i + 50_000]
-                if len(cache) + len(part) > self.CACHE:
-                    self.CACHE = len(cache) + len(todo)
-                self._learn(part)
-        return [b"".join([head, *map(cache.__getitem__, own), tail]) for own in units]
+        known = {u: self.cache.get(u) for own in units for u in own}
+        todo = [u for u, ids in known.items() if ids is None]
+        for i in range(0, len(todo), 50_000):
+            known |= self._learn(todo[i : i + 50_000])
+        for u in todo:
+            if len(u) <= self.CACHED_WORD:
+                size = 150 + 4 * len(u) + len(known[u])
+                if self.held + size > self.CACHE_BYTES:
+                    self.cache.clear()
+                    self.held = 0
+                self.cache[u] = known[u]
+                self.held += size
+        return [b"".join([head, *map(known.__getitem__, own), tail]) for own in units]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: control ids vanish, bytes join to characters, one leading space goes."""
@@ -284,7 +287,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
-    """``(id, ids, text)``: ids read back as text; null ids give null."""
+    """``(id, ids, text)``: ids read back as text; null ids give null, begin and end id alone an empty text. Repeated rows
+    stay repeated; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,21 +16,33 @@ from .storage import write_table
 
 SHARDS = 24
 BUCKET_ROWS = 1_000_000  # rows of a shard that one task permutes
+SOURCES = 10_000  # source partitions at most; more are joined, unmoved, so the matrix has a bound
+
+
+def _log_factorial(n: int) -> np.longdouble:
+    """ln n! in extended precision: Stirling's series from 64 on."""
+    if n < 64:
+        return np.log(np.longdouble(math.factorial(n)))
+    x = np.longdouble(n)
+    return x * np.log(x) - x + np.log(2 * np.longdouble(math.pi) * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """How many of ``drawn`` rows out of ``good + bad`` are good: exact inversion outward from the mode."""
+    """How many of ``drawn`` rows out of ``good + bad`` are good: inversion outward from the mode.
+
+    The mode's probability is right to some 8 digits at 10^10 rows and 12 at 10^6; the steps taken grow with the
+    standard deviation, so with the root of ``drawn``.
+    """
     low, high = max(0, drawn - bad), min(good, drawn)
     if low == high:
         return low
     mode = min(high, max(low, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
 
-    def choose(n: int, k: int) -> float:
-        return lg(n + 1) - lg(k + 1) - lg(n - k + 1)
+    def choose(n: int, k: int) -> np.longdouble:
+        return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
     up = down = mode
-    p_up = p_down = math.exp(choose(good, mode) + choose(bad, drawn - mode) - choose(good + bad, drawn))
+    p_up = p_down = float(np.exp(choose(good, mode) + choose(bad, drawn - mode) - choose(good + bad, drawn)))
     u = rng.random() - p_up
     while u > 0 and (up < high or down > low):
         if up < high:
@@ -54,7 +68,8 @@ def communication_matrix(sources: list[int], shards: int, seed: int) -> list[lis
     left = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = []
     for n in sources:
-        row, rest = [], sum(left)
+        row, rest = [], total
+        total -= n
         for s in range(shards):
             k = hypergeometric(rng, left[s], rest - left[s], n)
             rest -= left[s]
@@ -66,8 +81,8 @@ def communication_matrix(sources: list[int], shards: int, seed: int) -> list[lis
 
 
 def _table(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
-    """A small table from literals: one row per source partition or bucket."""
-    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+    """A small table, written so that no later plan carries it: one row per source partition."""
+    return write_table(df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))), "matrix")
 
 
 def shuffle_exact(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
@@ -76,7 +91,8 @@ def shuffle_exact(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFr
     Every row goes to a uniformly drawn place. Each source partition orders its rows by a keyed hash,
     its exact row of the matrix says how many of them go where, they are exchanged once, and each shard
     orders what it got by a second hash, in buckets of near-equal size, so no task holds a whole shard
-    of a large table. Only the counts of partitions and buckets reach the driver. The input is written
+    of a large table. The driver gets one count per source partition and draws the matrix, ``SOURCES`` rows at most,
+    which becomes a table. The input is written
     once with its row numbers, so both passes and any retry see the same rows. Null values, repeated
     rows and an empty table need nothing special; columns named shard or slot are replaced.
     """
@@ -84,15 +100,15 @@ def shuffle_exact(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFr
     free = lambda name: name if name not in df.columns else free("_" + name)
     mid, src, cum, bucket, second, before = (free(f"__{n}") for n in ("row", "source", "ends", "bucket", "second", "before"))
     first: Column = F.xxhash64(F.lit(seed), *df.columns) if df.columns else F.lit(0)
-    numbered = df.sortWithinPartitions(first).withColumn(mid, F.monotonically_increasing_id())
+    numbered = df.coalesce(SOURCES).sortWithinPartitions(first).withColumn(mid, F.monotonically_increasing_id())
     rows = write_table(numbered, "shard-input").withColumn(src, F.shiftright(mid, 33))
     counts = sorted(rows.groupBy(src).count().collect())
     total = sum(n for _, n in counts)
     matrix = communication_matrix([n for _, n in counts], shards, seed)
-    ends = [{"s": p, "c": [sum(m[: i + 1]) for i in range(shards - 1)]} for (p, _), m in zip(counts, matrix)]
+    ends = [{"s": p, "c": list(accumulate(m))[:-1]} for (p, _), m in zip(counts, matrix)]
     where = _table(df, ends, "s bigint, c array<bigint>").select(F.col("s").alias(src), F.col("c").alias(cum))
     place = F.col(mid).bitwiseAND((1 << 33) - 1)
-    # one row per source partition: a proven bound
+    # SOURCES rows at most: a proven bound
     out = rows.join(F.broadcast(where), src).withColumn("shard", F.size(F.filter(cum, lambda c: c <= place)))
     buckets = max(1, math.ceil(total / shards / BUCKET_ROWS))
     out = out.withColumn(second, F.xxhash64(F.lit(seed + 1), mid)).withColumn(bucket, F.pmod(F.shiftright(second, 20), F.lit(buckets)))

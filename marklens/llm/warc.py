@@ -89,7 +89,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads the smallest id is the response and the others revisit it. Null payload:
     empty; null url: key ``-``; a null id is written as a response. Each task writes its own file, named
-    by attempt: files of lost attempts are never named by a capture. Only the three named columns are read.
+    by attempt: files of lost attempts are never named by a capture, and stay as orphans. Tasks write and read ranges through
+    ``pyarrow.fs``, so ``path`` must lie in a store that it knows (local, HDFS, S3, GCS, Azure). Only the three named columns are read.
     """
     bounded_batches(pages.sparkSession, 200)
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8").alias("payload"))
@@ -122,6 +123,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def write_index(captures: DataFrame, path: str) -> DataFrame:
     """The two-level index: captures sorted by key in compressed blocks, each file ending in a sparse
     directory of its blocks' first keys. Returns ``(file, first_key, last_key, blocks)``, one row per index file.
+    Repeated captures stay; no captures, no files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +162,10 @@ def write_index(captures: DataFrame, path: str) -> DataFrame:
 def lookup(keys: DataFrame, index: DataFrame, path: str) -> DataFrame:
     """``(key, file, offset, length)`` of every capture of the given distinct ``key`` values.
 
-    The index files' key ranges (one row per file) route each key to the files that may hold it; there, a
+    The index files' key ranges route each key to the files that may hold it; they are the first level of the index, one short row
+    for each of its files (as many as shuffle partitions), and go through the driver to all tasks. There, a
     binary search in the directory finds the block, one range read gets it, and a second search the lines.
+    A key that isn't there, or is null, gives no row; a key asked for twice gives its captures twice.
     """
     files = sorted((r.first_key, r.last_key, r.file) for r in index.collect())
     firsts, lasts = [f[0] for f in files], [f[1] for f in files]
@@ -169,7 +173,7 @@ def lookup(keys: DataFrame, index: DataFrame, path: str) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k, f = [], []
-            for key in b.column(0).to_pylist():
+            for key in filter(None, b.column(0).to_pylist()):
                 a, z = bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)
                 k += [key] * max(0, z - a)
                 f += [files[i][2] for i in range(a, z)]
@@ -209,7 +213,10 @@ def lookup(keys: DataFrame, index: DataFrame, path: str) -> DataFrame:
 
 
 def read_records(found: DataFrame, path: str, with_payload: bool = True) -> DataFrame:
-    """Range-read and parse the records at ``(file, offset, length)``; each archive's reads go in order."""
+    """Range-read and parse the records at ``(file, offset, length)``; each archive's reads go in order.
+
+    Repeated places give repeated records; no places, no rows. A record whose payload and digest differ raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(path)
@@ -227,7 +234,9 @@ def read_records(found: DataFrame, path: str, with_payload: bool = True) -> Data
         if f:
             f.close()
 
-    spread = found.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # a number of its own, as these rows are far smaller than what they make tasks read
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = found.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return spread.mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if with_payload else ""))
 
 
