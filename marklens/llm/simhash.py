@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WORDS = 10  # 64-bit words of a sketch, each two 32-bit fingerprints
 SIMILAR = 0.8
 TURNS = (4, 16)  # how many of the 32-bit fingerprints are compared at a time
-BLOCK = 1024  # rows of a crowded anchor or group that meet others in one unit of work
+BLOCK, BLOCK_BYTES = 1024, 4 << 20  # rows of a crowded anchor or group that meet others in one unit of work, and bytes of what they are compared by
 LENIENT = 0.1  # three standard errors of the sketches' estimate at 0.8; shingles decide what passes
 
 
@@ -277,13 +277,14 @@ def _like_sets(least: float) -> Callable:
 
 
 def _cross_links(rows: DataFrame, payload: DataFrame, prepare: Callable) -> DataFrame:
-    """``(a, b)``: links that join, at each spot, all of ``rows(spot, node, root, main)`` that are alike by what ``payload(node, value)`` has of them.
+    """``(a, b)``: links that join, at each spot, all of ``rows(spot, node, root, main, bytes)`` that are alike by what ``payload(node, value)`` has of them.
 
     Rows of one root are joined already, and so are those with ``main`` set; every other pair of a spot is
     compared. A spot's rows fall into blocks of some ``BLOCK``, the ``main`` ones into blocks of their own, and a
     unit of work is two blocks, so what a task holds doesn't grow with the spot.
     """
-    sizes = rows.groupBy(F.col("spot").alias("at")).agg(F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("n"), F.ceil(F.count_if(F.col("main")) / BLOCK).cast("int").alias("n_main"))
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    sizes = rows.groupBy(F.col("spot").alias("at")).agg(blocks(~F.col("main")).alias("n"), blocks(F.col("main")).alias("n_main"))
     rows = rows.join(sizes, F.col("spot") == F.col("at"))
     own = F.when(F.col("main"), F.col("n") + F.pmod(F.xxhash64("node"), "n_main")).otherwise(F.pmod(F.xxhash64("node"), "n")).cast("int")
     rows = rows.withColumn("k", own)
@@ -361,8 +362,10 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
         compared = write_table(pairs.join(a, "a").join(b, "b").select("a", "b", (differ <= limit).alias("alike")), "compared")
         tried = compared if tried is None else tried.union(compared)
         like = tried.filter("alike").select("a", "b", F.lit(True).alias("like"))
-        rest = meets.join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "node", "root", (F.col("main") | F.col("like").isNotNull()).alias("main"))
-        rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "node", "root", "main")
+        # rows of the smallest's own root need no look-up: a large group's rows are most of a spot's
+        apart = meets.filter("NOT main").join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "node", "root", F.col("like").isNotNull().alias("main"))
+        rest = meets.filter("main").select("spot", "node", "root", "main").union(apart)
+        rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "node", "root", "main", F.lit(8 * WORDS).alias("bytes"))
         edges = compared.filter("alike").select("a", "b").union(_cross_links(rest, packed, _like_sketches(limit)))
         comp = components(edges if comp is None else edges.union(comp))
         drop_table(meets)
@@ -404,13 +407,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([similar(p, q, similarity) for p, q in zip(x, y)], pa.bool_())], ["spot", "node", "main"])
+            alike = [similar(p, q, similarity) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_()), pa.array([8 * len(p) for p in x], pa.int32())], ["spot", "node", "main", "bytes"])
 
     head = sets.filter("group = node").select(F.col("group").alias("h"), F.col("value").alias("head"))
-    held = sets.join(head, F.col("group") == F.col("h")).select("group", "node", "value", "head").mapInArrow(with_head, "spot bigint, node bigint, main boolean")
+    held = sets.join(head, F.col("group") == F.col("h")).select("group", "node", "value", "head").mapInArrow(with_head, "spot bigint, node bigint, main boolean, bytes int")
     held = write_table(held, "held")
     open_groups = held.groupBy("spot").agg(F.count("*").alias("n"), F.min("main").alias("all")).filter("n > 2 AND NOT all").select(F.col("spot").alias("o"))
-    rest = held.join(open_groups, F.col("spot") == F.col("o")).select("spot", "node", F.col("node").alias("root"), "main")
+    rest = held.join(open_groups, F.col("spot") == F.col("o")).select("spot", "node", F.col("node").alias("root"), "main", "bytes")
     edges = held.filter("main").select(F.col("node").alias("a"), F.col("spot").alias("b")).union(_cross_links(rest, sets.select("node", "value"), _like_sets(similarity)))
     return rows, _rooted(classes, components(edges))
 

@@ -142,8 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         found = [np.frombuffer(t, np.int64) for _, _, t in rows]
-        held, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
-        m = FactorizationMachine(held[n >= MIN_ROWS])
+        flat = np.concatenate([np.empty(0, np.int64), *found])
+        flat.sort()
+        m = FactorizationMachine(flat[MIN_ROWS - 1 :][flat[MIN_ROWS - 1 :] == flat[: len(flat) - MIN_ROWS + 1]])  # a row has a term once
+        del flat
         m.bias = 0.0 if rows else -1.0
         m.fit(found, np.array([r[1] for r in rows], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.hashes, m.weight, m.factor)] + [pa.array([m.bias])], ["hashes", "weight", "factor", "bias"])
