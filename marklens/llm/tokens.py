@@ -178,7 +178,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, lengt
     Nulls, repeats, empty tables: as ``sequences``.
     """
     spark = docs.sparkSession
-    rows = write_table(sequences(docs, tokenizer, length, id_col, text_col), "records")
+    rows = write_table(sequences(docs, tokenizer, length, id_col, text_col), "records", "zstd")
     counts = rows.groupBy("part").agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stride, parts = record_type(length).itemsize, int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -189,7 +189,9 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, lengt
             slot = feistel(np.asarray(b.column(0)).astype(np.uint64), total, key).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot), *b.columns[1:]], ["slot", *b.schema.names[1:]])
 
-    at = rows.join(_before(counts).withColumnRenamed("part", "p"), F.col("part") == F.col("p")).withColumn("index", F.col("before") + F.col("k"))
+    # one short row per input partition; written, so Spark knows its size and sends it to the records if it is small
+    before = write_table(_before(counts).withColumnRenamed("part", "p"), "before")
+    at = rows.join(before, F.col("part") == F.col("p")).withColumn("index", F.col("before") + F.col("k"))
     records = at.select("index", "record").mapInArrow(permute, "slot bigint, record binary").withColumn("shard", F.expr(f"slot div {per_shard}"))
     shards = max(1, -(-total // per_shard))
     # a binary value cast to string keeps its bytes; the text writer adds one line end, part of the stride
