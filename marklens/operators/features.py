@@ -1,4 +1,7 @@
-"""Token features: grouped aggregates and windows over ``tokens(doc_id, pos, token, ...)``."""
+"""Token features: ``tokens(doc_id, pos, token, ...)`` are counted by document and word first, and all values come from those counts.
+
+Only what is asked for by position goes back to the tokens, by document and word, so no join or window meets a frequent word's tokens.
+"""
 
 from __future__ import annotations
 
@@ -11,21 +14,39 @@ def _doc():
     return W.partitionBy("doc_id")
 
 
-def _term():
-    return W.partitionBy("doc_id", "token")
-
-
 def _zero(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
+def terms(tokens: DataFrame) -> DataFrame:
+    """``(doc_id, token, c)``: how often a document has a word."""
+    return tokens.groupBy("doc_id", "token").agg(F.count("*").alias("c"))
+
+
+def _with_length(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("l", F.sum("c").over(_doc()))
+
+
+def at_positions(tokens: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """``tokens`` with columns of ``values(doc_id, token, ...)``."""
+    return tokens.join(values.select("doc_id", "token", *columns), ["doc_id", "token"])
+
+
+def _df(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _n(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("doc_id").agg(F.lit(1)).agg(F.count("*").alias("n"))
+
+
 def document_frequency(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
+    return _df(terms(tokens))
 
 
 def n_documents(tokens: DataFrame) -> DataFrame:
     """One row: the number of documents with a token."""
-    return tokens.agg(F.countDistinct("doc_id").alias("n"))
+    return _n(terms(tokens))
 
 
 def _constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -34,31 +55,40 @@ def _constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def idf(tokens: DataFrame) -> DataFrame:
-    out = _constants(document_frequency(tokens), n_documents(tokens))
+    counts = terms(tokens)
+    out = _constants(_df(counts), _n(counts))
     return out.select("token", "df", F.when(F.col("df") > 0, F.log2(F.col("n") / F.col("df"))).otherwise(0.0).alias("idf"))
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:
-    return tokens.select("*", (F.count("*").over(_term()) / F.count("*").over(_doc())).alias("tf"))
+    return at_positions(tokens, _with_length(terms(tokens)).withColumn("tf", F.col("c") / F.col("l")), "tf")
 
 
-def normalise(df: DataFrame, value: str, order: int = 1) -> DataFrame:
-    """``value`` divided by its document's Lp norm over all positions; 0 where the norm is 0."""
-    norm = F.sum(F.pow(F.abs(value), F.lit(order))).over(_doc())
+def normalise(df: DataFrame, value: str, order: int = 1, times: Column | None = None) -> DataFrame:
+    """``value`` divided by its document's Lp norm over all positions; 0 where the norm is 0. ``times``: positions a row stands for."""
+    size = F.pow(F.abs(value), F.lit(order)) if order != 1 else F.abs(value)
+    norm = F.sum(size if times is None else size * times).over(_doc())
     return df.withColumn(value, _zero(F.col(value), norm if order == 1 else F.pow(norm, F.lit(1 / order))))
 
 
+def tfidf_terms(tokens: DataFrame, fitted: DataFrame, order: int | None = 1) -> DataFrame:
+    """``(doc_id, token, c, l, tf, tfidf)`` by ``fitted(token, df, idf)``; a word without a fit counts 0."""
+    own = _with_length(terms(tokens)).withColumn("tf", F.col("c") / F.col("l"))
+    out = own.join(fitted.select("token", "idf"), "token", "left").withColumn("tfidf", F.col("tf") * F.coalesce("idf", F.lit(0.0))).drop("idf")
+    return normalise(out, "tfidf", order, F.col("c")) if order else out
+
+
 def tfidf(tokens: DataFrame, fitted: DataFrame, order: int | None = 1) -> DataFrame:
-    """TF-IDF of each token by ``fitted(token, df, idf)``; a word without a fit counts 0."""
-    out = term_frequency(tokens).join(fitted.select("token", "idf"), "token", "left").withColumn("tfidf", F.col("tf") * F.coalesce("idf", F.lit(0.0)))
-    return normalise(out, "tfidf", order) if order else out
+    """``tokens`` with ``tf`` and ``tfidf`` by ``fitted(token, df, idf)``; a word without a fit counts 0."""
+    return at_positions(tokens, tfidf_terms(tokens, fitted, order), "tf", "tfidf")
 
 
 def tfidf_leave_one_out(tokens: DataFrame) -> DataFrame:
     """TF-IDF of each token as fitted without its own document."""
-    out = _constants(term_frequency(tokens).join(document_frequency(tokens), "token"), n_documents(tokens))
+    counts = terms(tokens)
+    out = _constants(_with_length(counts).join(_df(counts), "token"), _n(counts))
     value = F.when(F.col("df") > 1, F.log2((F.col("n") - 1) / (F.col("df") - 1))).otherwise(0.0)
-    return normalise(out.withColumn("tfidf", F.col("tf") * value), "tfidf")
+    return at_positions(tokens, normalise(out.withColumn("tfidf", F.col("c") / F.col("l") * value), "tfidf", 1, F.col("c")), "tfidf")
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -66,48 +96,66 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 
 def _observed(tokens: DataFrame) -> DataFrame:
-    own = tokens.select("*", F.count("*").over(_term()).alias("c"), F.count("*").over(_doc()).alias("l")).join(word_counts(tokens), "token")
-    totals = tokens.agg(F.count("*").alias("total"), F.countDistinct("doc_id").alias("n"))
-    return _constants(own, totals)
+    counts = terms(tokens)
+    own = _with_length(counts).join(counts.groupBy("token").agg(F.sum("c").alias("n_words")), "token")
+    lengths = counts.groupBy("doc_id").agg(F.sum("c").alias("l"))
+    return _constants(own, lengths.agg(F.sum("l").alias("total"), F.count("*").alias("n")))
 
 
-def _chi2(df: DataFrame, words: Column, rest: Column, n: Column) -> DataFrame:
+def _chi2(tokens: DataFrame, df: DataFrame, words: Column, rest: Column, n: Column, order: int | None) -> DataFrame:
     e1, e2 = words / n, rest / n
     part = lambda o, e: F.pow(o - e, F.lit(2)) / F.nullif(e, F.lit(0))
     value = F.when(words > 0, F.coalesce(part(F.col("c"), e1), F.lit(0.0)) + F.coalesce(part(F.col("l") - F.col("c"), e2), F.lit(0.0))).otherwise(0.0)
-    return df.withColumn("chi2", value)
+    out = df.withColumn("chi2", value)
+    return at_positions(tokens, normalise(out, "chi2", order, F.col("c")) if order else out, "chi2")
 
 
-def chi_square(tokens: DataFrame) -> DataFrame:
-    """Chi-square of a word's count in its document against its average count per document."""
+def chi_square(tokens: DataFrame, order: int | None = None) -> DataFrame:
+    """Chi-square of a word's count in its document against its average count per document, by an Lp norm where ``order`` is given."""
     w = F.col("n_words")
-    return _chi2(_observed(tokens), w, F.col("total") - w, F.col("n"))
+    return _chi2(tokens, _observed(tokens), w, F.col("total") - w, F.col("n"), order)
+
 
+def chi_square_leave_one_out(tokens: DataFrame, order: int | None = None) -> DataFrame:
+    return _chi2(tokens, _observed(tokens), F.col("n_words") - F.col("c"), F.col("total") - F.col("l"), F.nullif(F.col("n") - 1, F.lit(0)), order)
 
-def chi_square_leave_one_out(tokens: DataFrame) -> DataFrame:
-    return _chi2(_observed(tokens), F.col("n_words") - F.col("c"), F.col("total") - F.col("l"), F.nullif(F.col("n") - 1, F.lit(0)))
+
+def _keyword_terms(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("doc_id", "token").agg(F.count_if(F.col("label") != 0).alias("own"))
 
 
 def keyphraseness(tokens: DataFrame) -> DataFrame:
     """Keyword occurrences over documents, by word."""
-    out = tokens.groupBy("token").agg(F.count_if(F.col("label") != 0).alias("kf"), F.countDistinct("doc_id").alias("df"))
+    out = _keyword_terms(tokens).groupBy("token").agg(F.sum("own").alias("kf"), F.count("*").alias("df"))
     return out.withColumn("keyphraseness", F.col("kf") / F.col("df"))
 
 
 def keyphraseness_transform(tokens: DataFrame, fitted: DataFrame) -> DataFrame:
-    return tokens.join(fitted.select("token", "keyphraseness"), "token", "left").fillna(0.0, ["keyphraseness"])
+    """``tokens`` with ``keyphraseness`` by word; a word without a fit gets 0."""
+    own = terms(tokens).join(fitted.select("token", "keyphraseness"), "token", "left").fillna(0.0, ["keyphraseness"])
+    return at_positions(tokens, own, "keyphraseness")
 
 
 def keyphraseness_leave_one_out(tokens: DataFrame) -> DataFrame:
-    own = tokens.select("*", F.sum((F.col("label") != 0).cast("long")).over(_term()).alias("own")).join(keyphraseness(tokens).drop("keyphraseness"), "token")
-    return own.withColumn("keyphraseness", F.when(F.col("df") > 1, (F.col("kf") - F.col("own")) / (F.col("df") - 1)).otherwise(0.0))
+    own = _keyword_terms(tokens)
+    out = own.join(own.groupBy("token").agg(F.sum("own").alias("kf"), F.count("*").alias("df")), "token")
+    return at_positions(tokens, out.withColumn("keyphraseness", F.when(F.col("df") > 1, (F.col("kf") - F.col("own")) / (F.col("df") - 1)).otherwise(0.0)), "keyphraseness")
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """``(token, index)``: 1-based rank by count, then first place. One row per word is ranked, so the single
-    ordering handles the vocabulary, not the tokens."""
+    """``(token, index)``: 1-based rank by count, then first place; ``doc_id`` is a whole number.
+
+    Ranks add up from three levels, so no task orders the whole vocabulary: words of higher counts (one row for each distinct
+    count), words of the same count first met in earlier ranges of documents, and the order inside a range.
+    """
     own = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    return own.select("token", F.row_number().over(W.orderBy(F.desc("n"), "first")).cast("long").alias("index"))
+    own = own.withColumn("part", F.shiftright(F.col("first.doc_id").cast("long"), 16))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = own.groupBy("n", "part").agg(F.count("*").alias("k"))
+    higher = sizes.groupBy("n").agg(F.sum("k").alias("k")).select("n", earlier("k", W.orderBy(F.desc("n"))).alias("higher"))
+    before = sizes.join(higher, "n").select("n", "part", (F.col("higher") + earlier("k", W.partitionBy("n").orderBy("part"))).alias("before"))
+    nth = F.row_number().over(W.partitionBy("n", "part").orderBy("first"))
+    return own.join(before, ["n", "part"]).select("token", (F.col("before") + nth).cast("long").alias("index"))
 
 
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -122,14 +170,20 @@ def decode(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "pos", "index").join(vocab, "index")
 
 
+def random_vector(size: int, seed: int = 0) -> list[float]:
+    """The vector that all unknown words share: from -1 to 1, drawn once from the seed by a linear congruential generator."""
+    out, x = [], seed
+    for _ in range(size):
+        x = (1103515245 * x + 12345) % 2147483648  # fixed values of the generator
+        out.append(x / 1073741824 - 1)
+    return out
+
+
 def embed(tokens: DataFrame, table: DataFrame, size: int, missing: str = "zero") -> DataFrame:
     """Vectors by word from ``table(token, vec)``; an unknown word gets zeros, one fixed random vector, or goes."""
     if missing == "drop":
         return tokens.join(table, "token")
-    import random
-
-    rng = random.Random(0)
-    default = [0.0] * size if missing == "zero" else [rng.gauss(0, 1) for _ in range(size)]
+    default = [0.0] * size if missing == "zero" else random_vector(size)
     return tokens.join(table, "token", "left").withColumn("vec", F.coalesce("vec", F.array(*map(F.lit, default)).cast("array<float>")))
 
 

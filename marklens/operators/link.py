@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from marklens.sources.shared import checkpoint
 
+from . import markup
+
 
 def contained(symbol_type: Column, mask: Column) -> Column:
     return mask.bitwiseAND(symbol_type) == symbol_type
@@ -17,36 +19,47 @@ def overlaps(symbol_type: Column, mask: Column) -> Column:
     return mask.bitwiseAND(symbol_type) != 0
 
 
+def _repeatable(symbols: DataFrame) -> Column:
+    """Kinds that may stand again: symbol definitions, ``drefi``, and definitions in plain modules."""
+    return F.col("def_type").isin("symdef", "dref") | ((F.col("def_type") == "def") & F.col("module_type").isin("module", "module*", "smentry"))
+
+
 def duplicate_symbols(symbols: DataFrame) -> DataFrame:
-    """Symbols whose module already has one of that name and kind, with the first one's place."""
+    """Symbols that may not repeat whose module already has one of that name and kind, with the first one's place."""
     own = W.partitionBy("path", "module", "name", "def_type").orderBy("pos")
     out = symbols.select("*", F.row_number().over(own).alias("nth"), F.first("pos").over(own).alias("first_pos"))
-    return out.filter("nth > 1")
+    return out.filter((F.col("nth") > 1) & ~_repeatable(out))
 
 
 def invalid_redefinitions(symbols: DataFrame) -> DataFrame:
-    """Repeated names whose signature differs from the first one's."""
+    """Symbols that may repeat, but with the kind, noverb flag and languages of the first of their name; these differ."""
     own = W.partitionBy("path", "module", "name").orderBy("pos")
-    sig = F.struct("def_type", "noverb")
+    sig = F.struct("def_type", "noverb", "noverbs")
     out = symbols.select("*", F.first("pos").over(own).alias("first_pos"), (F.first(sig).over(own) != sig).alias("differs"))
-    return out.filter("differs")
-
-
-def redundant_imports(deps: DataFrame) -> DataFrame:
-    own = W.partitionBy("path", "module").orderBy("pos")
-    return deps.select("*", F.row_number().over(own).alias("nth"), F.first("pos").over(own).alias("first_pos")).filter("nth > 1")
+    return out.filter(F.col("differs") & _repeatable(out))
 
 
-def resolve_modules(deps: DataFrame, modules: DataFrame) -> DataFrame:
-    """Each import with the number of files that provide its module, and the verdict."""
-    found = modules.groupBy("module").agg(F.count("*").alias("n_files"), F.min("path").alias("provider"))
-    out = deps.join(found, "module", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
-    status = F.when(F.col("n_files") == 0, "undefined-module-not-exported").when(F.col("n_files") == 1, "ok").otherwise("unique-dependency-name-check")
-    return out.withColumn("status", status)
+def redundant_imports(deps: DataFrame, envs: DataFrame) -> DataFrame:
+    """Imports of a module that the same or an enclosing scope imports before, with the first such place. Quiet ones aren't reported."""
+    e = envs.select(F.col("path").alias("e_path"), "begin_pos", F.coalesce("end_pos", F.lit(1 << 40)).alias("end_pos"))
+    inside = (F.col("path") == F.col("e_path")) & (F.col("begin_pos") < F.col("pos")) & (F.col("end_pos") > F.col("pos"))
+    scope = deps.select("path", "pos").distinct().join(e, inside).groupBy("path", "pos").agg(F.max(F.struct("begin_pos", "end_pos")).alias("x"))
+    scoped = deps.join(scope, ["path", "pos"], "left")
+    before = scoped.select("path", "module", F.col("pos").alias("b_pos"), F.coalesce("x.begin_pos", F.lit(-1)).alias("b"), F.coalesce("x.end_pos", F.lit(1 << 40)).alias("f"))
+    hit = deps.filter("NOT quiet").join(before, ["path", "module"]).filter("b_pos < pos AND b < pos AND f > pos")
+    return hit.groupBy("path", "pos", "module").agg(F.min("b_pos").alias("first_pos"))
 
 
-def files_not_found(deps: DataFrame, modules: DataFrame) -> DataFrame:
-    return deps.join(modules.select("module").distinct(), "module", "left_anti")
+def resolve_modules(deps: DataFrame, modules: DataFrame, files: DataFrame) -> DataFrame:
+    """Each import with the number of modules of that name in the file it hints at, and the verdict."""
+    known = files.select(F.col("path").alias("hint"), F.lit(True).alias("there")).distinct()
+    found = modules.groupBy(F.col("path").alias("hint"), "module").agg(F.count("*").alias("n_modules"), F.max("access").alias("access"))
+    out = deps.join(known, "hint", "left").join(found, ["hint", "module"], "left").withColumn("n_modules", F.coalesce("n_modules", F.lit(0)))
+    status = (
+        F.when(F.col("there").isNull(), "file-not-found").when(F.col("n_modules") == 0, "undefined-module-not-exported").when(F.col("n_modules") > 1, "unique-dependency-name-check")
+        .when(F.col("access") == 3, "access-modifier-check").otherwise("ok")
+    )
+    return out.withColumn("status", status).drop("there", "access")
 
 
 def undefined_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -67,15 +80,29 @@ def gated(refs: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
     return undefined_symbols(refs, symbols).join(modules.select("module").distinct(), "module", "left_semi")
 
 
-def noverb_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    own = symbols.filter("noverb").select("module", F.col("name").alias("symbol")).distinct()
-    return refs.join(own, ["module", "symbol"], "left_semi")
+def noverb_references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """References to a symbol marked noverb, for all languages or for that of the file's binding."""
+    own = symbols.filter(F.col("noverb") | (F.size("noverbs") > 0)).select("module", F.col("name").alias("symbol"), "noverb", "noverbs")
+    lang = bindings.groupBy(F.col("path").alias("b_path")).agg(F.min_by("lang", "pos").alias("lang"))
+    hit = refs.join(own, ["module", "symbol"]).join(lang, F.col("path") == F.col("b_path"), "left")
+    return hit.filter(F.col("noverb") | F.coalesce(F.array_contains("noverbs", F.col("lang")), F.lit(False))).select(*refs.columns).distinct()
 
 
-def name_mismatches(modules: DataFrame) -> DataFrame:
-    """Modules whose name isn't their file's stem."""
-    stem = F.regexp_extract("path", r"([^/]+)\.tex$", 1)
-    return modules.withColumn("stem", stem).filter(F.col("module") != F.col("stem"))
+def name_mismatches(modules: DataFrame, bindings: DataFrame) -> DataFrame:
+    """``(path, pos, module, stem)``: signatures whose name isn't their file's stem, bindings whose name and language aren't."""
+    own = modules.filter(F.col("module_type").isin("modsig", "gviewsig")).select("path", "pos", "module")
+    both = own.union(bindings.select("path", "pos", F.concat_ws(".", "module", "lang")))
+    return both.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.tex$", 1)).filter(F.col("module") != F.col("stem"))
+
+
+def current_places(args: DataFrame) -> DataFrame:
+    """``(path, pos, what)``: imports that name the repository, folder or file they stand in."""
+    parts, name = F.col("parts"), F.col("name")
+    repo, source = F.regexp_extract("path", "/([^/]+)/source/", 1), F.regexp_extract("path", r"/source/(.*)\.tex$", 1)
+    given = F.when(name.rlike(markup.GIMPORTS), F.get(markup.unnamed(parts), F.lit(0))).otherwise(F.coalesce(markup.named(parts, "mhrepos"), markup.named(parts, "repos")))
+    folder = F.regexp_extract(source, "^(.*)/[^/]*$", 1)
+    what = F.when(given == repo, "repository").when(markup.named(parts, "dir") == folder, "dir").when(markup.named(parts, "path") == source, "path")
+    return args.filter(name.rlike(markup.IMPORTS)).select("path", "pos", what.alias("what")).filter("what IS NOT NULL")
 
 
 def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "export") -> DataFrame:
@@ -85,6 +112,7 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "expor
     only the newest pairs with the edges and anti-joins what is known; its result is a checkpoint, so
     lineage stays short. Ends when a round finds nothing new.
     """
+    edges = checkpoint(edges.distinct())  # every round reads them
     first = edges if roots is None else edges.join(roots.select(F.col("node").alias("src")), "src", "left_semi")
     onward = (edges.filter("export") if rule == "export" else edges).select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     new = checkpoint(first.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
@@ -99,9 +127,21 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "expor
     return known
 
 
-def cyclic(reached: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return reached.filter(F.col("root") == F.col("node")).select("node")
+def cyclic(edges: DataFrame) -> DataFrame:
+    """``(node)``: nodes of ``edges(src, dst)`` that reach themselves.
+
+    Nodes that nothing leads to, or that lead nowhere, go first, round by round: they lie on no cycle. Only what is left
+    is followed on all paths.
+    """
+    left = checkpoint(edges.select("src", "dst").distinct())
+    n = left.count()
+    while n:
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = checkpoint(kept.select("src", "dst"))
+        n, before = left.count(), n
+        if n == before:
+            break
+    return closure(left, rule="all").filter(F.col("root") == F.col("node")).select("node")
 
 
 def visible_symbols(reached: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -131,25 +171,33 @@ def missing_import_hints(undefined: DataFrame, symbols: DataFrame) -> DataFrame:
 def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.6, best: int = 3) -> DataFrame:
     """``(symbol, name, ratio)``: up to three names of Levenshtein similarity ``least`` or more.
 
-    Candidates share a three-letter gram (a shorter name is its own gram) and their lengths lie within the band;
-    they come from an equi-join on the grams of distinct names.
+    All are found: two names k edits apart share one of any k + 1 pieces that one of them is cut into, at most k places
+    moved. So candidates come from an equi-join on lengths, number and text of pieces of distinct names.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))
-    a = wanted.select("symbol").distinct().withColumn("g", F.explode(grams("symbol")))
-    b = names.select("name").distinct().withColumn("g", F.explode(grams("name")))
-    band = F.abs(F.length("symbol") - F.length("name")) <= (1 - least) * F.greatest(F.length("symbol"), F.length("name"))
-    pairs = a.join(b, "g").filter(band & (F.col("symbol") != F.col("name"))).select("symbol", "name").distinct()
+    share = 1 - least
+    edits = lambda n, m: F.floor(share * F.greatest(n, m) + 1e-6).cast("int")
+    lengths = lambda c: F.sequence(F.greatest(F.ceil(least * F.length(c) - 1e-6), F.lit(1)).cast("int"), F.floor(F.length(c) / least + 1e-6).cast("int"))
+    b = names.select("name").distinct().filter("name <> ''").select("name", F.length("name").alias("m"), F.explode(lengths("name")).alias("n"))
+    b = b.withColumn("k", edits(F.col("n"), F.col("m"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    start, end = F.floor(F.col("i") * F.col("m") / (F.col("k") + 1)).cast("int"), F.floor((F.col("i") + 1) * F.col("m") / (F.col("k") + 1)).cast("int")
+    b = b.select("name", "n", "m", "i", F.substring("name", start + 1, end - start).alias("piece"))
+    a = wanted.select("symbol").distinct().filter("symbol <> ''").select("symbol", F.length("symbol").alias("n"), F.explode(lengths("symbol")).alias("m"))
+    a = a.withColumn("k", edits(F.col("n"), F.col("m"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    a = a.withColumn("at", F.explode(F.sequence(F.greatest(start - F.col("k"), F.lit(0)), F.greatest(F.least(start + F.col("k"), F.col("n") - (end - start)), F.lit(0)))))
+    a = a.select("symbol", "n", "m", "i", F.substring("symbol", F.col("at") + 1, end - start).alias("piece")).distinct()
+    pairs = a.join(b, ["n", "m", "i", "piece"]).filter(F.col("symbol") != F.col("name")).select("symbol", "name").distinct()
     ratio = 1 - F.levenshtein("symbol", "name") / F.greatest(F.length("symbol"), F.length("name"))
     rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ratio"), "name"))
     return pairs.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= least).withColumn("nth", rank).filter(F.col("nth") <= best).drop("nth")
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """``(node, ancestor, distance)`` of ``parents(node, parent)``, round by round like ``closure``."""
+    """``(node, ancestor, distance)`` of ``parents(node, parent)``, round by round like ``closure``; ends on cycles too."""
     new = checkpoint(parents.filter("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
-    out, up = new, parents.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent")
+    out, up = new, checkpoint(parents.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent"))
     while not new.isEmpty():
-        new = checkpoint(new.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
+        step = new.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct()
+        new = checkpoint(step.join(out, ["node", "ancestor"], "left_anti"))
         out = out.union(new)
     return out
 

@@ -1,32 +1,93 @@
-"""Markup extraction: one regex pass makes the macro table, every kind is a filter and projection on it."""
+"""Markup extraction: one pass over the texts makes the macro table, every kind is a filter and projection on it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # fixed values: names of the markup's macros and environments
-MACRO = r"\\([A-Za-z]+\*?)((?:\[[^\[\]]*\])?)((?:\{[^{}]*\})*)"
-MODULE_ENVS = ("modsig", "module", "module*", "gviewsig")
+SIGNATURE_ENVS = ("modsig", "gviewsig")
+MODULE_ENVS = ("modsig", "module", "module*", "smentry", "gviewsig")
 BINDING_ENVS = ("mhmodnl", "modnl", "gviewnl")
-IMPORTS = ("gimport", "guse", "importmodule", "usemodule", "importmhmodule", "usemhmodule")
-EXPORTED = ("gimport", "importmodule", "importmhmodule")
+VIEW_ENVS = ("gviewsig", "gviewnl", "mhview", "mhviewnl")
+STRUCTURE_ENVS = ("gstructure", "gstructure*")
+SCOPE_ENVS = ("omtext", "nomtext", "example", "omgroup", "frame")
+GIMPORTS = r"^g(import|use)\*?$"
+IMPORTS = r"^(g(import|use)|(import|use)(mh)?module)\*?$"
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")
-SYMBOL = r"^(sym(i|ii|iii|iv)|symdef|vardef)\*?$"
-REFERENCE = r"^[ma]?[Tt]ref(i|ii|iii|iv)s?$"
+SYM = r"^sym[ivx]+\*?$"
+SYMBOL = r"^(sym[ivx]+|symdef|vardef)\*?$"
+DEFINITION = r"^[ma]*[dD]ef[ivx]+s?\*?$"
+REFERENCE = r"^[ma]*[dDtT]ref[ivx]+s?\*?$"
+ASSIGNMENT = r"^[tv]assign\*?$"
+PRIVATE = 3
+END = 1 << 40  # stands for the end of an environment that is never closed
+
+
+def nested(depth: int, more: str = "") -> str:
+    """Text with braces that pair, ``depth`` levels of them. ``more='+'`` makes Java's matcher commit to what it has read,
+    which changes no match and keeps it linear."""
+    p = rf"[^{{}}]*{more}"
+    for _ in range(depth):
+        p = rf"(?:[^{{}}]+{more}|\{{{p}\}})*{more}"
+    return p
+
+
+def macro_parts(more: str = "") -> tuple[str, str]:
+    """Patterns of an optional argument and of required ones."""
+    return rf"(?:\[(?:[^\[\]{{}}]+{more}|\{{{nested(2, more)}\}})*{more}\])?{more}", rf"(?:\{{{nested(3, more)}\}})*{more}"
+
+
+VERBATIM = (
+    r"\\(?:verb|lstinline)\*?(?:\|[^|\n]*\||![^!\n]*!|\+[^+\n]*\+)|\\lstinline\{[^{}\n]*\}"
+    r"|\\begin\{(?:verbatim|lstlisting)\*?\}(?s:.*?)\\end\{(?:verbatim|lstlisting)\*?\}"
+)
+MASKED = "∖"  # what a backslash becomes where it starts no macro
+#: Each match: what stays, what is masked, what stays.
+VERBATIM_RUN = rf"([^\\]*)(?:({VERBATIM})|(\\[\\%]|\\)|\z)"
+COMMENT_RUN = r"([^\\%]*)(?:(%[^\n]*)|(\\[\\%]|\\)|\z)"
+
+
+def _masked(text: Column, run: str) -> Column:
+    a, b, c = (F.regexp_extract_all(text, F.lit(run), F.lit(i)) for i in (1, 2, 3))
+    parts = F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c")), lambda x: F.concat(x.a, F.replace(x.b, F.lit("\\"), F.lit(MASKED)), x.c))
+    return F.array_join(parts, "")
+
+
+def mask_verbatim(text: Column) -> Column:
+    """Contents of verbatim macros and environments stay as text: their backslashes no longer start macros. No place moves."""
+    return _masked(text, VERBATIM_RUN)
+
+
+def mask_comments(text: Column) -> Column:
+    """Comments hold no macros; no place moves. An escaped ``%`` starts none."""
+    return _masked(text, COMMENT_RUN)
 
 
 def macros(sources: DataFrame) -> DataFrame:
-    """``(path, pos, name, oarg, rarg)`` in document order."""
-    group = lambda i: F.regexp_extract_all("text", F.lit(MACRO), F.lit(i))
-    zipped = F.arrays_zip(group(1).alias("name"), group(2).alias("oarg"), group(3).alias("rarg"))
-    return sources.select("path", F.posexplode(zipped).alias("pos", "x")).select("path", F.col("pos").cast("long").alias("pos"), "x.name", "x.oarg", "x.rarg")
+    """``(path, pos, name, oarg, rarg, lead)`` in document order, macros inside arguments included; ``lead`` is the length of
+    the text between the macro's backslash and the name before it. Verbatim text and comments hold none."""
+    optional, required = macro_parts("+")
+    head = rf"([^\\]*+(?:\\(?![A-Za-z])[^\\]*+)*+)\\([A-Za-z]++\*?+)(?=({optional})({required}))"
+    clean = sources.select("path", mask_comments(mask_verbatim(F.col("text"))).alias("clean"))
+    group = lambda i: F.regexp_extract_all("clean", F.lit(head), F.lit(i))
+    zipped = F.arrays_zip(F.transform(group(1), F.length).alias("lead"), group(2).alias("name"), group(3).alias("oarg"), group(4).alias("rarg"))
+    return clean.select("path", F.posexplode(zipped).alias("pos", "x")).select("path", F.col("pos").cast("long").alias("pos"), "x.name", "x.oarg", "x.rarg", "x.lead")
+
+
+def with_offsets(m: DataFrame) -> DataFrame:
+    """``macros`` plus ``place``, the 0-based offset of each backslash in its text."""
+    size = F.col("lead") + F.length("name") + 1
+    ends = F.sum(size).over(W.partitionBy("path").orderBy("pos"))
+    return m.withColumn("place", ends - F.length("name") - 1)
 
 
 def arguments(m: DataFrame) -> DataFrame:
-    """``macros`` plus ``rargs``, the required arguments, and ``parts``, the optional ones."""
-    inner = F.split(F.regexp_replace("oarg", r"^\[|\]$", ""), ",")
-    return m.select("*", F.regexp_extract_all("rarg", F.lit(r"\{([^{}]*)\}"), F.lit(1)).alias("rargs"), F.filter(inner, lambda x: x != "").alias("parts"))
+    """``macros`` plus ``rargs``, the required arguments, and ``parts``, the optional ones; braces protect what is inside them."""
+    inner = F.substring("oarg", F.lit(2), F.length("oarg") - 2)
+    piece = rf"((?:[^,{{}}]++|\{{{nested(2, '+')}\}})++)"
+    return m.select("*", F.regexp_extract_all("rarg", F.lit(rf"\{{({nested(3, '+')})\}}"), F.lit(1)).alias("rargs"), F.regexp_extract_all(inner, F.lit(piece), F.lit(1)).alias("parts"))
 
 
 def named(parts: Column, key: str) -> Column:
@@ -39,58 +100,153 @@ def unnamed(parts: Column) -> Column:
     return F.filter(parts, lambda x: ~x.contains("="))
 
 
-def modules(args: DataFrame) -> DataFrame:
-    own = args.filter((F.col("name") == "begin") & F.get("rargs", F.lit(0)).isin(*MODULE_ENVS))
-    return own.select("path", "pos", F.get("rargs", F.lit(1)).alias("module"), F.get("rargs", F.lit(0)).alias("module_type"))
+def noverb_languages(parts: Column) -> Column:
+    """Languages of ``noverb=de`` or ``noverb={de,en}``, in order; none without."""
+    return F.array_sort(F.coalesce(F.split(F.regexp_replace(named(parts, "noverb"), r"^\{|\}$", ""), ","), F.expr("cast(array() as array<string>)")))
+
+
+def regions(args: DataFrame, envs: DataFrame) -> DataFrame:
+    """Environments that name modules: ``(path, begin_pos, end_pos, env, kind, module, lang, access, source, target)``.
+
+    ``kind`` is module, binding, view or structure; a view over a signature is a module as well. A module without a name is private
+    and goes by ``path#pos``.
+    """
+    own = args.filter("name = 'begin'").select("path", F.col("pos").alias("begin_pos"), "rargs", "parts")
+    e = envs.select("path", "begin_pos", F.coalesce("end_pos", F.lit(END)).alias("end_pos"), "env", "depth")
+    kind = F.when(F.col("env").isin(*MODULE_ENVS), "module").when(F.col("env").isin(*BINDING_ENVS), "binding").when(F.col("env").isin(*VIEW_ENVS), "view").when(F.col("env").isin(*STRUCTURE_ENVS), "structure")
+    r = own.join(e, ["path", "begin_pos"]).withColumn("kind", kind).filter("kind IS NOT NULL")
+    arg = lambda i: F.get("rargs", F.lit(i))
+    nameless = F.concat("path", F.lit("#"), F.col("begin_pos").cast("string"))
+    module = F.when(F.col("env").isin("module", "module*", "smentry"), F.coalesce(named(F.col("parts"), "id"), nameless)).when(F.col("kind").isin("module", "binding"), arg(1))
+    view = F.col("env").isin(*VIEW_ENVS)
+    from_end = lambda i: F.when(view, F.try_element_at("rargs", F.lit(i)))
+    return r.select(
+        "path", "begin_pos", "end_pos", "env", "depth", "kind", module.alias("module"), F.when(F.col("kind") == "binding", arg(2)).alias("lang"),
+        F.when(F.col("env").isin("module", "module*", "smentry") & named(F.col("parts"), "id").isNull(), PRIVATE).otherwise(0).alias("access"),
+        F.when(F.col("env") == "gviewsig", arg(2)).otherwise(from_end(-2)).alias("source"), F.when(F.col("env") == "gviewsig", arg(3)).otherwise(from_end(-1)).alias("target"),
+        F.when(F.col("kind") == "structure", arg(2)).alias("structure"),
+    )
+
+
+def modules(found: DataFrame) -> DataFrame:
+    """Of ``regions``: ``(path, pos, module, module_type, access)``."""
+    return found.filter("kind = 'module'").select("path", F.col("begin_pos").alias("pos"), "module", F.col("env").alias("module_type"), "access")
+
+
+def bindings(found: DataFrame) -> DataFrame:
+    """Of ``regions``: ``(path, pos, module, lang)``; a binding depends on its signature, see ``dependencies``."""
+    return found.filter("kind = 'binding'").select("path", F.col("begin_pos").alias("pos"), "module", "lang")
 
 
-def bindings(args: DataFrame) -> DataFrame:
-    own = args.filter((F.col("name") == "begin") & F.get("rargs", F.lit(0)).isin(*BINDING_ENVS))
-    return own.select("path", "pos", F.get("rargs", F.lit(1)).alias("module"), F.get("rargs", F.lit(2)).alias("lang"))
+def placed(args: DataFrame, found: DataFrame) -> DataFrame:
+    """``args`` plus the nearest region around each: ``around`` (its kind), ``env``, ``module``, ``lang``, ``source``, ``target``, null outside all.
+
+    A file's regions are few beside its macros, so the range join within a path stays small.
+    """
+    r = found.select(F.col("path").alias("r_path"), "begin_pos", "end_pos", F.col("kind").alias("around"), "env", "module", "lang", "source", "target")
+    inside = (F.col("path") == F.col("r_path")) & (F.col("begin_pos") < F.col("pos")) & (F.col("end_pos") > F.col("pos"))
+    hit = args.select("path", "pos").join(r, inside)
+    near = hit.groupBy("path", "pos").agg(F.max(F.struct("begin_pos", "around", "env", "module", "lang", "source", "target")).alias("x"))
+    return args.join(near.select("path", "pos", "x.around", "x.env", "x.module", "x.lang", "x.source", "x.target"), ["path", "pos"], "left")
 
 
 def symbol_name(name: Column, rargs: Column, parts: Column) -> Column:
-    """``name=`` wins; definitions take their first argument; else the arguments joined, without the shown form of an ``a`` variant."""
-    shown = name.rlike("^a(tref|def)")
+    """``name=`` wins; symbol definitions take their first argument; else the arguments joined, without the shown form of an ``a`` variant."""
+    shown = name.rlike("^m?am?([dDtT]ref|[dD]ef)")
     joined = F.array_join(F.when(shown, F.slice(rargs, 2, 99)).otherwise(rargs), "-")
-    return F.coalesce(named(parts, "name"), F.when(name.isin("symdef", "vardef"), F.get(rargs, F.lit(0))).otherwise(joined))
-
+    return F.coalesce(named(parts, "name"), F.when(name.rlike(r"^(sym|var)def\*?$"), F.get(rargs, F.lit(0))).otherwise(joined))
 
-def symbols(args: DataFrame, mods: DataFrame) -> DataFrame:
-    m = mods.select(F.col("path").alias("m_path"), F.col("pos").alias("m_pos"), "module")
-    own = args.filter(F.col("name").rlike(SYMBOL)).join(m, (F.col("path") == F.col("m_path")) & (F.col("m_pos") < F.col("pos")))
-    name = symbol_name(F.col("name"), F.col("rargs"), F.col("parts"))
-    kind = F.when(F.col("name").startswith("sym") & (F.col("name") != "symdef"), "sym").otherwise("symdef")
-    return own.select("path", "module", "pos", name.alias("name"), kind.alias("def_type"), F.array_contains("parts", "noverb").alias("noverb"))
 
+def symbols(own: DataFrame) -> DataFrame:
+    """Of ``placed``: ``(path, module, module_type, pos, name, def_type, noverb, noverbs)``: symbol macros in a module, and there definitions and ``drefi``."""
+    n = F.col("name")
+    kind = F.when(n.rlike(SYM), "sym").when(n.rlike(SYMBOL), "symdef").when(n.rlike(DEFINITION), "def").when(n.rlike("^[ma]*[dD]ref"), "dref")
+    inside = own.filter((F.col("around") == "module") & (n.rlike(SYMBOL) | n.rlike(DEFINITION) | n.rlike(r"^[ma]*[dD]ref[ivx]+s?\*?$")))
+    return inside.select("path", "module", F.col("env").alias("module_type"), "pos", symbol_name(n, F.col("rargs"), F.col("parts")).alias("name"), kind.alias("def_type"), F.array_contains("parts", "noverb").alias("noverb"), noverb_languages(F.col("parts")).alias("noverbs"))
 
-def dependencies(args: DataFrame) -> DataFrame:
-    own = args.filter(F.col("name").isin(*IMPORTS))
-    return own.select("path", "pos", F.get("rargs", F.lit(0)).alias("module"), F.col("name").alias("macro"), F.col("name").isin(*EXPORTED).alias("export"))
 
+def references(own: DataFrame) -> DataFrame:
+    """Of ``placed``: ``(path, pos, macro, target, module, symbol, scope)``: ``module?symbol`` split, the rest from the arguments.
 
-def references(args: DataFrame) -> DataFrame:
-    """``(path, pos, macro, target, module, symbol)``: ``module?symbol`` split, the rest from the arguments."""
-    own = args.filter(F.col("name").rlike(REFERENCE)).withColumn("target", F.coalesce(F.get(unnamed(F.col("parts")), F.lit(0)), F.lit("")))
+    ``trefi`` and ``drefi``; definitions outside modules, which mean the binding's module; assignments in views, with the view's
+    source or target as the module. ``scope`` is the module or binding around, which ``module`` means where it is null.
+    """
+    n = F.col("name")
+    t = own.filter(n.rlike(REFERENCE)).withColumn("target", F.coalesce(F.get(unnamed(F.col("parts")), F.lit(0)), F.lit("")))
     both = F.col("target").contains("?")
     module = F.when(both, F.nullif(F.substring_index("target", "?", 1), F.lit(""))).otherwise(F.nullif("target", F.lit("")))
     given = F.when(both, F.nullif(F.substring_index("target", "?", -1), F.lit("")))
-    return own.select("path", "pos", F.col("name").alias("macro"), "target", module.alias("module"), F.coalesce(given, symbol_name(F.col("name"), F.col("rargs"), F.lit(None).cast("array<string>"))).alias("symbol"))
+    refs = t.select("path", "pos", n.alias("macro"), "target", module.alias("m"), F.coalesce(given, symbol_name(n, F.col("rargs"), F.col("parts"))).alias("symbol"), F.col("module").alias("scope"))
+    none = F.lit("")
+    d = own.filter(n.rlike(DEFINITION) & (F.col("around") == "binding"))
+    defs = d.select("path", "pos", n.alias("macro"), none.alias("target"), F.col("module").alias("m"), symbol_name(n, F.col("rargs"), F.col("parts")).alias("symbol"), F.col("module").alias("scope"))
+    a = own.filter(n.rlike(ASSIGNMENT) & F.col("source").isNotNull()).withColumn("first", F.get("rargs", F.lit(0)))
+    split = F.col("first").contains("?")
+    sources = a.select("path", "pos", n.alias("macro"), F.col("first").alias("target"), F.when(split, F.substring_index("first", "?", 1)).otherwise(F.col("source")).alias("m"), F.when(split, F.substring_index("first", "?", -1)).otherwise(F.col("first")).alias("symbol"), F.col("module").alias("scope"))
+    targets = a.filter(n.startswith("v")).select("path", "pos", n.alias("macro"), none.alias("target"), F.col("target").alias("m"), F.get("rargs", F.lit(1)).alias("symbol"), F.col("module").alias("scope"))
+    return refs.union(defs).union(sources).union(targets).withColumnRenamed("m", "module").select("path", "pos", "macro", "target", "module", "symbol", "scope")
+
+
+def import_hint(path: Column, name: Column, module: Column, parts: Column, root: str = "/hub") -> Column:
+    """File that an import means. ``load``: below the root; ``mhrepos`` and ``dir`` or ``path``: in that repository's sources, or the
+    file's own; an import with none of them: the same file; ``gimport``: the repository's sources, or the same folder."""
+    repo = F.coalesce(named(parts, "mhrepos"), named(parts, "repos"))
+    source = F.when(repo.isNotNull(), F.concat(F.lit(f"{root}/"), repo, F.lit("/source"))).otherwise(F.regexp_extract(path, r"^(.*/source)/", 1))
+    load, folder, file = named(parts, "load"), named(parts, "dir"), named(parts, "path")
+    plain = (
+        F.when(load.isNotNull(), F.concat(F.lit(f"{root}/"), load, F.lit("/"), module, F.lit(".tex"))).when(folder.isNotNull(), F.concat(source, F.lit("/"), folder, F.lit("/"), module, F.lit(".tex")))
+        .when(file.isNotNull(), F.concat(source, F.lit("/"), file, F.lit(".tex"))).when(repo.isNull(), path)
+    )
+    given = F.get(unnamed(parts), F.lit(0))
+    beside = F.when(given.isNotNull(), F.concat(F.lit(f"{root}/"), given, F.lit("/source"))).otherwise(F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
+    return F.when(name.rlike(GIMPORTS), F.concat(beside, F.lit("/"), module, F.lit(".tex"))).otherwise(plain)
+
+
+def import_error(name: Column, parts: Column) -> Column:
+    """Why an import's arguments can't stand together, or null."""
+    has = lambda k: named(parts, k).isNotNull()
+    repo = has("mhrepos") | has("repos")
+    mh = (
+        F.when(has("dir") & has("path"), "dir and path").when(repo & ~(has("dir") | has("path")), "mhrepos without dir or path").when(has("load"), "load not allowed")
+    )
+    plain = F.when(repo | has("dir") | has("path"), "mhrepos, dir or path not allowed").when(~has("load"), "load missing")
+    return F.when(name.rlike(r"^(import|use)mhmodule\*?$"), mh).when(name.rlike(r"^(import|use)module\*?$"), plain)
+
+
+def dependencies(own: DataFrame, found: DataFrame) -> DataFrame:
+    """``(path, pos, module, macro, export, quiet, hint, scope_begin, scope_end)``: imports, a binding's signature, a structure's
+    module, a view's source and target. Quiet ones are implied and never reported as redundant."""
+    n, arg = F.col("name"), F.get("rargs", F.lit(0))
+    imports = own.filter(n.rlike(IMPORTS)).select("path", "pos", arg.alias("module"), n.alias("macro"), n.contains("import").alias("export"), F.lit(False).alias("quiet"), import_hint(F.col("path"), n, arg, F.col("parts")).alias("hint"))
+    beside = lambda m: F.concat(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit("/"), m, F.lit(".tex"))
+    implied = lambda kind, m: found.filter(kind & m.isNotNull()).select("path", F.col("begin_pos").alias("pos"), m.alias("module"), F.col("env").alias("macro"), F.lit(True).alias("export"), F.lit(True).alias("quiet"), beside(m).alias("hint"))
+    view = F.col("env").isin(*VIEW_ENVS)
+    return (
+        imports.union(implied(F.col("kind") == "binding", F.col("module"))).union(implied(F.col("kind") == "structure", F.col("structure")))
+        .union(implied(view, F.col("source"))).union(implied(view, F.col("target")))
+    )
 
 
 def arity(name: Column) -> Column:
     """Arguments that a macro's roman suffix asks for, one more with the ``a`` variant; null without a suffix."""
-    suffix = F.regexp_extract(name, r"(?:sym|def|tref|Def|Tref)([ivx]+)s?\*?$", 1)
+    suffix = F.regexp_extract(name, r"(?:sym|def|tref|dref|Def|Tref|Dref)([ivx]+)s?\*?$", 1)
     table = F.create_map(*(F.lit(v) for i, r in enumerate(ROMAN, 1) for v in (r, i)))
-    return F.when(suffix != "", F.element_at(table, suffix) + F.when(name.startswith("a"), 1).otherwise(0))
+    return F.when(suffix != "", F.element_at(table, suffix) + F.when(name.rlike("^m?am?[dDtT]"), 1).otherwise(0))
 
 
 def kinds(args: DataFrame) -> DataFrame:
     """``(path, pos, name, kind, n_args, wanted, arity_error)``."""
     n = F.col("name")
     kind = (
-        F.when(n.isin("begin", "end"), "environment").when(n.isin(*IMPORTS), "import").when(n.rlike(SYMBOL), "symbol")
-        .when(n.rlike(REFERENCE), "reference").when(n.rlike("^[ma]?[dD]ef(i|ii|iii|iv)s?$"), "definition").otherwise("other")
+        F.when(n.isin("begin", "end"), "environment").when(n.rlike(IMPORTS), "import").when(n.rlike(SYMBOL), "symbol")
+        .when(n.rlike(REFERENCE), "reference").when(n.rlike(DEFINITION), "definition").when(n.rlike(ASSIGNMENT), "assignment").otherwise("other")
     )
     got, want = F.size("rargs"), arity(n)
     return args.select("path", "pos", "name", kind.alias("kind"), got.alias("n_args"), want.alias("wanted"), F.coalesce(got != want, F.lit(False)).alias("arity_error"))
+
+
+def displayed(name: Column, rargs: Column) -> Column:
+    """What a reference or definition shows: its own text for an ``a`` variant, else its arguments; capital for ``D`` and ``T``; ``s`` at the end for plurals."""
+    own = F.when(name.rlike("^m?am?[dDtT]"), F.get(rargs, F.lit(0))).otherwise(F.array_join(rargs, " "))
+    own = F.when(name.rlike("^[ma]*[DT]"), F.concat(F.upper(F.substring(own, 1, 1)), F.substring(own, F.lit(2), F.length(own)))).otherwise(own)
+    return F.when(name.rlike(r"[ivx]s\*?$"), F.concat(own, F.lit("s"))).otherwise(own)

@@ -50,24 +50,25 @@ def repositories(wanted: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def modules_in(wanted: DataFrame, modules: DataFrame) -> DataFrame:
-    """``(repository, fragment, module)`` for ``wanted(path, repository, fragment)``; the file's own repository where none is given."""
-    own = F.coalesce("repository", F.regexp_extract("path", "([^/]+)/source/", 1))
-    return prefix_join(wanted.select(own.alias("repository"), "fragment").distinct(), modules.select("repository", "module").distinct(), "module", ("repository",))
+    """``(place, fragment, module)`` for ``wanted(path, repository, fragment)``: modules of the repository, or of the file's own folder where none is
+    given. ``modules(path, repository, module)``."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    own = wanted.select(F.coalesce("repository", folder).alias("place"), "fragment").distinct()
+    known = modules.select(F.col("repository").alias("place"), "module").union(modules.select(folder, "module")).distinct()
+    return prefix_join(own, known, "module", ("place",))
 
 
 def matching(wanted: DataFrame, candidates: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Candidates that agree with every given constraint; a null in ``wanted`` asks for nothing.
+    """Candidates that agree with every given constraint; a null in ``wanted`` asks for nothing, so a row of nulls gets all.
 
-    One equi-join for each pattern of given columns; constraints that give none are left out.
+    One equi-join for each pattern of given columns; of rows without constraints one stands for all, so its join adds constants.
     """
     parts = []
+    right = candidates.select(*(F.col(c).alias(f"k_{c}") for c in candidates.columns))
     for given in product((False, True), repeat=len(columns)):
         on = [c for c, g in zip(columns, given) if g]
-        if not on:
-            continue
-        rows = wanted.filter(reduce(Column.__and__, [F.col(c).isNotNull() if g else F.col(c).isNull() for c, g in zip(columns, given)]))
-        right = candidates.select(*(F.col(c).alias(f"k_{c}") for c in candidates.columns))
-        parts.append(rows.join(right, reduce(Column.__and__, [F.col(c) == F.col(f"k_{c}") for c in on])))
+        rows = wanted.select(*columns).distinct().filter(reduce(Column.__and__, [F.col(c).isNotNull() if g else F.col(c).isNull() for c, g in zip(columns, given)]))
+        parts.append(rows.join(right, reduce(Column.__and__, [F.col(c) == F.col(f"k_{c}") for c in on])) if on else right.join(F.broadcast(rows), F.lit(True)).select(*columns, *right.columns))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -102,6 +103,6 @@ def contexts(args: DataFrame) -> DataFrame:
 def kind_of(macro: Column) -> Column:
     """The keyword table's kind of a macro."""
     return (
-        F.when(macro.isin("begin", "end"), "environment").when(macro.isin(*markup.IMPORTS), "import")
-        .when(macro.rlike(markup.SYMBOL), "symbol").when(macro.rlike("^a?defi"), "definition").otherwise("other")
+        F.when(macro.isin("begin", "end"), "environment").when(macro.rlike(markup.IMPORTS), "import")
+        .when(macro.rlike(markup.SYMBOL), "symbol").when(macro.rlike(markup.DEFINITION), "definition").otherwise("other")
     )

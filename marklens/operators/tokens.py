@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+(?:'s)?|[!$%&()\-'.?,:;\"|]"
-MATH = r"\$\$[^$]*\$\$|\$[^$]*\$|\\\([^()]*\\\)|\\\[[^\[\]]*\\\]"
+# fixed values: environments whose contents are math
+MATH_ENVS = ("align", "alignat", "displaymath", "eqnarray", "equation", "gather", "math", "multline")
+MATH = r"\$\$[^$]*\$\$|\$[^$]*\$|\\\([^()]*\\\)|\\\[[^\[\]]*\\\]|" + "|".join(rf"\\begin\{{{e}\*?\}}(?s:.*?)\\end\{{{e}\*?\}}" for e in MATH_ENVS)
 
 
 def words(docs: DataFrame, key: str, text: Column, pattern: str = WORD) -> DataFrame:
@@ -24,11 +26,6 @@ def mask_math(text: Column) -> Column:
     return F.regexp_replace(text, MATH, " <math> ")
 
 
-def keep_verbatim(text: Column) -> Column:
-    """Contents of verbatim macros stay as text: their backslashes no longer start macros."""
-    return F.regexp_replace(text, r"\\(?:verb|lstinline)\|([^|]*)\|", "$1")
-
-
 def drop_structural(tokens: DataFrame, key: str = "doc_id", pattern: str = r"^[\s!$%&()\-'.?,:;\"|]+$") -> DataFrame:
     """Tokens that aren't white space or structure, numbered anew in each document."""
     kept = tokens.filter(~F.col("token").rlike(pattern))
@@ -42,6 +39,11 @@ def line_and_character(text: Column, offset: Column) -> tuple[Column, Column]:
     return line, F.length(F.substring_index(before, "\n", -1))
 
 
+def text_at(text: Column, begin: Column, end: Column) -> Column:
+    """The characters from offset ``begin`` up to ``end``, both 0-based; what lies past the text is left out."""
+    return F.substring(text, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+
+
 def german(text: Column) -> Column:
     """Escaped umlauts and sharp s as letters."""
     for a, b in (('\\"a', "ä"), ('\\"o', "ö"), ('\\"u', "ü"), ('\\"A', "Ä"), ('\\"O', "Ö"), ('\\"U', "Ü"), ("\\ss", "ß")):

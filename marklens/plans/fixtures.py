@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklens.operators import markup, tokens
+from marklens.sources.shared import write_table
 
 TEX_SQL = """
 WITH w AS (
-  SELECT doc_id AS d, source, lang, n_chars,
+  SELECT doc_id AS d, source, lang, n_chars, replace(coalesce(text, ''), chr(92), '/') AS body,
          regexp_extract(lower(text), '([a-z]{3,})', 1) AS w1,
          regexp_extract(lower(text), '[a-z]{3,}[^a-z]+([a-z]{3,})', 1) AS w2,
          CAST(floor(doc_id / 2) AS BIGINT) AS t1,
@@ -27,6 +28,8 @@ SELECT d AS doc_id, concat('/hub/', source, '/source/m', d, '.tex') AS path, lan
          CASE WHEN d % 9 = 0 THEN concat(s,'symi{', a, '}', nl) ELSE '' END,
          s,'symii{', a, '}{', b, '}', nl,
          CASE WHEN d % 6 = 0 THEN concat(s,'symdef[noverb]{', b, '-v}', nl) ELSE '' END,
+         CASE WHEN d % 4 = 1 THEN concat(s,'symii[noverb={', lang, ',xx}]{', b, '}{', a, '}', nl) ELSE '' END,
+         CASE WHEN d % 12 = 0 THEN concat(s,'symdef{', b, '-v}', nl) ELSE '' END,
          s,'end{modsig}', nl) AS text
 FROM v
 UNION ALL
@@ -39,9 +42,25 @@ SELECT d, concat('/hub/', source, '/source/m', d, '.', lang, '.tex'), lang, 'bin
          s,'trefi[m', t1, '?', a, ']{', b, '} ', s, 'atrefi[m', t2, ']{shown}{', a, '}', nl,
          CASE WHEN d % 7 = 0 THEN concat(s,'end{omtext}', nl) ELSE '' END,
          CASE WHEN d % 11 = 0 THEN concat(s,'mtrefi{', a, '}', nl) ELSE '' END,
+         CASE WHEN d % 8 = 0 THEN concat(s,'trefi[m', d, '?', b, '-v]{', b, '} ', s, 'Trefiis[m', d, '?', b, '-', a, ']{', b, '}{', a, '}', nl) ELSE '' END,
          CASE WHEN d % 17 = 0 THEN concat(s,'begin{example}', nl) ELSE '' END,
-         s,'end{mhmodnl}', nl)
+         body, nl, s,'end{mhmodnl}', nl)
 FROM v
+UNION ALL
+SELECT d, concat('/hub/', source, '/source/n', d, '.tex'), lang, 'mono',
+  concat(s,'begin{module}', CASE WHEN d % 10 = 5 THEN '' ELSE concat('[id=n', d, ']') END, nl,
+         s,'importmhmodule[mhrepos=src', t1 % 20, ',dir=d]{m', t1, '}', nl,
+         CASE WHEN d % 15 = 0 THEN concat(s,'importmhmodule[dir=d,path=p]{m0}', nl, s,'gimport[', source, ']{m', t1, '}', nl, s,'gimport{m', d, '}', nl) ELSE '' END,
+         CASE WHEN d % 25 = 0 THEN concat(s,'usemodule{m0}', nl, s,'begin{omtext}', nl, s,'usemodule[load=x]{m', t1, '}', nl, s,'end{omtext}', nl) ELSE '' END,
+         s,'adefi[name=', a, ']{shown ', s,'emph{', a, '}}{', b, '} ', s,'defii{', a, '}{', b, '} ', s,'drefi{', b, '}', nl,
+         s,'verb|', s,'defi{no}| ', s,'begin{verbatim}', nl, s,'symi{no}', nl, s,'end{verbatim} 100', s,'% % ', s,'defi{no}', nl,
+         s,'symdef[noverb={de,en}]{', a, '-n}', nl, s,'Trefis{', a, '} ', s,'symi{', b, '} ', s,'defiii{', a, '}{', b, '}', nl,
+         s,'begin{align*}x & y', s,s,' 1', nl, s,'end{align*} ', s,'ss ', s,'"a', nl,
+         s,'end{module}', nl,
+         s,'begin{gviewsig}{v', d, '}{m', d, '}{m', t1, '}', nl, s,'tassign{', a, '}{', b, '} ', s,'vassign{m', t2, '?', b, '}{', a, '}', nl, s,'end{gviewsig}', nl,
+         s,'begin{gstructure}{g', d, '}{m', t1, '}', nl, s,'end{gstructure}', nl,
+         CASE WHEN d % 20 = 0 THEN concat(s,'tassign{', a, '}{', b, '} ', s,'symi{', a, '}', nl) ELSE '' END)
+FROM v WHERE d % 5 = 0
 """
 
 TOKENS_SQL = """
@@ -52,14 +71,29 @@ FROM (SELECT doc_id, unnest(a) AS tok, generate_subscripts(a, 1) - 1 AS pos
       FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a FROM documents))
 """
 
-_P = r"\\([A-Za-z]+\*?)((?:\[[^\[\]]*\])?)((?:\{[^{}]*\})*)"
+def _q(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _run_sql(text: str, run: str) -> str:
+    a, b, c = (f"regexp_extract_all({text}, {_q(run)}, {i})" for i in (1, 2, 3))
+    return f"array_to_string(list_transform(list_zip({a}, {b}, {c}), lambda x: x[1] || coalesce(replace(x[2], chr(92), '{markup.MASKED}'), '') || coalesce(x[3], '')), '')"
+
+
+VERBATIM_SQL = f"SELECT path, {_run_sql('text', markup.VERBATIM_RUN)} AS text FROM tex_sources"
+_O, _R = markup.macro_parts()
+#: Every backslash with all that follows it; a macro's parts stand at the front.
 MACROS_SQL = f"""
-SELECT path, unnest(n) AS name, unnest(o) AS oarg, unnest(r) AS rarg, generate_subscripts(n, 1) - 1 AS pos
-FROM (SELECT path, regexp_extract_all(text, '{_P}', 1) AS n, regexp_extract_all(text, '{_P}', 2) AS o, regexp_extract_all(text, '{_P}', 3) AS r FROM tex_sources)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY place) - 1 AS pos, regexp_extract(rest, '^.([A-Za-z]+[*]?)', 1) AS name,
+ regexp_extract(rest, {_q(rf'^.[A-Za-z]+[*]?({_O})')}, 1) AS oarg, regexp_extract(rest, {_q(rf'^.[A-Za-z]+[*]?{_O}({_R})')}, 1) AS rarg, place
+FROM (SELECT path, chr(92) || array_to_string(p[i:], chr(92)) AS rest, length(array_to_string(p[:i - 1], chr(92))) AS place
+      FROM (SELECT path, string_split({_run_sql('text', markup.COMMENT_RUN)}, chr(92)) AS p FROM verbatim), unnest(range(2, len(p) + 1)) AS t(i))
+WHERE regexp_matches(rest, '^.[A-Za-z]')
 """
-ARGS_SQL = r"""
-SELECT path, pos, name, oarg, rarg, regexp_extract_all(rarg, '\{([^{}]*)\}', 1) AS rargs,
- list_filter(string_split(regexp_replace(oarg, '^\[|\]$', '', 'g'), ','), lambda x: x <> '') AS parts
+ARGS_SQL = f"""
+SELECT path, pos, name, oarg, rarg, place, regexp_extract_all(rarg, {_q(rf'{chr(92)}{{({markup.nested(3)}){chr(92)}}}')}, 1) AS rargs,
+ regexp_extract_all(substr(oarg, 2, greatest(length(oarg) - 2, 0)), {_q(rf'((?:[^,{{}}]+|{chr(92)}{{{markup.nested(2)}{chr(92)}}})+)')}, 1) AS parts
 FROM macros
 """
 EDITS_SQL = """
@@ -70,24 +104,80 @@ FILES_SQL = """
 SELECT doc_id, path, kind, lang, text, CAST(octet_length(encode(text)) AS BIGINT) AS size,
  TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS mtime FROM tex_sources
 """
-MODULES_SQL = "SELECT path, pos, rargs[2] AS module, rargs[1] AS module_type FROM args WHERE name = 'begin' AND rargs[1] IN ('modsig', 'module', 'module*', 'gviewsig')"
-BINDINGS_SQL = "SELECT path, pos, rargs[2] AS module, rargs[3] AS lang FROM args WHERE name = 'begin' AND rargs[1] IN ('mhmodnl', 'modnl', 'gviewnl')"
-SYMBOLS_SQL = """
-SELECT a.path, m.module, a.pos, CASE WHEN a.name IN ('symdef', 'vardef') THEN a.rargs[1] ELSE array_to_string(a.rargs, '-') END AS name,
- CASE WHEN a.name LIKE 'sym%' AND a.name <> 'symdef' THEN 'sym' ELSE 'symdef' END AS def_type, list_contains(a.parts, 'noverb') AS noverb
-FROM args a JOIN modules m ON a.path = m.path AND m.pos < a.pos WHERE regexp_matches(a.name, '^(sym(i|ii|iii|iv)|symdef|vardef)\\*?$')
-""".replace("\\\\", "\\")
-DEPS_SQL = """
-SELECT path, pos, rargs[1] AS module, name AS macro, name IN ('gimport', 'importmodule', 'importmhmodule') AS export FROM args
-WHERE name IN ('gimport', 'guse', 'importmodule', 'usemodule', 'importmhmodule', 'usemhmodule')
+ENVS_SQL = """
+SELECT a.path, a.env, a.pos AS begin_pos, z.pos AS end_pos, z.env AS end_env, CAST(a.depth AS INT) AS depth FROM env_steps a
+LEFT JOIN env_steps z ON a.path = z.path AND a.depth = z.depth AND a.nth = z.nth AND z.step = -1 WHERE a.step = 1
+"""
+ENV_STEPS_SQL = """
+SELECT *, row_number() OVER (PARTITION BY path, depth, step ORDER BY pos) AS nth
+FROM (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY pos) + (step = -1)::INT AS depth
+      FROM (SELECT path, pos, CASE WHEN name = 'begin' THEN 1 ELSE -1 END AS step, rargs[1] AS env FROM args WHERE name IN ('begin', 'end')))
+"""
+
+
+def opt(key: str, parts: str = "parts") -> str:
+    """Value of ``key=`` among optional arguments."""
+    return f"list_filter({parts}, lambda x: starts_with(x, '{key}='))[1][{len(key) + 2}:]"
+
+
+REGIONS_SQL = f"""
+SELECT path, begin_pos, end_pos, env, depth, kind, lang, source, target, structure,
+ CASE WHEN env IN ('module', 'module*', 'smentry') THEN coalesce(id, path || '#' || begin_pos) WHEN kind IN ('module', 'binding') THEN rargs[2] END AS module,
+ CASE WHEN env IN ('module', 'module*', 'smentry') AND id IS NULL THEN 3 ELSE 0 END AS access
+FROM (SELECT e.path, e.begin_pos, coalesce(e.end_pos, 1099511627776) AS end_pos, e.env, e.depth, a.rargs, {opt('id')} AS id,
+   CASE WHEN e.env IN ('modsig', 'module', 'module*', 'smentry', 'gviewsig') THEN 'module' WHEN e.env IN ('mhmodnl', 'modnl', 'gviewnl') THEN 'binding'
+    WHEN e.env IN ('mhview', 'mhviewnl') THEN 'view' WHEN e.env IN ('gstructure', 'gstructure*') THEN 'structure' END AS kind,
+   CASE WHEN e.env IN ('mhmodnl', 'modnl', 'gviewnl') THEN a.rargs[3] END AS lang,
+   CASE WHEN e.env = 'gviewsig' THEN a.rargs[3] WHEN e.env IN ('gviewnl', 'mhview', 'mhviewnl') THEN a.rargs[-2] END AS source,
+   CASE WHEN e.env = 'gviewsig' THEN a.rargs[4] WHEN e.env IN ('gviewnl', 'mhview', 'mhviewnl') THEN a.rargs[-1] END AS target,
+   CASE WHEN e.env IN ('gstructure', 'gstructure*') THEN a.rargs[3] END AS structure
+  FROM envs e JOIN args a ON a.path = e.path AND a.pos = e.begin_pos) WHERE kind IS NOT NULL
+"""
+MODULES_SQL = "SELECT path, begin_pos AS pos, module, env AS module_type, access FROM regions WHERE kind = 'module'"
+BINDINGS_SQL = "SELECT path, begin_pos AS pos, module, lang FROM regions WHERE kind = 'binding'"
+PLACED_SQL = """
+SELECT a.*, n.around, n.env, n.module, n.lang, n.source, n.target FROM args a LEFT JOIN
+ (SELECT a.path, a.pos, r.kind AS around, r.env, r.module, r.lang, r.source, r.target FROM args a JOIN regions r ON a.path = r.path AND r.begin_pos < a.pos AND r.end_pos > a.pos
+  QUALIFY row_number() OVER (PARTITION BY a.path, a.pos ORDER BY r.begin_pos DESC) = 1) n USING (path, pos)
+"""
+_NAME = f"coalesce({opt('name')}, CASE WHEN regexp_matches(name, '^(sym|var)def[*]?$') THEN rargs[1] WHEN regexp_matches(name, '^m?am?([dDtT]ref|[dD]ef)') THEN array_to_string(rargs[2:], '-') ELSE array_to_string(rargs, '-') END)"
+SYMBOLS_SQL = f"""
+SELECT path, module, env AS module_type, pos, {_NAME} AS name,
+ CASE WHEN regexp_matches(name, '^sym[ivx]+[*]?$') THEN 'sym' WHEN regexp_matches(name, '^(sym|var)def[*]?$') THEN 'symdef' WHEN regexp_matches(name, '^[ma]*[dD]ef') THEN 'def' ELSE 'dref' END AS def_type,
+ list_contains(parts, 'noverb') AS noverb, coalesce(list_sort(string_split(regexp_replace({opt('noverb')}, '^[{{]|[}}]$', '', 'g'), ',')), []) AS noverbs
+FROM placed WHERE around = 'module' AND regexp_matches(name, '^(sym[ivx]+|symdef|vardef|[ma]*[dD]ef[ivx]+s?|[ma]*[dD]ref[ivx]+s?)[*]?$')
+"""
+_REPO = f"coalesce({opt('mhrepos')}, {opt('repos')})"
+_HINT = f"""CASE WHEN regexp_matches(name, '^g(import|use)[*]?$') THEN
+  coalesce('/hub/' || list_filter(parts, lambda x: NOT contains(x, '='))[1] || '/source', regexp_extract(path, '^(.*)/[^/]*$', 1)) || '/' || rargs[1] || '.tex'
+ WHEN {opt('load')} IS NOT NULL THEN '/hub/' || {opt('load')} || '/' || rargs[1] || '.tex'
+ WHEN {opt('dir')} IS NOT NULL THEN coalesce('/hub/' || {_REPO} || '/source', regexp_extract(path, '^(.*/source)/', 1)) || '/' || {opt('dir')} || '/' || rargs[1] || '.tex'
+ WHEN {opt('path')} IS NOT NULL THEN coalesce('/hub/' || {_REPO} || '/source', regexp_extract(path, '^(.*/source)/', 1)) || '/' || {opt('path')} || '.tex'
+ WHEN {_REPO} IS NULL THEN path END"""
+_BESIDE = "regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || {0} || '.tex'"
+IMPORT = "regexp_matches(name, '^(g(import|use)|(import|use)(mh)?module)[*]?$')"
+DEPS_SQL = f"""
+SELECT path, pos, rargs[1] AS module, name AS macro, contains(name, 'import') AS export, false AS quiet, {_HINT} AS hint FROM args WHERE {IMPORT}
+UNION ALL SELECT path, begin_pos, m, env, true, true, {_BESIDE.format('m')} FROM
+ (SELECT path, begin_pos, env, module AS m FROM regions WHERE kind = 'binding' UNION ALL SELECT path, begin_pos, env, structure FROM regions
+  UNION ALL SELECT path, begin_pos, env, source FROM regions UNION ALL SELECT path, begin_pos, env, target FROM regions) WHERE m IS NOT NULL
 """
-REFS_SQL = r"""
-SELECT path, pos, macro, target, CASE WHEN target LIKE '%?%' THEN nullif(split_part(target, '?', 1), '') ELSE nullif(target, '') END AS module,
- coalesce(CASE WHEN target LIKE '%?%' THEN nullif(split_part(target, '?', 2), '') END, array_to_string(CASE WHEN macro LIKE 'a%' THEN rargs[2:] ELSE rargs END, '-')) AS symbol
-FROM (SELECT path, pos, name AS macro, coalesce(list_filter(parts, lambda x: x NOT LIKE '%=%')[1], '') AS target, rargs FROM args WHERE regexp_matches(name, '^[ma]?[Tt]ref(i|ii|iii|iv)s?$'))
+REFS_SQL = f"""
+SELECT path, pos, name AS macro, t AS target, CASE WHEN contains(t, '?') THEN nullif(split_part(t, '?', 1), '') ELSE nullif(t, '') END AS module,
+ coalesce(CASE WHEN contains(t, '?') THEN nullif(split_part(t, '?', 2), '') END, {_NAME}) AS symbol, module AS scope
+FROM (SELECT *, coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], '') AS t FROM placed WHERE regexp_matches(name, '^[ma]*[dDtT]ref[ivx]+s?[*]?$'))
+UNION ALL SELECT path, pos, name, '', module, {_NAME}, module FROM placed WHERE around = 'binding' AND regexp_matches(name, '^[ma]*[dD]ef[ivx]+s?[*]?$')
+UNION ALL SELECT path, pos, name, rargs[1], CASE WHEN contains(rargs[1], '?') THEN split_part(rargs[1], '?', 1) ELSE source END, CASE WHEN contains(rargs[1], '?') THEN split_part(rargs[1], '?', 2) ELSE rargs[1] END, module
+ FROM placed WHERE source IS NOT NULL AND regexp_matches(name, '^[tv]assign[*]?$')
+UNION ALL SELECT path, pos, name, '', target, rargs[2], module FROM placed WHERE source IS NOT NULL AND regexp_matches(name, '^vassign[*]?$')
 """
 
-_VIEWS = {"tex_sources": (TEX_SQL, ()), "tokens": (TOKENS_SQL, ()), "macros": (MACROS_SQL, ("tex_sources",)), "args": (ARGS_SQL, ("macros",)), "edits": (EDITS_SQL, ()), "files": (FILES_SQL, ("tex_sources",)), "modules": (MODULES_SQL, ("args",)), "bindings": (BINDINGS_SQL, ("args",)), "symbols": (SYMBOLS_SQL, ("args", "modules")), "deps": (DEPS_SQL, ("args",)), "refs": (REFS_SQL, ("args",))}
+_VIEWS = {
+    "tex_sources": (TEX_SQL, ()), "tokens": (TOKENS_SQL, ()), "verbatim": (VERBATIM_SQL, ("tex_sources",)), "macros": (MACROS_SQL, ("verbatim",)), "args": (ARGS_SQL, ("macros",)),
+    "env_steps": (ENV_STEPS_SQL, ("args",)), "envs": (ENVS_SQL, ("env_steps",)), "regions": (REGIONS_SQL, ("envs",)), "placed": (PLACED_SQL, ("regions",)),
+    "edits": (EDITS_SQL, ()), "files": (FILES_SQL, ("tex_sources",)), "modules": (MODULES_SQL, ("regions",)), "bindings": (BINDINGS_SQL, ("regions",)),
+    "symbols": (SYMBOLS_SQL, ("placed",)), "deps": (DEPS_SQL, ("regions",)), "refs": (REFS_SQL, ("placed",)),
+}
 
 
 def with_views(*names: str, recursive: bool = False) -> str:
@@ -110,6 +200,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._args: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -138,23 +229,37 @@ class Tables:
         return markup.macros(self.tex_sources())
 
     def args(self) -> DataFrame:
-        return markup.arguments(self.macros())
+        return markup.arguments(self.macros()) if self._args is None else self._args
+
+    def written(self) -> Tables:
+        """The same, with the macro table written once: for queries with many branches over it."""
+        if self._args is None:
+            self._args = write_table(markup.with_offsets(self.args()), "macros")
+        return self
+
+    def envs(self) -> DataFrame:
+        return tokens.environments(self.args())
+
+    def regions(self) -> DataFrame:
+        return markup.regions(self.args(), self.envs())
+
+    def placed(self) -> DataFrame:
+        return markup.placed(self.args(), self.regions())
 
     def modules(self) -> DataFrame:
-        return markup.modules(self.args())
+        return markup.modules(self.regions())
 
     def bindings(self) -> DataFrame:
-        return markup.bindings(self.args())
+        return markup.bindings(self.regions())
 
     def symbols(self) -> DataFrame:
-        a = self.args()
-        return markup.symbols(a, markup.modules(a))
+        return markup.symbols(self.placed())
 
     def deps(self) -> DataFrame:
-        return markup.dependencies(self.args())
+        return markup.dependencies(self.args(), self.regions())
 
     def refs(self) -> DataFrame:
-        return markup.references(self.args())
+        return markup.references(self.placed())
 
     def edits(self) -> DataFrame:
         return self._sql(EDITS_SQL, "events")

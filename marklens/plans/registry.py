@@ -11,7 +11,7 @@ from marklens.operators import checks, evaluate, features, link, markup, tokens
 from marklens.sources import ingest
 from marklens.streaming import edits as editing
 
-from .fixtures import Tables, with_views
+from .fixtures import IMPORT, Tables, opt, with_views
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -44,7 +44,7 @@ ALL = with_views("modules", "symbols", "deps", "refs")
 
 def _flagship(t: Tables) -> DataFrame:
     tok = t.tokens()
-    out = features.tfidf(tok, features.idf(tok), order=None).select("doc_id", "token", F.round("tfidf", 9).alias("tfidf")).distinct()
+    out = features.tfidf_terms(tok, features.idf(tok), order=None).select("doc_id", "token", F.round("tfidf", 9).alias("tfidf"))
     best = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tfidf"), "token"))
     return out.withColumn("nth", best.cast("long")).filter("nth <= 20")
 
@@ -71,6 +71,9 @@ _add("f7_chi_square", lambda t: features.chi_square(t.tokens()).select("doc_id",
      _CHI + " SELECT doc_id, pos, round(coalesce((c - w / n) ** 2 / nullif(w / n, 0), 0) + coalesce((l - c - (total - w) / n) ** 2 / nullif((total - w) / n, 0), 0), 4) AS chi2 FROM t JOIN w USING (token), n, s")
 _add("f8_chi_square_leave_one_out", lambda t: features.chi_square_leave_one_out(t.tokens()).select("doc_id", "pos", *_r("chi2", n=4)),
      _CHI + " SELECT doc_id, pos, round(CASE WHEN w - c > 0 THEN coalesce((c - (w - c) / (n - 1)) ** 2 / nullif((w - c) / (n - 1), 0), 0) + coalesce((l - c - (total - l) / (n - 1)) ** 2 / nullif((total - l) / (n - 1), 0), 0) ELSE 0 END, 4) AS chi2 FROM t JOIN w USING (token), n, s")
+_CHI_NORM = """, x AS (SELECT doc_id, pos, coalesce((c - w / n) ** 2 / nullif(w / n, 0), 0) + coalesce((l - c - (total - w) / n) ** 2 / nullif((total - w) / n, 0), 0) AS v FROM t JOIN w USING (token), n, s)
+SELECT doc_id, pos, round(coalesce(v / nullif(sum(abs(v)) OVER (PARTITION BY doc_id), 0), 0), 6) AS chi2 FROM x"""
+_add("f7_chi_square_normalised", lambda t: features.chi_square(t.tokens(), 1).select("doc_id", "pos", *_r("chi2")), _CHI + _CHI_NORM)
 _KEY = TOK + ", k AS (SELECT token, count(*) FILTER (label <> 0) AS kf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY token)"
 _add("f9_keyphraseness", lambda t: features.keyphraseness(t.tokens()).select("token", "kf", "df", *_r("keyphraseness")), _KEY + " SELECT token, kf, df, round(kf / df, 6) AS keyphraseness FROM k")
 _add("f10_keyphraseness_transform", lambda t: features.keyphraseness_transform(tok := t.tokens(), features.keyphraseness(tok.filter("doc_id % 10 < 7"))).select("doc_id", "pos", *_r("keyphraseness")),
@@ -81,7 +84,7 @@ _VOC = TOK + ", v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, m
 _add("f12_vocabulary", lambda t: features.vocabulary(t.tokens()), _VOC + " SELECT token, index FROM v")
 _add("f13_encode", lambda t: features.encode(tok := t.tokens(), features.vocabulary(tok)).select("doc_id", "pos", "index"), _VOC + " SELECT doc_id, pos, index FROM tokens JOIN v USING (token)")
 _add("f13_unknown", lambda t: features.unknown(tok := t.tokens(), features.vocabulary(tok.filter("doc_id % 10 < 7"))).select("doc_id", "pos", "token"),
-     TOK + " SELECT doc_id, pos, token FROM tokens WHERE token NOT IN (SELECT token FROM tokens WHERE doc_id % 10 < 7)")
+     TOK + ", k AS (SELECT DISTINCT token FROM tokens WHERE doc_id % 10 < 7) SELECT doc_id, pos, token FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.token = t.token)")
 _add("f14_decode", lambda t: features.decode(features.encode(tok := t.tokens(), v := features.vocabulary(tok)), v).select("doc_id", "pos", "token"), TOK + " SELECT doc_id, pos, token FROM tokens")
 
 
@@ -98,7 +101,11 @@ def _sum():
 
 _add("f15_embed_zero", lambda t: features.embed(t.tokens(), _words(t), 64).select("doc_id", "pos", _sum()), _EMB + " SELECT doc_id, pos, round(coalesce(list_sum(CAST(vec AS DOUBLE[])), 0), 4) AS total FROM tokens LEFT JOIN e USING (token)")
 _add("f15_embed_drop", lambda t: features.embed(t.tokens(), _words(t), 64, "drop").select("doc_id", "pos", _sum()), _EMB + " SELECT doc_id, pos, round(list_sum(CAST(vec AS DOUBLE[])), 4) AS total FROM tokens JOIN e USING (token)")
-_add("f15_embed_random", lambda t: features.embed(t.tokens(), _words(t), 64, "random").select("doc_id", "pos", _sum()))
+_add("f15_embed_random", lambda t: features.embed(t.tokens(), _words(t), 64, "random").select("doc_id", "pos", _sum()),
+     with_views("tokens", recursive=True) + """, e AS (SELECT CAST(vec_id AS VARCHAR) AS token, embedding AS vec FROM embeddings),
+ r AS (SELECT 1 AS i, CAST(12345 AS BIGINT) AS x UNION ALL SELECT i + 1, (1103515245 * x + 12345) % 2147483648 FROM r WHERE i < 64),
+ u AS (SELECT sum(CAST(CAST(x / 1073741824 - 1 AS FLOAT) AS DOUBLE)) AS other FROM r)
+SELECT doc_id, pos, round(coalesce(list_sum(CAST(vec AS DOUBLE[])), other), 4) AS total FROM tokens LEFT JOIN e USING (token), u""")
 _add("f16_moments", lambda t: features.moments(t.table("embeddings"), "embedding").select(*_r("mean", "std")),
      "SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")
 _add("f18_vocabulary_cut", lambda t: features.vocabulary(t.tokens()).filter("index <= 1000"), _VOC + " SELECT token, index FROM v WHERE index <= 1000")
@@ -158,8 +165,16 @@ _add("e7_score_table", lambda t: evaluate.score_table(evaluate.class_scores(_pai
 
 _TEX = with_views("tex_sources")
 _add("t1_strip_comments", lambda t: t.tex_sources().select("path", tokens.strip_comments(F.col("text")).alias("text")), _TEX + r" SELECT path, regexp_replace(text, '(^|[^\\])%[^\n]*', '\1', 'g') AS text FROM tex_sources")
-_add("t2_mask_math", lambda t: t.tex_sources().select("path", tokens.mask_math(F.col("text")).alias("text")), _TEX + r" SELECT path, regexp_replace(text, '\$\$[^$]*\$\$|\$[^$]*\$|\\\([^()]*\\\)|\\\[[^\[\]]*\\\]', ' <math> ', 'g') AS text FROM tex_sources")
-_add("t3_verbatim", lambda t: t.tex_sources().select("path", tokens.keep_verbatim(F.replace("text", F.lit("\\defi"), F.lit("\\verb|\\defi|"))).alias("text")), _TEX + " SELECT path, replace(text, chr(92) || 'defi', chr(92) || 'defi') AS text FROM tex_sources")
+_MATH_SQL = tokens.MATH.replace("'", "''")
+_add("t2_mask_math", lambda t: t.tex_sources().select("path", tokens.mask_math(F.col("text")).alias("text")), _TEX + f" SELECT path, regexp_replace(text, '{_MATH_SQL}', ' <math> ', 'g') AS text FROM tex_sources")
+_add(
+    "t3_verbatim",
+    lambda t: t.tex_sources().filter("kind = 'mono'").select("path", markup.mask_verbatim(F.col("text")).alias("text")),
+    # what is verbatim in this fixture, by its own text
+    _TEX + """ SELECT path, replace(replace(text, chr(92) || 'verb|' || chr(92) || 'defi{no}|', '∖verb|∖defi{no}|'),
+ concat(chr(92), 'begin{verbatim}', chr(10), chr(92), 'symi{no}', chr(10), chr(92), 'end{verbatim}'), concat('∖begin{verbatim}', chr(10), '∖symi{no}', chr(10), '∖end{verbatim}')) AS text
+FROM tex_sources WHERE kind = 'mono'""",
+)
 _W = r"WITH x AS (SELECT doc_id, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+(?:''s)?|[!$%&()\-''.?,:;" + '"' + r"|]') AS a FROM documents))"
 _add("t4_words", lambda t: tokens.words(t.table("documents"), "doc_id", F.col("text")).withColumn("pos", F.col("pos").cast("long")), _W + " SELECT doc_id, pos, token FROM x")
 _add("t5_drop_structural", lambda t: tokens.drop_structural(tokens.words(t.table("documents"), "doc_id", F.col("text"))), _W + r" SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, token FROM x WHERE NOT regexp_matches(token, '^[!$%&()\-''.?,:;" + '"' + "|]+$')")
@@ -173,50 +188,109 @@ def _lc(t: Tables) -> DataFrame:
 
 
 _add("t7_line_and_character", _lc, _TEX + ", x AS (SELECT path, text, unnest([0, 9, 25, length(text) - 1]) AS off FROM tex_sources), y AS (SELECT path, off, substr(text, 1, off) AS b FROM x) SELECT path, CAST(off AS BIGINT) AS off, CAST(length(b) - length(replace(b, chr(10), '')) AS BIGINT) AS line, CAST(length(string_split(b, chr(10))[-1]) AS BIGINT) AS character FROM y")
-_add("t8_text_at_range", lambda t: t.tex_sources().select("path", F.substring("text", F.lit(6), F.lit(20)).alias("piece")), _TEX + " SELECT path, substr(text, 6, 20) AS piece FROM tex_sources")
-_ENV = ARGS + ", g AS (SELECT path, pos, CASE WHEN name = 'begin' THEN 1 ELSE -1 END AS step, rargs[1] AS env FROM args WHERE name IN ('begin', 'end')), h AS (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY pos) + (step = -1)::INT AS depth FROM g), i AS (SELECT *, row_number() OVER (PARTITION BY path, depth, step ORDER BY pos) AS nth FROM h), envs AS (SELECT a.path, a.env, a.pos AS begin_pos, z.pos AS end_pos, z.env AS end_env, CAST(a.depth AS INT) AS depth FROM i a LEFT JOIN i z ON a.path = z.path AND a.depth = z.depth AND a.nth = z.nth AND z.step = -1 WHERE a.step = 1)"
+def _pieces(t: Tables) -> DataFrame:
+    ranges = t.tex_sources().select("path", "text", F.explode(F.array(F.struct(F.lit(5).alias("begin"), F.lit(25).alias("end")), F.struct(F.lit(40).alias("begin"), F.length("text").alias("end")))).alias("r"))
+    return ranges.select("path", "r.begin", tokens.text_at(F.col("text"), F.col("r.begin"), F.col("r.end")).alias("piece"))
+
+
+_add("t8_text_at_range", _pieces, _TEX + " SELECT path, 5 AS begin, substr(text, 6, 20) AS piece FROM tex_sources UNION ALL SELECT path, 40, substr(text, 41) FROM tex_sources")
+_ENV = with_views("envs")
 _add("t9_enclosing", lambda t: tokens.enclosing(t.args().filter("name NOT IN ('begin', 'end')"), tokens.environments(t.args())).select("path", "pos", F.array_join("envs", ">").alias("envs")),
      _ENV + " SELECT a.path, a.pos, coalesce(string_agg(e.env, '>' ORDER BY e.begin_pos), '') AS envs FROM args a LEFT JOIN envs e ON a.path = e.path AND e.begin_pos < a.pos AND coalesce(e.end_pos, 1099511627776) > a.pos WHERE a.name NOT IN ('begin', 'end') GROUP BY a.path, a.pos")
 _add("t10_outermost", lambda t: tokens.outermost(tokens.environments(t.args()), "^(mhmodnl|omtext)$").select("path", "env", "begin_pos"),
      _ENV + ", m AS (SELECT * FROM envs WHERE env IN ('mhmodnl', 'omtext')) SELECT path, env, begin_pos FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.path = m.path AND o.begin_pos < m.begin_pos AND coalesce(o.end_pos, 1099511627776) > m.begin_pos)")
 _add("t11_balance", lambda t: tokens.unbalanced(tokens.environments(t.args())).select("path", "env", "begin_pos", "end_env"), _ENV + " SELECT path, env, begin_pos, end_env FROM envs WHERE end_pos IS NULL OR env <> end_env")
-_add("t12_german", lambda t: t.table("documents").select("doc_id", tokens.german(F.replace("text", F.lit("ä"), F.lit('\\"a'))).alias("text")), "SELECT doc_id, text FROM documents")
+def _escaped() -> list[tuple[str, str]]:
+    return [(chr(92) + '"' + a, b) for a, b in zip("aouAOU", "äöüÄÖÜ")] + [(chr(92) + "ss", "ß")]
+
+
+_GERMAN = "text"
+for _a, _b in _escaped():
+    _GERMAN = f"replace({_GERMAN}, '{_a}', '{_b}')"
+_add("t12_german", lambda t: t.tex_sources().select("path", tokens.german(F.col("text")).alias("text")), _TEX + f" SELECT path, {_GERMAN} AS text FROM tex_sources")
 
 # --- X: markup -----------------------------------------------------------------------------------
 
-_add("x1_macros", lambda t: t.macros(), with_views("macros") + " SELECT path, pos, name, oarg, rarg FROM macros")
-_add("x2_arguments", lambda t: t.args().select("path", "pos", F.array_join("rargs", "|").alias("rargs"), F.array_join(markup.unnamed(F.col("parts")), "|").alias("plain"), markup.named(F.col("parts"), "load").alias("load")),
-     ARGS + " SELECT path, pos, array_to_string(rargs, '|') AS rargs, array_to_string(list_filter(parts, lambda x: NOT contains(x, '=')), '|') AS plain, list_filter(parts, lambda x: starts_with(x, 'load='))[1][6:] AS load FROM args")
-_add("x3_kinds", lambda t: markup.kinds(t.args()).groupBy("kind", "arity_error").agg(F.count("*").alias("n")),
-     ARGS + ", k AS (SELECT *, CASE WHEN name IN ('begin', 'end') THEN 'environment' WHEN name IN ('gimport', 'guse', 'importmodule', 'usemodule', 'importmhmodule', 'usemhmodule') THEN 'import' WHEN regexp_matches(name, '^(sym(i|ii|iii|iv)|symdef|vardef)\\*?$') THEN 'symbol' WHEN regexp_matches(name, '^[ma]?[Tt]ref(i|ii|iii|iv)s?$') THEN 'reference' WHEN regexp_matches(name, '^[ma]?[dD]ef(i|ii|iii|iv)s?$') THEN 'definition' ELSE 'other' END AS kind, regexp_extract(name, '(?:sym|def|tref|Def|Tref)([ivx]+)s?\\*?$', 1) AS sfx FROM args) SELECT kind, sfx <> '' AND len(rargs) <> list_position(['i','ii','iii','iv'], sfx) + (name LIKE 'a%')::INT AS arity_error, count(*) AS n FROM k GROUP BY ALL".replace("\\\\", "\\"))
-_add("x4_modules", lambda t: t.modules(), MODS + " SELECT path, pos, module, module_type FROM modules")
+_PLACED = with_views("placed")
+_SUFFIX = "regexp_extract(name, '(?:sym|def|tref|dref|Def|Tref|Dref)([ivx]+)s?[*]?$', 1)"
+_ROMAN = "['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii']"
+_WANTED = f"list_position({_ROMAN}, {_SUFFIX}) + regexp_matches(name, '^m?am?[dDtT]')::INT"
+_add("x1_macros", lambda t: markup.with_offsets(t.macros()).select("path", "pos", "name", "oarg", "rarg", "place"), with_views("macros") + " SELECT path, pos, name, oarg, rarg, place FROM macros")
+_add(
+    "x2_arguments",
+    lambda t: t.args().select("path", "pos", F.array_join("rargs", "|").alias("rargs"), F.array_join(markup.unnamed(F.col("parts")), "|").alias("plain"), markup.named(F.col("parts"), "load").alias("load"), markup.named(F.col("parts"), "noverb").alias("noverb")),
+    ARGS + f" SELECT path, pos, array_to_string(rargs, '|') AS rargs, array_to_string(list_filter(parts, lambda x: NOT contains(x, '=')), '|') AS plain, {opt('load')} AS load, {opt('noverb')} AS noverb FROM args",
+)
+_add(
+    "x3_kinds",
+    lambda t: markup.kinds(t.args()).groupBy("kind", "arity_error").agg(F.count("*").alias("n")),
+    ARGS + f""", k AS (SELECT *, CASE WHEN name IN ('begin', 'end') THEN 'environment' WHEN {IMPORT} THEN 'import' WHEN regexp_matches(name, '^(sym[ivx]+|symdef|vardef)[*]?$') THEN 'symbol'
+ WHEN regexp_matches(name, '^[ma]*[dDtT]ref[ivx]+s?[*]?$') THEN 'reference' WHEN regexp_matches(name, '^[ma]*[dD]ef[ivx]+s?[*]?$') THEN 'definition' WHEN regexp_matches(name, '^[tv]assign[*]?$') THEN 'assignment' ELSE 'other' END AS kind FROM args)
+SELECT kind, coalesce({_SUFFIX} <> '' AND len(rargs) <> {_WANTED}, false) AS arity_error, count(*) AS n FROM k GROUP BY ALL""",
+)
+_add("x4_modules", lambda t: t.modules(), MODS + " SELECT path, pos, module, module_type, access FROM modules")
 _add("x5_bindings", lambda t: t.bindings(), with_views("bindings") + " SELECT path, pos, module, lang FROM bindings")
-_add("x6_symbols", lambda t: t.symbols(), SYMS + " SELECT path, module, pos, name, def_type, noverb FROM symbols")
-_add("x7_references", lambda t: t.refs(), REFS + " SELECT path, pos, macro, target, module, symbol FROM refs")
-_add("x8_dependencies", lambda t: t.deps(), DEPS + " SELECT path, pos, module, macro, export FROM deps")
-_add("x9_scopes", lambda t: tokens.environments(t.args()).filter(F.col("env").isin("omtext", "nomtext", "example", "omgroup", "frame")).select("path", "env", "begin_pos", "end_pos"), _ENV + " SELECT path, env, begin_pos, end_pos FROM envs WHERE env IN ('omtext', 'nomtext', 'example', 'omgroup', 'frame')")
-_add("x10_symbol_names", lambda t: t.args().filter(F.col("name").rlike("^a?trefii?$")).select("path", "pos", markup.symbol_name(F.col("name"), F.col("rargs"), F.col("parts")).alias("symbol")),
-     ARGS + " SELECT path, pos, array_to_string(CASE WHEN name LIKE 'a%' THEN rargs[2:] ELSE rargs END, '-') AS symbol FROM args WHERE regexp_matches(name, '^a?trefii?$')")
+_add(
+    "x5_implied_signature",
+    lambda t: t.deps().filter("quiet AND macro = 'mhmodnl'").select("path", "pos", "module", "hint"),
+    with_views("bindings") + " SELECT path, pos, module, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || module || '.tex' AS hint FROM bindings",
+)
+_LANGS = "array_to_string(noverbs, ',') AS noverbs"
+_add(
+    "x6_symbols",
+    lambda t: t.symbols().select("path", "module", "pos", "name", "def_type", "noverb", F.array_join("noverbs", ",").alias("noverbs")),
+    SYMS + f" SELECT path, module, pos, name, def_type, noverb, {_LANGS} FROM symbols",
+)
+_add("x7_references", lambda t: t.refs(), REFS + " SELECT path, pos, macro, target, module, symbol, scope FROM refs")
+_add("x8_dependencies", lambda t: t.deps().select("path", "pos", "module", "macro", "export", "quiet"), DEPS + " SELECT path, pos, module, macro, export, quiet FROM deps")
+_add("x9_scopes", lambda t: t.envs().filter(F.col("env").isin(*markup.SCOPE_ENVS)).select("path", "env", "begin_pos", "end_pos"), _ENV + " SELECT path, env, begin_pos, end_pos FROM envs WHERE env IN ('omtext', 'nomtext', 'example', 'omgroup', 'frame')")
+_add(
+    "x10_symbol_names",
+    lambda t: t.args().filter(F.col("name").rlike("^(a?tref|a?def)ii?$")).select("path", "pos", markup.symbol_name(F.col("name"), F.col("rargs"), F.col("parts")).alias("symbol")),
+    ARGS + f" SELECT path, pos, coalesce({opt('name')}, array_to_string(CASE WHEN name LIKE 'a%' THEN rargs[2:] ELSE rargs END, '-')) AS symbol FROM args WHERE regexp_matches(name, '^(a?tref|a?def)ii?$')",
+)
 _add("x11_targets", lambda t: t.refs().select("path", "pos", "module", "symbol").filter("module IS NOT NULL"), REFS + " SELECT path, pos, module, symbol FROM refs WHERE module IS NOT NULL")
-_add("x12_noverb", lambda t: t.symbols().filter("noverb").select("path", "name"), SYMS + " SELECT path, name FROM symbols WHERE noverb")
-_add("x13_import_paths", lambda t: t.args().filter(F.col("name").isin(*markup.IMPORTS)).select("path", "pos", F.coalesce(F.concat(F.lit("/hub/"), markup.named(F.col("parts"), "load"), F.lit("/"), F.get("rargs", F.lit(0)), F.lit(".tex")), F.concat(F.lit("/hub/"), F.coalesce(F.get(markup.unnamed(F.col("parts")), F.lit(0)), markup.named(F.col("parts"), "repos")), F.lit("/source/"), F.get("rargs", F.lit(0)), F.lit(".tex"))).alias("hint")),
-     ARGS + " SELECT path, pos, coalesce('/hub/' || list_filter(parts, lambda x: starts_with(x, 'load='))[1][6:] || '/' || rargs[1] || '.tex', '/hub/' || coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], list_filter(parts, lambda x: starts_with(x, 'repos='))[1][7:]) || '/source/' || rargs[1] || '.tex') AS hint FROM args WHERE name IN ('gimport', 'guse', 'importmodule', 'usemodule', 'importmhmodule', 'usemhmodule')")
-_add("x14_import_validation", lambda t: t.args().filter(F.col("name").isin(*markup.IMPORTS) & F.exists("parts", lambda x: x.startswith("dir=")) & F.exists("parts", lambda x: x.startswith("repos=") | x.startswith("load="))).select("path", "pos"),
-     ARGS + " SELECT path, pos FROM args WHERE name IN ('gimport', 'guse', 'importmodule', 'usemodule', 'importmhmodule', 'usemhmodule') AND len(list_filter(parts, lambda x: starts_with(x, 'dir='))) > 0 AND len(list_filter(parts, lambda x: starts_with(x, 'repos=') OR starts_with(x, 'load='))) > 0")
-_add("x15_displayed", lambda t: t.args().filter(F.col("name").rlike("^a?trefi")).select("path", "pos", F.when(F.col("name").startswith("a"), F.get("rargs", F.lit(0))).otherwise(F.array_join("rargs", " ")).alias("shown")),
-     ARGS + " SELECT path, pos, CASE WHEN name LIKE 'a%' THEN rargs[1] ELSE array_to_string(rargs, ' ') END AS shown FROM args WHERE regexp_matches(name, '^a?trefi')")
+_add(
+    "x12_noverb",
+    lambda t: t.symbols().filter(F.col("noverb") | (F.size("noverbs") > 0)).select("path", "name", "noverb", F.array_join("noverbs", ",").alias("noverbs")),
+    SYMS + f" SELECT path, name, noverb, {_LANGS} FROM symbols WHERE noverb OR len(noverbs) > 0",
+)
+_add("x13_import_paths", lambda t: t.deps().select("path", "pos", "module", "hint"), DEPS + " SELECT path, pos, module, hint FROM deps")
+_ERROR = f"""CASE WHEN regexp_matches(name, '^(import|use)mhmodule[*]?$') THEN CASE WHEN {opt('dir')} IS NOT NULL AND {opt('path')} IS NOT NULL THEN 'dir and path'
+  WHEN coalesce({opt('mhrepos')}, {opt('repos')}) IS NOT NULL AND {opt('dir')} IS NULL AND {opt('path')} IS NULL THEN 'mhrepos without dir or path' WHEN {opt('load')} IS NOT NULL THEN 'load not allowed' END
+ WHEN regexp_matches(name, '^(import|use)module[*]?$') THEN CASE WHEN coalesce({opt('mhrepos')}, {opt('repos')}, {opt('dir')}, {opt('path')}) IS NOT NULL THEN 'mhrepos, dir or path not allowed' WHEN {opt('load')} IS NULL THEN 'load missing' END END"""
+_add(
+    "x14_import_validation",
+    lambda t: t.args().select("path", "pos", markup.import_error(F.col("name"), F.col("parts")).alias("why")).filter("why IS NOT NULL"),
+    ARGS + f" SELECT * FROM (SELECT path, pos, {_ERROR} AS why FROM args) WHERE why IS NOT NULL",
+)
+_add(
+    "x15_displayed",
+    lambda t: t.args().filter(F.col("name").rlike(markup.REFERENCE) | F.col("name").rlike(markup.DEFINITION)).select("path", "pos", markup.displayed(F.col("name"), F.col("rargs")).alias("shown")),
+    ARGS + """, d AS (SELECT path, pos, name, CASE WHEN regexp_matches(name, '^m?am?[dDtT]') THEN rargs[1] ELSE array_to_string(rargs, ' ') END AS own FROM args WHERE regexp_matches(name, '^[ma]*([dDtT]ref|[dD]ef)[ivx]+s?[*]?$'))
+SELECT path, pos, CASE WHEN regexp_matches(name, '^[ma]*[DT]') THEN upper(own[1]) || own[2:] ELSE own END || CASE WHEN regexp_matches(name, '[ivx]s[*]?$') THEN 's' ELSE '' END AS shown FROM d""",
+)
 
 # --- L: linking ----------------------------------------------------------------------------------
 
 _add("l1_type_masks", lambda t: t.table("events").select("event_id", link.contained(F.col("event_id").bitwiseAND(3), F.col("user_id").bitwiseAND(7)).alias("inside"), link.overlaps(F.col("event_id").bitwiseAND(3), F.col("user_id").bitwiseAND(7)).alias("meets")),
      "SELECT event_id, (user_id & 7) & (event_id & 3) = (event_id & 3) AS inside, (user_id & 7) & (event_id & 3) <> 0 AS meets FROM events".replace("(user_id & 7) & (event_id & 3)", "((user_id & 7) & (event_id & 3))"))
-_add("l2_duplicate_symbols", lambda t: link.duplicate_symbols(t.symbols()).select("path", "pos", "name", "first_pos"), SYMS + " SELECT path, pos, name, first_pos FROM (SELECT *, row_number() OVER w AS nth, first_value(pos) OVER w AS first_pos FROM symbols WINDOW w AS (PARTITION BY path, module, name, def_type ORDER BY pos)) WHERE nth > 1")
-_add("l3_invalid_redefinition", lambda t: link.invalid_redefinitions(s := t.symbols().withColumn("name", F.regexp_replace("name", "-.*$", ""))).select("path", "pos", "name", "first_pos"),
-     SYMS + ", s AS (SELECT path, module, pos, regexp_replace(name, '-.*$', '') AS name, def_type, noverb FROM symbols), f AS (SELECT *, first_value(pos) OVER w AS first_pos, first_value(def_type) OVER w AS d, first_value(noverb) OVER w AS v FROM s WINDOW w AS (PARTITION BY path, module, name ORDER BY pos)) SELECT path, pos, name, first_pos FROM f WHERE d <> def_type OR v <> noverb")
-_add("l4_redundant_imports", lambda t: link.redundant_imports(t.deps().withColumn("module", F.substring("module", 1, 2))).select("path", "pos", "module", "first_pos"), DEPS + ", d AS (SELECT path, pos, substr(module, 1, 2) AS module FROM deps) SELECT path, pos, module, first_pos FROM (SELECT *, row_number() OVER w AS nth, first_value(pos) OVER w AS first_pos FROM d WINDOW w AS (PARTITION BY path, module ORDER BY pos)) WHERE nth > 1")
-_L5 = with_views("deps", "modules") + ", f AS (SELECT module, count(*) AS n_files, min(path) AS provider FROM modules GROUP BY module)"
-_add("l5_module_resolution", lambda t: link.resolve_modules(t.deps(), t.modules()).select("path", "pos", "module", "n_files", "provider", "status"), _L5 + " SELECT d.path, pos, module, coalesce(n_files, 0) AS n_files, provider, CASE WHEN n_files IS NULL THEN 'undefined-module-not-exported' WHEN n_files = 1 THEN 'ok' ELSE 'unique-dependency-name-check' END AS status FROM deps d LEFT JOIN f USING (module)")
-_add("l6_file_not_found", lambda t: link.files_not_found(t.deps(), t.modules()).select("path", "pos", "module"), _L5 + " SELECT path, pos, module FROM deps WHERE module NOT IN (SELECT module FROM modules)")
+_AGAIN = "(def_type IN ('symdef', 'dref') OR (def_type = 'def' AND module_type IN ('module', 'module*', 'smentry')))"
+_DUP = f"SELECT path, pos, module, name, first_pos FROM (SELECT *, row_number() OVER w AS nth, first_value(pos) OVER w AS first_pos FROM symbols WINDOW w AS (PARTITION BY path, module, name, def_type ORDER BY pos)) WHERE nth > 1 AND NOT {_AGAIN}"
+_REDEF = f"""SELECT path, pos, module, name, first_pos FROM (SELECT *, first_value(pos) OVER w AS first_pos, first_value(def_type) OVER w AS d, first_value(noverb) OVER w AS v, first_value(array_to_string(noverbs, ',')) OVER w AS vs
+ FROM symbols WINDOW w AS (PARTITION BY path, module, name ORDER BY pos)) WHERE (d <> def_type OR v <> noverb OR vs <> array_to_string(noverbs, ',')) AND {_AGAIN}"""
+_add("l2_duplicate_symbols", lambda t: link.duplicate_symbols(t.symbols()).select("path", "pos", "name", "first_pos"), SYMS + f" SELECT path, pos, name, first_pos FROM ({_DUP})")
+_add("l3_invalid_redefinition", lambda t: link.invalid_redefinitions(t.symbols()).select("path", "pos", "name", "first_pos"), SYMS + f" SELECT path, pos, name, first_pos FROM ({_REDEF})")
+_REDUNDANT = """SELECT d.path, d.pos, d.module, min(b.pos) AS first_pos FROM deps d JOIN (SELECT x.path, x.module, x.pos, coalesce(max(begin_pos), -1) AS b, coalesce(arg_max(coalesce(end_pos, 1099511627776), begin_pos), 1099511627776) AS f
+  FROM deps x LEFT JOIN envs e ON e.path = x.path AND begin_pos < x.pos AND coalesce(end_pos, 1099511627776) > x.pos GROUP BY ALL) b
+ ON b.path = d.path AND b.module = d.module AND b.pos < d.pos AND b.b < d.pos AND b.f > d.pos WHERE NOT d.quiet GROUP BY ALL"""
+_add("l4_redundant_imports", lambda t: link.redundant_imports(t.deps(), t.envs()).select("path", "pos", "module", "first_pos"), DEPS + f" SELECT path, pos, module, first_pos FROM ({_REDUNDANT})")
+_L5 = with_views("deps", "modules")
+_STATUS = """SELECT d.*, coalesce(n, 0) AS n_modules, CASE WHEN NOT EXISTS (SELECT 1 FROM tex_sources t WHERE t.path = d.hint) THEN 'file-not-found' WHEN n IS NULL THEN 'undefined-module-not-exported'
+  WHEN n > 1 THEN 'unique-dependency-name-check' WHEN access = 3 THEN 'access-modifier-check' ELSE 'ok' END AS status
+ FROM deps d LEFT JOIN (SELECT path AS hint, module, count(*) AS n, max(access) AS access FROM modules GROUP BY ALL) m ON m.hint = d.hint AND m.module = d.module"""
+_add("l5_module_resolution", lambda t: link.resolve_modules(t.deps(), t.modules(), t.tex_sources()).select("path", "pos", "module", "n_modules", "status"), _L5 + f" SELECT path, pos, module, n_modules, status FROM ({_STATUS})")
+_add("l6_file_not_found", lambda t: link.resolve_modules(t.deps(), t.modules(), t.tex_sources()).filter("status = 'file-not-found'").select("path", "pos", "hint"), DEPS + " SELECT path, pos, hint FROM deps WHERE hint IS NULL OR hint NOT IN (SELECT path FROM tex_sources)")
 _GRAPH = with_views("deps", "modules", recursive=True) + ", edges AS (SELECT DISTINCT m.module AS src, d.module AS dst, export FROM deps d JOIN modules m USING (path))"
 
 
@@ -224,20 +298,28 @@ def _edges(t: Tables) -> DataFrame:
     return t.deps().join(t.modules().select("path", F.col("module").alias("src")), "path").select("src", F.col("module").alias("dst"), "export").distinct()
 
 
+_NRV = len(with_views("deps", "modules", recursive=True))
 _CLOSE = _GRAPH + ", c AS (SELECT src AS root, dst AS node FROM edges UNION SELECT root, dst FROM c JOIN edges ON node = src WHERE export)"
 _add("l9_import_closure", lambda t: link.closure(_edges(t)).groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")), _CLOSE + " SELECT root, count(*) AS n, min(node) AS low, max(node) AS high FROM c GROUP BY root")
-_add("l10_cyclic_imports", lambda t: link.cyclic(link.closure(_edges(t), rule="all")), _CLOSE.replace("WHERE export", "") + " SELECT node FROM c WHERE root = node")
+_add("l10_cyclic_imports", lambda t: link.cyclic(_edges(t)), _CLOSE.replace("WHERE export", "") + " SELECT node FROM c WHERE root = node")
 _add("l11_visible_symbols", lambda t: link.visible_symbols(link.closure(_edges(t)), t.symbols()).groupBy("root").agg(F.count("*").alias("n")),
-     with_views("deps", "symbols", recursive=True) + _CLOSE[len(with_views("deps", "modules", recursive=True)):] + " SELECT root, count(*) AS n FROM (SELECT DISTINCT root, name FROM c JOIN symbols ON module = node EXCEPT SELECT module, name FROM symbols) GROUP BY root")
+     with_views("deps", "modules", "symbols", recursive=True) + _CLOSE[_NRV:] + " SELECT root, count(*) AS n FROM (SELECT DISTINCT root, name FROM c JOIN symbols ON module = node EXCEPT SELECT module, name FROM symbols) GROUP BY root")
 _add("l12_pruned_closure", lambda t: link.closure(_edges(t), t.modules().filter(F.col("module").rlike("5$")).select(F.col("module").alias("node"))).groupBy("root").agg(F.count("*").alias("n")), _CLOSE + " SELECT root, count(*) AS n FROM c WHERE root LIKE '%5' AND root IN (SELECT module FROM modules) GROUP BY root")
 _add("l14_resolution_depth", lambda t: link.resolution_depth(t.refs(), t.modules(), t.symbols()).select("path", "pos", "depth"),
      ALL + " SELECT path, pos, CASE WHEN module NOT IN (SELECT module FROM modules) THEN 0 WHEN (module, symbol) NOT IN (SELECT (module, name) FROM symbols) THEN 1 ELSE 2 END AS depth FROM refs WHERE module IS NOT NULL")
 _UND = ALL + ", u AS (SELECT r.* FROM refs r WHERE module IS NOT NULL AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.module = r.module AND s.name = r.symbol))"
 _add("l15_parent_gate", lambda t: link.gated(t.refs(), t.modules(), t.symbols()).select("path", "pos", "module", "symbol"), _UND + " SELECT path, pos, module, symbol FROM u WHERE module IN (SELECT module FROM modules)")
 _add("l16_undefined_symbols", lambda t: link.undefined_symbols(t.refs(), t.symbols()).select("path", "pos", "module", "symbol"), _UND + " SELECT path, pos, module, symbol FROM u")
-_add("l18_noverb_references", lambda t: link.noverb_references(t.refs().withColumn("symbol", F.concat("symbol", F.lit("-v"))), t.symbols()).select("path", "pos", "symbol"), ALL + " SELECT path, pos, symbol || '-v' AS symbol FROM refs r WHERE EXISTS (SELECT 1 FROM symbols s WHERE noverb AND s.module = r.module AND s.name = r.symbol || '-v')")
-_add("l19_name_mismatch", lambda t: link.name_mismatches(t.modules()).select("path", "module", "stem"), MODS + r" SELECT path, module, regexp_extract(path, '([^/]+)\.tex$', 1) AS stem FROM modules WHERE module <> regexp_extract(path, '([^/]+)\.tex$', 1)")
-_add("l20_redundant_repository", lambda t: t.args().filter("name = 'gimport'").filter(F.get(markup.unnamed(F.col("parts")), F.lit(0)) == F.regexp_extract("path", "/([^/]+)/source/", 1)).select("path", "pos"), ARGS + " SELECT path, pos FROM args WHERE name = 'gimport' AND parts[1] = regexp_extract(path, '/([^/]+)/source/', 1)")
+LINKED = with_views("modules", "bindings", "symbols", "deps", "refs")
+_NOVERB = """SELECT DISTINCT r.path, r.pos, r.module, r.symbol FROM refs r JOIN symbols s ON s.module = r.module AND s.name = r.symbol LEFT JOIN (SELECT path, arg_min(lang, pos) AS lang FROM bindings GROUP BY path) b ON b.path = r.path
+ WHERE s.noverb OR list_contains(s.noverbs, b.lang)"""
+_MISNAMED = r"""SELECT path, pos, module, regexp_extract(path, '([^/]+)\.tex$', 1) AS stem FROM (SELECT path, pos, module FROM modules WHERE module_type IN ('modsig', 'gviewsig') UNION ALL SELECT path, pos, concat_ws('.', module, lang) FROM bindings)
+ WHERE module <> regexp_extract(path, '([^/]+)\.tex$', 1)""".replace("\\\\", "\\")
+_CURRENT = f"""SELECT path, pos, what FROM (SELECT path, pos, CASE WHEN CASE WHEN regexp_matches(name, '^g') THEN list_filter(parts, lambda x: NOT contains(x, '='))[1] ELSE coalesce({opt('mhrepos')}, {opt('repos')}) END = regexp_extract(path, '/([^/]+)/source/', 1) THEN 'repository'
+  WHEN {opt('dir')} = regexp_extract(path, '/source/(.*)/[^/]*$', 1) THEN 'dir' WHEN {opt('path')} = regexp_extract(path, '/source/(.*)[.]tex$', 1) THEN 'path' END AS what FROM args WHERE {IMPORT}) WHERE what IS NOT NULL"""
+_add("l18_noverb_references", lambda t: link.noverb_references(t.refs(), t.symbols(), t.bindings()).select("path", "pos", "symbol"), LINKED + f" SELECT path, pos, symbol FROM ({_NOVERB})")
+_add("l19_name_mismatch", lambda t: link.name_mismatches(t.modules(), t.bindings()).select("path", "module", "stem"), LINKED + f" SELECT path, module, stem FROM ({_MISNAMED})")
+_add("l20_redundant_repository", lambda t: link.current_places(t.args()), ARGS + f" {_CURRENT}")
 _add("l22_deprecated", lambda t: checks.deprecated(t.args()).select("path", "pos", "code"), ARGS + " SELECT path, pos, 'mtref-deprecation-check' AS code FROM args WHERE name LIKE 'mtref%' UNION ALL SELECT path, pos, 'mtref-questionmark-check' FROM args WHERE name LIKE 'mtref%' AND NOT contains(oarg, '?') UNION ALL SELECT path, pos, 'repos-deprecation-check' FROM args WHERE len(list_filter(parts, lambda x: starts_with(x, 'repos='))) > 0")
 _USE = ALL + ", us AS (SELECT DISTINCT m.path AS used, e.path AS user FROM (SELECT path, module FROM deps UNION ALL SELECT path, module FROM refs) e JOIN modules m USING (module) WHERE e.path <> m.path)"
 _add("l23_users", lambda t: link.users(t.deps(), t.refs(), t.modules()), _USE + " SELECT used, user FROM us")
@@ -257,24 +339,81 @@ _add("l30_ancestors", lambda t: link.ancestors(_turns(t)), "WITH RECURSIVE p AS
 
 
 def _diagnostics(t: Tables) -> DataFrame:
-    return checks.all_checks(t.args(), t.modules(), t.symbols(), t.deps(), t.refs())
-
-
-_DIAG = _UND + """, f AS (SELECT module, count(*) AS n FROM modules GROUP BY module), dg AS (
- SELECT path, pos, 'redundant-import-check' AS code, 2 AS severity, 'already imported: "' || module || '"' AS message FROM (SELECT *, row_number() OVER (PARTITION BY path, module ORDER BY pos) AS k FROM deps) WHERE k > 1
- UNION ALL SELECT path, pos, 'duplicate-symbol-check', 1, 'defined before: "' || module || '?' || name || '"' FROM (SELECT *, row_number() OVER (PARTITION BY path, module, name, def_type ORDER BY pos) AS k FROM symbols) WHERE k > 1
- UNION ALL SELECT path, pos, CASE WHEN n IS NULL THEN 'undefined-module-not-exported' ELSE 'unique-dependency-name-check' END, 1, CASE WHEN n IS NULL THEN 'no such module: "' ELSE 'several modules: "' END || module || '"' FROM deps LEFT JOIN f USING (module) WHERE n IS NULL OR n > 1
- UNION ALL SELECT path, pos, 'undefined-symbol', 1, 'no such symbol: "' || module || '?' || symbol || '"' FROM u WHERE module IN (SELECT module FROM modules)
- UNION ALL SELECT path, pos, 'referenced-noverb-symbol', 2, 'noverb: "' || module || '?' || symbol || '"' FROM refs r WHERE EXISTS (SELECT 1 FROM symbols s WHERE noverb AND s.module = r.module AND s.name = r.symbol)
- UNION ALL SELECT path, pos, 'filename-mismatch-check', 2, 'file and module differ: "' || module || '"' FROM modules WHERE module <> regexp_extract(path, '([^/]+)\\.tex$', 1)
- UNION ALL SELECT path, pos, 'mtref-deprecation-check', 2, 'mtref is deprecated' FROM args WHERE name LIKE 'mtref%'
- UNION ALL SELECT path, pos, 'mtref-questionmark-check', 1, 'mtref without ?' FROM args WHERE name LIKE 'mtref%' AND NOT contains(oarg, '?')
- UNION ALL SELECT path, pos, 'repos-deprecation-check', 2, 'repos is deprecated' FROM args WHERE len(list_filter(parts, lambda x: starts_with(x, 'repos='))) > 0)"""
-_add("d1_all_checks", _diagnostics, _DIAG + " SELECT path, pos, code, severity, message FROM dg")
-_add("d2_severity_threshold", lambda t: checks.at_most(_diagnostics(t), 1), _DIAG + " SELECT path, pos, code, severity, message FROM dg WHERE severity <= 1")
+    t.written()
+    return checks.all_checks(t.placed(), t.regions(), t.envs(), t.tex_sources())
+
+
+_MISPLACED = """SELECT path, pos, CASE WHEN (regexp_matches(name, '^(sym[ivx]+|symdef)[*]?$') OR regexp_matches(name, '^[ma]*[dD]ref[ivx]+s?[*]?$')) AND coalesce(around, '') <> 'module' THEN 'outside a module: '
+  WHEN regexp_matches(name, '^sym[ivx]+[*]?$') AND env NOT IN ('modsig', 'gviewsig') THEN 'only signatures hold: '
+  WHEN regexp_matches(name, '^[tv]assign[*]?$') AND source IS NULL AND coalesce(around, '') <> 'structure' THEN 'outside a view: ' END || name AS why FROM placed
+ UNION ALL SELECT path, begin_pos, 'not at the root: gviewsig' FROM regions WHERE env = 'gviewsig' AND depth > 1"""
+_PARSER = f"""SELECT path, pos, {_ERROR} AS why FROM args
+ UNION ALL SELECT path, pos, name || ' takes ' || ({_WANTED}) || ' arguments, not ' || len(rargs) FROM args WHERE {_SUFFIX} <> '' AND len(rargs) <> {_WANTED}
+ UNION ALL SELECT path, begin_pos, 'not closed: ' || env FROM envs WHERE end_pos IS NULL OR env <> end_env"""
+_UNDEFINED = """SELECT * FROM refs r WHERE module IN (SELECT module FROM modules) AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.module = r.module AND s.name = r.symbol)"""
+_Q = """'"' || module || '"'"""
+_QQ = """'"' || {m} || '?' || {s} || '"'"""
+
+
+def _rule(code: str, severity: int, message: str, source: str, where: str = "", related: str = "NULL") -> str:
+    tags = "'" + str(checks.TAGS.get(code, "")) + "'"
+    return f"SELECT path, pos, '{code}' AS code, {severity} AS severity, {message} AS message, {tags} AS tags, CAST({related} AS BIGINT) AS related FROM {source} {where}"
+
+
+_RULES_SQL = [
+    _rule("redundant-import-check", 2, "'already imported: ' || " + _Q, f"({_REDUNDANT})", related="first_pos"),
+    _rule("duplicate-symbol-check", 1, "'defined before: ' || " + _QQ.format(m="module", s="name"), f"({_DUP})", related="first_pos"),
+    _rule("invalid-redefinition", 1, "'differs from the first: ' || " + _QQ.format(m="module", s="name"), f"({_REDEF})", related="first_pos"),
+    _rule("location-check", 1, "why", f"({_MISPLACED})", "WHERE why IS NOT NULL"),
+    _rule("is-current-dir-check", 2, "'is the current one: ' || what", f"({_CURRENT})"),
+    _rule("filename-mismatch-check", 2, "'file and module differ: ' || " + _Q, f"({_MISNAMED})"),
+    _rule("parser-exception", 1, "why", f"({_PARSER})", "WHERE why IS NOT NULL"),
+    _rule("unique-dependency-name-check", 1, "'several modules: ' || " + _Q, "status", "WHERE status = 'unique-dependency-name-check'"),
+    _rule("undefined-module-not-exported", 1, "'no such module: ' || " + _Q, "status", "WHERE status = 'undefined-module-not-exported'"),
+    _rule("file-not-found", 1, "'no file for: ' || " + _Q, "status", "WHERE status = 'file-not-found'"),
+    _rule("access-modifier-check", 1, "'private: ' || " + _Q, "status", "WHERE status = 'access-modifier-check'"),
+    _rule("undefined-symbol", 1, "'no such symbol: ' || " + _QQ.format(m="module", s="symbol"), "undef"),
+    _rule("missing-import-hint", 3, "symbol || ' is in ' || n || ' modules'", "(SELECT u.path, u.pos, u.symbol, count(DISTINCT s.module) AS n FROM undef u JOIN symbols s ON s.name = u.symbol GROUP BY ALL)"),
+    _rule("referenced-noverb-symbol", 2, "'noverb: ' || " + _QQ.format(m="module", s="symbol"), f"({_NOVERB})"),
+    _rule("mtref-deprecation-check", 2, "'mtref is deprecated'", "args", "WHERE name LIKE 'mtref%'"),
+    _rule("mtref-questionmark-check", 1, "'mtref without ?'", "args", "WHERE name LIKE 'mtref%' AND NOT contains(oarg, '?')"),
+    _rule("repos-deprecation-check", 2, "'repos is deprecated'", "args", f"WHERE {opt('repos')} IS NOT NULL"),
+]
+_DIAG = LINKED + f", status AS ({_STATUS}), undef AS ({_UNDEFINED}), dg AS (" + " UNION ALL ".join(_RULES_SQL) + ")"
+
+
+def _shown(d: DataFrame) -> DataFrame:
+    return d.select("path", "pos", "code", "severity", "message", F.array_join(F.col("tags").cast("array<string>"), ",").alias("tags"), "related")
+
+
+_add("d1_all_checks", lambda t: _shown(_diagnostics(t)), _DIAG + " SELECT path, pos, code, severity, message, tags, related FROM dg")
+_add("d2_severity_threshold", lambda t: checks.at_most(_diagnostics(t), 1).select("path", "pos", "code", "severity", "message"), _DIAG + " SELECT path, pos, code, severity, message FROM dg WHERE severity <= 1")
+
+
+def _further(t: Tables) -> DataFrame:
+    """Cycles, types and predicted tags, in the same schema."""
+    t.written()
+    deps, modules = t.deps(), t.modules()
+    cycles = checks.cycle_rows(deps, modules, link.cyclic(_edges(t)))
+    refs = t.refs().withColumn("mask", F.when(F.col("macro").startswith("a"), 3).otherwise(1))
+    types = checks.type_rows(refs, t.symbols().withColumn("type", F.when(F.col("def_type") == "sym", 1).otherwise(2)))
+    tags = checks.tag_rows(t.args().filter("name LIKE 'tref%' AND pos % 2 = 0").select("path", "pos", F.col("name").alias("token"), (F.col("pos") % 4 / 8).alias("score")))
+    return cycles.union(types).union(tags)
+
+
 _add("d3_severity_from_text", lambda t: t.table("conversations").select("conv_id", "turn", checks.severity(F.when(F.col("turn") == 0, "Warning").when(F.col("turn") == 1, "3").otherwise(F.col("role"))).alias("severity")), "SELECT conv_id, turn, CASE turn WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS severity FROM conversations")
-_LINE = " SELECT path || ':' || (pos + 1) || ':1 ' || CASE severity WHEN 1 THEN 'Error' ELSE 'Warning' END || ' - ' || message || ' (' || code || ')' AS line FROM dg"
-_add("d4_formatted", lambda t: checks.formatted(_diagnostics(t)), _DIAG + _LINE)
+_AT = " FROM dg JOIN args a USING (path, pos) JOIN tex_sources t USING (path)"
+_BEFORE = "substr(t.text, 1, a.place)"
+_LINE = f""" SELECT path || ':' || (length({_BEFORE}) - length(replace({_BEFORE}, chr(10), '')) + 1) || ':' || (length(string_split({_BEFORE}, chr(10))[-1]) + 1) || ' '
+ || CASE severity WHEN 1 THEN 'Error' WHEN 2 THEN 'Warning' ELSE 'Information' END || ' - ' || message || ' (' || code || ')' AS line"""
+_add("d4_formatted", lambda t: checks.formatted(checks.located(_diagnostics(t), t.written().args(), t.tex_sources())), _DIAG + _LINE + _AT)
+_add(
+    "d1_cycles_types_tags", lambda t: _shown(_further(t)),
+    with_views("modules", "symbols", "deps", "refs", recursive=True) + _CLOSE[_NRV:].replace("WHERE export", "") + """, cyc AS (SELECT node FROM c WHERE root = node)
+SELECT path, d.pos, 'cyclic-dependency-check' AS code, 1 AS severity, 'on a cycle: ' || m.module || ' > ' || d.module AS message, '' AS tags, CAST(NULL AS BIGINT) AS related FROM deps d JOIN modules m USING (path) WHERE NOT quiet AND d.module IN (SELECT node FROM cyc) AND m.module IN (SELECT node FROM cyc)
+UNION ALL SELECT r.path, r.pos, 'reference-type-check', 1, 'of another type: ' || symbol, '', NULL FROM refs r JOIN (SELECT DISTINCT module, name, def_type = 'sym' AS plain FROM symbols) s ON s.module = r.module AND s.name = r.symbol WHERE NOT plain AND macro NOT LIKE 'a%'
+UNION ALL SELECT path, pos, 'generic-trefier-tag-hint', 3, 'Label for "' || name || '": ' || CASE pos % 4 WHEN 0 THEN '0.00' ELSE '0.25' END, '', NULL FROM args WHERE name LIKE 'tref%' AND pos % 2 = 0""",
+)
 _add("d6_tag_hints", lambda t: checks.tag_hints(t.tokens().filter("pred = 2").select("doc_id", "pos", "token", (F.lit(0.25) * F.col("pred")).alias("score"))).select("doc_id", "pos", "message"), TOK + " SELECT doc_id, pos, 'Label for \"' || token || '\": 0.50' AS message FROM tokens WHERE pred = 2")
 _add("d7_republish", lambda t: checks.republish(t.edits().select("path", "kind", F.col("version").alias("v"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("run"))).select("path", "v", "kind"), EDITS + " SELECT path, version AS v, kind FROM edits QUALIFY date_trunc('day', ts) = max(date_trunc('day', ts)) OVER (PARTITION BY path)")
 

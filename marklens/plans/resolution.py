@@ -9,12 +9,12 @@ from marklens.operators import checks, features, link, markup, suggest, tagger,
 from marklens.sources import ingest, shared
 from marklens.streaming import edits as editing
 
-from .fixtures import EDITS_SQL, Tables, with_views
-from .registry import _CLOSE, _ENV, _UND, ALL, ARGS, EDITS, MODS, REFS, SYMS, TOK, _add, _edges, _turns
+from .fixtures import EDITS_SQL, IMPORT, Tables, with_views
+from .registry import _CLOSE, _ENV, _MISPLACED, _UND, ALL, ARGS, EDITS, MODS, REFS, SYMS, TOK, _add, _edges, _turns
 
 _REC = len(with_views("deps", "modules", recursive=True))
-_IMPORTS = "('gimport', 'guse', 'importmodule', 'usemodule', 'importmhmodule', 'usemhmodule')"
-_IS_SYMBOL = r"regexp_matches(name, '^(sym(i|ii|iii|iv)|symdef|vardef)\*?$')"
+_IS_IMPORT = IMPORT.replace("name", "macro")
+_IS_SYMBOL = "regexp_matches(macro, '^(sym[ivx]+|symdef|vardef)[*]?$')"
 _REPO = "regexp_extract(path, '([^/]+)/source/', 1)"
 
 
@@ -49,18 +49,13 @@ _add("l13_resolved_references", lambda t: link.resolve_references(_masked(t.refs
  sc AS (SELECT DISTINCT root, root AS node, 0 AS distance FROM r UNION ALL SELECT root, node, 1 FROM c WHERE root <> node),
  h AS (SELECT r.path, r.pos, r.symbol, sc.node AS provider, distance FROM r JOIN sc ON r.root = sc.root JOIN symbols s ON s.module = sc.node AND s.name = r.symbol WHERE s.def_type = 'sym' OR mask = 3)
 SELECT DISTINCT * FROM (SELECT * FROM h QUALIFY distance = min(distance) OVER (PARTITION BY path, pos))""")
-_GRAM = "list_distinct(list_transform(range(1, greatest(length(x) - 2, 1) + 1), lambda i: substr(x, i, 3)))"
-_add("l17_similar_names", lambda t: link.similar_names(link.undefined_symbols(t.refs(), s := t.symbols()), s),
-     _UND + f", a AS (SELECT x AS symbol, unnest({_GRAM}) AS g FROM (SELECT DISTINCT symbol AS x FROM u)), b AS (SELECT x AS name, unnest({_GRAM}) AS g FROM (SELECT DISTINCT name AS x FROM symbols)), p AS (SELECT DISTINCT symbol, name, greatest(length(symbol), length(name)) AS l FROM a JOIN b USING (g) WHERE symbol <> name), q AS (SELECT symbol, name, round(1 - levenshtein(symbol, name) / l, 6) AS ratio FROM p WHERE abs(length(symbol) - length(name)) <= 0.4 * l) SELECT symbol, name, ratio FROM q WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, name) <= 3")
-
-
-def _misplaced(t: Tables) -> DataFrame:
-    """Files whose module has a wrong name lose its begin here, so their symbols lie outside."""
-    a = t.args().filter(~((F.col("name") == "begin") & F.coalesce(F.get("rargs", F.lit(1)).startswith("x"), F.lit(False))))
-    return checks.misplaced(a, tokens.environments(a)).select("path", "pos", "code", "severity")
-
-
-_add("l21_location_checks", _misplaced, MODS + f" SELECT path, pos, 'location-check' AS code, 1 AS severity FROM args WHERE {_IS_SYMBOL} AND path IN (SELECT path FROM modules WHERE module LIKE 'x%')")
+_add(
+    "l17_similar_names", lambda t: link.similar_names(link.undefined_symbols(t.refs(), s := t.symbols()), s),
+    _UND + """, p AS (SELECT symbol, name, greatest(length(symbol), length(name)) AS l FROM (SELECT DISTINCT symbol FROM u WHERE symbol <> '') JOIN (SELECT DISTINCT name FROM symbols WHERE name <> '') ON symbol <> name),
+ q AS (SELECT symbol, name, round(1 - levenshtein(symbol, name) / l, 6) AS ratio FROM p)
+SELECT symbol, name, ratio FROM q WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, name) <= 3""",
+)
+_add("l21_location_checks", lambda t: checks.misplaced(t.placed(), t.regions()).select("path", "pos", "code", "message"), with_views("placed") + f" SELECT path, pos, 'location-check' AS code, why AS message FROM ({_MISPLACED}) WHERE why IS NOT NULL")
 
 
 def _named_ranges(args: DataFrame) -> DataFrame:
@@ -69,8 +64,8 @@ def _named_ranges(args: DataFrame) -> DataFrame:
     return e.join(label, ["path", "begin_pos"]).select("path", F.coalesce("own", "env").alias("name"), F.col("begin_pos").alias("begin"), F.coalesce("end_pos", F.lit(1 << 40)).alias("end"))
 
 
-_add("l25_namespaces", lambda t: link.namespaces(t.refs(), _named_ranges(t.args())).select("path", "pos", F.array_join("names", ">").alias("names")),
-     _ENV + r", n AS (SELECT e.path, coalesce(a.rargs[2], e.env) AS own, begin_pos, coalesce(end_pos, 1099511627776) AS fin FROM envs e JOIN args a ON a.path = e.path AND a.pos = begin_pos) SELECT a.path, a.pos, string_agg(own, '>' ORDER BY begin_pos) AS names FROM args a JOIN n ON n.path = a.path AND begin_pos <= a.pos AND fin >= a.pos WHERE regexp_matches(a.name, '^[ma]?[Tt]ref(i|ii|iii|iv)s?$') GROUP BY a.path, a.pos")
+_add("l25_namespaces", lambda t: link.namespaces(t.refs().select("path", "pos").distinct(), _named_ranges(t.args())).select("path", "pos", F.array_join("names", ">").alias("names")),
+     with_views("envs", "refs") + r", n AS (SELECT e.path, coalesce(a.rargs[2], e.env) AS own, begin_pos, coalesce(end_pos, 1099511627776) AS fin FROM envs e JOIN args a ON a.path = e.path AND a.pos = begin_pos) SELECT a.path, a.pos, string_agg(own, '>' ORDER BY begin_pos) AS names FROM args a JOIN n ON n.path = a.path AND begin_pos <= a.pos AND fin >= a.pos WHERE (a.path, a.pos) IN (SELECT (path, pos) FROM refs) GROUP BY a.path, a.pos")
 
 
 def _definitions(t: Tables) -> DataFrame:
@@ -82,14 +77,14 @@ def _definitions(t: Tables) -> DataFrame:
 
 
 _add("l26_definitions_at", _definitions,
-     with_views("refs", "symbols") + _ENV[len(ARGS):] + """, rr AS (SELECT path, pos AS b, pos + CASE WHEN macro LIKE 'a%' THEN 2 ELSE 1 END AS e, module, symbol FROM refs),
+     with_views("refs", "symbols", "modules", "envs") + """, rr AS (SELECT path, pos AS b, pos + CASE WHEN macro LIKE 'a%' THEN 2 ELSE 1 END AS e, module, symbol FROM refs),
  sr AS (SELECT p.path, p.pos, module, symbol FROM args p JOIN rr ON rr.path = p.path AND b <= p.pos AND e >= p.pos QUALIFY row_number() OVER (PARTITION BY p.path, p.pos ORDER BY e - b, b) = 1)
 SELECT sr.path, sr.pos, s.path AS d_path, s.pos AS d_pos FROM sr JOIN symbols s ON s.module = sr.module AND s.name = sr.symbol
 UNION SELECT p.path, p.pos, m.path, m.pos FROM args p JOIN modules m ON m.path = p.path AND m.pos <= p.pos JOIN envs e ON e.path = m.path AND e.begin_pos = m.pos WHERE coalesce(end_pos, 1099511627776) >= p.pos""")
 _add("l27_references_to", lambda t: link.references_to(t.symbols().withColumnRenamed("name", "symbol"), t.refs()),
      ALL + " SELECT module, name AS symbol, path, pos FROM symbols UNION SELECT module, symbol, path, pos FROM refs WHERE (module, symbol) IN (SELECT (module, name) FROM symbols)")
-_add("l31_type_mismatches", lambda t: link.type_mismatches(_masked(t.refs().withColumn("symbol", F.concat("symbol", F.lit("-v")))), _typed(t.symbols())).select("path", "pos", "symbol"),
-     ALL + " SELECT path, pos, symbol || '-v' AS symbol FROM refs r WHERE macro NOT LIKE 'a%' AND EXISTS (SELECT 1 FROM symbols s WHERE s.module = r.module AND s.name = r.symbol || '-v' AND s.def_type = 'symdef')")
+_add("l31_type_mismatches", lambda t: link.type_mismatches(_masked(t.refs()), _typed(t.symbols())).select("path", "pos", "symbol").distinct(),
+     ALL + " SELECT DISTINCT path, pos, symbol FROM refs r WHERE macro NOT LIKE 'a%' AND EXISTS (SELECT 1 FROM symbols s WHERE s.module = r.module AND s.name = r.symbol AND s.def_type <> 'sym')")
 
 # --- C: suggestions ------------------------------------------------------------------------------
 
@@ -101,10 +96,10 @@ def _typing(t: Tables) -> DataFrame:
 
 _CW = ARGS + ", cw AS (SELECT path, pos, name AS macro, CASE WHEN length(oarg) > 5 THEN 'oarg' ELSE 'rarg' END AS part, string_split(CASE WHEN length(oarg) > 5 THEN substr(oarg, 2, 3) ELSE substr(rarg, 2, 2) END, ',')[-1] AS fragment FROM args WHERE length(oarg) > 5 OR (rarg <> '' AND substr(rarg, 1, 3) NOT LIKE '%}%'))"
 _add("c1_context_kinds", _typing, _CW + " SELECT path, pos, macro, part, fragment FROM cw")
-_add("c2_repositories", lambda t: suggest.repositories(_typing(t).filter(F.col("macro").isin(*markup.IMPORTS) & (F.col("part") == "oarg")).select(F.lit("modsig").alias("module_type"), "fragment").distinct(), t.modules().select("module_type", _repo())).select("fragment", "repository"),
-     MODS + _CW[len(ARGS):] + f" SELECT DISTINCT fragment, repository FROM cw JOIN (SELECT DISTINCT {_REPO} AS repository FROM modules WHERE module_type = 'modsig') ON starts_with(repository, fragment) WHERE macro IN {_IMPORTS} AND part = 'oarg'")
-_add("c3_modules_in", lambda t: suggest.modules_in(t.args().filter(F.col("name").isin(*markup.IMPORTS)).select("path", F.get(markup.unnamed(F.col("parts")), F.lit(0)).alias("repository"), F.substring(F.get("rargs", F.lit(0)), 1, 2).alias("fragment")), t.modules().select(_repo(), "module")).select("repository", "fragment", "module"),
-     MODS + f", w AS (SELECT DISTINCT coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], {_REPO}) AS repository, substr(rargs[1], 1, 2) AS fragment FROM args WHERE name IN {_IMPORTS}), m AS (SELECT DISTINCT {_REPO} AS repository, module FROM modules) SELECT w.repository, fragment, module FROM w JOIN m ON w.repository = m.repository AND starts_with(module, fragment)")
+_add("c2_repositories", lambda t: suggest.repositories(_typing(t).filter(F.col("macro").rlike(markup.IMPORTS) & (F.col("part") == "oarg")).select(F.lit("modsig").alias("module_type"), "fragment").distinct(), t.modules().select("module_type", _repo())).select("fragment", "repository"),
+     MODS + _CW[len(ARGS):] + f" SELECT DISTINCT fragment, repository FROM cw JOIN (SELECT DISTINCT {_REPO} AS repository FROM modules WHERE module_type = 'modsig') ON starts_with(repository, fragment) WHERE {_IS_IMPORT} AND part = 'oarg'")
+_add("c3_modules_in", lambda t: suggest.modules_in(t.args().filter(F.col("name").rlike(markup.IMPORTS)).select("path", F.get(markup.unnamed(F.col("parts")), F.lit(0)).alias("repository"), F.substring(F.get("rargs", F.lit(0)), 1, 2).alias("fragment")), t.modules().select("path", _repo(), "module")).select("place", "fragment", "module"),
+     MODS + f", w AS (SELECT DISTINCT coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], regexp_extract(path, '^(.*)/[^/]*$', 1)) AS place, substr(rargs[1], 1, 2) AS fragment FROM args WHERE {IMPORT}), m AS (SELECT DISTINCT {_REPO} AS place, module FROM modules UNION SELECT regexp_extract(path, '^(.*)/[^/]*$', 1), module FROM modules) SELECT w.place, fragment, module FROM w JOIN m ON w.place = m.place AND starts_with(module, fragment)")
 
 
 def _constraints(t: Tables) -> DataFrame:
@@ -115,9 +110,9 @@ def _constraints(t: Tables) -> DataFrame:
 
 
 _add("c4_constrained_modules", _constraints,
-     with_views("bindings") + f", w AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN {_REPO} END AS repository, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM tex_sources WHERE kind = 'binding'), b AS (SELECT module, lang, {_REPO} AS repository FROM bindings) SELECT w.repository, w.lang, count(*) AS n, min(module) AS first FROM w JOIN b ON (w.repository IS NULL OR w.repository = b.repository) AND (w.lang IS NULL OR w.lang = b.lang) WHERE w.repository IS NOT NULL OR w.lang IS NOT NULL GROUP BY ALL")
+     with_views("bindings") + f", w AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN {_REPO} END AS repository, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM tex_sources WHERE kind = 'binding'), b AS (SELECT module, lang, {_REPO} AS repository FROM bindings) SELECT w.repository, w.lang, count(*) AS n, min(module) AS first FROM w JOIN b ON (w.repository IS NULL OR w.repository = b.repository) AND (w.lang IS NULL OR w.lang = b.lang) GROUP BY ALL")
 _add("c5_keywords", lambda t: suggest.keywords(_typing(t).filter("part = 'oarg'").select(suggest.kind_of(F.col("macro")).alias("kind"), "fragment").distinct()),
-     _CW + f", k AS (SELECT DISTINCT CASE WHEN macro IN ('begin', 'end') THEN 'environment' WHEN macro IN {_IMPORTS} THEN 'import' WHEN {_IS_SYMBOL.replace('name', 'macro')} THEN 'symbol' WHEN regexp_matches(macro, '^a?defi') THEN 'definition' ELSE 'other' END AS kind, fragment FROM cw WHERE part = 'oarg') SELECT kind, fragment, keyword FROM k JOIN (VALUES ('import', 'dir'), ('import', 'load'), ('import', 'mhrepos'), ('import', 'path'), ('symbol', 'name'), ('symbol', 'noverb'), ('definition', 'name'), ('environment', 'id'), ('environment', 'title')) v(kind, keyword) USING (kind) WHERE starts_with(keyword, fragment)")
+     _CW + f", k AS (SELECT DISTINCT CASE WHEN macro IN ('begin', 'end') THEN 'environment' WHEN {_IS_IMPORT} THEN 'import' WHEN {_IS_SYMBOL} THEN 'symbol' WHEN regexp_matches(macro, '^[ma]*[dD]ef[ivx]+s?[*]?$') THEN 'definition' ELSE 'other' END AS kind, fragment FROM cw WHERE part = 'oarg') SELECT kind, fragment, keyword FROM k JOIN (VALUES ('import', 'dir'), ('import', 'load'), ('import', 'mhrepos'), ('import', 'path'), ('symbol', 'name'), ('symbol', 'noverb'), ('definition', 'name'), ('environment', 'id'), ('environment', 'title')) v(kind, keyword) USING (kind) WHERE starts_with(keyword, fragment)")
 _add("c6_symbol_names", lambda t: suggest.symbol_names((s := t.symbols()).select("path", F.substring("name", 1, 2).alias("fragment")).distinct(), s),
      SYMS + " SELECT DISTINCT w.path, fragment, name FROM (SELECT path, substr(name, 1, 2) AS fragment FROM symbols) w JOIN symbols s ON s.path = w.path AND starts_with(name, fragment)")
 
