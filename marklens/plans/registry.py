@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marklens.functions import ranges
 from marklens.operators import checks, evaluate, features, link, markup, tokens
 from marklens.sources import ingest
+from marklens.sources.shared import new_path
 from marklens.streaming import edits as editing
 
 from .fixtures import IMPORT, Tables, opt, with_views
@@ -438,9 +439,9 @@ _add("s3_path_columns", lambda t: ingest.path_columns(t.tex_sources().select("pa
 _add("s4_size_guard", lambda t: ingest.within_size(t.table("documents").select("doc_id", F.octet_length("text").cast("long").alias("size")), 2), "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE floor(octet_length(encode(text)) / 1024) <= 2")
 _add("s5_scan_limit", lambda t: ingest.first_files(t.files(), 100).select("path"), FILES + " SELECT path FROM files ORDER BY path LIMIT 100")
 _add("s6_newest_first", lambda t: ingest.newest_first(t.files(), 100).select("path", "mtime"), FILES + " SELECT path, mtime FROM files ORDER BY mtime DESC, path LIMIT 100")
-_add("s7_overlay", lambda t: ingest.overlay(f := t.files(), f.filter("doc_id % 4 = 0").select("path", F.upper("text").alias("text"), (F.col("mtime") + F.make_dt_interval(hours=F.lit(1))).alias("ts"))), FILES + " SELECT path, CASE WHEN doc_id % 4 = 0 THEN upper(text) ELSE text END AS text, CASE WHEN doc_id % 4 = 0 THEN mtime + INTERVAL 1 HOUR ELSE mtime END AS mtime, doc_id % 4 = 0 AS open FROM files")
-_add("s8_snapshot_diff", lambda t: ingest.snapshot_diff((f := t.files()).filter("doc_id % 3 <> 0"), f.filter("doc_id % 5 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 2 == 0, F.col("mtime") + F.make_dt_interval(mins=F.lit(1))).otherwise(F.col("mtime")))),
-     FILES + " SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'created' WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM files WHERE (doc_id % 3 <> 0 OR doc_id % 5 <> 0) AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 2 = 0)")
+_add("s7_overlay", lambda t: ingest.overlay(f := t.files(), f.filter("doc_id % 4 = 0").select("path", F.concat(F.lit("edited "), "text").alias("text"), (F.col("mtime") + F.make_dt_interval(hours=F.lit(1))).alias("ts"))), FILES + " SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'edited ' || text ELSE text END AS text, CASE WHEN doc_id % 4 = 0 THEN mtime + INTERVAL 1 HOUR ELSE mtime END AS mtime, doc_id % 4 = 0 AS open FROM files")
+_add("s8_snapshot_diff", lambda t: ingest.snapshot_diff((f := t.files()).filter("doc_id % 3 <> 0"), f.filter("doc_id % 5 <> 0").withColumn("mtime", F.when(F.col("doc_id") % 2 == 0, F.col("mtime") + F.make_dt_interval(mins=F.lit(1))).otherwise(F.col("mtime"))), r"/source/m", r"\.de\.tex$"),
+     FILES + " SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'created' WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM files WHERE contains(path, '/source/m') AND NOT ends_with(path, '.de.tex') AND (doc_id % 3 <> 0 OR doc_id % 5 <> 0) AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 2 = 0)")
 _add("s9_stale", lambda t: ingest.stale(f := t.files(), _builds(f)).select("path"), _BUILT + " SELECT f.path FROM files f LEFT JOIN builds b USING (path) WHERE built_at IS NULL OR built_at < mtime")
 _add("s10_build_or_reuse", lambda t: ingest.build_or_reuse(f := t.files(), _builds(f), F.expr("timestamp_ntz '2025-01-01 00:00:00'")), _BUILT + " SELECT f.path, CASE WHEN built_at IS NULL OR built_at < mtime THEN TIMESTAMP '2025-01-01' ELSE built_at END AS built_at, built_at IS NULL OR built_at < mtime AS rebuilt FROM files f LEFT JOIN builds b USING (path)")
 
@@ -452,10 +453,30 @@ def _relink(t: Tables) -> DataFrame:
 
 
 _add("s11_relink", _relink, with_views("files", "modules", "deps", "refs") + _USE[len(ALL):] + _BUILT[len(FILES):] + ", n AS (SELECT user AS path, max(built_at) AS newest FROM us JOIN builds ON used = builds.path GROUP BY user) SELECT n.path, newest FROM n JOIN builds b USING (path) WHERE newest > built_at")
-_add("s12_version_gate", lambda t: ingest.version_gate(_builds(t.files()), "2.0.0").select("path", "version"), _BUILT + " SELECT path, version FROM builds WHERE version <> '2.0.1'")
+_add("s12_version_gate", lambda t: ingest.version_gate(_builds(t.files()), "2.0.0").select("path", "version"), _BUILT + " SELECT path, version FROM builds WHERE EXISTS (SELECT 1 FROM builds WHERE version <> '2.0.1')")
+_add("s12_gate_passed", lambda t: ingest.version_gate(_builds(t.files()).filter("version = '2.0.1'"), "2.0.0").select("path", "version"), _BUILT + " SELECT path, version FROM builds WHERE false")
+
+
+def _embeddings_text(t: Tables) -> DataFrame:
+    """The given embeddings as text lines, written and read back."""
+    path = new_path(t.spark, "embeddings")
+    t.table("embeddings").select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.col("embedding").cast("array<string>"), " "))).write.text(path)
+    return ingest.embeddings_text(t.spark, path, 64)
+
+
+_add("s14_embeddings_text", lambda t: _embeddings_text(t).select("token", _sum()), "SELECT CAST(vec_id AS VARCHAR) AS token, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
 _add("s15_sentences", lambda t: ingest.sentences(t.table("conversations").withColumn("text", F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("role"))), "conv_id", "turn", "text").select("conv_id", "sentence", F.array_join("tokens", " ").alias("tokens")),
      "WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE role END AS t FROM conversations), s AS (SELECT *, coalesce(sum((t = '')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence, sum((t = '')::INT) OVER (PARTITION BY conv_id) AS ends FROM l) SELECT conv_id, CAST(sentence AS BIGINT) AS sentence, string_agg(t, ' ' ORDER BY turn) AS tokens FROM s WHERE t <> '' AND sentence < ends GROUP BY conv_id, sentence")
-_add("s17_report", lambda t: checks.formatted(checks.at_most(_diagnostics(t), 2)), _DIAG + _LINE)
+
+
+def _report(t: Tables) -> DataFrame:
+    """The report written as text and read back."""
+    path = new_path(t.spark, "report")
+    ingest.report(checks.formatted(checks.located(checks.at_most(_diagnostics(t), 2), t.written().args(), t.tex_sources())), path)
+    return t.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+_add("s17_report", _report, _DIAG + _LINE + _AT + " WHERE severity <= 2")
 
 # --- R: edit streams, in batch -------------------------------------------------------------------
 

@@ -63,9 +63,10 @@ def overlay(files: DataFrame, buffers: DataFrame) -> DataFrame:
     return out.select("path", F.coalesce("b_text", "text").alias("text"), F.coalesce("b_ts", "mtime").alias("mtime"), F.col("b_ts").isNotNull().alias("open"))
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(path, change)``: created, modified or deleted."""
-    o, n = old.select("path", F.col("mtime").alias("o")), new.select("path", F.col("mtime").alias("n"))
+def snapshot_diff(old: DataFrame, new: DataFrame, include: str | None = None, ignore: str | None = None) -> DataFrame:
+    """``(path, change)``: created, modified or deleted, of paths that match ``include`` and don't match ``ignore`` (patterns found anywhere in them)."""
+    watched = (F.lit(True) if include is None else F.col("path").rlike(include)) & (F.lit(True) if ignore is None else ~F.col("path").rlike(ignore))
+    o, n = old.filter(watched).select("path", F.col("mtime").alias("o")), new.filter(watched).select("path", F.col("mtime").alias("n"))
     change = F.when(F.col("o").isNull(), "created").when(F.col("n").isNull(), "deleted").when(F.col("o") != F.col("n"), "modified")
     return o.join(n, "path", "full_outer").select("path", change.alias("change")).filter("change IS NOT NULL")
 
@@ -89,11 +90,12 @@ def relink(linked: DataFrame, related: DataFrame, builds: DataFrame) -> DataFram
 
 
 def version_gate(artifacts: DataFrame, expected: str) -> DataFrame:
-    """Artifacts older than the expected version or without a readable one; any such row asks for a full rebuild."""
+    """Artifacts to throw away: all of them if any is older than the expected version or has no readable one, else none."""
     parse = lambda c: F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
     v = parse(F.col("version"))
-    bad = F.col("version").isNull() | F.exists(v, lambda x: x.isNull())
-    return artifacts.filter(bad | (v < parse(F.lit(expected))))
+    bad = F.col("version").isNull() | F.exists(v, lambda x: x.isNull()) | F.coalesce(v < parse(F.lit(expected)), F.lit(True))
+    any_bad = artifacts.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("__bad"))  # one row
+    return artifacts.join(F.broadcast(any_bad), F.lit(True)).filter("__bad").drop("__bad")
 
 
 def sentences(lines: DataFrame, group: str, order: str, text: str) -> DataFrame:
@@ -106,13 +108,18 @@ def sentences(lines: DataFrame, group: str, order: str, text: str) -> DataFrame:
 
 
 def embeddings_text(spark: SparkSession, path: str, size: int, first: int | None = None) -> DataFrame:
-    """``(token, vec)`` from lines of a word and its numbers."""
+    """``(token, vec)`` from lines of a word and its numbers, or of the ``first`` of them in order of the files."""
     parts = F.split("value", " ")
     out = spark.read.text(path).filter(F.size(parts) == size + 1)
-    out = out.limit(first) if first else out
+    out = out.orderBy(F.monotonically_increasing_id()).limit(first) if first else out
     return out.select(F.get(parts, F.lit(0)).alias("token"), F.slice(parts, 2, size).cast("array<float>").alias("vec"))
 
 
+def report(diagnostics: DataFrame, path: str) -> None:
+    """Write one line per diagnostic of ``checks.formatted`` as text files."""
+    diagnostics.select("line").write.mode("overwrite").text(path)
+
+
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at ``path``; where there is none yet, ``build()`` is written there first."""
     from pyspark.errors import AnalysisException

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marklens.operators import features, suggest, tagger
+from marklens.operators import features, link, markup, suggest, tagger, tokens
 from marklens.plans import registry
 from marklens.sources import ingest, shared
 from marklens.streaming import edits
@@ -79,3 +79,37 @@ def test_tagger(spark, tmp_path):
 @pytest.mark.parametrize("name", ["f17_pca", "m1_train", "m2_predict", "m4_saved_model"])
 def test_queries_without_sql(spark, name):
     assert registry.queries()[name](spark, DIR).count() > 0
+
+
+def test_nested_macros_verbatim_and_comments(spark):
+    text = "\\defi[name=x,noverb={de,en}]{a\\emph{b}} \\verb|\\defi{no}| 10\\% % \\defi{no}\n\\begin{verbatim}\\symi{no}\\end{verbatim}\\symii{a}{b}{open"
+    df = spark.createDataFrame([("p", text), ("q", None), ("r", "")], "path string, text string")
+    got = markup.arguments(markup.with_offsets(markup.macros(df))).orderBy("pos").collect()
+    assert [(r.name, r.rargs, r.parts) for r in got] == [("defi", ["a\\emph{b}"], ["name=x", "noverb={de,en}"]), ("emph", ["b"], []), ("symii", ["a", "b"], [])]
+    assert all(text[r.place :].startswith("\\" + r.name) for r in got)
+    langs = markup.arguments(markup.macros(df)).select(markup.noverb_languages(F.col("parts")).alias("x")).collect()
+    assert langs[0].x == ["de", "en"] and langs[1].x == []
+
+
+def test_places_do_not_move(spark):
+    rows = [("\\verb!a\\b! \\lstinline{\\x} \\\\verb % \\c",)]
+    got = spark.createDataFrame(rows, "t string").select(markup.mask_comments(markup.mask_verbatim(F.col("t"))).alias("x")).first().x
+    assert len(got) == len(rows[0][0]) and got == "∖verb!a∖b! ∖lstinline{∖x} \\\\verb % ∖c"
+
+
+def test_ancestors_and_cycles_end(spark):
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node long, parent long")
+    assert link.ancestors(loop).filter("node = 4").count() == 3
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (5, 6), (7, 7)], "src long, dst long")
+    assert sorted(r.node for r in link.cyclic(edges).collect()) == [1, 2, 3, 7]
+
+
+def test_vocabulary_ranks(spark):
+    rows = [(d, p, t) for d, own in ((1, "b a a"), (70000, "c d b"), (200000, "d e a")) for p, t in enumerate(own.split())]
+    got = features.vocabulary(spark.createDataFrame(rows, "doc_id long, pos long, token string")).orderBy("index").collect()
+    assert [(r.token, r["index"]) for r in got] == [("a", 1), ("b", 2), ("d", 3), ("c", 4), ("e", 5)]
+
+
+def test_math_environments(spark):
+    text = "a $x$ b \\begin{align*}x\n\\end{align*} c"
+    assert spark.createDataFrame([(text,)], "t string").select(tokens.mask_math(F.col("t")).alias("x")).first().x == "a  <math>  b  <math>  c"
