@@ -204,6 +204,7 @@ WORDS = 10  # 64-bit words of a sketch, each two 32-bit fingerprints
 SIMILAR = 0.8
 TURNS = (4, 16)  # how many of the 32-bit fingerprints are compared at a time
 BLOCK, BLOCK_BYTES = 1024, 4 << 20  # rows of a crowded anchor or group that meet others in one unit of work, and bytes of what they are compared by
+FAR = 12  # of 32 further bits: rows that differ in more meet by chance (at 0.8 five differ, two more or less; unlike rows: 16)
 LENIENT = 0.1  # three standard errors of the sketches' estimate at 0.8; shingles decide what passes
 
 
@@ -339,7 +340,10 @@ def _rooted(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
     """``(node, root)`` over pairs of ``classes(node, sk)`` that meet at an anchor and whose sketches are alike, with leniency."""
-    halves = F.flatten(F.transform("sk", lambda w, i: F.array(F.struct((2 * i).alias("t"), w.bitwiseAND(0xFFFFFFFF).alias("fp")), F.struct((2 * i + 1).alias("t"), F.shiftrightunsigned(w, 32).alias("fp")))))
+    low, high = (lambda w: w.bitwiseAND(0xFFFFFFFF)), (lambda w: F.shiftrightunsigned(w, 32))
+    other = lambda i: F.element_at("sk", F.pmod(i + 3, F.lit(WORDS)) + 1)  # noqa: E731  bits that this print doesn't have
+    pair = lambda w, i: F.array(*(F.struct((2 * i + k).alias("t"), half(w).alias("fp"), half(other(i)).alias("check")) for k, half in enumerate((low, high))))
+    halves = F.flatten(F.transform("sk", pair))
     # the cosine of the angle and the similarity s of sets: 2s / (1 + s)
     least = similarity - LENIENT
     limit = int(64 * WORDS * np.arccos(2 * least / (1 + least)) / np.pi)
@@ -349,22 +353,25 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
     packed = classes.select("node", F.concat(*(little(F.col("sk")[i]) for i in range(WORDS))).alias("value"))
     comp, tried, first = None, None, 1
     for many in TURNS:
-        prints = _rooted(classes, comp).select("node", "root", F.explode(F.slice(halves, first, many)).alias("x")).select("node", "root", "x.t", "x.fp")
+        prints = _rooted(classes, comp).select("node", "root", F.explode(F.slice(halves, first, many)).alias("x")).select("node", "root", "x.t", "x.fp", F.shiftright(F.shiftleft("x.check", 32), 32).cast("int").alias("check"))
         first += many
-        at = anchors(prints, bits=32).select("node", "root", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
+        at = anchors(prints, bits=32).select("node", "root", "check", (F.col("anchor") + F.shiftleft(F.col("t").cast("long"), 32)).alias("spot"))
         # each spot is one of some hundred copies of a row, so a hot group's spots are small beside a task
         here = W.partitionBy("spot")
-        at = at.select("spot", "node", "root", F.min(F.struct("node", "root")).over(here).alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"))
-        meets = write_table(at.filter("mixed AND node <> head.node").select("spot", "node", "root", F.col("head.node").alias("head"), (F.col("root") == F.col("head.root")).alias("main")), "meets")
-        pairs = meets.filter("NOT main").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+        head = F.min(F.struct("node", "root", "check")).over(here)
+        at = at.select("spot", "node", "root", "check", head.alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"), F.count("*").over(here).alias("n"))
+        far = (F.bit_count(F.col("check").bitwiseXOR(F.col("head.check")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) > FAR).alias("far")
+        meets = at.filter("mixed AND node <> head.node").select("spot", "node", "root", "n", F.col("head.node").alias("head"), (F.col("root") == F.col("head.root")).alias("main"), far)
+        meets = write_table(meets.filter("NOT (n = 2 AND far)").drop("n"), "meets")  # two rows that met by chance
+        pairs = meets.filter("NOT main AND NOT far").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         compared = write_table(pairs.join(a, "a").join(b, "b").select("a", "b", (differ <= limit).alias("alike")), "compared")
         tried = compared if tried is None else tried.union(compared)
         like = tried.filter("alike").select("a", "b", F.lit(True).alias("like"))
         # rows of the smallest's own root need no look-up: a large group's rows are most of a spot's
-        apart = meets.filter("NOT main").join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "node", "root", F.col("like").isNotNull().alias("main"))
-        rest = meets.filter("main").select("spot", "node", "root", "main").union(apart)
+        apart = meets.filter("NOT main AND NOT far").join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "node", "root", F.col("like").isNotNull().alias("main"))
+        rest = meets.filter("main OR far").select("spot", "node", "root", "main").union(apart)
         rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "node", "root", "main", F.lit(8 * WORDS).alias("bytes"))
         edges = compared.filter("alike").select("a", "b").union(_cross_links(rest, packed, _like_sketches(limit)))
         comp = components(edges if comp is None else edges.union(comp))

@@ -88,7 +88,9 @@ class FactorizationMachine:
         """Fit on rows of term hashes: whole passes, at least ``early`` mini-batches before and ``steps`` after terms at zero leave."""
         rng, per_pass = np.random.default_rng(seed), max(1, -(-len(found) // BATCH))
         for passes in (-(-early // per_pass), max(1, -(-(steps - early) // per_pass))):
-            self._passes([self.places(t) for t in found], labels, passes, rng)
+            own = [self.places(t) for t in found]
+            self._passes(own, labels, passes, rng)
+            del own
             self.prune()
         return self
 
@@ -147,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         m = FactorizationMachine(flat[MIN_ROWS - 1 :][flat[MIN_ROWS - 1 :] == flat[: len(flat) - MIN_ROWS + 1]])  # a row has a term once
         del flat
         m.bias = 0.0 if rows else -1.0
-        m.fit(found, np.array([r[1] for r in rows], np.float64))
+        labels = np.array([r[1] for r in rows], np.float64)
+        del rows
+        m.fit(found, labels)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.hashes, m.weight, m.factor)] + [pa.array([m.bias])], ["hashes", "weight", "factor", "bias"])
 
     sample = own.mapInArrow(run, "id string, label int, terms binary").repartition(1)
