@@ -106,7 +106,7 @@ def noverb_languages(parts: Column) -> Column:
 
 
 def regions(args: DataFrame, envs: DataFrame) -> DataFrame:
-    """Environments that name modules: ``(path, begin_pos, end_pos, env, kind, module, lang, access, source, target)``.
+    """Environments that name modules: ``(path, begin_pos, end_pos, env, depth, kind, module, lang, access, source, target, structure)``.
 
     ``kind`` is module, binding, view or structure; a view over a signature is a module as well. A module without a name is private
     and goes by ``path#pos``.
@@ -214,7 +214,7 @@ def import_error(name: Column, parts: Column) -> Column:
 
 
 def dependencies(own: DataFrame, found: DataFrame) -> DataFrame:
-    """``(path, pos, module, macro, export, quiet, hint, scope_begin, scope_end)``: imports, a binding's signature, a structure's
+    """``(path, pos, module, macro, export, quiet, hint)``: imports, a binding's signature, a structure's
     module, a view's source and target. Quiet ones are implied and never reported as redundant."""
     n, arg = F.col("name"), F.get("rargs", F.lit(0))
     imports = own.filter(n.rlike(IMPORTS)).select("path", "pos", arg.alias("module"), n.alias("macro"), n.contains("import").alias("export"), F.lit(False).alias("quiet"), import_hint(F.col("path"), n, arg, F.col("parts")).alias("hint"))
