@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -104,7 +105,7 @@ def record_type(length: int = SEQUENCE) -> np.dtype:
 
 def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(part, k, record, held)``: each input partition's documents as one token stream, each closed by the
-    end id, cut every ``length`` ids; ``held`` lists the documents that begin in the record, ``(doc_id, offset, n)``.
+    end id, cut every ``length`` ids, each record compressed; ``held`` lists the documents that begin in the record, ``(doc_id, offset, n)``.
 
     Null or empty text: its end id alone. A null id stays null in ``held``; ids are whole numbers, others raise.
     Repeated rows are written each; an empty table gives no rows. Only the two named columns are read.
@@ -115,7 +116,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer)
-        part, done = TaskContext.get().partitionId(), 0
+        part, done, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
         ids, owner, offset, begun = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int32), []
 
         def flush(n: int) -> pa.RecordBatch:
@@ -129,7 +130,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, id_col: s
             out["head"]["doc_id"], out["head"]["start"] = owner[first], offset[first]
             out["head"]["n"] = np.minimum(length, len(ids) - first)
             data, size = out.tobytes(), rec.itemsize
-            rows = [data[i * size : (i + 1) * size - 1] for i in range(n)]  # the writer adds the line end itself
+            rows = [pack.compress(data[i * size : (i + 1) * size - 1]) for i in range(n)]  # the writer adds the line end itself
             held = [[] for _ in range(n)]
             for d, at, m in begun:
                 if at < full:
@@ -178,7 +179,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, lengt
     Nulls, repeats, empty tables: as ``sequences``.
     """
     spark = docs.sparkSession
-    rows = write_table(sequences(docs, tokenizer, length, id_col, text_col), "records", "zstd")
+    rows = write_table(sequences(docs, tokenizer, length, id_col, text_col), "records")
     counts = rows.groupBy("part").agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stride, parts = record_type(length).itemsize, int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -191,11 +192,17 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, lengt
 
     # one short row per input partition; written, so Spark knows its size and sends it to the records if it is small
     before = write_table(_before(counts).withColumnRenamed("part", "p"), "before")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([plain.decompress(v) for v in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["slot", "record", "shard"])
+
     at = rows.join(before, F.col("part") == F.col("p")).withColumn("index", F.col("before") + F.col("k"))
     records = at.select("index", "record").mapInArrow(permute, "slot bigint, record binary").withColumn("shard", F.expr(f"slot div {per_shard}"))
     shards = max(1, -(-total // per_shard))
     # a binary value cast to string keeps its bytes; the text writer adds one line end, part of the stride
-    dealt = records.repartitionById(min(shards, 8 * parts), F.pmod("shard", F.lit(min(shards, 8 * parts))).cast("int")).sortWithinPartitions("shard", "slot")
+    dealt = records.repartitionById(min(shards, 8 * parts), F.pmod("shard", F.lit(min(shards, 8 * parts))).cast("int"))
+    dealt = dealt.mapInArrow(unpack, "slot bigint, record binary, shard bigint").sortWithinPartitions("shard", "slot")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/shards")
     held = at.filter(F.size("held") > 0).select("index", "held").mapInArrow(permute, "slot bigint, held array<struct<doc_id:bigint,offset:int,n:bigint>>")
     held.select("slot", F.explode("held").alias("x")).select("x.doc_id", "slot", "x.offset", "x.n").write.parquet(f"{path}/documents")
