@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, packing, pieces, quality, sharding, simhash, suffix, tokens, toxicity, warc
+from . import fim, harmonic, media, packing, pieces, quality, sharding, simhash, suffix, tokens, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_hypergeometric_shards": sharding.query,
         "op9_simhash_anchors": simhash.query,
         "op10_toxicity_fm": toxicity.query,
+        "op11_qdwh_whitening": whitening.query,
+        "op12_fill_in_middle": fim.query,
+        "op13_harmonic_packing": harmonic.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": quality.SQL}
+    return {"op4_host_rules": quality.SQL, "op12_fill_in_middle": fim.SQL}
