@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import nesting
+
 # fixed values: names of the markup's macros and environments
 SIGNATURE_ENVS = ("modsig", "gviewsig")
 MODULE_ENVS = ("modsig", "module", "module*", "smentry", "gviewsig")
@@ -22,7 +24,7 @@ DEFINITION = r"^[ma]*[dD]ef[ivx]+s?\*?$"
 REFERENCE = r"^[ma]*[dDtT]ref[ivx]+s?\*?$"
 ASSIGNMENT = r"^[tv]assign\*?$"
 PRIVATE = 3
-END = 1 << 40  # stands for the end of an environment that is never closed
+END = nesting.END
 
 
 def nested(depth: int, more: str = "") -> str:
@@ -49,31 +51,107 @@ VERBATIM_RUN = rf"([^\\]*)(?:({VERBATIM})|(\\[\\%]|\\)|\z)"
 COMMENT_RUN = r"([^\\%]*)(?:(%[^\n]*)|(\\[\\%]|\\)|\z)"
 
 
-def _masked(text: Column, run: str) -> Column:
-    a, b, c = (F.regexp_extract_all(text, F.lit(run), F.lit(i)) for i in (1, 2, 3))
-    parts = F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c")), lambda x: F.concat(x.a, F.replace(x.b, F.lit("\\"), F.lit(MASKED)), x.c))
-    return F.array_join(parts, "")
+def _hidden(part: Column) -> Column:
+    return F.replace(part, F.lit("\\"), F.lit(MASKED))
 
 
 def mask_verbatim(text: Column) -> Column:
     """Contents of verbatim macros and environments stay as text: their backslashes no longer start macros. No place moves."""
-    return _masked(text, VERBATIM_RUN)
+    # what comes before the first backslash of a match has none, and an escape is two characters at most
+    parts = F.transform(F.regexp_extract_all(text, F.lit(VERBATIM_RUN), F.lit(0)), lambda m: F.when(F.length(m) - F.instr(m, "\\") >= 2, _hidden(m)).otherwise(m))
+    return F.array_join(parts, "")
 
 
 def mask_comments(text: Column) -> Column:
     """Comments hold no macros; no place moves. An escaped ``%`` starts none."""
-    return _masked(text, COMMENT_RUN)
+    parts = F.transform(F.regexp_extract_all(text, F.lit(COMMENT_RUN), F.lit(0)), lambda m: F.when(F.rlike(m, F.lit(r"^[^\\]*%")), _hidden(m)).otherwise(m))
+    return F.array_join(parts, "")
+
+
+LEVELS = 3  # of braces that one pattern reads; deeper texts are swept
+
+
+def brace_depth(text: Column) -> Column:
+    """How deep braces nest in a text; a closing one without an opening one counts for nothing."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc, brace):
+        now = F.greatest(acc["now"] + F.when(brace == "{", 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("[{}]"), F.lit(0)), start, step, lambda acc: acc["most"])
 
 
 def macros(sources: DataFrame) -> DataFrame:
-    """``(path, pos, name, oarg, rarg, lead)`` in document order, macros inside arguments included; ``lead`` is the length of
-    the text between the macro's backslash and the name before it. Verbatim text and comments hold none."""
-    optional, required = macro_parts("+")
-    head = rf"([^\\]*+(?:\\(?![A-Za-z])[^\\]*+)*+)\\([A-Za-z]++\*?+)(?=({optional})({required}))"
+    """``(path, pos, name, oarg, rarg, rargs, lead)`` in document order, macros inside arguments included; ``lead`` is the length of
+    the text between the macro's backslash and the name before it, ``rargs`` the required arguments. Verbatim text and comments hold none.
+
+    Texts whose braces nest up to ``LEVELS`` deep are read in place, by two patterns. Deeper ones go through ``swept``, at any depth.
+    """
     clean = sources.select("path", mask_comments(mask_verbatim(F.col("text"))).alias("clean"))
-    group = lambda i: F.regexp_extract_all("clean", F.lit(head), F.lit(i))
-    zipped = F.arrays_zip(F.transform(group(1), F.length).alias("lead"), group(2).alias("name"), group(3).alias("oarg"), group(4).alias("rarg"))
-    return clean.select("path", F.posexplode(zipped).alias("pos", "x")).select("path", F.col("pos").cast("long").alias("pos"), "x.name", "x.oarg", "x.rarg", "x.lead")
+    deep = brace_depth(F.col("clean")) > LEVELS
+    return _read(clean.filter(~deep)).union(swept(clean.filter(deep)))
+
+
+def _read(clean: DataFrame) -> DataFrame:
+    optional, required = macro_parts("+")
+    head = rf"[^\\]*+(?:\\(?![A-Za-z])[^\\]*+)*+\\([A-Za-z]++\*?+)"
+    matched = clean.select("path", F.regexp_extract_all("clean", F.lit(head), F.lit(0)).alias("heads"), F.regexp_extract_all("clean", F.lit(rf"{head}(?=({optional}{required}))"), F.lit(2)).alias("args"))
+    rows = matched.select("path", F.posexplode(F.arrays_zip("heads", "args")).alias("pos", "x"))
+    name, oarg = F.substring_index("x.heads", "\\", -1), F.regexp_extract("x.args", rf"^{optional}", 0)
+    out = rows.select("path", F.col("pos").cast("long").alias("pos"), name.alias("name"), oarg.alias("oarg"), F.col("x.args").alias("args"), F.length("x.heads").alias("size"))
+    out = out.withColumn("rarg", F.substring("args", F.length("oarg") + 1, F.length("args")))
+    rargs = F.regexp_extract_all("rarg", F.lit(rf"\{{({nested(LEVELS, '+')})\}}"), F.lit(1))
+    return out.select("path", "pos", "name", "oarg", "rarg", rargs.alias("rargs"), (F.col("size") - F.length("name") - 1).alias("lead"))
+
+
+def swept(clean: DataFrame) -> DataFrame:
+    """``macros`` of ``clean(path, clean)`` at any depth of braces: delimiters are rows, their running depth pairs them, and an
+    argument belongs to the macro that only arguments part it from.
+
+    All windows are within a text, in order, so it moves once. Then it falls into chunks, each from a macro outside all
+    braces up to the next, in which the macros look up their arguments.
+    """
+    parts = F.regexp_extract_all("clean", F.lit(r"\\[A-Za-z]++\*?+|[{}\[\]]|[^\\{}\[\]]++|\\"), F.lit(0))
+    own = clean.select("path", F.posexplode(parts).alias("i", "part"))
+    kind = F.when(F.col("part").isin("{", "}", "[", "]"), F.col("part")).when(F.col("part").rlike(r"^\\[A-Za-z]"), "m").otherwise("t")
+    order = W.partitionBy("path").orderBy("i")
+    rows = own.withColumn("kind", kind).withColumn("step", F.when(F.col("kind") == "{", 1).when(F.col("kind") == "}", -1).otherwise(0))
+    rows = rows.withColumn("at", F.sum(F.length("part")).over(order) - F.length("part"))
+    rows = nesting.with_depth(rows, ["path"], ["i"]).withColumn("kind", F.when(F.col("stray"), "t").otherwise(F.col("kind")))
+    opens, closes = F.col("kind") == "{", F.col("kind") == "}"
+    # a brace pairs with the next one of its depth; one that is never closed is text, and what follows isn't inside it
+    rows = rows.withColumn("inner", F.when(closes, F.col("depth") + 1).otherwise(F.col("depth")))
+    rows = rows.withColumn("close", F.when(opens, F.lead("at").over(W.partitionBy("path", "inner", F.col("kind").isin("{", "}")).orderBy("i"))))
+    rows = rows.withColumn("lift", F.sum((opens & F.col("close").isNull()).cast("int")).over(order))
+    # an opening brace stands for its pair one level above; a closing one parts what its pair holds from what the next pair holds
+    rows = rows.withColumn("level", F.col("inner") - F.when(opens, 1).otherwise(0))
+    rows = rows.withColumn("group", F.sum(closes.cast("int")).over(W.partitionBy("path", "level").orderBy("i")))
+    rows = rows.withColumn("chunk", F.sum(((F.col("kind") == "m") & (F.col("level") == F.col("lift"))).cast("int")).over(order))
+    items = rows.filter("kind <> '}'").withColumn("kind", F.when(opens & F.col("close").isNotNull(), "g").when(opens, "t").otherwise(F.col("kind")))
+    w = W.partitionBy("path", "level", "group").orderBy("i")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    bracket = F.when(F.col("kind").isin("[", "]"), F.struct("kind", F.col("at").alias("a"), F.when(F.lag("kind").over(w) == "m", F.lag("i").over(w)).alias("owner")))
+    items = items.withColumn("bracket", bracket).withColumn("last", F.last("bracket", ignorenulls=True).over(before))
+    closed = (F.col("kind") == "]") & (F.col("last.kind") == "[")
+    items = items.withColumn("owner", F.when(F.col("kind") == "m", F.col("i")).when(closed, F.col("last.owner")))
+    anchor = F.when(F.col("kind") != "g", F.struct("owner"))
+    items = items.withColumn("mine", F.when(F.col("kind") == "g", F.last(anchor, ignorenulls=True).over(before)["owner"]).otherwise(F.col("owner")))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    found = items.filter("mine IS NOT NULL").groupBy("path", "chunk", "mine").agg(
+        F.max(of("m", F.struct("at", "part"))).alias("m"), F.max(of("]", F.struct(F.col("last.a").alias("a"), F.col("at").alias("z")))).alias("o"),
+        F.array_sort(F.collect_list(of("g", F.struct(F.col("at").alias("a"), F.col("close").alias("z"))))).alias("r"))
+    macros = found.groupBy("path", "chunk").agg(F.collect_list(F.struct("m", "o", "r")).alias("macros"))
+    texts = rows.groupBy("path", "chunk").agg(F.min("at").alias("from"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "").alias("text"))
+    cut = lambda a, z: F.substring("text", (a - F.col("from") + 1).cast("int"), (z - a).cast("int"))
+    full = F.transform("macros", lambda x: F.struct(
+        x["m"]["at"].alias("place"), F.substring(x["m"]["part"], F.lit(2), F.length(x["m"]["part"])).alias("name"),
+        F.coalesce(cut(x["o"]["a"], x["o"]["z"] + 1), F.lit("")).alias("oarg"), F.transform(x["r"], lambda r: cut(r["a"] + 1, r["z"])).alias("rargs")))
+    out = texts.join(macros, ["path", "chunk"]).select("path", F.explode(full).alias("x")).select("path", "x.*")
+    w = W.partitionBy("path").orderBy("place")
+    ended = F.lag(F.col("place") + F.length("name") + 1, 1, 0).over(w)
+    rarg = F.array_join(F.transform("rargs", lambda a: F.concat(F.lit("{"), a, F.lit("}"))), "")
+    return out.select("path", (F.row_number().over(w) - 1).cast("long").alias("pos"), "name", "oarg", rarg.alias("rarg"), "rargs", (F.col("place") - ended).cast("int").alias("lead"))
 
 
 def with_offsets(m: DataFrame) -> DataFrame:
@@ -83,11 +161,25 @@ def with_offsets(m: DataFrame) -> DataFrame:
     return m.withColumn("place", ends - F.length("name") - 1)
 
 
+def split_options(text: Column) -> Column:
+    """Pieces between commas, those that braces protect left alone at any depth; empty ones are dropped."""
+    count = lambda p, c: F.length(p) - F.length(F.replace(p, F.lit(c), F.lit("")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+
+    def step(acc, p):
+        own = F.when(acc["depth"] > 0, F.concat(acc["open"], F.lit(","), p)).otherwise(p)
+        depth = F.greatest(acc["depth"] + count(p, "{") - count(p, "}"), F.lit(0))
+        return F.struct(F.when(depth > 0, acc["done"]).otherwise(F.array_append(acc["done"], own)).alias("done"), F.when(depth > 0, own).otherwise(F.lit("")).alias("open"), depth.alias("depth"))
+
+    pieces = F.split(text, ",")
+    guarded = F.aggregate(pieces, start, step, lambda acc: F.when(acc["depth"] > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    return F.filter(F.when(text.contains("{"), guarded).otherwise(pieces), lambda p: p != "")
+
+
 def arguments(m: DataFrame) -> DataFrame:
-    """``macros`` plus ``rargs``, the required arguments, and ``parts``, the optional ones; braces protect what is inside them."""
+    """``macros`` plus ``parts``, the optional arguments; braces protect what is inside them."""
     inner = F.substring("oarg", F.lit(2), F.length("oarg") - 2)
-    piece = rf"((?:[^,{{}}]++|\{{{nested(2, '+')}\}})++)"
-    return m.select("*", F.regexp_extract_all("rarg", F.lit(rf"\{{({nested(3, '+')})\}}"), F.lit(1)).alias("rargs"), F.regexp_extract_all(inner, F.lit(piece), F.lit(1)).alias("parts"))
+    return m.select("*", split_options(inner).alias("parts"))
 
 
 def named(parts: Column, key: str) -> Column:
@@ -139,21 +231,16 @@ def bindings(found: DataFrame) -> DataFrame:
 
 
 def placed(args: DataFrame, found: DataFrame) -> DataFrame:
-    """``args`` plus the nearest region around each: ``around`` (its kind), ``env``, ``module``, ``lang``, ``source``, ``target``, null outside all.
-
-    A file's regions are few beside its macros, so the range join within a path stays small.
-    """
-    r = found.select(F.col("path").alias("r_path"), "begin_pos", "end_pos", F.col("kind").alias("around"), "env", "module", "lang", "source", "target")
-    inside = (F.col("path") == F.col("r_path")) & (F.col("begin_pos") < F.col("pos")) & (F.col("end_pos") > F.col("pos"))
-    hit = args.select("path", "pos").join(r, inside)
-    near = hit.groupBy("path", "pos").agg(F.max(F.struct("begin_pos", "around", "env", "module", "lang", "source", "target")).alias("x"))
-    return args.join(near.select("path", "pos", "x.around", "x.env", "x.module", "x.lang", "x.source", "x.target"), ["path", "pos"], "left")
+    """``args`` plus the nearest region around each: ``around`` (its kind), ``env``, ``module``, ``lang``, ``source``, ``target``, null outside all."""
+    r = found.select("path", "begin_pos", "end_pos", F.col("kind").alias("around"), "env", "module", "lang", "source", "target")
+    near = nesting.nearest(args, r)
+    return near.select(*args.columns, "near.around", "near.env", "near.module", "near.lang", "near.source", "near.target")
 
 
 def symbol_name(name: Column, rargs: Column, parts: Column) -> Column:
     """``name=`` wins; symbol definitions take their first argument; else the arguments joined, without the shown form of an ``a`` variant."""
     shown = name.rlike("^m?am?([dDtT]ref|[dD]ef)")
-    joined = F.array_join(F.when(shown, F.slice(rargs, 2, 99)).otherwise(rargs), "-")
+    joined = F.array_join(F.when(shown, F.slice(rargs, F.lit(2), F.greatest(F.size(rargs), F.lit(1)))).otherwise(rargs), "-")
     return F.coalesce(named(parts, "name"), F.when(name.rlike(r"^(sym|var)def\*?$"), F.get(rargs, F.lit(0))).otherwise(joined))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import nesting
+
 WORD = r"[\p{L}\p{N}_]+(?:'s)?|[!$%&()\-'.?,:;\"|]"
 # fixed values: environments whose contents are math
 MATH_ENVS = ("align", "alignat", "displaymath", "eqnarray", "equation", "gather", "math", "multline")
@@ -52,10 +54,10 @@ def german(text: Column) -> Column:
 
 
 def environment_tokens(args: DataFrame) -> DataFrame:
-    """Begin and end macros with the running depth and what they pair with: ``(path, pos, step, env, depth, nth)``."""
+    """Begin and end macros with the running depth and what they pair with: ``(path, pos, step, env, depth, nth)``. An end without a begin is left out."""
     own = args.filter(F.col("name").isin("begin", "end")).select("path", "pos", F.when(F.col("name") == "begin", 1).otherwise(-1).alias("step"), F.get("rargs", F.lit(0)).alias("env"))
-    run = F.sum("step").over(W.partitionBy("path").orderBy("pos"))
-    own = own.withColumn("depth", (run + F.when(F.col("step") == -1, 1).otherwise(0)).cast("int"))
+    run = nesting.with_depth(own, ["path"], ["pos"]).filter("NOT stray").drop("stray")
+    own = run.withColumn("depth", F.col("depth") + F.when(F.col("step") == -1, 1).otherwise(0))
     return own.withColumn("nth", F.row_number().over(W.partitionBy("path", "depth", "step").orderBy("pos")))
 
 
@@ -73,15 +75,13 @@ def unbalanced(envs: DataFrame) -> DataFrame:
 
 def enclosing(points: DataFrame, envs: DataFrame) -> DataFrame:
     """``points(path, pos, ...)`` plus ``envs``: names of the environments around each, outermost first."""
-    e = envs.select(F.col("path").alias("e_path"), "env", "begin_pos", "end_pos")
-    inside = (F.col("path") == F.col("e_path")) & (F.col("begin_pos") < F.col("pos")) & (F.coalesce("end_pos", F.lit(1 << 40)) > F.col("pos"))
-    hit = points.select("path", "pos").join(e, inside).groupBy("path", "pos").agg(F.array_sort(F.collect_list(F.struct("begin_pos", "env"))).alias("x"))
-    out = points.join(hit, ["path", "pos"], "left")
-    return out.withColumn("envs", F.coalesce(F.transform("x", lambda v: v.env), F.expr("cast(array() as array<string>)"))).drop("x")
+    chain = nesting.chains(envs, "env").select("path", F.col("begin_pos").alias("__begin"), F.col("names").alias("envs"))
+    near = nesting.nearest(points, envs.select("path", "begin_pos", "end_pos")).withColumn("__begin", F.col("near.begin_pos")).drop("near")
+    out = near.join(chain, ["path", "__begin"], "left").select(*points.columns, "envs")
+    return out.withColumn("envs", F.coalesce("envs", F.expr("cast(array() as array<string>)")))
 
 
 def outermost(envs: DataFrame, pattern: str) -> DataFrame:
     """Environments whose name matches and that lie in no other that does."""
     own = envs.filter(F.col("env").rlike(pattern))
-    out = own.select(F.col("path").alias("o_path"), F.col("begin_pos").alias("o_begin"), F.coalesce("end_pos", F.lit(1 << 40)).alias("o_end"))
-    return own.join(out, (F.col("path") == F.col("o_path")) & (F.col("o_begin") < F.col("begin_pos")) & (F.col("o_end") > F.col("begin_pos")), "left_anti")
+    return nesting.with_parents(own).filter("parent IS NULL").select(*envs.columns)

@@ -54,7 +54,7 @@ SELECT d, concat('/hub/', source, '/source/n', d, '.tex'), lang, 'mono',
          CASE WHEN d % 25 = 0 THEN concat(s,'usemodule{m0}', nl, s,'begin{omtext}', nl, s,'usemodule[load=x]{m', t1, '}', nl, s,'end{omtext}', nl) ELSE '' END,
          s,'adefi[name=', a, ']{shown ', s,'emph{', a, '}}{', b, '} ', s,'defii{', a, '}{', b, '} ', s,'drefi{', b, '}', nl,
          s,'verb|', s,'defi{no}| ', s,'begin{verbatim}', nl, s,'symi{no}', nl, s,'end{verbatim} 100', s,'% % ', s,'defi{no}', nl,
-         s,'symdef[noverb={de,en}]{', a, '-n}', nl, s,'Trefis{', a, '} ', s,'symi{', b, '} ', s,'defiii{', a, '}{', b, '}', nl,
+         s,'symdef[noverb={de,en}]{', a, '-n}', nl, s,'Trefis{', a, '} ', s,'symi{', b, '} ', s,'defiii{', a, '}{', b, '} ', s,'defii{x{y{z{', s,'emph{', a, '}}}}}{', b, '}', nl,
          s,'begin{align*}x & y', s,s,' 1', nl, s,'end{align*} ', s,'ss ', s,'"a', nl,
          s,'end{module}', nl,
          s,'begin{gviewsig}{v', d, '}{m', d, '}{m', t1, '}', nl, s,'tassign{', a, '}{', b, '} ', s,'vassign{m', t2, '?', b, '}{', a, '}', nl, s,'end{gviewsig}', nl,
@@ -82,18 +82,42 @@ def _run_sql(text: str, run: str) -> str:
 
 
 VERBATIM_SQL = f"SELECT path, {_run_sql('text', markup.VERBATIM_RUN)} AS text FROM tex_sources"
-_O, _R = markup.macro_parts()
-#: Every backslash with all that follows it; a macro's parts stand at the front.
-MACROS_SQL = f"""
-SELECT path, row_number() OVER (PARTITION BY path ORDER BY place) - 1 AS pos, regexp_extract(rest, '^.([A-Za-z]+[*]?)', 1) AS name,
- regexp_extract(rest, {_q(rf'^.[A-Za-z]+[*]?({_O})')}, 1) AS oarg, regexp_extract(rest, {_q(rf'^.[A-Za-z]+[*]?{_O}({_R})')}, 1) AS rarg, place
-FROM (SELECT path, chr(92) || array_to_string(p[i:], chr(92)) AS rest, length(array_to_string(p[:i - 1], chr(92))) AS place
-      FROM (SELECT path, string_split({_run_sql('text', markup.COMMENT_RUN)}, chr(92)) AS p FROM verbatim), unnest(range(2, len(p) + 1)) AS t(i))
-WHERE regexp_matches(rest, '^.[A-Za-z]')
+#: The parts of each text: macro names, braces and brackets, what is between them.
+PARTS_SQL = rf"""
+SELECT path, regexp_extract_all({_run_sql('text', markup.COMMENT_RUN)}, '\\[A-Za-z]+[*]?|[{{}}\[\]]|[^\\{{}}\[\]]+|\\') AS a FROM verbatim
 """
+DEPTHS_SQL = """
+SELECT path, i, part, place, step, r - least(low, r) AS depth, step = -1 AND r < low AS stray FROM (
+ SELECT *, least(0, coalesce(min(r) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM (
+  SELECT *, sum(length(part)) OVER (PARTITION BY path ORDER BY i) - length(part) AS place, sum(step) OVER (PARTITION BY path ORDER BY i) AS r FROM (
+   SELECT path, i, part, CASE part WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END AS step FROM (SELECT path, unnest(a) AS part, generate_subscripts(a, 1) AS i FROM parts))))
+"""
+#: What stands beside each other inside one pair of braces, a pair itself as one item (g) that ends place ``close``.
+ITEMS_SQL = r"""
+SELECT path, level, grp, i, place, part, close, CASE WHEN step = 1 AND close IS NOT NULL THEN 'g' WHEN part IN ('[', ']') THEN part WHEN regexp_matches(part, '^\\[A-Za-z]') THEN 'm' ELSE 't' END AS kind FROM (
+ SELECT *, sum((step = -1)::INT) OVER (PARTITION BY path, level ORDER BY i) AS grp FROM (
+  SELECT *, inner_depth - (step = 1)::INT AS level, CASE WHEN step = 1 THEN lead(i) OVER (PARTITION BY path, inner_depth, step <> 0 ORDER BY i) END AS close FROM (
+   SELECT path, i, part, place, CASE WHEN stray THEN 0 ELSE step END AS step, depth + (step = -1 AND NOT stray)::INT AS inner_depth FROM depths))) WHERE step >= 0
+"""
+MACROS_SQL = """
+SELECT m.path, row_number() OVER (PARTITION BY m.path ORDER BY m.i) - 1 AS pos, m.part[2:] AS name, coalesce(array_to_string(a[o.b:o.z], ''), '') AS oarg,
+ coalesce('{' || array_to_string(list_transform(g.spans, lambda s: array_to_string(a[s.f:s.z], '')), '}{') || '}', '') AS rarg, m.place,
+ coalesce(list_transform(g.spans, lambda s: array_to_string(a[s.f:s.z], '')), []) AS rargs
+FROM items m JOIN parts USING (path)
+LEFT JOIN (SELECT path, b, max(z) AS z FROM (SELECT path, i AS z, lag(kind) OVER w AS bk, lag(i) OVER w AS b, kind FROM items WHERE kind IN ('[', ']') WINDOW w AS (PARTITION BY path, level, grp ORDER BY i)) WHERE kind = ']' AND bk = '[' GROUP BY ALL) o
+ ON o.path = m.path AND o.b = m.i + 1
+LEFT JOIN (SELECT path, anchor, list({'f': i + 1, 'z': close - 1} ORDER BY i) AS spans FROM (SELECT *, last_value(CASE WHEN kind <> 'g' THEN i END IGNORE NULLS) OVER (PARTITION BY path, level, grp ORDER BY i) AS anchor FROM items) WHERE kind = 'g' GROUP BY ALL) g
+ ON g.path = m.path AND g.anchor = coalesce(o.z, m.i)
+WHERE m.kind = 'm'
+"""
+
+
+def _braced(depth: int) -> str:
+    return r"[^{}]*" if not depth else r"(?:[^{}]|\{" + _braced(depth - 1) + r"\})*"
+
+
 ARGS_SQL = f"""
-SELECT path, pos, name, oarg, rarg, place, regexp_extract_all(rarg, {_q(rf'{chr(92)}{{({markup.nested(3)}){chr(92)}}}')}, 1) AS rargs,
- regexp_extract_all(substr(oarg, 2, greatest(length(oarg) - 2, 0)), {_q(rf'((?:[^,{{}}]+|{chr(92)}{{{markup.nested(2)}{chr(92)}}})+)')}, 1) AS parts
+SELECT path, pos, name, oarg, rarg, place, rargs, regexp_extract_all(substr(oarg, 2, greatest(length(oarg) - 2, 0)), {_q(r'((?:[^,{}]|' + r'\{' + _braced(5) + r'\})+)')}, 1) AS parts
 FROM macros
 """
 EDITS_SQL = """
@@ -109,9 +133,9 @@ SELECT a.path, a.env, a.pos AS begin_pos, z.pos AS end_pos, z.env AS end_env, CA
 LEFT JOIN env_steps z ON a.path = z.path AND a.depth = z.depth AND a.nth = z.nth AND z.step = -1 WHERE a.step = 1
 """
 ENV_STEPS_SQL = """
-SELECT *, row_number() OVER (PARTITION BY path, depth, step ORDER BY pos) AS nth
-FROM (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY pos) + (step = -1)::INT AS depth
-      FROM (SELECT path, pos, CASE WHEN name = 'begin' THEN 1 ELSE -1 END AS step, rargs[1] AS env FROM args WHERE name IN ('begin', 'end')))
+SELECT *, row_number() OVER (PARTITION BY path, depth, step ORDER BY pos) AS nth FROM (SELECT path, pos, step, env, r - least(low, r) + (step = -1)::INT AS depth
+ FROM (SELECT *, least(0, coalesce(min(r) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low
+  FROM (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY pos) AS r FROM (SELECT path, pos, CASE WHEN name = 'begin' THEN 1 ELSE -1 END AS step, rargs[1] AS env FROM args WHERE name IN ('begin', 'end')))) WHERE NOT (step = -1 AND r < low))
 """
 
 
@@ -173,7 +197,7 @@ UNION ALL SELECT path, pos, name, '', target, rargs[2], module FROM placed WHERE
 """
 
 _VIEWS = {
-    "tex_sources": (TEX_SQL, ()), "tokens": (TOKENS_SQL, ()), "verbatim": (VERBATIM_SQL, ("tex_sources",)), "macros": (MACROS_SQL, ("verbatim",)), "args": (ARGS_SQL, ("macros",)),
+    "tex_sources": (TEX_SQL, ()), "tokens": (TOKENS_SQL, ()), "verbatim": (VERBATIM_SQL, ("tex_sources",)), "parts": (PARTS_SQL, ("verbatim",)), "depths": (DEPTHS_SQL, ("parts",)), "items": (ITEMS_SQL, ("depths",)), "macros": (MACROS_SQL, ("items",)), "args": (ARGS_SQL, ("macros",)),
     "env_steps": (ENV_STEPS_SQL, ("args",)), "envs": (ENVS_SQL, ("env_steps",)), "regions": (REGIONS_SQL, ("envs",)), "placed": (PLACED_SQL, ("regions",)),
     "edits": (EDITS_SQL, ()), "files": (FILES_SQL, ("tex_sources",)), "modules": (MODULES_SQL, ("regions",)), "bindings": (BINDINGS_SQL, ("regions",)),
     "symbols": (SYMBOLS_SQL, ("placed",)), "deps": (DEPS_SQL, ("regions",)), "refs": (REFS_SQL, ("placed",)),
@@ -192,7 +216,7 @@ def with_views(*names: str, recursive: bool = False) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS ({_VIEWS[n][0]})" for n in order)
+    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('parts', 'items', 'args', 'envs', 'placed') else ''}({_VIEWS[n][0]})" for n in order)
 
 
 class Tables:
@@ -201,6 +225,8 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self._args: DataFrame | None = None
+        self._tex: DataFrame | None = None
+        self._own: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -211,7 +237,10 @@ class Tables:
         return self.spark.sql(text.replace(f"FROM {table}", f"FROM marklens_{table}"))
 
     def tex_sources(self) -> DataFrame:
-        return self._sql(TEX_SQL, "documents")
+        """Written once: the texts are made of long expressions, which plans with many branches would repeat."""
+        if self._tex is None:
+            self._tex = write_table(self._sql(TEX_SQL, "documents"), "tex")
+        return self._tex
 
     def files(self) -> DataFrame:
         size = F.octet_length("text").cast("long")
@@ -229,22 +258,24 @@ class Tables:
         return markup.macros(self.tex_sources())
 
     def args(self) -> DataFrame:
-        return markup.arguments(self.macros()) if self._args is None else self._args
-
-    def written(self) -> Tables:
-        """The same, with the macro table written once: for queries with many branches over it."""
+        """The macro table, written once: everything else stands on it."""
         if self._args is None:
-            self._args = write_table(markup.with_offsets(self.args()), "macros")
-        return self
+            self._args = write_table(markup.with_offsets(markup.arguments(self.macros())), "macros")
+        return self._args
+
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self._own:
+            self._own[name] = write_table(build(), name)
+        return self._own[name]
 
     def envs(self) -> DataFrame:
-        return tokens.environments(self.args())
+        return self._once("envs", lambda: tokens.environments(self.args()))
 
     def regions(self) -> DataFrame:
-        return markup.regions(self.args(), self.envs())
+        return self._once("regions", lambda: markup.regions(self.args(), self.envs()))
 
     def placed(self) -> DataFrame:
-        return markup.placed(self.args(), self.regions())
+        return self._once("placed", lambda: markup.placed(self.args(), self.regions()))
 
     def modules(self) -> DataFrame:
         return markup.modules(self.regions())

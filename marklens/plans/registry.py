@@ -340,7 +340,6 @@ _add("l30_ancestors", lambda t: link.ancestors(_turns(t)), "WITH RECURSIVE p AS
 
 
 def _diagnostics(t: Tables) -> DataFrame:
-    t.written()
     return checks.all_checks(t.placed(), t.regions(), t.envs(), t.tex_sources())
 
 
@@ -393,7 +392,6 @@ _add("d2_severity_threshold", lambda t: checks.at_most(_diagnostics(t), 1).selec
 
 def _further(t: Tables) -> DataFrame:
     """Cycles, types and predicted tags, in the same schema."""
-    t.written()
     deps, modules = t.deps(), t.modules()
     cycles = checks.cycle_rows(deps, modules, link.cyclic(_edges(t)))
     refs = t.refs().withColumn("mask", F.when(F.col("macro").startswith("a"), 3).otherwise(1))
@@ -407,7 +405,7 @@ _AT = " FROM dg JOIN args a USING (path, pos) JOIN tex_sources t USING (path)"
 _BEFORE = "substr(t.text, 1, a.place)"
 _LINE = f""" SELECT path || ':' || (length({_BEFORE}) - length(replace({_BEFORE}, chr(10), '')) + 1) || ':' || (length(string_split({_BEFORE}, chr(10))[-1]) + 1) || ' '
  || CASE severity WHEN 1 THEN 'Error' WHEN 2 THEN 'Warning' ELSE 'Information' END || ' - ' || message || ' (' || code || ')' AS line"""
-_add("d4_formatted", lambda t: checks.formatted(checks.located(_diagnostics(t), t.written().args(), t.tex_sources())), _DIAG + _LINE + _AT)
+_add("d4_formatted", lambda t: checks.formatted(checks.located(_diagnostics(t), t.args(), t.tex_sources())), _DIAG + _LINE + _AT)
 _add(
     "d1_cycles_types_tags", lambda t: _shown(_further(t)),
     with_views("modules", "symbols", "deps", "refs", recursive=True) + _CLOSE[_NRV:].replace("WHERE export", "") + """, cyc AS (SELECT node FROM c WHERE root = node)
@@ -472,7 +470,7 @@ _add("s15_sentences", lambda t: ingest.sentences(t.table("conversations").withCo
 def _report(t: Tables) -> DataFrame:
     """The report written as text and read back."""
     path = new_path(t.spark, "report")
-    ingest.report(checks.formatted(checks.located(checks.at_most(_diagnostics(t), 2), t.written().args(), t.tex_sources())), path)
+    ingest.report(checks.formatted(checks.located(checks.at_most(_diagnostics(t), 2), t.args(), t.tex_sources())), path)
     return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
