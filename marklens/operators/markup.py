@@ -36,9 +36,9 @@ def nested(depth: int, more: str = "") -> str:
     return p
 
 
-def macro_parts(more: str = "") -> tuple[str, str]:
-    """Patterns of an optional argument and of required ones."""
-    return rf"(?:\[(?:[^\[\]{{}}]+{more}|\{{{nested(2, more)}\}})*{more}\])?{more}", rf"(?:\{{{nested(3, more)}\}})*{more}"
+def argument_parts(more: str = "") -> tuple[str, str]:
+    """Patterns of an optional argument and of a required one."""
+    return rf"\[(?:[^\[\]{{}}]+{more}|\{{{nested(2, more)}\}})*{more}\]", rf"\{{{nested(3, more)}\}}"
 
 
 VERBATIM = (
@@ -83,8 +83,11 @@ def brace_depth(text: Column) -> Column:
 
 
 def macros(sources: DataFrame) -> DataFrame:
-    """``(path, pos, name, oarg, rarg, rargs, lead)`` in document order, macros inside arguments included; ``lead`` is the length of
-    the text between the macro's backslash and the name before it, ``rargs`` the required arguments. Verbatim text and comments hold none.
+    """``(path, pos, name, oarg, rarg, rargs, lead, span)`` in document order, macros inside arguments included.
+
+    Arguments follow the name without a gap, optional and required ones in any order. ``oarg`` holds the optional ones in one pair of brackets, with commas
+    between; ``rarg`` the required ones with their braces, ``rargs`` each without. ``lead`` is the length of the text between the macro's
+    backslash and the name before it, ``span`` that of the macro with its arguments. Verbatim text and comments hold none.
 
     Texts whose braces nest up to ``LEVELS`` deep are read in place, by two patterns. Deeper ones go through ``swept``, at any depth.
     """
@@ -93,16 +96,28 @@ def macros(sources: DataFrame) -> DataFrame:
     return _read(clean.filter(~deep)).union(swept(clean.filter(deep)))
 
 
+def _options(given: Column) -> Column:
+    """Optional arguments, each in brackets, as one."""
+    inner = F.transform(given, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    return F.when(F.size(given) > 0, F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]"))).otherwise("")
+
+
+def _braced(given: Column) -> Column:
+    return F.array_join(F.transform(given, lambda x: F.concat(F.lit("{"), x, F.lit("}"))), "")
+
+
 def _read(clean: DataFrame) -> DataFrame:
-    optional, required = macro_parts("+")
-    head = rf"[^\\]*+(?:\\(?![A-Za-z])[^\\]*+)*+\\([A-Za-z]++\*?+)"
-    matched = clean.select("path", F.regexp_extract_all("clean", F.lit(head), F.lit(0)).alias("heads"), F.regexp_extract_all("clean", F.lit(rf"{head}(?=({optional}{required}))"), F.lit(2)).alias("args"))
+    optional, required = argument_parts("+")
+    head = r"[^\\]*+(?:\\(?![A-Za-z])[^\\]*+)*+\\([A-Za-z]++\*?+)"
+    matched = clean.select("path", F.regexp_extract_all("clean", F.lit(head), F.lit(0)).alias("heads"), F.regexp_extract_all("clean", F.lit(rf"{head}(?=((?:{optional}|{required})*+))"), F.lit(2)).alias("args"))
     rows = matched.select("path", F.posexplode(F.arrays_zip("heads", "args")).alias("pos", "x"))
-    name, oarg = F.substring_index("x.heads", "\\", -1), F.regexp_extract("x.args", rf"^{optional}", 0)
-    out = rows.select("path", F.col("pos").cast("long").alias("pos"), name.alias("name"), oarg.alias("oarg"), F.col("x.args").alias("args"), F.length("x.heads").alias("size"))
-    out = out.withColumn("rarg", F.substring("args", F.length("oarg") + 1, F.length("args")))
-    rargs = F.regexp_extract_all("rarg", F.lit(rf"\{{({nested(LEVELS, '+')})\}}"), F.lit(1))
-    return out.select("path", "pos", "name", "oarg", "rarg", rargs.alias("rargs"), (F.col("size") - F.length("name") - 1).alias("lead"))
+    out = rows.select("path", F.col("pos").cast("long").alias("pos"), F.substring_index("x.heads", "\\", -1).alias("name"), F.col("x.args").alias("args"), F.length("x.heads").alias("size"))
+    each = F.regexp_extract_all("args", F.lit(rf"{optional}|{required}"), F.lit(0))
+    out = out.withColumn("each", each)
+    opts, req = F.filter("each", lambda x: x.startswith("[")), F.filter("each", lambda x: x.startswith("{"))
+    rargs = F.transform(req, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    size = F.length("name") + 1
+    return out.select("path", "pos", "name", _options(opts).alias("oarg"), F.array_join(req, "").alias("rarg"), rargs.alias("rargs"), (F.col("size") - size).alias("lead"), (size + F.length("args")).alias("span"))
 
 
 def swept(clean: DataFrame) -> DataFrame:
@@ -129,29 +144,34 @@ def swept(clean: DataFrame) -> DataFrame:
     rows = rows.withColumn("group", F.sum(closes.cast("int")).over(W.partitionBy("path", "level").orderBy("i")))
     rows = rows.withColumn("chunk", F.sum(((F.col("kind") == "m") & (F.col("level") == F.col("lift"))).cast("int")).over(order))
     items = rows.filter("kind <> '}'").withColumn("kind", F.when(opens & F.col("close").isNotNull(), "g").when(opens, "t").otherwise(F.col("kind")))
-    w = W.partitionBy("path", "level", "group").orderBy("i")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    bracket = F.when(F.col("kind").isin("[", "]"), F.struct("kind", F.col("at").alias("a"), F.when(F.lag("kind").over(w) == "m", F.lag("i").over(w)).alias("owner")))
-    items = items.withColumn("bracket", bracket).withColumn("last", F.last("bracket", ignorenulls=True).over(before))
-    closed = (F.col("kind") == "]") & (F.col("last.kind") == "[")
-    items = items.withColumn("owner", F.when(F.col("kind") == "m", F.col("i")).when(closed, F.col("last.owner")))
-    anchor = F.when(F.col("kind") != "g", F.struct("owner"))
-    items = items.withColumn("mine", F.when(F.col("kind") == "g", F.last(anchor, ignorenulls=True).over(before)["owner"]).otherwise(F.col("owner")))
+    # brackets pair with the next bracket beside them; a pair is one item, and what it holds a sequence of its own
+    signs = F.col("kind").isin("[", "]")
+    w = W.partitionBy("path", "level", "group", signs).orderBy("i")
+    items = items.withColumn("z", F.when((F.col("kind") == "[") & (F.lead("kind").over(w) == "]"), F.lead("at").over(w)))
+    items = items.withColumn("shut", (F.col("kind") == "]") & (F.lag("kind").over(w) == "["))
+    mark = F.when(F.col("z").isNotNull(), F.col("i")).when(F.col("shut"), -1)
+    held = F.coalesce(F.last(mark, ignorenulls=True).over(W.partitionBy("path", "level", "group").orderBy("i")), F.lit(-1))
+    items = items.withColumn("held", F.when(signs, -1).otherwise(held)).filter("NOT coalesce(shut, false)")
+    items = items.withColumn("kind", F.when(F.col("z").isNotNull(), "o").when(signs, "t").otherwise(F.col("kind")))
+    argument = F.col("kind").isin("g", "o")
+    anchor = F.when(~argument, F.struct(F.when(F.col("kind") == "m", F.col("i")).alias("i")))
+    items = items.withColumn("mine", F.last(anchor, ignorenulls=True).over(W.partitionBy("path", "level", "group", "held").orderBy("i"))["i"])
     of = lambda kind, x: F.when(F.col("kind") == kind, x)
-    found = items.filter("mine IS NOT NULL").groupBy("path", "chunk", "mine").agg(
-        F.max(of("m", F.struct("at", "part"))).alias("m"), F.max(of("]", F.struct(F.col("last.a").alias("a"), F.col("at").alias("z")))).alias("o"),
-        F.array_sort(F.collect_list(of("g", F.struct(F.col("at").alias("a"), F.col("close").alias("z"))))).alias("r"))
-    macros = found.groupBy("path", "chunk").agg(F.collect_list(F.struct("m", "o", "r")).alias("macros"))
+    found = items.filter("mine IS NOT NULL AND kind <> 't'").groupBy("path", "chunk", "mine").agg(
+        F.max(of("m", F.struct("at", "part"))).alias("m"), F.array_sort(F.collect_list(of("o", F.struct(F.col("at").alias("a"), "z")))).alias("o"),
+        F.array_sort(F.collect_list(of("g", F.struct(F.col("at").alias("a"), F.col("close").alias("z"))))).alias("r"),
+        F.max(F.coalesce(F.col("close"), F.col("z"))).alias("end"))
+    macros = found.groupBy("path", "chunk").agg(F.collect_list(F.struct("m", "o", "r", "end")).alias("macros"))
     texts = rows.groupBy("path", "chunk").agg(F.min("at").alias("from"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "").alias("text"))
     cut = lambda a, z: F.substring("text", (a - F.col("from") + 1).cast("int"), (z - a).cast("int"))
     full = F.transform("macros", lambda x: F.struct(
-        x["m"]["at"].alias("place"), F.substring(x["m"]["part"], F.lit(2), F.length(x["m"]["part"])).alias("name"),
-        F.coalesce(cut(x["o"]["a"], x["o"]["z"] + 1), F.lit("")).alias("oarg"), F.transform(x["r"], lambda r: cut(r["a"] + 1, r["z"])).alias("rargs")))
+        x["m"]["at"].alias("place"), F.substring(x["m"]["part"], F.lit(2), F.length(x["m"]["part"])).alias("name"), x["end"].alias("end"),
+        F.transform(x["o"], lambda r: cut(r["a"], r["z"] + 1)).alias("opts"), F.transform(x["r"], lambda r: cut(r["a"] + 1, r["z"])).alias("rargs")))
     out = texts.join(macros, ["path", "chunk"]).select("path", F.explode(full).alias("x")).select("path", "x.*")
-    w = W.partitionBy("path").orderBy("place")
-    ended = F.lag(F.col("place") + F.length("name") + 1, 1, 0).over(w)
-    rarg = F.array_join(F.transform("rargs", lambda a: F.concat(F.lit("{"), a, F.lit("}"))), "")
-    return out.select("path", (F.row_number().over(w) - 1).cast("long").alias("pos"), "name", "oarg", rarg.alias("rarg"), "rargs", (F.col("place") - ended).cast("int").alias("lead"))
+    w, size = W.partitionBy("path").orderBy("place"), F.length("name") + 1
+    lead = (F.col("place") - F.lag(F.col("place") + size, 1, 0).over(w)).cast("int")
+    span = F.coalesce(F.col("end") + 1 - F.col("place"), size).cast("int")
+    return out.select("path", (F.row_number().over(w) - 1).cast("long").alias("pos"), "name", _options(F.col("opts")).alias("oarg"), _braced(F.col("rargs")).alias("rarg"), "rargs", lead.alias("lead"), span.alias("span"))
 
 
 def with_offsets(m: DataFrame) -> DataFrame:

@@ -59,7 +59,11 @@ SELECT d, concat('/hub/', source, '/source/n', d, '.tex'), lang, 'mono',
          s,'end{module}', nl,
          s,'begin{gviewsig}{v', d, '}{m', d, '}{m', t1, '}', nl, s,'tassign{', a, '}{', b, '} ', s,'vassign{m', t2, '?', b, '}{', a, '}', nl, s,'end{gviewsig}', nl,
          s,'begin{gstructure}{g', d, '}{m', t1, '}', nl, s,'end{gstructure}', nl,
-         CASE WHEN d % 20 = 0 THEN concat(s,'tassign{', a, '}{', b, '} ', s,'symi{', a, '}', nl) ELSE '' END)
+         CASE WHEN d % 20 = 0 THEN concat(s,'tassign{', a, '}{', b, '} ', s,'symi{', a, '}', nl) ELSE '' END,
+         s,'begin{module}[id=o', d, ']', nl, s,'usemhmodule[mhrepos=src', (d - d % 10) % 20, ',path=n', d - d % 10, ']{n', d - d % 10, '}', nl, s,'defi{', a, '}', nl,
+         s,'begin{module}[id=q', d % 7, ']', nl, s,'importmhmodule{o', d, '}', nl, s,'defi{', b, '}', nl, s,'begin{omtext}', nl,
+         s,'atrefi[q', d % 7, '?', b, ']{x}{y} ', s,'atrefi[o', d, '?q', d % 7, '?', b, ']{x}{y} ', s,'atrefi[n', d - d % 10, '?', a, ']{x}{y} ', s,'trefi[?', b, ']{x} ', s,'atrefi[o', d, '?', a, ']{x}{y}', nl,
+         s,'end{omtext}', nl, s,'end{module}', nl, s,'atrefi[q', d % 7, '?', b, ']{x}{y}', nl, s,'end{module}', nl)
 FROM v WHERE d % 5 = 0
 """
 
@@ -99,15 +103,21 @@ SELECT path, level, grp, i, place, part, close, CASE WHEN step = 1 AND close IS
   SELECT *, inner_depth - (step = 1)::INT AS level, CASE WHEN step = 1 THEN lead(i) OVER (PARTITION BY path, inner_depth, step <> 0 ORDER BY i) END AS close FROM (
    SELECT path, i, part, place, CASE WHEN stray THEN 0 ELSE step END AS step, depth + (step = -1 AND NOT stray)::INT AS inner_depth FROM depths))) WHERE step >= 0
 """
+#: Items that no pair of brackets holds, or one each; a pair is an item (o) beside what is outside it.
+RUNS_SQL = """
+SELECT path, level, grp, i, place, part, coalesce(CASE WHEN z IS NULL AND kind IN ('[', ']') THEN -1 WHEN z IS NOT NULL THEN -1 ELSE held END, -1) AS held, coalesce(close, z) AS fin, CASE WHEN z IS NOT NULL THEN 'o' WHEN kind IN ('[', ']') THEN 't' ELSE kind END AS kind FROM (
+ SELECT *, last_value(CASE WHEN z IS NOT NULL THEN i WHEN shut THEN -1 END IGNORE NULLS) OVER (PARTITION BY path, level, grp ORDER BY i) AS held FROM (
+  SELECT *, CASE WHEN kind = '[' AND lead(kind) OVER w = ']' THEN lead(i) OVER w END AS z, kind = ']' AND coalesce(lag(kind) OVER w, '') = '[' AS shut FROM items WINDOW w AS (PARTITION BY path, level, grp, kind IN ('[', ']') ORDER BY i))) WHERE NOT shut
+"""
 MACROS_SQL = """
-SELECT m.path, row_number() OVER (PARTITION BY m.path ORDER BY m.i) - 1 AS pos, m.part[2:] AS name, coalesce(array_to_string(a[o.b:o.z], ''), '') AS oarg,
- coalesce('{' || array_to_string(list_transform(g.spans, lambda s: array_to_string(a[s.f:s.z], '')), '}{') || '}', '') AS rarg, m.place,
- coalesce(list_transform(g.spans, lambda s: array_to_string(a[s.f:s.z], '')), []) AS rargs
-FROM items m JOIN parts USING (path)
-LEFT JOIN (SELECT path, b, max(z) AS z FROM (SELECT path, i AS z, lag(kind) OVER w AS bk, lag(i) OVER w AS b, kind FROM items WHERE kind IN ('[', ']') WINDOW w AS (PARTITION BY path, level, grp ORDER BY i)) WHERE kind = ']' AND bk = '[' GROUP BY ALL) o
- ON o.path = m.path AND o.b = m.i + 1
-LEFT JOIN (SELECT path, anchor, list({'f': i + 1, 'z': close - 1} ORDER BY i) AS spans FROM (SELECT *, last_value(CASE WHEN kind <> 'g' THEN i END IGNORE NULLS) OVER (PARTITION BY path, level, grp ORDER BY i) AS anchor FROM items) WHERE kind = 'g' GROUP BY ALL) g
- ON g.path = m.path AND g.anchor = coalesce(o.z, m.i)
+SELECT m.path, row_number() OVER (PARTITION BY m.path ORDER BY m.i) - 1 AS pos, m.part[2:] AS name,
+ CASE WHEN len(list_filter(g.spans, lambda s: s.k = 'o')) > 0 THEN '[' || array_to_string(list_transform(list_filter(g.spans, lambda s: s.k = 'o'), lambda s: array_to_string(a[s.f:s.z], '')), ',') || ']' ELSE '' END AS oarg,
+ CASE WHEN len(list_filter(g.spans, lambda s: s.k = 'g')) > 0 THEN '{' || array_to_string(list_transform(list_filter(g.spans, lambda s: s.k = 'g'), lambda s: array_to_string(a[s.f:s.z], '')), '}{') || '}' ELSE '' END AS rarg, m.place,
+ coalesce(list_transform(list_filter(g.spans, lambda s: s.k = 'g'), lambda s: array_to_string(a[s.f:s.z], '')), []) AS rargs, length(m.part) + coalesce(length(array_to_string(a[m.i + 1:g.fin], '')), 0) AS span
+FROM runs m JOIN parts USING (path)
+LEFT JOIN (SELECT path, anchor, list({'f': i + 1, 'z': fin - 1, 'k': kind} ORDER BY i) AS spans, max(fin) AS fin FROM
+ (SELECT *, last_value(CASE WHEN kind NOT IN ('g', 'o') THEN i END IGNORE NULLS) OVER (PARTITION BY path, level, grp, held ORDER BY i) AS anchor FROM runs) WHERE kind IN ('g', 'o') GROUP BY ALL) g
+ ON g.path = m.path AND g.anchor = m.i
 WHERE m.kind = 'm'
 """
 
@@ -117,7 +127,7 @@ def _braced(depth: int) -> str:
 
 
 ARGS_SQL = f"""
-SELECT path, pos, name, oarg, rarg, place, rargs, regexp_extract_all(substr(oarg, 2, greatest(length(oarg) - 2, 0)), {_q(r'((?:[^,{}]|' + r'\{' + _braced(5) + r'\})+)')}, 1) AS parts
+SELECT path, pos, name, oarg, rarg, place, rargs, span, regexp_extract_all(substr(oarg, 2, greatest(length(oarg) - 2, 0)), {_q(r'((?:[^,{}]|' + r'\{' + _braced(5) + r'\})+)')}, 1) AS parts
 FROM macros
 """
 EDITS_SQL = """
@@ -197,7 +207,7 @@ UNION ALL SELECT path, pos, name, '', target, rargs[2], module FROM placed WHERE
 """
 
 _VIEWS = {
-    "tex_sources": (TEX_SQL, ()), "tokens": (TOKENS_SQL, ()), "verbatim": (VERBATIM_SQL, ("tex_sources",)), "parts": (PARTS_SQL, ("verbatim",)), "depths": (DEPTHS_SQL, ("parts",)), "items": (ITEMS_SQL, ("depths",)), "macros": (MACROS_SQL, ("items",)), "args": (ARGS_SQL, ("macros",)),
+    "tex_sources": (TEX_SQL, ()), "tokens": (TOKENS_SQL, ()), "verbatim": (VERBATIM_SQL, ("tex_sources",)), "parts": (PARTS_SQL, ("verbatim",)), "depths": (DEPTHS_SQL, ("parts",)), "items": (ITEMS_SQL, ("depths",)), "runs": (RUNS_SQL, ("items",)), "macros": (MACROS_SQL, ("runs",)), "args": (ARGS_SQL, ("macros",)),
     "env_steps": (ENV_STEPS_SQL, ("args",)), "envs": (ENVS_SQL, ("env_steps",)), "regions": (REGIONS_SQL, ("envs",)), "placed": (PLACED_SQL, ("regions",)),
     "edits": (EDITS_SQL, ()), "files": (FILES_SQL, ("tex_sources",)), "modules": (MODULES_SQL, ("regions",)), "bindings": (BINDINGS_SQL, ("regions",)),
     "symbols": (SYMBOLS_SQL, ("placed",)), "deps": (DEPS_SQL, ("regions",)), "refs": (REFS_SQL, ("placed",)),
@@ -216,7 +226,7 @@ def with_views(*names: str, recursive: bool = False) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('parts', 'items', 'args', 'envs', 'placed') else ''}({_VIEWS[n][0]})" for n in order)
+    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('parts', 'runs', 'args', 'envs', 'placed') else ''}({_VIEWS[n][0]})" for n in order)
 
 
 class Tables:
