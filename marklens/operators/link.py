@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marklens.sources.shared import checkpoint
 
-from . import markup
+from . import markup, nesting
 
 
 def contained(symbol_type: Column, mask: Column) -> Column:
@@ -41,11 +41,8 @@ def invalid_redefinitions(symbols: DataFrame) -> DataFrame:
 
 def redundant_imports(deps: DataFrame, envs: DataFrame) -> DataFrame:
     """Imports of a module that the same or an enclosing scope imports before, with the first such place. Quiet ones aren't reported."""
-    e = envs.select(F.col("path").alias("e_path"), "begin_pos", F.coalesce("end_pos", F.lit(1 << 40)).alias("end_pos"))
-    inside = (F.col("path") == F.col("e_path")) & (F.col("begin_pos") < F.col("pos")) & (F.col("end_pos") > F.col("pos"))
-    scope = deps.select("path", "pos").distinct().join(e, inside).groupBy("path", "pos").agg(F.max(F.struct("begin_pos", "end_pos")).alias("x"))
-    scoped = deps.join(scope, ["path", "pos"], "left")
-    before = scoped.select("path", "module", F.col("pos").alias("b_pos"), F.coalesce("x.begin_pos", F.lit(-1)).alias("b"), F.coalesce("x.end_pos", F.lit(1 << 40)).alias("f"))
+    scoped = nesting.nearest(deps, envs.select("path", "begin_pos", "end_pos"))
+    before = scoped.select("path", "module", F.col("pos").alias("b_pos"), F.coalesce("near.begin_pos", F.lit(-1)).alias("b"), F.coalesce("near.end_pos", F.lit(nesting.END)).alias("f"))
     hit = deps.filter("NOT quiet").join(before, ["path", "module"]).filter("b_pos < pos AND b < pos AND f > pos")
     return hit.groupBy("path", "pos", "module").agg(F.min("b_pos").alias("first_pos"))
 
@@ -67,14 +64,6 @@ def undefined_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return refs.filter(F.col("module").isNotNull()).join(symbols.select("module", F.col("name").alias("symbol")).distinct(), ["module", "symbol"], "left_anti")
 
 
-def resolution_depth(refs: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
-    """How many leading identifiers of ``module?symbol`` resolve: 0, 1 or 2."""
-    m = modules.select("module", F.lit(1).alias("m")).distinct()
-    s = symbols.select("module", F.col("name").alias("symbol"), F.lit(1).alias("s")).distinct()
-    out = refs.filter(F.col("module").isNotNull()).join(m, "module", "left").join(s, ["module", "symbol"], "left")
-    return out.withColumn("depth", F.when(F.col("m").isNull(), 0).when(F.col("s").isNull(), 1).otherwise(2)).drop("m", "s")
-
-
 def gated(refs: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
     """Undefined references whose module did resolve: others are reported at the module."""
     return undefined_symbols(refs, symbols).join(modules.select("module").distinct(), "module", "left_semi")
@@ -215,46 +204,25 @@ def visible_access(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     return up.join(nodes.select(F.col("node").alias("at"), "access"), "at").groupBy("node").agg(F.bit_or("access").alias("visible"))
 
 
-def resolve_references(refs: DataFrame, bindings: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``(path, pos, symbol, provider, distance)``: definitions that a reference may mean, the nearest only.
-
-    The scope is the named module, or the file's own where none is named: its own symbols are at distance 0, what
-    its imports bring at 1. ``refs.mask`` holds the wanted types, ``symbols.type`` one. Only scopes that
-    some reference asks for are followed over the imports.
-    """
-    own = bindings.groupBy("path").agg(F.min("module").alias("own"))
-    r = refs.join(own, "path", "left").withColumn("root", F.coalesce("module", "own")).filter("root IS NOT NULL").select("path", "pos", "symbol", "mask", "root")
-    roots = r.select(F.col("root").alias("node")).distinct()
-    scopes = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("distance")).union(closure(edges, roots).filter("root <> node").select("root", "node", F.lit(1)))
-    s = symbols.select(F.col("module").alias("node"), F.col("name").alias("symbol"), "type").distinct()
-    hit = r.join(scopes, "root").join(s, ["node", "symbol"]).filter(contained(F.col("type"), F.col("mask")))
-    near = hit.withColumn("least", F.min("distance").over(W.partitionBy("path", "pos"))).filter("distance = least")
-    return near.select("path", "pos", "symbol", F.col("node").alias("provider"), "distance").distinct()
-
-
 def namespaces(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``(path, pos, names)``: names of the ``ranges(path, name, begin, end)`` around each point, outer to inner."""
-    r = ranges.select(F.col("path").alias("r_path"), "name", "begin", "end")
-    hit = points.select("path", "pos").join(r, (F.col("path") == F.col("r_path")) & (F.col("begin") <= F.col("pos")) & (F.col("end") >= F.col("pos")))
-    return hit.groupBy("path", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("begin", -F.col("end"), "name"))), lambda x: x["name"]).alias("names"))
+    """``(path, pos, names)``: names of the ``ranges(path, name, begin_pos, end_pos)`` around each point, from the begin on and before the end, outer to inner; only points inside one."""
+    near = nesting.nearest(points.select("path", "pos"), ranges.select("path", "begin_pos", "end_pos"), half_open=True)
+    return near.select("path", "pos", F.col("near.begin_pos").alias("begin_pos")).join(nesting.chains(ranges, "name"), ["path", "begin_pos"]).select("path", "pos", "names")
 
 
 def smallest_reference(points: DataFrame, refs: DataFrame) -> DataFrame:
-    """``points`` with the smallest of the ``refs(path, begin, end, module, symbol)`` around each; the first wins ties."""
-    r = refs.select(F.col("path").alias("r_path"), "begin", "end", "module", "symbol")
-    hit = points.join(r, (F.col("path") == F.col("r_path")) & (F.col("begin") <= F.col("pos")) & (F.col("end") >= F.col("pos")))
-    best = hit.groupBy("path", "pos").agg(F.min(F.struct(F.col("end") - F.col("begin"), "begin", "module", "symbol")).alias("x"))
-    return best.select("path", "pos", "x.module", "x.symbol")
+    """``points`` with the smallest of the ``refs(path, begin_pos, end_pos, nth, module, symbol)`` around each, the end left out. References nest as
+    their macros do; of those at one place the first (least ``nth``) wins."""
+    own = refs.groupBy("path", "begin_pos", "end_pos").agg(F.min(F.struct("nth", "module", "symbol")).alias("x")).select("path", "begin_pos", "end_pos", "x.module", "x.symbol")
+    return nesting.nearest(points.select("path", "pos").distinct(), own, half_open=True).filter("near IS NOT NULL").select("path", "pos", "near.module", "near.symbol")
 
 
-def definitions_at(points: DataFrame, refs: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
-    """``(path, pos, d_path, d_pos)``: definitions that the smallest reference around a point means, and the
-    ``modules(path, pos, end)`` that contain the point."""
-    targets = symbols.select("module", F.col("name").alias("symbol"), F.col("path").alias("d_path"), F.col("pos").alias("d_pos"))
+def definitions_at(points: DataFrame, refs: DataFrame, targets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(path, pos, d_path, d_pos)``: the ``targets(module, symbol, d_path, d_pos)`` of the smallest reference around a point, and all
+    modules and definitions that contain it, the nested ``ranges(path, begin_pos, end_pos)``, by where they begin."""
     meant = smallest_reference(points, refs).join(targets, ["module", "symbol"]).select("path", "pos", "d_path", "d_pos")
-    m = modules.select(F.col("path").alias("d_path"), F.col("pos").alias("d_pos"), "end")
-    around = points.select("path", "pos").join(m, (F.col("path") == F.col("d_path")) & (F.col("d_pos") <= F.col("pos")) & (F.col("end") >= F.col("pos")))
-    return meant.union(around.select("path", "pos", "d_path", "d_pos")).distinct()
+    around = namespaces(points.distinct(), ranges.withColumn("name", F.col("begin_pos").cast("string")))
+    return meant.union(around.select("path", "pos", F.col("path").alias("d_path"), F.explode(F.col("names").cast("array<bigint>")).alias("d_pos"))).distinct()
 
 
 def references_to(targets: DataFrame, refs: DataFrame) -> DataFrame:

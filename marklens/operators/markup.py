@@ -273,7 +273,7 @@ def symbols(own: DataFrame) -> DataFrame:
 
 
 def references(own: DataFrame) -> DataFrame:
-    """Of ``placed``: ``(path, pos, macro, target, module, symbol, scope)``: ``module?symbol`` split, the rest from the arguments.
+    """Of ``placed``: ``(path, pos, nth, macro, target, module, symbol, scope)``, ``nth`` of the references at one place: ``module?symbol`` split, the rest from the arguments.
 
     ``trefi`` and ``drefi``; definitions outside modules, which mean the binding's module; assignments in views, with the view's
     source or target as the module. ``scope`` is the module or binding around, which ``module`` means where it is null.
@@ -291,7 +291,8 @@ def references(own: DataFrame) -> DataFrame:
     split = F.col("first").contains("?")
     sources = a.select("path", "pos", n.alias("macro"), F.col("first").alias("target"), F.when(split, F.substring_index("first", "?", 1)).otherwise(F.col("source")).alias("m"), F.when(split, F.substring_index("first", "?", -1)).otherwise(F.col("first")).alias("symbol"), F.col("module").alias("scope"))
     targets = a.filter(n.startswith("v")).select("path", "pos", n.alias("macro"), none.alias("target"), F.col("target").alias("m"), F.get("rargs", F.lit(1)).alias("symbol"), F.col("module").alias("scope"))
-    return refs.union(defs).union(sources).union(targets).withColumnRenamed("m", "module").select("path", "pos", "macro", "target", "module", "symbol", "scope")
+    first = refs.union(defs).union(sources).withColumn("nth", F.lit(0))
+    return first.union(targets.withColumn("nth", F.lit(1))).withColumnRenamed("m", "module").select("path", "pos", "nth", "macro", "target", "module", "symbol", "scope")
 
 
 def import_hint(path: Column, name: Column, module: Column, parts: Column, root: str = "/hub") -> Column:

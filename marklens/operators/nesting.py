@@ -25,24 +25,24 @@ def with_depth(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return out.withColumn("depth", (F.col("__run") - F.col("__low")).cast("int")).drop("__run", "__low")
 
 
-def nearest(points: DataFrame, ranges: DataFrame, inclusive: bool = False, into: str = "near") -> DataFrame:
+def nearest(points: DataFrame, ranges: DataFrame, half_open: bool = False, into: str = "near") -> DataFrame:
     """``points(path, pos, ...)`` plus the innermost of the ``ranges(path, begin_pos, end_pos, ...)`` around each, as a struct, or null.
 
     Ranges nest: two of a path are apart or one holds the other; an end may be null. Inside means strictly between the ends, or with
-    ``inclusive`` the ends as well. Begins, points and ends of a path go by once in order: the running number of open ranges is a
+    ``half_open`` from the begin on and before the end. Begins, points and ends of a path go by once in order: the running number of open ranges is a
     point's depth, and the last begin at that depth is the one around it. A sort, so a long file isn't quadratic; no range join.
     Points at one place and repeated points get the same; repeated ranges are told apart by nothing, so one of them is named.
     """
-    first, last = (0, 2) if inclusive else (2, 0)
+    begin, point = (1, 2) if half_open else (2, 1)
     r = ranges.select("path", "begin_pos", F.coalesce("end_pos", F.lit(END)).alias("end_pos"), F.struct(*ranges.columns).alias("__r"))
     p = F.struct(*points.columns)
     kinds = points.select(p.alias("p")).schema["p"].dataType, r.schema["__r"].dataType
     none_p, none_r = F.lit(None).cast(kinds[0]), F.lit(None).cast(kinds[1])
     row = lambda df, at, rank, tie, step, pt, rg: df.select("path", F.col(at).cast("long").alias("__at"), F.lit(rank).alias("__rank"), tie.cast("long").alias("__tie"), F.lit(step).alias("step"), pt.alias("__p"), rg.alias("__r"))
     events = (
-        row(points, "pos", 1, F.lit(0), 0, p, none_r)
-        .union(row(r, "begin_pos", first, -F.col("end_pos"), 1, none_p, F.col("__r")))
-        .union(row(r.filter(F.col("end_pos") < END), "end_pos", last, -F.col("begin_pos"), -1, none_p, none_r))
+        row(points, "pos", point, F.lit(0), 0, p, none_r)
+        .union(row(r, "begin_pos", begin, -F.col("end_pos"), 1, none_p, F.col("__r")))
+        .union(row(r.filter(F.col("end_pos") < END), "end_pos", 0, -F.col("begin_pos"), -1, none_p, none_r))
     )
     depth = events.withColumn("__depth", F.sum("step").over(W.partitionBy("path").orderBy(*ORDER))).filter("step >= 0")
     hit = depth.withColumn("__near", F.last("__r", ignorenulls=True).over(W.partitionBy("path", "__depth").orderBy(*ORDER)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,15 @@ def children(found: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.union(own.select(F.col("scope").alias("parent"), "name", scope_id(F.col("path"), F.col("pos")).alias("node"), "type"))
 
 
-def outward(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(scope, bound, distance, inside, top)``: each of the ``wanted(scope)`` and all that lies around it, out to the file.
+def outward(found: DataFrame) -> DataFrame:
+    """``(scope, bound, distance, inside, top)``: each scope, and each file, with itself and all that lies around it, out to the file.
 
     ``top`` is the nearest module or binding, itself included, beyond which names can't be reached through; scopes up to it are ``inside``. Where there is
-    none, ``top`` is the file and all are inside. One join a level, over scopes, not references.
+    none, ``top`` is the file and all are inside. One join a level of nesting, over scopes, not references.
     """
     tree = checkpoint(found.select(F.col("scope").alias("bound"), F.col("parent").alias("up"), F.col("kind").isin("module", "binding").alias("wall")))
-    now = wanted.select("scope", F.col("scope").alias("bound"), F.lit(0).alias("distance"), F.lit(True).alias("inside")).distinct()
+    own = found.select("scope").union(found.select("path")).distinct()
+    now = own.select("scope", F.col("scope").alias("bound"), F.lit(0).alias("distance"), F.lit(True).alias("inside"))
     parts = []
     while True:
         now = checkpoint(now.join(tree, "bound", "left"))
@@ -58,14 +61,12 @@ def outward(found: DataFrame, wanted: DataFrame) -> DataFrame:
         now = now.filter("up IS NOT NULL").select("scope", F.col("up").alias("bound"), (F.col("distance") + 1).alias("distance"), (F.col("inside") & ~F.col("wall")).alias("inside"))
         if now.isEmpty():
             break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    out = reduce(DataFrame.union, parts)
     top = out.filter("inside").groupBy("scope").agg(F.max_by("bound", "distance").alias("top"))
-    return out.select("scope", "bound", "distance", "inside").join(top, "scope")
+    return checkpoint(out.select("scope", "bound", "distance", "inside").join(top, "scope"))
 
 
-def imports(deps: DataFrame, found: DataFrame) -> DataFrame:
+def imports(deps: DataFrame, found: DataFrame, around: DataFrame) -> DataFrame:
     """``(path, pos, scope, node, module, export, n_modules)``: the public modules that imports and implied dependencies bring into their scope.
 
     The file that an import hints at decides, not the name alone. Where that file is the import's own and has no such module at its
@@ -79,13 +80,12 @@ def imports(deps: DataFrame, found: DataFrame) -> DataFrame:
     keys = ["path", "pos", "scope", "module", "export"]
     direct = hit.filter("n_modules = 1 AND access = 0").select(*keys, "node", "n_modules")
     missed = hit.filter("n_modules IS NULL AND hint = path").select(*keys)
-    around = outward(found, missed.select("scope").distinct()).select("scope", "bound")
     beside = m.filter("access = 0").select(F.col("m_parent").alias("bound"), "module", "node")
-    fallback = missed.join(around, "scope").join(beside, ["bound", "module"]).select(*keys, "node", F.lit(1).cast("long").alias("n_modules"))
+    fallback = missed.join(around.select("scope", "bound"), "scope").join(beside, ["bound", "module"]).select(*keys, "node", F.lit(1).cast("long").alias("n_modules"))
     return direct.union(fallback).select("path", "pos", "scope", "node", "module", "export", "n_modules")
 
 
-def brought(found: DataFrame, imported: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def brought(found: DataFrame, imported: DataFrame, around: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(scope, node, below)``: modules that each scope gets: those that it imports, and what these import in turn and export.
 
     The state of the walk is the module and whether it is ``below`` a use-import, which the first step decides, as later ones follow
@@ -94,8 +94,7 @@ def brought(found: DataFrame, imported: DataFrame, roots: DataFrame | None = Non
     """
     names = found.filter("kind = 'module'").select(F.col("scope").alias("node"), "name")
     first = imported if roots is None else imported.join(roots.select("scope").distinct(), "scope", "left_semi")
-    around = outward(found, first.select("scope").distinct()).filter("bound = top").select("scope", F.col("bound").alias("node"))
-    home = around.join(found.select(F.col("scope").alias("node"), F.col("name").alias("home")), "node").select("scope", "home")
+    home = around.filter("bound = top").select("scope", F.col("bound").alias("node")).join(found.select(F.col("scope").alias("node"), F.col("name").alias("home")), "node").select("scope", "home")
     edges = checkpoint(imported.filter("export").select(F.col("scope").alias("node"), F.col("node").alias("next")).distinct())
     start = first.select("scope", "node", (~F.col("export")).alias("below")).distinct().join(home, "scope", "left")
     new = checkpoint(start)
@@ -120,7 +119,7 @@ def visible(found: DataFrame, symbols: DataFrame, reached: DataFrame) -> DataFra
     return own.union(copies).union(inside.select(F.concat(F.lit(COPY), "parent").alias("parent"), "name", "node", "type")).distinct()
 
 
-def lookup(refs: DataFrame, found: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+def lookup(refs: DataFrame, around: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Look identifier paths up: ``refs(path, ref, scope, ids, mask)`` against ``seen``, the ``visible`` children.
 
     Gives ``(path, ref, node, distance)``, every symbol that the path names from the scope itself or from one around it, if its type is in
@@ -129,7 +128,6 @@ def lookup(refs: DataFrame, found: DataFrame, seen: DataFrame) -> tuple[DataFram
     identifiers find nothing, a null identifier matches no name.
     """
     longest = refs.agg(F.max(F.size("ids"))).first()[0] or 0  # one row
-    around = outward(found, refs.select("scope").distinct())
     r = refs.select("path", "ref", "scope", "ids", "mask")
     now = r.join(around, "scope").select("path", "ref", "ids", "mask", F.col("bound").alias("node"), "distance", F.col("inside").alias("entered"), "top")
     edge = seen.select(F.col("parent").alias("node"), "name", F.col("node").alias("next"), "type")
@@ -140,12 +138,19 @@ def lookup(refs: DataFrame, found: DataFrame, seen: DataFrame) -> tuple[DataFram
         depths.append(now.select("path", "ref", F.lit(k).alias("depth")))
         hits.append(now.filter((F.size("ids") == k) & F.col("entered") & (F.col("mask").bitwiseAND(F.col("type")) == F.col("type"))).select("path", "ref", "node", "distance"))
         now = now.drop("type")
-    found_nodes, depth = (hits[0] if hits else r.select("path", "ref", F.col("scope").alias("node"), F.lit(0).alias("distance")).limit(0)), depths[0]
-    for h in hits[1:]:
-        found_nodes = found_nodes.union(h)
-    for d in depths[1:]:
-        depth = depth.union(d)
-    return found_nodes.groupBy("path", "ref", "node").agg(F.min("distance").alias("distance")), depth.groupBy("path", "ref").agg(F.max("depth").alias("depth"))
+    none = r.select("path", "ref", F.col("scope").alias("node"), F.lit(0).alias("distance")).limit(0)
+    nodes, depth = reduce(DataFrame.union, hits, none), reduce(DataFrame.union, depths)
+    return nodes.groupBy("path", "ref", "node").agg(F.min("distance").alias("distance")), depth.groupBy("path", "ref").agg(F.max("depth").alias("depth"))
+
+
+def resolve(placed: DataFrame, regions: DataFrame, envs: DataFrame, deps: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lookup`` of all ``identifier_paths`` of a corpus; ``symbols(path, pos, name, type)``."""
+    found = checkpoint(scopes(regions, envs))
+    around = outward(found)
+    imported = checkpoint(imports(deps, found, around))
+    refs = checkpoint(in_scope(identifier_paths(placed), found))
+    seen = checkpoint(visible(found, symbols, brought(found, imported, around)))
+    return lookup(refs, around, seen)
 
 
 def identifier_paths(own: DataFrame) -> DataFrame:

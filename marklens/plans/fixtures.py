@@ -197,13 +197,13 @@ UNION ALL SELECT path, begin_pos, m, env, true, true, {_BESIDE.format('m')} FROM
   UNION ALL SELECT path, begin_pos, env, source FROM regions UNION ALL SELECT path, begin_pos, env, target FROM regions) WHERE m IS NOT NULL
 """
 REFS_SQL = f"""
-SELECT path, pos, name AS macro, t AS target, CASE WHEN contains(t, '?') THEN nullif(split_part(t, '?', 1), '') ELSE nullif(t, '') END AS module,
- coalesce(CASE WHEN contains(t, '?') THEN nullif(split_part(t, '?', 2), '') END, {_NAME}) AS symbol, module AS scope
+SELECT path, pos, 0 AS nth, name AS macro, t AS target, CASE WHEN contains(t, '?') THEN nullif(split_part(t, '?', 1), '') ELSE nullif(t, '') END AS module,
+ coalesce(CASE WHEN contains(t, '?') THEN nullif(string_split(t, '?')[-1], '') END, {_NAME}) AS symbol, module AS scope
 FROM (SELECT *, coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], '') AS t FROM placed WHERE regexp_matches(name, '^[ma]*[dDtT]ref[ivx]+s?[*]?$'))
-UNION ALL SELECT path, pos, name, '', module, {_NAME}, module FROM placed WHERE around = 'binding' AND regexp_matches(name, '^[ma]*[dD]ef[ivx]+s?[*]?$')
-UNION ALL SELECT path, pos, name, rargs[1], CASE WHEN contains(rargs[1], '?') THEN split_part(rargs[1], '?', 1) ELSE source END, CASE WHEN contains(rargs[1], '?') THEN split_part(rargs[1], '?', 2) ELSE rargs[1] END, module
+UNION ALL SELECT path, pos, 0, name, '', module, {_NAME}, module FROM placed WHERE around = 'binding' AND regexp_matches(name, '^[ma]*[dD]ef[ivx]+s?[*]?$')
+UNION ALL SELECT path, pos, 0, name, rargs[1], CASE WHEN contains(rargs[1], '?') THEN split_part(rargs[1], '?', 1) ELSE source END, CASE WHEN contains(rargs[1], '?') THEN string_split(rargs[1], '?')[-1] ELSE rargs[1] END, module
  FROM placed WHERE source IS NOT NULL AND regexp_matches(name, '^[tv]assign[*]?$')
-UNION ALL SELECT path, pos, name, '', target, rargs[2], module FROM placed WHERE source IS NOT NULL AND regexp_matches(name, '^vassign[*]?$')
+UNION ALL SELECT path, pos, 1, name, '', target, rargs[2], module FROM placed WHERE source IS NOT NULL AND regexp_matches(name, '^vassign[*]?$')
 """
 
 _VIEWS = {

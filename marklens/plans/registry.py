@@ -242,7 +242,7 @@ _add(
     lambda t: t.symbols().select("path", "module", "pos", "name", "def_type", "noverb", F.array_join("noverbs", ",").alias("noverbs")),
     SYMS + f" SELECT path, module, pos, name, def_type, noverb, {_LANGS} FROM symbols",
 )
-_add("x7_references", lambda t: t.refs(), REFS + " SELECT path, pos, macro, target, module, symbol, scope FROM refs")
+_add("x7_references", lambda t: t.refs(), REFS + " SELECT path, pos, nth, macro, target, module, symbol, scope FROM refs")
 _add("x8_dependencies", lambda t: t.deps().select("path", "pos", "module", "macro", "export", "quiet"), DEPS + " SELECT path, pos, module, macro, export, quiet FROM deps")
 _add("x9_scopes", lambda t: t.envs().filter(F.col("env").isin(*markup.SCOPE_ENVS)).select("path", "env", "begin_pos", "end_pos"), _ENV + " SELECT path, env, begin_pos, end_pos FROM envs WHERE env IN ('omtext', 'nomtext', 'example', 'omgroup', 'frame')")
 _add(
@@ -306,8 +306,6 @@ _add("l10_cyclic_imports", lambda t: link.cyclic(_edges(t)), _CLOSE.replace("WHE
 _add("l11_visible_symbols", lambda t: link.visible_symbols(link.closure(_edges(t)), t.symbols()).groupBy("root").agg(F.count("*").alias("n")),
      with_views("deps", "modules", "symbols", recursive=True) + _CLOSE[_NRV:] + " SELECT root, count(*) AS n FROM (SELECT DISTINCT root, name FROM c JOIN symbols ON module = node EXCEPT SELECT module, name FROM symbols) GROUP BY root")
 _add("l12_pruned_closure", lambda t: link.closure(_edges(t), t.modules().filter(F.col("module").rlike("5$")).select(F.col("module").alias("node"))).groupBy("root").agg(F.count("*").alias("n")), _CLOSE + " SELECT root, count(*) AS n FROM c WHERE root LIKE '%5' AND root IN (SELECT module FROM modules) GROUP BY root")
-_add("l14_resolution_depth", lambda t: link.resolution_depth(t.refs(), t.modules(), t.symbols()).select("path", "pos", "depth"),
-     ALL + " SELECT path, pos, CASE WHEN module NOT IN (SELECT module FROM modules) THEN 0 WHEN (module, symbol) NOT IN (SELECT (module, name) FROM symbols) THEN 1 ELSE 2 END AS depth FROM refs WHERE module IS NOT NULL")
 _UND = ALL + ", u AS (SELECT r.* FROM refs r WHERE module IS NOT NULL AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.module = r.module AND s.name = r.symbol))"
 _add("l15_parent_gate", lambda t: link.gated(t.refs(), t.modules(), t.symbols()).select("path", "pos", "module", "symbol"), _UND + " SELECT path, pos, module, symbol FROM u WHERE module IN (SELECT module FROM modules)")
 _add("l16_undefined_symbols", lambda t: link.undefined_symbols(t.refs(), t.symbols()).select("path", "pos", "module", "symbol"), _UND + " SELECT path, pos, module, symbol FROM u")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marklens.operators import checks, features, link, markup, suggest, tagger, tokens
+from marklens.operators import checks, features, link, markup, scopes, suggest, tagger, tokens
 from marklens.sources import ingest, shared
 from marklens.streaming import edits as editing
 
-from .fixtures import EDITS_SQL, IMPORT, Tables, with_views
+from .fixtures import _NAME, EDITS_SQL, IMPORT, Tables, with_views
 from .registry import _CLOSE, _ENV, _MISPLACED, _UND, ALL, ARGS, EDITS, MODS, REFS, SYMS, TOK, _add, _edges, _turns
 
 _REC = len(with_views("deps", "modules", recursive=True))
@@ -44,11 +44,50 @@ def _access(t: Tables) -> DataFrame:
 
 
 _add("l8_visible_access", _access, "WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS node, turn, CAST(CASE turn % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE conv_id % 2 * 3 END AS BIGINT) AS access FROM conversations), a AS (SELECT node, node AS top, turn FROM n UNION ALL SELECT node, top - 1, turn - 1 FROM a WHERE turn > 0) SELECT a.node, bit_or(n.access) AS visible FROM a JOIN n ON n.node = a.top GROUP BY a.node")
-_add("l13_resolved_references", lambda t: link.resolve_references(_masked(t.refs()), t.bindings(), _edges(t), _typed(t.symbols())),
-     with_views("deps", "modules", "refs", "bindings", "symbols", recursive=True) + _CLOSE[_REC:] + """, r AS (SELECT r.path, r.pos, symbol, CASE WHEN macro LIKE 'a%' THEN 3 ELSE 1 END AS mask, coalesce(r.module, b.module) AS root FROM refs r LEFT JOIN (SELECT path, min(module) AS module FROM bindings GROUP BY path) b ON r.path = b.path),
- sc AS (SELECT DISTINCT root, root AS node, 0 AS distance FROM r UNION ALL SELECT root, node, 1 FROM c WHERE root <> node),
- h AS (SELECT r.path, r.pos, r.symbol, sc.node AS provider, distance FROM r JOIN sc ON r.root = sc.root JOIN symbols s ON s.module = sc.node AND s.name = r.symbol WHERE s.def_type = 'sym' OR mask = 3)
-SELECT DISTINCT * FROM (SELECT * FROM h QUALIFY distance = min(distance) OVER (PARTITION BY path, pos))""")
+
+#: The trees of scopes, what imports bring into them, and the lookup, each step as SQL of its own.
+_SCOPED = with_views("placed", "envs", "deps", "symbols", recursive=True) + """,
+sc0 AS MATERIALIZED (SELECT path, begin_pos, end_pos, kind, module AS name, access FROM regions
+ UNION ALL SELECT path, begin_pos, coalesce(end_pos, 1099511627776), 'scope', env, 0 FROM envs WHERE env IN ('omtext', 'nomtext', 'example', 'omgroup', 'frame')),
+sc AS MATERIALIZED (SELECT s.path, s.begin_pos, s.end_pos, s.kind, s.name, s.access, s.path || '#' || s.begin_pos AS scope, coalesce(s.path || '#' || max(p.begin_pos), s.path) AS parent
+ FROM sc0 s LEFT JOIN sc0 p ON p.path = s.path AND p.begin_pos < s.begin_pos AND p.end_pos > s.begin_pos GROUP BY s.path, s.begin_pos, s.end_pos, s.kind, s.name, s.access),
+up AS (SELECT scope, scope AS bound, 0 AS distance, true AS inside FROM sc UNION SELECT DISTINCT path, path, 0, true FROM sc
+ UNION ALL SELECT u.scope, s.parent, distance + 1, inside AND s.kind NOT IN ('module', 'binding') FROM up u JOIN sc s ON s.scope = u.bound),
+around AS MATERIALIZED (SELECT up.scope, bound, distance, inside, top FROM up JOIN (SELECT scope, arg_max(bound, distance) AS top FROM up WHERE inside GROUP BY scope) USING (scope)),
+dd AS MATERIALIZED (SELECT d.path, d.pos, d.module, d.export, d.hint, CASE WHEN quiet THEN d.path || '#' || d.pos ELSE coalesce(d.path || '#' || max(s.begin_pos), d.path) END AS scope
+ FROM deps d LEFT JOIN sc s ON s.path = d.path AND s.begin_pos < d.pos AND s.end_pos > d.pos GROUP BY d.path, d.pos, d.module, d.export, d.hint, d.quiet, d.macro),
+md AS (SELECT path, name AS module, parent, scope AS node, access FROM sc WHERE kind = 'module' AND name IS NOT NULL),
+rt AS (SELECT path AS hint, module, count(*) AS n, min(node) AS node, max(access) AS access FROM md WHERE parent = path GROUP BY ALL),
+im AS MATERIALIZED (SELECT dd.path, dd.pos, dd.scope, rt.node, dd.module, dd.export FROM dd JOIN rt ON rt.hint = dd.hint AND rt.module = dd.module WHERE n = 1 AND rt.access = 0
+ UNION ALL SELECT dd.path, dd.pos, dd.scope, md.node, dd.module, dd.export FROM dd JOIN around a ON a.scope = dd.scope JOIN md ON md.parent = a.bound AND md.module = dd.module AND md.access = 0
+  WHERE dd.hint = dd.path AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.hint = dd.hint AND rt.module = dd.module)),
+home AS (SELECT a.scope, sc.name AS home FROM around a JOIN sc ON sc.scope = a.top WHERE a.bound = a.top),
+br AS (SELECT im.scope, node, NOT export AS below FROM im
+ UNION SELECT br.scope, im.node, below FROM br JOIN im ON im.scope = br.node AND im.export JOIN md ON md.node = im.node LEFT JOIN home ON home.scope = br.scope WHERE NOT (below AND coalesce(md.module = home.home, false))),
+got AS MATERIALIZED (SELECT DISTINCT scope, node FROM br),
+sy AS (SELECT s.path || '#' || max(m.begin_pos) AS parent, s.name, s.path || '#' || s.pos AS node, CASE s.def_type WHEN 'sym' THEN 1 ELSE 2 END AS type
+ FROM symbols s JOIN sc m ON m.kind = 'module' AND m.path = s.path AND m.begin_pos < s.pos AND m.end_pos > s.pos GROUP BY s.path, s.pos, s.name, s.def_type),
+vis AS MATERIALIZED (SELECT parent, name, scope AS node, CASE kind WHEN 'module' THEN 4 ELSE 8 END AS type FROM sc WHERE kind IN ('module', 'binding') AND name IS NOT NULL
+ UNION SELECT * FROM sy UNION SELECT got.scope, md.module, '>' || got.node, 4 FROM got JOIN md USING (node) WHERE md.access = 0
+ UNION SELECT '>' || sy.parent, sy.name, sy.node, sy.type FROM sy WHERE parent IN (SELECT node FROM got)),
+raw AS (SELECT path, pos, name, module, parts, rargs, coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], '') AS g FROM placed),
+nm AS (SELECT *, list_filter(string_split(g, '?'), lambda x: x <> '') AS pieces, """ + _NAME + """ AS symbol FROM raw),
+idp AS (SELECT path, pos, CASE WHEN contains(g, '?') AND NOT ends_with(g, '?') THEN CASE WHEN starts_with(g, '?') THEN [module, pieces[1]] ELSE pieces END WHEN g <> '' THEN list_append(pieces, symbol) ELSE [module, symbol] END AS ids,
+  CASE WHEN starts_with(name, 'a') THEN 3 ELSE 1 END AS mask FROM nm WHERE regexp_matches(name, '^[ma]*[dDtT]ref[ivx]+s?[*]?$')
+ UNION ALL SELECT path, pos, [rargs[1]], 4 FROM nm WHERE """ + IMPORT + """),
+rf AS MATERIALIZED (SELECT r.path, r.pos, r.ids, r.mask, coalesce(r.path || '#' || max(s.begin_pos), r.path) AS scope FROM idp r LEFT JOIN sc s ON s.path = r.path AND s.begin_pos < r.pos AND s.end_pos > r.pos GROUP BY r.path, r.pos, r.ids, r.mask),
+lk AS (SELECT r.path, r.pos, ids, mask, a.bound AS node, distance, inside AS entered, top, 0 AS k, 0 AS type FROM rf r JOIN around a ON a.scope = r.scope
+ UNION ALL SELECT lk.path, lk.pos, ids, mask, v.node, distance, entered OR v.node = top, top, k + 1, v.type FROM lk JOIN vis v ON v.parent = lk.node AND v.name = ids[k + 1] WHERE k < len(ids))
+"""
+
+
+def _scoped(t: Tables):
+    return scopes.resolve(t.placed(), t.regions(), t.envs(), t.deps(), _typed(t.symbols()))
+
+
+_add("l13_resolved_references", lambda t: _scoped(t)[0], _SCOPED + " SELECT path, pos AS ref, node, min(distance) AS distance FROM lk WHERE k = len(ids) AND entered AND (mask & type) = type GROUP BY ALL")
+_add("l14_resolution_depth", lambda t: _scoped(t)[1], _SCOPED + " SELECT path, pos AS ref, max(k) AS depth FROM lk GROUP BY ALL")
+_add("l5_imported_modules", lambda t: scopes.imports(t.deps(), found := shared.checkpoint(scopes.scopes(t.regions(), t.envs())), scopes.outward(found)).select("path", "pos", "scope", "node", "module", "export"), _SCOPED + " SELECT path, pos, scope, node, module, export FROM im")
 _add(
     "l17_similar_names", lambda t: link.similar_names(link.undefined_symbols(t.refs(), s := t.symbols()), s),
     _UND + """, p AS (SELECT symbol, name, greatest(length(symbol), length(name)) AS l FROM (SELECT DISTINCT symbol FROM u WHERE symbol <> '') JOIN (SELECT DISTINCT name FROM symbols WHERE name <> '') ON symbol <> name),
@@ -59,9 +98,10 @@ _add("l21_location_checks", lambda t: checks.misplaced(t.placed(), t.regions()).
 
 
 def _named_ranges(args: DataFrame) -> DataFrame:
+    """Environments by their first argument or name, up to and with their end."""
     e = tokens.environments(args)
     label = args.filter("name = 'begin'").select("path", F.col("pos").alias("begin_pos"), F.get("rargs", F.lit(1)).alias("own"))
-    return e.join(label, ["path", "begin_pos"]).select("path", F.coalesce("own", "env").alias("name"), F.col("begin_pos").alias("begin"), F.coalesce("end_pos", F.lit(1 << 40)).alias("end"))
+    return e.join(label, ["path", "begin_pos"]).select("path", F.coalesce("own", "env").alias("name"), "begin_pos", (F.col("end_pos") + 1).alias("end_pos"))
 
 
 _add("l25_namespaces", lambda t: link.namespaces(t.refs().select("path", "pos").distinct(), _named_ranges(t.args())).select("path", "pos", F.array_join("names", ">").alias("names")),
@@ -69,18 +109,24 @@ _add("l25_namespaces", lambda t: link.namespaces(t.refs().select("path", "pos").
 
 
 def _definitions(t: Tables) -> DataFrame:
-    """Ranges are counted in macros: a reference reaches one further than its own place, two for the ``a`` variant."""
-    a = t.args()
-    refs = t.refs().select("path", F.col("pos").alias("begin"), (F.col("pos") + F.when(F.col("macro").startswith("a"), 2).otherwise(1)).alias("end"), "module", "symbol")
-    ends = _named_ranges(a).select("path", F.col("begin").alias("pos"), "end")
-    return link.definitions_at(a.select("path", "pos"), refs, t.symbols(), t.modules().join(ends, ["path", "pos"]))
+    """Every macro's place as a point; ranges in characters of the text."""
+    at = t.args().select("path", "pos", "place", (F.col("place") + F.col("span")).alias("after"))
+    here = lambda df: df.join(at, ["path", "pos"])
+    refs = here(t.refs()).select("path", F.col("place").alias("begin_pos"), F.col("after").alias("end_pos"), "nth", "module", "symbol")
+    s, ends = here(t.symbols()), at.select("path", F.col("pos").alias("end_pos"), F.col("after").alias("fin"))
+    modules = here(t.regions().filter("kind = 'module'").withColumnRenamed("begin_pos", "pos")).join(ends, ["path", "end_pos"], "left")
+    ranges = modules.select("path", F.col("place").alias("begin_pos"), F.col("fin").alias("end_pos")).union(s.select("path", "place", "after"))
+    targets = s.select("module", F.col("name").alias("symbol"), F.col("path").alias("d_path"), F.col("place").alias("d_pos"))
+    return link.definitions_at(at.select("path", F.col("place").alias("pos")), refs, targets, ranges)
 
 
 _add("l26_definitions_at", _definitions,
-     with_views("refs", "symbols", "modules", "envs") + """, rr AS (SELECT path, pos AS b, pos + CASE WHEN macro LIKE 'a%' THEN 2 ELSE 1 END AS e, module, symbol FROM refs),
- sr AS (SELECT p.path, p.pos, module, symbol FROM args p JOIN rr ON rr.path = p.path AND b <= p.pos AND e >= p.pos QUALIFY row_number() OVER (PARTITION BY p.path, p.pos ORDER BY e - b, b) = 1)
-SELECT sr.path, sr.pos, s.path AS d_path, s.pos AS d_pos FROM sr JOIN symbols s ON s.module = sr.module AND s.name = sr.symbol
-UNION SELECT p.path, p.pos, m.path, m.pos FROM args p JOIN modules m ON m.path = p.path AND m.pos <= p.pos JOIN envs e ON e.path = m.path AND e.begin_pos = m.pos WHERE coalesce(end_pos, 1099511627776) >= p.pos""")
+     with_views("refs", "symbols", "modules", "envs") + """, rr AS (SELECT r.path, place AS b, place + span AS e, nth, module, symbol FROM refs r JOIN args a USING (path, pos)),
+ sr AS (SELECT p.path, p.place, module, symbol FROM args p JOIN rr ON rr.path = p.path AND b <= p.place AND e > p.place QUALIFY row_number() OVER (PARTITION BY p.path, p.place ORDER BY e - b, nth) = 1),
+ sp AS (SELECT s.path, s.module, s.name, a.place, a.place + a.span AS e FROM symbols s JOIN args a USING (path, pos)),
+ dr AS (SELECT path, place AS b, e FROM sp UNION ALL SELECT m.path, a.place, coalesce(z.place + z.span, 1099511627776) FROM regions m JOIN args a ON a.path = m.path AND a.pos = m.begin_pos LEFT JOIN args z ON z.path = m.path AND z.pos = m.end_pos WHERE m.kind = 'module')
+SELECT sr.path, sr.place AS pos, sp.path AS d_path, sp.place AS d_pos FROM sr JOIN sp ON sp.module = sr.module AND sp.name = sr.symbol
+UNION SELECT p.path, p.place, dr.path, dr.b FROM args p JOIN dr ON dr.path = p.path AND dr.b <= p.place AND dr.e > p.place""")
 _add("l27_references_to", lambda t: link.references_to(t.symbols().withColumnRenamed("name", "symbol"), t.refs()),
      ALL + " SELECT module, name AS symbol, path, pos FROM symbols UNION SELECT module, symbol, path, pos FROM refs WHERE (module, symbol) IN (SELECT (module, name) FROM symbols)")
 _add("l31_type_mismatches", lambda t: link.type_mismatches(_masked(t.refs()), _typed(t.symbols())).select("path", "pos", "symbol").distinct(),

@@ -97,8 +97,8 @@ def test_swept_equals_read(spark):
     assert a == b and len(a) > 2500
 
 
-@pytest.mark.parametrize("inclusive", [False, True])
-def test_nearest_against_all_pairs(spark, inclusive):
+@pytest.mark.parametrize("half_open", [False, True])
+def test_nearest_against_all_pairs(spark, half_open):
     rng, ranges, points = random.Random(8), [], []
 
     def fill(path, a, z, depth):
@@ -115,8 +115,8 @@ def test_nearest_against_all_pairs(spark, inclusive):
         points += [(p, rng.randrange(62), i) for i in range(30)]
     closed = [(p, b, e if e is not None else None, n) for p, b, e, n in ranges if e is not None]
     df = spark.createDataFrame(closed, "path string, begin_pos long, end_pos long, name string")
-    got = nesting.nearest(spark.createDataFrame(points, "path string, pos long, i int"), df, inclusive).collect()
-    inside = lambda r, p: r[0] == p[0] and (r[1] <= p[1] <= r[2] if inclusive else r[1] < p[1] < r[2])
+    got = nesting.nearest(spark.createDataFrame(points, "path string, pos long, i int"), df, half_open).collect()
+    inside = lambda r, p: r[0] == p[0] and (r[1] <= p[1] < r[2] if half_open else r[1] < p[1] < r[2])
     for r in got:
         own = [x for x in closed if inside(x, r)]
         assert (r.near and r.near.name) == (max(own, key=lambda x: x[1])[3] if own else None)
