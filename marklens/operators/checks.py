@@ -81,9 +81,9 @@ def all_checks(placed: DataFrame, regions: DataFrame, envs: DataFrame, files: Da
 
 
 def cycle_rows(deps: DataFrame, modules: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Imports between modules of ``nodes(node)``, which lie on cycles, with the importing module's own."""
+    """Imports within one component of ``nodes(node, component)``, so that the target leads back to the importing module; an import from one cycle to another isn't one."""
     own = deps.join(modules.select("path", F.col("module").alias("src")), "path").filter("NOT quiet")
-    on = own.join(nodes.select(F.col("node").alias("module")), "module", "left_semi").join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    on = own.join(nodes.select(F.col("node").alias("module"), "component"), "module").join(nodes.select(F.col("node").alias("src"), "component"), ["src", "component"])
     return _rows(on, "cyclic-dependency-check", F.concat(F.lit("on a cycle: "), "src", F.lit(" > "), "module"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marklens.sources.shared import checkpoint
 
-from . import markup, nesting
+from . import graph, markup, nesting
 
 
 def contained(symbol_type: Column, mask: Column) -> Column:
@@ -117,20 +117,8 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "expor
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """``(node)``: nodes of ``edges(src, dst)`` that reach themselves.
-
-    Nodes that nothing leads to, or that lead nowhere, go first, round by round: they lie on no cycle. Only what is left
-    is followed on all paths.
-    """
-    left = checkpoint(edges.select("src", "dst").distinct())
-    n = left.count()
-    while n:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = checkpoint(kept.select("src", "dst"))
-        n, before = left.count(), n
-        if n == before:
-            break
-    return closure(left, rule="all").filter(F.col("root") == F.col("node")).select("node")
+    """``(node, component)``: nodes of ``edges(src, dst)`` that reach themselves, by the strongly connected components they form."""
+    return graph.components(edges)
 
 
 def visible_symbols(reached: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ def _edges(t: Tables) -> DataFrame:
 _NRV = len(with_views("deps", "modules", recursive=True))
 _CLOSE = _GRAPH + ", c AS (SELECT src AS root, dst AS node FROM edges UNION SELECT root, dst FROM c JOIN edges ON node = src WHERE export)"
 _add("l9_import_closure", lambda t: link.closure(_edges(t)).groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")), _CLOSE + " SELECT root, count(*) AS n, min(node) AS low, max(node) AS high FROM c GROUP BY root")
-_add("l10_cyclic_imports", lambda t: link.cyclic(_edges(t)), _CLOSE.replace("WHERE export", "") + " SELECT node FROM c WHERE root = node")
+_add("l10_cyclic_imports", lambda t: link.cyclic(_edges(t)), _CLOSE.replace("WHERE export", "") + " SELECT a.root AS node, min(a.node) AS component FROM c a JOIN c b ON b.root = a.node AND b.node = a.root GROUP BY a.root")
 _add("l11_visible_symbols", lambda t: link.visible_symbols(link.closure(_edges(t)), t.symbols()).groupBy("root").agg(F.count("*").alias("n")),
      with_views("deps", "modules", "symbols", recursive=True) + _CLOSE[_NRV:] + " SELECT root, count(*) AS n FROM (SELECT DISTINCT root, name FROM c JOIN symbols ON module = node EXCEPT SELECT module, name FROM symbols) GROUP BY root")
 _add("l12_pruned_closure", lambda t: link.closure(_edges(t), t.modules().filter(F.col("module").rlike("5$")).select(F.col("module").alias("node"))).groupBy("root").agg(F.count("*").alias("n")), _CLOSE + " SELECT root, count(*) AS n FROM c WHERE root LIKE '%5' AND root IN (SELECT module FROM modules) GROUP BY root")
@@ -406,8 +406,8 @@ _LINE = f""" SELECT path || ':' || (length({_BEFORE}) - length(replace({_BEFORE}
 _add("d4_formatted", lambda t: checks.formatted(checks.located(_diagnostics(t), t.args(), t.tex_sources())), _DIAG + _LINE + _AT)
 _add(
     "d1_cycles_types_tags", lambda t: _shown(_further(t)),
-    with_views("modules", "symbols", "deps", "refs", recursive=True) + _CLOSE[_NRV:].replace("WHERE export", "") + """, cyc AS (SELECT node FROM c WHERE root = node)
-SELECT path, d.pos, 'cyclic-dependency-check' AS code, 1 AS severity, 'on a cycle: ' || m.module || ' > ' || d.module AS message, '' AS tags, CAST(NULL AS BIGINT) AS related FROM deps d JOIN modules m USING (path) WHERE NOT quiet AND d.module IN (SELECT node FROM cyc) AND m.module IN (SELECT node FROM cyc)
+    with_views("modules", "symbols", "deps", "refs", recursive=True) + _CLOSE[_NRV:].replace("WHERE export", "") + """
+SELECT path, d.pos, 'cyclic-dependency-check' AS code, 1 AS severity, 'on a cycle: ' || m.module || ' > ' || d.module AS message, '' AS tags, CAST(NULL AS BIGINT) AS related FROM deps d JOIN modules m USING (path) WHERE NOT quiet AND (d.module, m.module) IN (SELECT (root, node) FROM c)
 UNION ALL SELECT r.path, r.pos, 'reference-type-check', 1, 'of another type: ' || symbol, '', NULL FROM refs r JOIN (SELECT DISTINCT module, name, def_type = 'sym' AS plain FROM symbols) s ON s.module = r.module AND s.name = r.symbol WHERE NOT plain AND macro NOT LIKE 'a%'
 UNION ALL SELECT path, pos, 'generic-trefier-tag-hint', 3, 'Label for "' || name || '": ' || CASE pos % 4 WHEN 0 THEN '0.00' ELSE '0.25' END, '', NULL FROM args WHERE name LIKE 'tref%' AND pos % 2 = 0""",
 )

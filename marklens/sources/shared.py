@@ -37,5 +37,6 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written and read back. Unlike Spark's own checkpoint, the result has the size of its files, not an estimate that
+    grows with every join before it, so loops plan by what is there."""
+    return write_table(df, "checkpoint")
