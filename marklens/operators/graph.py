@@ -17,7 +17,7 @@ def _links(edges: DataFrame, number: int) -> DataFrame:
     """``(node, before, after)``: nodes with one edge in and one out, no two of them neighbours: of neighbours, the larger hash is taken."""
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).filter("n = 1").drop("n")
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).filter("n = 1").drop("n")
-    c = checkpoint(into.join(out, "node").withColumn("h", F.xxhash64("node", F.lit(number))))
+    c = into.join(out, "node").withColumn("h", F.xxhash64("node", F.lit(number)))
     beside = c.select(F.col("node").alias("other"), F.struct(F.col("h").alias("h"), F.col("node").alias("node")).alias("rank"))
     mine = F.struct(F.col("h").alias("h"), F.col("node").alias("node"))
     rival = c.join(beside, (F.col("before") == F.col("other")), "left").withColumnRenamed("rank", "a").drop("other")

@@ -94,21 +94,23 @@ def current_places(args: DataFrame) -> DataFrame:
     return args.filter(name.rlike(markup.IMPORTS)).select("path", "pos", what.alias("what")).filter("what IS NOT NULL")
 
 
-def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "export") -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame | None = None, rule: str = "export", pairs: bool = True) -> DataFrame:
     """``(root, node)``: what each root reaches. ``edges(src, dst[, export])``.
 
     Direct edges all count; with ``rule='export'`` later hops follow exported edges only. Each round joins
     only the newest pairs with the edges and anti-joins what is known; its result is a checkpoint, so
-    lineage stays short. Ends when a round finds nothing new.
+    lineage stays short. Ends when a round finds nothing new. Without ``pairs`` only what some root reaches
+    counts, with a null root, so rows don't multiply by roots.
     """
     edges = checkpoint(edges.distinct())  # every round reads them
     first = edges if roots is None else edges.join(roots.select(F.col("node").alias("src")), "src", "left_semi")
     onward = (edges.filter("export") if rule == "export" else edges).select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    new = checkpoint(first.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
-    known, rounds = new, 0
+    root = F.col("src") if pairs else F.lit(None).cast("string")
+    new = checkpoint(first.select(root.alias("root"), F.col("dst").alias("node")).distinct())
+    known, rounds, own = new, 0, ["root", "node"] if pairs else ["node"]
     while not new.isEmpty():
         step = new.join(onward, "node").select("root", F.col("next").alias("node")).distinct()
-        new = checkpoint(step.join(known, ["root", "node"], "left_anti"))
+        new = checkpoint(step.join(known, own, "left_anti").select("root", "node"))
         rounds += 1
         known = known.union(new)  # each part is a checkpoint of its own; a few at a time become one
         if rounds % 8 == 0:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marklens.operators import checks, features, link, markup, scopes, suggest, tagger, tokens
-from marklens.sources import ingest, shared
+from marklens.sources import ingest, shared, store
 from marklens.streaming import edits as editing
 
 from .fixtures import _NAME, EDITS_SQL, IMPORT, Tables, with_views
@@ -240,12 +241,31 @@ _add("r3_stream_verdicts", _verdicts,
 
 
 def _continuous(t: Tables) -> DataFrame:
-    table = shared.new_path(t.spark, "diagnostics")
+    """The events as three files, a micro-batch each; a file's diagnostics are those of the last batch that has it."""
+    folder, table = shared.new_path(t.spark, "events"), shared.new_path(t.spark, "diagnostics")
+    for k in range(3):
+        t.table("events").filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(folder)
+    raw = t.spark.readStream.schema(t.table("events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    raw.createOrReplaceTempView("marklens_parts")
+    stream = t.spark.sql(EDITS_SQL.replace("FROM events", "FROM marklens_parts"))
     check = lambda b: b.filter("kind = 'close'").select("path", F.col("version").alias("pos"), F.lit("file-not-found").alias("code"), F.lit(1).alias("severity"))
-    out = editing.run_all(_edit_stream(t), table, shared.new_path(t.spark, "diagnostics-state"), lambda b, _: editing.publish(b, table, check))
-    return out.select("path", "pos", "code", "severity")
+    editing.run_all(stream, None, shared.new_path(t.spark, "diagnostics-state"), lambda b, n: editing.publish(b, n, table, check))
+    return store.get(t.spark, table, StructType.fromDDL("path string, pos bigint, code string, severity int"))
 
 
-_add("r7_continuous_diagnostics", _continuous, EDITS + " SELECT path, version AS pos, 'file-not-found' AS code, 1 AS severity FROM edits WHERE kind = 'close'")
+_add("r7_continuous_diagnostics", _continuous, EDITS + " SELECT path, version AS pos, 'file-not-found' AS code, 1 AS severity FROM (SELECT * FROM edits QUALIFY version % 3 = max(version % 3) OVER (PARTITION BY path)) WHERE kind = 'close'")
+
+
+def _index(t: Tables) -> DataFrame:
+    """All files' names as one batch, then those of changed files as another, which comes twice."""
+    table, s = shared.new_path(t.spark, "index"), shared.checkpoint(t.symbols().select("path", "name").distinct())
+    store.put(table, 0, s, s)
+    for _ in range(2):
+        changed = s.filter("path LIKE '%4.tex'")
+        store.put(table, 1, changed, changed.withColumn("name", F.upper("name")))
+    return store.get(t.spark, table, s.schema).distinct()
+
+
+_add("r8_stored_index", _index, SYMS + " SELECT DISTINCT CASE WHEN path LIKE '%4.tex' THEN upper(name) ELSE name END AS name, path FROM symbols")
 _add("r8_index_maintenance", lambda t: link.maintain_index(s := t.symbols(), s.filter("path LIKE '%4.tex'"), s.filter("path LIKE '%4.tex'").withColumn("name", F.upper("name"))),
      SYMS + " SELECT DISTINCT CASE WHEN path LIKE '%4.tex' THEN upper(name) ELSE name END AS name, path FROM symbols")

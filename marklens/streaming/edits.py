@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marklens.sources import store
+
 
 def latest_buffers(edits: DataFrame) -> DataFrame:
     """The highest version of each document; works on a batch, and on a stream in complete or update mode."""
@@ -88,26 +90,15 @@ def verdicts_stream(edits: DataFrame) -> DataFrame:
     return edits.groupBy("path").applyInPandasWithState(run, VERDICTS, STATE, "append", "NoTimeout")
 
 
-def run_all(stream: DataFrame, table: str, checkpoint: str, each=None) -> DataFrame:
-    """Process all that a stream has now into ``table`` (or by ``each(batch, number)``) and read the table."""
+def run_all(stream: DataFrame, table: str | None, checkpoint: str, each=None) -> DataFrame:
+    """Process all that a stream has now into ``table`` and read it, or by ``each(batch, number)``."""
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     w = w.foreachBatch(each) if each else w.format("parquet").option("path", table).outputMode("append")
     w.start().awaitTermination()
-    return stream.sparkSession.read.parquet(table)
-
+    return stream if each else stream.sparkSession.read.parquet(table)
 
-def publish(batch: DataFrame, path: str, check) -> None:
-    """A micro-batch's diagnostics, replacing those of its files only; for ``foreachBatch``.
 
-    The table is partitioned by a bucket of the path, and only the buckets of changed files are rewritten.
-    """
-    spark = batch.sparkSession
-    new = check(batch).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(64)))
-    changed = batch.select("path").distinct()
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if exists:
-        buckets = changed.select(F.pmod(F.xxhash64("path"), F.lit(64)).alias("bucket")).distinct()
-        old = spark.read.parquet(path).join(buckets, "bucket", "left_semi").join(changed, "path", "left_anti")
-        new = old.select(new.columns).union(new).checkpoint()
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def publish(batch: DataFrame, number: int, table: str, check) -> None:
+    """A micro-batch's diagnostics, ``check(batch)``, replacing those of its files only; for ``foreachBatch``. A file found clean loses its rows;
+    ``store.get`` reads the table."""
+    store.put(table, number, batch.select("path"), check(batch))

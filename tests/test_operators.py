@@ -3,11 +3,12 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marklens.operators import features, link, markup, suggest, tagger, tokens
 from marklens.plans import registry
-from marklens.sources import ingest, shared
-from marklens.streaming import edits
+from marklens.sources import ingest, shared, store
+from marklens.streaming import edits, relink
 
 DIR = "/root/testdata/sf0.001"
 
@@ -42,11 +43,54 @@ def test_verdicts_on_a_stream(spark, tmp_path):
 
 
 def test_publish_replaces_changed_files_only(spark, tmp_path):
-    shared.shared_dir(spark)
-    table, check = str(tmp_path / "d"), lambda b: b.select("path", "n")
-    edits.publish(spark.createDataFrame([("a", 1), ("b", 2)], "path string, n int"), table, check)
-    edits.publish(spark.createDataFrame([("a", 3)], "path string, n int"), table, check)
-    assert sorted((r.path, r.n) for r in spark.read.parquet(table).collect()) == [("a", 3), ("b", 2)]
+    """Several batches; a file made clean loses its rows, a replayed batch changes nothing, an attempt that fails leaves the old rows."""
+    table, check = str(tmp_path / "d"), lambda b: b.select("path", "n").filter("n > 0")
+    schema = StructType.fromDDL("path string, n int")
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    now = lambda: sorted((r.path, r.n) for r in store.get(spark, table, schema).collect())
+    assert now() == []
+    edits.publish(batch(("a", 1), ("b", 2), ("b", 3)), 0, table, check)
+    edits.publish(batch(("a", 3), ("c", 0)), 1, table, check)
+    assert now() == [("a", 3), ("b", 2), ("b", 3)]
+    edits.publish(batch(("a", 9)), 1, table, check)
+    assert now() == [("a", 3), ("b", 2), ("b", 3)]
+    with pytest.raises(Exception, match="no such"):
+        edits.publish(batch(("a", 5)), 2, table, lambda b: b.select("path", F.raise_error(F.lit("no such")).cast("int").alias("n")))
+    assert now() == [("a", 3), ("b", 2), ("b", 3)]
+    edits.publish(batch(("b", 0)), 2, table, check)
+    assert now() == [("a", 3)]
+    store.compact(spark, table, str(tmp_path / "e"), schema)
+    assert [tuple(r) for r in store.get(spark, str(tmp_path / "e"), schema).collect()] == [("a", 3)]
+
+
+def test_relink_equals_a_full_check(spark, tmp_path):
+    """Three batches on a stream of files: after each, the kept diagnostics are those of a check of everything."""
+    text = lambda m, *to: f"\\begin{{modsig}}{{{m}}}" + "".join(f"\\gimport{{{x}}}" for x in to) + "\\symi{s}\\end{modsig}"
+    path = lambda m: f"/r/source/{m}.tex"
+    checked = []
+
+    def check(args):
+        regions = markup.regions(args, tokens.environments(args))
+        deps, modules = markup.dependencies(args, regions), markup.modules(regions)
+        files = args.select("path").distinct()
+        checked.append(files.count())
+        reach = link.closure(relink.Linked.imports(args), rule="all").groupBy(F.col("root").alias("path")).agg(F.count("*").alias("n"))
+        status = link.resolve_modules(deps, modules, files).filter("status <> 'ok'").select("path", "pos", F.col("status").alias("code"))
+        return status.union(reach.select("path", F.col("n").alias("pos"), F.lit("reached")))
+
+    own = relink.Linked(spark, str(tmp_path / "c"), check, "path string, pos bigint, code string")
+    state, steps = {}, [
+        {"a": text("a", "b"), "b": text("b", "c"), "x": text("x", "y"), "y": text("y"), "z": text("z", "x")},
+        {"c": text("c", "d"), "y": text("y")},
+        {"b": text("b"), "d": text("d"), "q": None},
+    ]
+    for number, step in enumerate(steps):
+        own.update(spark.createDataFrame([(path(m), t) for m, t in step.items()], "path string, text string"), number)
+        seen = checked[-1]
+        state |= {path(m): t for m, t in step.items()}
+        full = markup.with_offsets(markup.arguments(markup.macros(spark.createDataFrame([(p, t) for p, t in state.items() if t], "path string, text string"))))
+        assert sorted(map(tuple, own.diagnostics().collect())) == sorted(map(tuple, check(full).collect()))
+        assert number != 2 or seen == 4  # a, b, c and d: not x, y and z
 
 
 def test_scan_and_embeddings(spark, tmp_path):
