@@ -13,7 +13,8 @@ from .storage import bounded_batches, write_table
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-HOST_LIMIT = 0.5  # a host is rejected where its shrunk failure rate is above this
+HOST_LIMIT, HOST_TIMES = 0.5, 3  # a host is rejected where its failure rate is surely above the lower of this rate and so many times the corpus rate
+SURE = 1.6448536  # standard deviations of the posterior that a rate must be above the limit: 95 of 100
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\v\f\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -62,7 +63,8 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """``(host, n_docs, n_failed, shrunk_rate, host_rejected)``.
+    """``(host, n_docs, n_failed, shrunk_rate, host_rejected)``: a host is rejected if its shrunk rate, less ``SURE`` standard deviations of its
+    posterior, is above the lower of ``limit`` and ``HOST_TIMES`` the corpus rate; one failure among several documents never does.
 
     The beta prior has the corpus rate; its weight comes from the hosts' spread around that rate, weighted by their
     documents and less what sampling alone gives, so that hosts of few documents don't pass for different ones. If sampling explains
@@ -76,11 +78,12 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     spread = F.try_divide(F.col("ff") - F.col("f") * rate, rate * (1 - rate)) - (F.col("k") - 1)
     share = F.try_divide(spread, F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1))  # of the variance, what isn't sampling
     weight = F.when(F.col("k") < 2, F.lit(2.0)).when(share > 0, F.greatest(1 / share - 1, F.lit(0.0))).otherwise(F.col("n").cast("double"))
-    prior = sums.filter("n > 0").select((rate * weight).alias("alpha"), weight.alias("weight"))
+    prior = sums.filter("n > 0").select((rate * weight).alias("alpha"), weight.alias("weight"), F.least(F.lit(limit), HOST_TIMES * rate).alias("limit"))
     shrunk = (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("weight"))
     # the prior is one row, so this adds two constants to each host
     joined = hosts.join(F.broadcast(prior), F.lit(True), "left")
-    return joined.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (F.round(shrunk, 9) > limit).alias("host_rejected"))
+    low = shrunk - SURE * F.sqrt(shrunk * (1 - shrunk) / (F.col("n_docs") + F.col("weight") + 1))
+    return joined.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (F.round(low, 9) > F.round("limit", 9)).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, carry: Sequence[str] = ()) -> DataFrame:
@@ -118,7 +121,8 @@ h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY s
 p AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS rate, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff FROM h),
 s AS (SELECT *, ((ff - f * rate) / nullif(rate * (1 - rate), 0) - (k - 1)) / nullif(n - nn / n - (k - 1), 0) AS share FROM p),
 q AS (SELECT rate, CASE WHEN k < 2 THEN 2.0 WHEN share > 0 THEN greatest(1 / share - 1, 0.0) ELSE n END AS weight FROM s),
-v AS (SELECT source, round((h.f + rate * weight) / (h.n + weight), 9) > 0.5 AS bad FROM h, q)
+t AS (SELECT source, h.n + weight AS total, (h.f + rate * weight) / (h.n + weight) AS shrunk, least(0.5, 3 * rate) AS most FROM h, q),
+v AS (SELECT source, round(shrunk - 1.6448536 * sqrt(shrunk * (1 - shrunk) / (total + 1)), 9) > round(most, 9) AS bad FROM t)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
