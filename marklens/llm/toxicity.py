@@ -14,9 +14,11 @@ from .storage import bounded_batches
 
 FACTORS = 4
 MAX_ROWS = 20_000  # labelled rows to fit on at most: the documented bound of the sample
-STEPS, EARLY = 2000, 400  # mini-batches to fit on, and those after which terms that stand at zero leave
+STEPS, EARLY = 2000, 400  # mini-batches to fit on, and those after which it is settled which terms interact
 BATCH = 128
-SPARSE = 3e-4  # pull towards zero of a weight, and of a term's factors as a whole
+SPARSE = 1e-4  # pull of a weight towards zero; chosen by a split of training rows
+DECAY = 3e-5  # share by which factors shrink, per unit of their step
+OUTLYING = 8  # a term interacts if its factors' norm is so many robust deviations above the median of all terms
 PREFIX = 5  # bytes of a word that form a term of their own, for families of forms
 MIN_ROWS = 3  # a term enters the machine if so many labelled rows have it, whatever their labels: pairs may matter where a term alone doesn't
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_/\\`~"
@@ -35,9 +37,10 @@ def terms(data: bytes) -> np.ndarray:
 class FactorizationMachine:
     """logit(x) = bias + sum of weights + pairwise interactions as products of factors; AdaGrad on mini-batches.
 
-    A term counts 1 in the weights and 1/sqrt(number of terms) in the interactions, so long texts
-    don't drown in pairs. Every term may enter, however little it tells alone. What the labels don't bear out goes to zero:
-    weights one by one, a term's factors together, so chance terms of long texts add nothing and pairs that matter keep theirs.
+    Every term may enter, however little it tells alone. At first all terms have factors, which shrink unless labels bear them out.
+    Then those that outgrew the rest stay: they are the ones that interact, and the others' factors are zero. A term counts 1
+    in the weights and 1/sqrt(number of interacting terms of its row) in the interactions, so a pair tells as much in a text of
+    a thousand words as in a short one. Weights that the labels don't bear out go to zero one by one.
     """
 
     def __init__(self, hashes: np.ndarray, factors: int = FACTORS, seed: int = 7):
@@ -45,7 +48,12 @@ class FactorizationMachine:
         self.hashes = np.unique(hashes).astype(np.int64)
         self.bias = 0.0
         self.weight = np.zeros(len(self.hashes), np.float32)
-        self.factor = rng.normal(0, 0.1, (len(self.hashes), factors)).astype(np.float32)
+        self.factor = rng.normal(0, 0.05, (len(self.hashes), factors)).astype(np.float32)
+
+    @property
+    def live(self) -> np.ndarray:
+        """Which terms interact."""
+        return (self.factor != 0).any(1)
 
     def places(self, found: np.ndarray) -> np.ndarray:
         """Places among the machine's terms of those of ``found`` that are among them."""
@@ -69,8 +77,9 @@ class FactorizationMachine:
         out = np.full(n, self.bias, np.float64)
         if not len(ids):
             return out, None, None, None
-        scale = (1 / np.sqrt(np.bincount(row, minlength=n).clip(1))).astype(np.float32)
-        vx = self.factor[ids] * scale[row][:, None]
+        live = self.live[ids]
+        scale = (1 / np.sqrt(np.bincount(row[live], minlength=n).clip(1))).astype(np.float32)
+        vx = self.factor[ids] * (scale[row] * live)[:, None]
         total = np.zeros((n, vx.shape[1]), np.float32)
         total[full] = np.add.reduceat(vx, starts)
         square = np.zeros(n, np.float32)
@@ -79,19 +88,27 @@ class FactorizationMachine:
         line[full] = np.add.reduceat(self.weight[ids], starts)
         return out + line + 0.5 * ((total * total).sum(1) - square), scale, vx, total
 
+    def settle(self) -> None:
+        """Leave factors to the terms whose norms stand out; a term that bears on no score leaves."""
+        norm = np.linalg.norm(self.factor, axis=1)
+        if len(norm):
+            middle = np.median(norm)
+            self.factor[norm < middle + OUTLYING * 1.4826 * np.median(np.abs(norm - middle))] = 0
+        self.prune()
+
     def prune(self) -> None:
         """Leave out terms that bear on no score."""
-        live = (self.weight != 0) | (self.factor != 0).any(1)
+        live = (self.weight != 0) | self.live
         self.hashes, self.weight, self.factor = self.hashes[live], self.weight[live], self.factor[live]
 
     def fit(self, found: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, early: int = EARLY, seed: int = 7) -> FactorizationMachine:
-        """Fit on rows of term hashes: whole passes, at least ``early`` mini-batches before and ``steps`` after terms at zero leave."""
+        """Fit on rows of term hashes: whole passes, at least ``early`` mini-batches before and ``steps`` in all after it is settled which interact."""
         rng, per_pass = np.random.default_rng(seed), max(1, -(-len(found) // BATCH))
-        for passes in (-(-early // per_pass), max(1, -(-(steps - early) // per_pass))):
+        for passes, after in ((-(-early // per_pass), self.settle), (max(1, -(-(steps - early) // per_pass)), self.prune)):
             own = [self.places(t) for t in found]
             self._passes(own, labels, passes, rng)
             del own
-            self.prune()
+            after()
         return self
 
     def _passes(self, rows: list[np.ndarray], labels: np.ndarray, passes: int, rng: np.random.Generator, rate: float = 0.2, rate_factors: float = 0.3) -> None:
@@ -118,8 +135,7 @@ class FactorizationMachine:
                 v = np.stack([np.bincount(back, d[:, k], len(own)) for k in range(d.shape[1])], 1).astype(np.float32)
                 gv[own] += (v * v).mean(1)
                 step = (rate_factors / np.sqrt(gv[own]))[:, None]
-                new = self.factor[own] - step * v
-                self.factor[own] = new * np.maximum(0, 1 - step * SPARSE / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12))
+                self.factor[own] = self.live[own][:, None] * (self.factor[own] - step * v) * (1 - np.minimum(step * DECAY, 0.5))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> FactorizationMachine:
@@ -127,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hash of the id. Executors turn texts to hashed terms; one task fits on the bounded sample, and only its model comes
     to the driver.
 
-    Null labels are left out; of repeated labels the larger counts. Repeated documents count each, null or empty texts as rows without terms.
+    The sample is bounded by rows; a task holds its rows' distinct terms, 8 bytes each. Null labels are left out; of repeated labels the larger counts. Repeated documents count each, null or empty texts as rows without terms.
     Without usable labels every score is 0.27, so nothing counts as toxic. Other columns aren't read.
     """
     bounded_batches(docs.sparkSession)

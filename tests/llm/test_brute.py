@@ -92,11 +92,23 @@ def test_op4(run):
     spread = sum(n[h] * (f[h] / n[h] - rate) ** 2 for h in n) / (rate * (1 - rate)) - (k - 1)
     share = spread / (total - sum(v * v for v in n.values()) / total - (k - 1))
     weight = max(1 / share - 1, 0) if share > 0 else total
-    bad = {h: (f[h] + rate * weight) / (n[h] + weight) > 0.5 for h in n}
+    shrunk = {h: (f[h] + rate * weight) / (n[h] + weight) for h in n}
+    bad = {h: r - quality.SURE * (r * (1 - r) / (n[h] + weight + 1)) ** 0.5 > min(0.5, 3 * rate) for h, r in shrunk.items()}
     want = sorted((r[0], *m, x, not x and not bad[r[3]]) for (r, m), x in zip(measured, failed))
     assert sorted(map(tuple, run("op4_host_rules"))) == want
 
 
+def test_a_bad_host_takes_its_good_documents_along(spark):
+    """Rows that the base rules keep and the host loses; hosts of one document and a null host are not judged by one failure."""
+    good, short = "these are ten plain words that no rule counts against", "too short"
+    rows = [(i, good if i % 4 == 0 else short, "bad") for i in range(80)] + [(100 + i, good, f"h{i % 9}") for i in range(900)]
+    rows += [(2000, short, "one"), (2001, good, "single"), (2002, good, None), (2003, short, None), (2004, good, None), (2005, short, "two"), (2006, good, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept, r.host) for r in quality.judge(df.withColumn("kept", F.lit(1)).withColumn("host", F.lit(2))).collect()}
+    for i, t, h in rows:
+        assert got[i] == (t == short, t != short and h != "bad", h)
+
+
 def test_op5(run):
     from tokenizers import Tokenizer
 
@@ -246,8 +258,45 @@ def test_factorization_machine_learns_a_pair_that_neither_word_tells():
         labels.append(float(a != b))
     m = toxicity.FactorizationMachine(np.unique(np.concatenate(rows[:4000])))
     m.fit(rows[:4000], np.array(labels[:4000]))
-    got = m.logits([m.places(r) for r in rows[4000:]]) >= 0
-    assert (got == (np.array(labels[4000:]) > 0)).mean() > 0.95
+    want, own = np.array(labels[4000:]) > 0, [m.places(r) for r in rows[4000:]]
+    assert ((m.logits(own) >= 0) == want).mean() > 0.95
+    assert 2 <= m.live.sum() < 20
+    m.factor = np.zeros_like(m.factor)
+    assert ((m.logits(own) >= 0) == want).mean() < 0.9  # the interactions decide
+
+
+def test_an_insult_tells_with_a_group_only(spark):
+    """Texts of a thousand words: the insult alone and the group word alone are clean, both together toxic; as they stand by turns in
+    every other text, only the pair tells. Held-out rows."""
+    rng, rows, labels = random.Random(3), [], []
+    words = [f"w{i}" for i in range(400)]
+    for i in range(1200):
+        own, kind = rng.choices(words, k=1000), i % 3
+        if kind != 1:
+            own[rng.randrange(1000)] = "insultword"
+        if kind != 0:
+            own[rng.randrange(1000)] = "groupname"
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(kind == 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = [r for r in toxicity.score(docs, m).collect() if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 3 == 2) for r in got]) > 0.95 and len(got) > 200
+    assert m.live.sum() >= 2
+
+
+def test_given_labels_leave_interactions(spark):
+    """On the given labels some terms interact, and scores change without them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    m = toxicity.fit(docs, labels)
+    held = docs.join(labels.filter("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0").select("text", "toxic").collect()
+    own, want = [m.places(toxicity.terms((r.text or "").encode())) for r in held], np.array([r.toxic for r in held])
+    z = m.logits(own)
+    found = (z[want == 1] >= 0).mean()
+    assert found > 0.85 and (z[want == 0] >= 0).mean() < 0.01
+    m.factor = np.zeros_like(m.factor)
+    assert np.abs(m.logits(own) - z).max() > 0.5
 
 
 def test_similar_recall(spark):
