@@ -93,7 +93,7 @@ SELECT path, regexp_extract_all({_run_sql('text', markup.COMMENT_RUN)}, '\\[A-Za
 DEPTHS_SQL = """
 SELECT path, i, part, place, step, r - least(low, r) AS depth, step = -1 AND r < low AS stray FROM (
  SELECT *, least(0, coalesce(min(r) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM (
-  SELECT *, sum(length(part)) OVER (PARTITION BY path ORDER BY i) - length(part) AS place, sum(step) OVER (PARTITION BY path ORDER BY i) AS r FROM (
+  SELECT *, CAST(sum(length(part)) OVER (PARTITION BY path ORDER BY i) - length(part) AS BIGINT) AS place, sum(step) OVER (PARTITION BY path ORDER BY i) AS r FROM (
    SELECT path, i, part, CASE part WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END AS step FROM (SELECT path, unnest(a) AS part, generate_subscripts(a, 1) AS i FROM parts))))
 """
 #: What stands beside each other inside one pair of braces, a pair itself as one item (g) that ends place ``close``.

@@ -141,7 +141,7 @@ def _typing(t: Tables) -> DataFrame:
     return c.filter("x IS NOT NULL").select("path", "pos", "x.*")
 
 
-_CW = ARGS + ", cw AS (SELECT path, pos, name AS macro, CASE WHEN length(oarg) > 5 THEN 'oarg' ELSE 'rarg' END AS part, string_split(CASE WHEN length(oarg) > 5 THEN substr(oarg, 2, 3) ELSE substr(rarg, 2, 2) END, ',')[-1] AS fragment FROM args WHERE length(oarg) > 5 OR (rarg <> '' AND substr(rarg, 1, 3) NOT LIKE '%}%'))"
+_CW = ARGS + ", cw AS (SELECT path, pos, name AS macro, CASE WHEN length(oarg) > 5 THEN 'oarg' ELSE 'rarg' END AS part, string_split(CASE WHEN length(oarg) > 5 THEN substr(oarg, 2, 3) ELSE substr(rarg, 2, 2) END, ',')[-1] AS fragment FROM args WHERE length(oarg) > 5 OR (rarg <> '' AND substr(rarg, 1, 3) NOT LIKE '%}%' AND substr(rarg, 2, 2) NOT LIKE '%{%'))"
 _add("c1_context_kinds", _typing, _CW + " SELECT path, pos, macro, part, fragment FROM cw")
 _add("c2_repositories", lambda t: suggest.repositories(_typing(t).filter(F.col("macro").rlike(markup.IMPORTS) & (F.col("part") == "oarg")).select(F.lit("modsig").alias("module_type"), "fragment").distinct(), t.modules().select("module_type", _repo())).select("fragment", "repository"),
      MODS + _CW[len(ARGS):] + f" SELECT DISTINCT fragment, repository FROM cw JOIN (SELECT DISTINCT {_REPO} AS repository FROM modules WHERE module_type = 'modsig') ON starts_with(repository, fragment) WHERE {_IS_IMPORT} AND part = 'oarg'")
