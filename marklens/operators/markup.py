@@ -36,9 +36,13 @@ def nested(depth: int, more: str = "") -> str:
     return p
 
 
+LEVELS = 12  # of braces that one pattern reads; deeper texts are swept
+
+
 def argument_parts(more: str = "") -> tuple[str, str]:
-    """Patterns of an optional argument and of a required one."""
-    return rf"\[(?:[^\[\]{{}}]+{more}|\{{{nested(2, more)}\}})*{more}\]", rf"\{{{nested(3, more)}\}}"
+    """Patterns of an optional argument and of a required one, in texts whose braces nest up to ``LEVELS`` deep."""
+    inner = nested(LEVELS - 1, more)
+    return rf"\[(?:[^\[\]{{}}]+{more}|\{{{inner}\}})*{more}\]", rf"\{{{inner}\}}"
 
 
 VERBATIM = (
@@ -68,9 +72,6 @@ def mask_comments(text: Column) -> Column:
     return F.array_join(parts, "")
 
 
-LEVELS = 3  # of braces that one pattern reads; deeper texts are swept
-
-
 def brace_depth(text: Column) -> Column:
     """How deep braces nest in a text; a closing one without an opening one counts for nothing."""
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
@@ -91,9 +92,9 @@ def macros(sources: DataFrame) -> DataFrame:
 
     Texts whose braces nest up to ``LEVELS`` deep are read in place, by two patterns. Deeper ones go through ``swept``, at any depth.
     """
-    clean = sources.select("path", mask_comments(mask_verbatim(F.col("text"))).alias("clean"))
-    deep = brace_depth(F.col("clean")) > LEVELS
-    return _read(clean.filter(~deep)).union(swept(clean.filter(deep)))
+    deep = brace_depth(F.col("text")) > LEVELS  # masking leaves braces alone, so this comes first and once for either way
+    clean = lambda own: own.select("path", mask_comments(mask_verbatim(F.col("text"))).alias("clean"))
+    return _read(clean(sources.filter(~deep))).union(swept(clean(sources.filter(deep))))
 
 
 def _options(given: Column) -> Column:

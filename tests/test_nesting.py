@@ -17,11 +17,14 @@ def _macros(spark, texts):
 
 def test_hand_written_macros(spark):
     eight = "a{b{c{d{e{f{g{h}}}}}}}"
-    got = _macros(spark, [
+    texts = [
         "\\defi{a{b{c{d{e}}}}}", f"\\trefii[m?x]{{{eight}}}{{y}} z", "\\a[k={p,{q,{r,{s,t}}}},u]{v{w{x{y{z}}}}}", "\\a{{{{{\\b[o]{c}}}}}}", "\\a{b}}}\\c{d{e{f{g{h}}}}}",
         "\\a{{{{{x}}}}", "\\a [x]{y}", "\\symi{a}", "", "\\a[b][c]{{{{{d}}}}}", "\\verb|\\x{{{{{| \\y{1} % \\z{{{{{\n\\w{{{{{2}}}}}", "\\a[{x}{y}]{{{{{z}}}}}", "\\a*{{{{{q}}}}}{r}",
         "\\begin{module}[id=n]{y}[x]", "\\begin{module}[id=n]{y}[x]{{{{{",
-    ])
+    ]
+    got = _macros(spark, texts)
+    assert markup.LEVELS < 15  # braces behind a text send it the other way, and change none of its macros
+    assert _macros(spark, [t + " " + "{" * 15 + "}" * 15 for t in texts]) == got
     assert got[0] == [(0, "defi", 0, "", "{a{b{c{d{e}}}}}", ["a{b{c{d{e}}}}"], [])]
     assert got[1] == [(0, "trefii", 0, "[m?x]", f"{{{eight}}}{{y}}", [eight, "y"], ["m?x"])]
     assert got[2] == [(0, "a", 0, "[k={p,{q,{r,{s,t}}}},u]", "{v{w{x{y{z}}}}}", ["v{w{x{y{z}}}}"], ["k={p,{q,{r,{s,t}}}}", "u"])]
