@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marklens.sources.shared import checkpoint
+
 from . import link, markup
 
 # fixed values: severities and diagnostic codes
@@ -44,6 +46,18 @@ def deprecated(args: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [_rows(m, "mtref-deprecation-check", F.lit("mtref is deprecated")), _rows(bare, "mtref-questionmark-check", F.lit("mtref without ?")), _rows(r, "repos-deprecation-check", F.lit("repos is deprecated"))])
 
 
+# fixed values: codes of imports without one module to mean
+UNRESOLVED = {"unique-dependency-name-check": "several modules: ", "undefined-module-not-exported": "no such module: ", "file-not-found": "no file for: ", "access-modifier-check": "private: "}
+
+
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """Rows for imports whose status is one of the codes above, in one pass."""
+    own = lambda values: F.element_at(F.create_map(*(F.lit(v) for c in UNRESOLVED for v in (c, values[c]))), F.col("status"))
+    message = F.concat(own(UNRESOLVED), F.lit('"'), F.concat_ws("", "module"), F.lit('"'))
+    bad = resolved.filter(F.col("status").isin(*UNRESOLVED))
+    return bad.select("path", "pos", F.col("status").alias("code"), own(CODES).alias("severity"), message.alias("message"), F.array().cast("array<int>").alias("tags"), F.lit(None).cast("long").alias("related"))
+
+
 def all_checks(placed: DataFrame, regions: DataFrame, envs: DataFrame, files: DataFrame) -> DataFrame:
     """``(path, pos, code, severity, message, tags, related)`` of all rules that a corpus alone decides, one branch each; cycles and
     predicted tags come from ``cycle_rows`` and ``tag_rows``."""
@@ -52,9 +66,7 @@ def all_checks(placed: DataFrame, regions: DataFrame, envs: DataFrame, files: Da
     modules, bindings, symbols = markup.modules(regions), markup.bindings(regions), markup.symbols(placed)
     deps, refs = markup.dependencies(placed, regions), markup.references(placed)
     named = refs.filter("module IS NOT NULL")
-    resolved = link.resolve_modules(deps, modules, files)
-    bad = lambda code: resolved.filter(F.col("status") == code)
-    undefined = link.gated(named, modules, symbols)
+    undefined = checkpoint(link.gated(named, modules, symbols))
     hints = link.missing_import_hints(undefined, symbols)
     error = markup.import_error(F.col("name"), F.col("parts"))
     wrong = placed.select("path", "pos", error.alias("why")).filter("why IS NOT NULL")
@@ -68,10 +80,7 @@ def all_checks(placed: DataFrame, regions: DataFrame, envs: DataFrame, files: Da
         _rows(link.current_places(placed), "is-current-dir-check", F.concat(F.lit("is the current one: "), "what")),
         _rows(link.name_mismatches(modules, bindings), "filename-mismatch-check", say("file and module differ: ", "module")),
         _rows(wrong.union(counts).union(open_envs), "parser-exception", F.col("why")),
-        _rows(bad("unique-dependency-name-check"), "unique-dependency-name-check", say("several modules: ", "module")),
-        _rows(bad("undefined-module-not-exported"), "undefined-module-not-exported", say("no such module: ", "module")),
-        _rows(bad("file-not-found"), "file-not-found", say("no file for: ", "module")),
-        _rows(bad("access-modifier-check"), "access-modifier-check", say("private: ", "module")),
+        unresolved(link.resolve_modules(deps, modules, files)),
         _rows(undefined, "undefined-symbol", say("no such symbol: ", "module", "symbol")),
         _rows(hints, "missing-import-hint", F.format_string("%s is in %d modules", "symbol", "n_modules")),
         _rows(link.noverb_references(named, symbols, bindings), "referenced-noverb-symbol", say("noverb: ", "module", "symbol")),

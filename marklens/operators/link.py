@@ -142,9 +142,9 @@ def symbol_index(symbols: DataFrame) -> DataFrame:
 
 
 def missing_import_hints(undefined: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Modules that define the name of an unresolved reference, counted."""
-    found = symbols.select(F.col("name").alias("symbol"), F.col("module").alias("other")).distinct()
-    return undefined.join(found, "symbol").groupBy("path", "pos", "symbol").agg(F.countDistinct("other").alias("n_modules"), F.min("other").alias("first_module"))
+    """Modules that define the name of an unresolved reference, counted: by name first, so that a common name's modules don't meet its references one by one."""
+    found = symbols.groupBy(F.col("name").alias("symbol")).agg(F.countDistinct("module").alias("n_modules"), F.min("module").alias("first_module"))
+    return undefined.select("path", "pos", "symbol").distinct().join(found, "symbol").select("path", "pos", "symbol", "n_modules", "first_module")
 
 
 def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.6, best: int = 3) -> DataFrame:

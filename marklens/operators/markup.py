@@ -63,13 +63,13 @@ def mask_verbatim(text: Column) -> Column:
     """Contents of verbatim macros and environments stay as text: their backslashes no longer start macros. No place moves."""
     # what comes before the first backslash of a match has none, and an escape is two characters at most
     parts = F.transform(F.regexp_extract_all(text, F.lit(VERBATIM_RUN), F.lit(0)), lambda m: F.when(F.length(m) - F.instr(m, "\\") >= 2, _hidden(m)).otherwise(m))
-    return F.array_join(parts, "")
+    return F.when(text.rlike(r"\\(?:verb|lstinline|begin\{(?:verbatim|lstlisting))"), F.array_join(parts, "")).otherwise(text)
 
 
 def mask_comments(text: Column) -> Column:
     """Comments hold no macros; no place moves. An escaped ``%`` starts none."""
     parts = F.transform(F.regexp_extract_all(text, F.lit(COMMENT_RUN), F.lit(0)), lambda m: F.when(F.rlike(m, F.lit(r"^[^\\]*%")), _hidden(m)).otherwise(m))
-    return F.array_join(parts, "")
+    return F.when(text.contains("%"), F.array_join(parts, "")).otherwise(text)
 
 
 def brace_depth(text: Column) -> Column:
