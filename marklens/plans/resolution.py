@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marklens.operators import checks, features, link, markup, scopes, suggest, tagger, tokens
+from marklens.operators import checks, features, link, markup, scopes, similar, suggest, tagger, tokens
 from marklens.sources import ingest, shared, store
 from marklens.streaming import edits as editing
 
 from .fixtures import _NAME, EDITS_SQL, IMPORT, Tables, with_views
-from .registry import _CLOSE, _ENV, _MISPLACED, _UND, ALL, ARGS, EDITS, MODS, REFS, SYMS, TOK, _add, _edges, _turns
+from .registry import _CLOSE, _ENV, _MISPLACED, _SES, _UND, ALL, ARGS, EDITS, MODS, REFS, SYMS, TOK, _add, _edges, _turns
 
 _REC = len(with_views("deps", "modules", recursive=True))
 _IS_IMPORT = IMPORT.replace("name", "macro")
@@ -95,6 +95,33 @@ _add(
  q AS (SELECT symbol, name, round(1 - levenshtein(symbol, name) / l, 6) AS ratio FROM p)
 SELECT symbol, name, ratio FROM q WHERE ratio >= 0.6 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ratio DESC, name) <= 3""",
 )
+
+
+def _close_matches(t: Tables) -> DataFrame:
+    """References that nothing resolves, against the names of their own file and of the modules it imports."""
+    s = shared.checkpoint(_typed(t.symbols()).select("path", "module", "name", "type").distinct())
+    full = F.concat("module", F.lit("?"), "name").alias("name")
+    seen = t.deps().select("path", "module").distinct().join(s.drop("path"), "module").select("path", full, "type")
+    wanted = _masked(link.undefined_symbols(t.refs(), s)).select("path", F.concat("module", F.lit("?"), "symbol").alias("symbol"), "mask")
+    return similar.close_matches(wanted, s.select("path", full, "type").union(seen))
+
+
+_BLOCK = "list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform(list_filter(range(1, length({a}) - i + 2), lambda l: contains({b}, substr({a}, i, l))), lambda l: {{'l': l, 'i': -i}}))))"
+_add(
+    "l17_close_matches", _close_matches,
+    with_views("symbols", "refs", "deps", recursive=True) + f""",
+u AS (SELECT DISTINCT r.path, module || '?' || symbol AS symbol, CASE WHEN macro LIKE 'a%' THEN 3 ELSE 1 END AS mask FROM refs r WHERE module IS NOT NULL AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.module = r.module AND s.name = r.symbol)),
+own AS (SELECT DISTINCT path, module, name, CASE def_type WHEN 'sym' THEN 1 ELSE 2 END AS type FROM symbols),
+seen AS (SELECT path, module || '?' || name AS name, type FROM own UNION SELECT d.path, d.module || '?' || name, type FROM deps d JOIN own USING (module)),
+cand AS (SELECT DISTINCT path, symbol, mask, name FROM u JOIN seen USING (path) WHERE type & mask <> 0 OR string_split(name, '?')[-1] = string_split(symbol, '?')[-1]),
+seg AS (SELECT symbol, name, name AS a, symbol AS b, {_BLOCK.format(a='name', b='symbol')} AS m FROM (SELECT DISTINCT symbol, name FROM cand)
+ UNION ALL SELECT symbol, name, a, b, {_BLOCK.format(a='a', b='b')} FROM (
+  SELECT symbol, name, CASE side WHEN 0 THEN substr(a, 1, i - 1) ELSE substr(a, i + l) END AS a, CASE side WHEN 0 THEN substr(b, 1, strpos(b, substr(a, i, l)) - 1) ELSE substr(b, strpos(b, substr(a, i, l)) + l) END AS b
+  FROM (SELECT symbol, name, a, b, m.l AS l, -m.i AS i, unnest([0, 1]) AS side FROM seg WHERE m IS NOT NULL)) WHERE a <> '' AND b <> ''),
+likeness AS (SELECT symbol, name, 2 * CAST(sum(coalesce(m.l, 0)) AS DOUBLE) / (length(symbol) + length(name)) AS ratio FROM seg GROUP BY symbol, name)
+SELECT path, symbol, mask, name, ratio, row_number() OVER (PARTITION BY path, symbol, mask ORDER BY ratio DESC, name DESC) AS nth FROM cand JOIN likeness USING (symbol, name) WHERE ratio >= 0.6
+QUALIFY row_number() OVER (PARTITION BY path, symbol, mask ORDER BY ratio DESC, name DESC) <= 3""",
+)
 _add("l21_location_checks", lambda t: checks.misplaced(t.placed(), t.regions()).select("path", "pos", "code", "message"), with_views("placed") + f" SELECT path, pos, 'location-check' AS code, why AS message FROM ({_MISPLACED}) WHERE why IS NOT NULL")
 
 
@@ -221,6 +248,32 @@ def _labelled(t: Tables) -> DataFrame:
 _add("s16_labelled_dataset", _labelled,
      _ENV + " SELECT a.path, a.pos, a.name AS token, CASE WHEN bool_or(e.env = 'omtext') THEN 1 WHEN bool_or(contains(e.env, 'mod')) THEN 2 ELSE 0 END AS label FROM args a LEFT JOIN envs e ON a.path = e.path AND e.begin_pos < a.pos AND coalesce(e.end_pos, 1099511627776) > a.pos WHERE a.path LIKE '%.en.tex' AND a.name NOT IN ('begin', 'end') GROUP BY a.path, a.pos, a.name")
 
+
+
+def _scanned(t: Tables) -> DataFrame:
+    """The documents' lengths as .tex files, a folder a source, found by a scan of the folders; what lies outside ``source`` isn't."""
+    root, rows = shared.new_path(t.spark, "hub"), t.table("documents").select("source", F.concat_ws(" ", "source", "doc_id", "n_chars"))
+    for folder in ("source", "other"):
+        rows.write.partitionBy("source").option("extension", "tex").option("quote", "").csv(f"{root}/{folder}")
+    lines = ingest.scan(t.spark, root).select("size", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("line <> '' AND size > 0").select("line")
+
+
+_add("s1_scanned_files", _scanned, "SELECT source || ' ' || doc_id || ' ' || n_chars AS line FROM documents")
+
+
+def _rebuilt(t: Tables) -> DataFrame:
+    """A build of most files, then one after some changed, some came and some went; ``batch`` tells which build a row is of."""
+    f, folder = t.files().select("doc_id", "path", "mtime", "text"), shared.new_path(t.spark, "artifacts")
+    schema = StructType.fromDDL("path string, n_macros int, batch int")
+    build = lambda k: lambda stale: stale.select("path", F.regexp_count("text", F.lit(r"\\[A-Za-z]")).alias("n_macros"), F.lit(k).alias("batch"))
+    ingest.rebuild(f.filter("doc_id % 6 <> 5"), folder, 0, build(0), schema)
+    later = f.filter("doc_id % 7 <> 3").withColumn("mtime", F.when(F.col("doc_id") % 4 == 1, F.col("mtime") + F.make_dt_interval(mins=F.lit(1))).otherwise(F.col("mtime")))
+    return ingest.rebuild(later, folder, 1, build(1), schema)
+
+
+_add("s10_rebuild", _rebuilt, with_views("files") + r" SELECT path, CAST(len(regexp_extract_all(text, '\\[A-Za-z]')) AS INTEGER) AS n_macros, CASE WHEN doc_id % 6 = 5 OR doc_id % 4 = 1 THEN 1 ELSE 0 END AS batch FROM files WHERE doc_id % 7 <> 3")
+
 # --- R: edit streams -----------------------------------------------------------------------------
 
 
@@ -240,6 +293,17 @@ _add("r3_stream_verdicts", _verdicts,
      EDITS + ", p AS (SELECT *, last_value(CASE WHEN kind IN ('open', 'close') THEN kind END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM edits) SELECT path, version, kind, CASE WHEN kind = 'open' AND prev = 'open' THEN 'duplicate-open' WHEN kind = 'close' AND coalesce(prev, 'close') = 'close' THEN 'not-open' ELSE 'accepted' END AS verdict FROM p")
 
 
+def _debounced(t: Tables) -> DataFrame:
+    """Sessions of the edit stream; those still open count too, so the whole result is written."""
+    table, out = shared.new_path(t.spark, "sessions"), editing.debounce_stream(_edit_stream(t), 3600).select("path", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+    w = out.writeStream.trigger(availableNow=True).outputMode("complete").option("checkpointLocation", shared.new_path(t.spark, "sessions-state"))
+    w.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(table)).start().awaitTermination()
+    return t.spark.read.parquet(table)
+
+
+_add("r4_debounce_stream", _debounced, _SES + " SELECT path, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY path, session")
+
+
 def _continuous(t: Tables) -> DataFrame:
     """The events as three files, a micro-batch each; a file's diagnostics are those of the last batch that has it."""
     folder, table = shared.new_path(t.spark, "events"), shared.new_path(t.spark, "diagnostics")

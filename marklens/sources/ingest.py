@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import shared, store
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -83,6 +88,24 @@ def build_or_reuse(files: DataFrame, builds: DataFrame, now: Column) -> DataFram
     return own.select("path", F.when(old, now).otherwise(F.col("built_at")).alias("built_at"), old.alias("rebuilt"))
 
 
+def rebuild(files: DataFrame, folder: str, number: int, build: Callable[[DataFrame], DataFrame], schema: StructType) -> DataFrame:
+    """The artifacts of ``files(path, mtime, ...)`` in the store ``folder``, brought up to date as batch ``number``.
+
+    ``build(stale)`` gives ``(path, ...)`` rows of ``schema`` and gets only files that were never built or changed since; the others' rows
+    stay as written. Files that are gone lose theirs. A build that fails leaves the old state, the same number again does nothing. Files without a time
+    count as stale, files without a path don't count; of repeated paths all rows are built if one is newer.
+    """
+    spark = files.sparkSession
+    own = files.filter("path IS NOT NULL").withColumn("version", F.coalesce(F.unix_micros(F.col("mtime").cast("timestamp")), F.lit(0)))
+    built = store.versions(spark, folder).withColumnRenamed("version", "__built")
+    newest = own.groupBy("path").agg(F.max("version").alias("version"), F.bool_or(F.col("mtime").isNull()).alias("timeless")).join(built, "path", "full_outer")
+    changes = newest.filter("timeless OR __built IS NULL OR version IS NULL OR version > __built").select("path", "version")
+    changes = shared.checkpoint(changes)
+    stale = files.join(changes.filter("version IS NOT NULL").select("path"), "path", "left_semi")
+    store.put(folder, number, changes, build(stale))
+    return store.get(spark, folder, schema)
+
+
 def relink(linked: DataFrame, related: DataFrame, builds: DataFrame) -> DataFrame:
     """Linked results older than the newest build among their related files."""
     newest = related.join(builds.select(F.col("path").alias("related"), "built_at"), "related").groupBy("path").agg(F.max("built_at").alias("newest"))
