@@ -15,6 +15,7 @@ from .tokens import END_ID, byte_bpe, vocabulary_path
 
 CAPACITY = 1024
 OPEN_BINS = 4096
+STREAM_BYTES = 8 << 20  # of input by the plan's own estimate, which for files is their stored size
 
 
 class BestFit:
@@ -58,12 +59,18 @@ class BestFit:
         return seq, self.capacity - free
 
 
+def streams(docs: DataFrame, least_bytes: int = STREAM_BYTES) -> DataFrame:
+    """``docs`` with small partitions put together, as many as make ``least_bytes``, without an exchange; larger ones stay as they are."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.coalesce(min(max(1, -(-size // least_bytes)), (1 << 31) - 1))
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """``(id, piece, start, length, ids, sequence_id, offset)``: one row per piece, ``ids`` as little-endian 32-bit.
 
-    Each input partition is one online stream with its own bins, so there is no exchange and memory is
-    ``open_bins`` at most; each partition leaves at most that many sequences part-filled, most of them
-    nearly full. A document longer than ``capacity`` is cut so that its first piece takes the rest.
+    A stream is a partition, or many small ones put together (``streams``), with its own bins, so there is no exchange and memory is
+    ``open_bins`` at most; each stream leaves at most that many sequences part-filled, most of them
+    nearly full. How many sequences there are hangs on the input's size, not on how many partitions it lies in. A document longer than ``capacity`` is cut so that its first piece takes the rest.
     Null or empty text: the end id alone. Repeated rows are packed each. Only the two named columns are read.
     """
     bounded_batches(docs.sparkSession)
@@ -90,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(seqs, pa.int64()), pa.array(offs, pa.int64())], [id_col, "piece", "start", "length", "ids", "sequence_id", "offset"])
 
     typed = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {typed}, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
+    return streams(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {typed}, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

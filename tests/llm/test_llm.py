@@ -122,6 +122,14 @@ def test_rules(docs, empty):
     assert got[8].base_failed and quality.judge(empty).count() == 0
 
 
+def test_packing_loses_little_in_many_partitions(spark):
+    """Sequences beyond the least possible number, for one partition and for 211 of them."""
+    path, docs = tokens.vocabulary_path("byte_bpe_50k.json"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for own in (docs.coalesce(1), docs.repartition(211)):
+        got = packing.pack(own, path).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("total"), F.countDistinct("doc_id").alias("docs")).first()
+        assert got.docs == docs.count() and got.n <= 1.03 * -(-got.total // packing.CAPACITY), got
+
+
 def test_packing(docs, empty):
     path = tokens.vocabulary_path("byte_bpe_50k.json")
     got = packing.pack(docs, path).collect()
