@@ -1,6 +1,7 @@
 """What must hold for plans to grow no faster than their input."""
 
-from marklens.operators import link
+from marklens.operators import features, link
+from marklens.plans import registry
 
 
 def _plan(df):
@@ -16,3 +17,18 @@ def test_definitions_broadcast_nothing(spark):
     out = link.definitions_at(points, refs, targets, ranges)
     assert "Broadcast" not in _plan(out)
     assert sorted(map(tuple, out.collect())) == [("a", 1, "a", 0), ("a", 5, "a", 0), ("a", 5, "a", 3), ("a", 5, "b", 7), ("a", 9, "a", 0)]
+
+
+def test_tokens_move_only_as_texts(spark):
+    """Counts by document need one exchange, of texts; tokens have none of their own."""
+    plan = _plan(registry.queries()["f2_term_frequency"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange ") == 1 and "REPARTITION" in plan
+
+
+def test_tokens_keep_their_columns_and_null_documents(spark):
+    rows = [(1, 0, "a", 2), (1, 1, "b", 0), (1, 2, "a", 0), (None, 0, "a", 1), (None, None, "c", 0)]
+    tok = spark.createDataFrame(rows, "doc_id long, pos int, token string, label int")
+    got = {tuple(r[c] for c in ("doc_id", "pos", "token", "label", "tf")) for r in features.term_frequency(tok).collect()}
+    assert got == {(d, p, t, x, c) for (d, p, t, x), c in zip(rows, (2 / 3, 1 / 3, 2 / 3, 1 / 2, 1 / 2))}
+    out = features.embed(tok.select("doc_id", "pos", "token"), spark.createDataFrame([("a", [1.0]), ("z", [2.0])], "token string, vec array<float>"), 1)
+    assert sorted((r.doc_id or 0, -1 if r.pos is None else r.pos, r.vec[0]) for r in out.collect()) == [(0, -1, 0.0), (0, 0, 1.0), (1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0)]
