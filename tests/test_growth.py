@@ -32,3 +32,29 @@ def test_tokens_keep_their_columns_and_null_documents(spark):
     assert got == {(d, p, t, x, c) for (d, p, t, x), c in zip(rows, (2 / 3, 1 / 3, 2 / 3, 1 / 2, 1 / 2))}
     out = features.embed(tok.select("doc_id", "pos", "token"), spark.createDataFrame([("a", [1.0]), ("z", [2.0])], "token string, vec array<float>"), 1)
     assert sorted((r.doc_id or 0, -1 if r.pos is None else r.pos, r.vec[0]) for r in out.collect()) == [(0, -1, 0.0), (0, 0, 1.0), (1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0)]
+
+
+def _used(spark):
+    """Files that hold and use the same few modules, some of them only their own."""
+    deps = spark.createDataFrame([(f"f{i}", f"m{i % 3}") for i in range(40)] * 3 + [("own", "alone"), ("f1", None)], "path string, module string")
+    refs = spark.createDataFrame([(f"f{i}", f"m{i % 4}") for i in range(40)] * 2 + [("f2", None)], "path string, module string")
+    modules = spark.createDataFrame([(f"f{i}", f"m{i % 5}") for i in range(40)] * 2 + [("own", "alone")], "path string, module string")
+    return deps, refs, modules
+
+
+def test_users_names_modules_once_before_pairs(spark):
+    out = link.users(*_used(spark))
+    assert _plan(out).count("HashAggregate") == 6
+    deps, refs, modules = ({tuple(r) for r in x.collect()} for x in _used(spark))
+    assert sorted(map(tuple, out.collect())) == sorted({(u, p) for p, m in deps | refs for u, n in modules if m is not None and m == n and u != p})
+
+
+def test_newest_used_is_that_of_all_pairs(spark):
+    deps, refs, modules = _used(spark)
+    built = {f"f{i}": i * 7 % 11 for i in range(40) if i % 9} | {"own": 99}
+    builds = spark.createDataFrame([*built.items(), ("f3", 2), ("f4", None)], "path string, built_at long")
+    want: dict = {}
+    for used, user in map(tuple, link.users(deps, refs, modules).collect()):
+        if used in built:
+            want[user] = max(want.get(user, 0), built[used])
+    assert dict(map(tuple, link.newest_used(deps, refs, modules, builds).collect())) == want
