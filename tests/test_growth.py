@@ -1,5 +1,7 @@
 """What must hold for plans to grow no faster than their input."""
 
+from pyspark.sql import functions as F
+
 from marklens.operators import features, link
 from marklens.plans import registry
 
@@ -58,3 +60,11 @@ def test_newest_used_is_that_of_all_pairs(spark):
         if used in built:
             want[user] = max(want.get(user, 0), built[used])
     assert dict(map(tuple, link.newest_used(deps, refs, modules, builds).collect())) == want
+
+
+def test_similar_names_broadcast_nothing(spark):
+    """Pieces of names are hundreds of rows a name, which an estimate from before they are cut doesn't show."""
+    names = spark.createDataFrame([("groups",), ("group",), ("ring",)], "name string")
+    out = link.similar_names(names.select(F.col("name").alias("symbol")), names)
+    assert "Broadcast" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [("group", "groups", 0.833333), ("groups", "group", 0.833333)]
