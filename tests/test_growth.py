@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from marklens.operators import features, link
+from marklens.operators import features, graph, link, suggest
 from marklens.plans import registry
+from marklens.sources import shared
 
 
 def _plan(df):
@@ -68,3 +69,29 @@ def test_similar_names_broadcast_nothing(spark):
     out = link.similar_names(names.select(F.col("name").alias("symbol")), names)
     assert "Broadcast" not in _plan(out)
     assert sorted(map(tuple, out.collect())) == [("group", "groups", 0.833333), ("groups", "group", 0.833333)]
+
+
+def test_closure_holds_sixty_four_nodes_a_row_and_known_ones_stay(spark):
+    """A hub that leads to 99 nodes, and one of these back: the numbers of all that each node reaches, the highest bit of a word too."""
+    rows = [("m100", f"m{i}", True) for i in range(101, 200)] + [("m150", "m100", True), ("m199", None, True), ("x", "m150", False), ("m120", "x", False)]
+    edges = spark.createDataFrame(rows, "src string, dst string, export boolean")
+    ring = {f"m{i}" for i in range(100, 200)} | {None}
+    want = {"m100": ring, "m150": ring, "x": ring, "m199": {None}, "m120": {"x"}}
+    sets, names = link.reached(edges)
+    assert sets.count() <= 3 * 4 + 2
+    got = {}
+    for r in link.closure(edges).collect():
+        got.setdefault(r.root, []).append(r.node)
+    assert {k: (len(v), set(v)) for k, v in got.items()} == {k: (len(v), v) for k, v in want.items()}
+    ends = {r.root: (r.n, r.low, r.high) for r in link.reach_ends(sets, names).collect()}
+    assert ends == {"m100": (101, "m100", "m199"), "m150": (101, "m100", "m199"), "x": (101, "m100", "m199"), "m199": (1, None, None), "m120": (1, "x", "x")}
+    known = shared.bucketed(spark.range(1000).selectExpr("id AS root", "id % 7 AS word", "id AS bits"), "root", "word")
+    step = spark.range(1000).selectExpr("id AS root", "id % 5 AS word").groupBy("root", "word").count()
+    assert _plan(known.join(step, ["root", "word"], "full")).count("Exchange ") == 1
+
+
+def test_prefixes_are_as_long_as_what_is_typed(spark):
+    wanted = spark.createDataFrame([("a",), ("abc",), ("",)], "fragment string")
+    names = spark.createDataFrame([("abcdefghij",), ("ab",), (None,)], "name string")
+    assert sorted(map(tuple, suggest.prefixes(names, wanted, "name").collect())) == [("ab", ""), ("ab", "a"), ("abcdefghij", ""), ("abcdefghij", "a"), ("abcdefghij", "abc")]
+    assert sorted(map(tuple, suggest.prefix_join(wanted, names, "name").collect())) == [("", "ab"), ("", "abcdefghij"), ("a", "ab"), ("a", "abcdefghij"), ("abc", "abcdefghij")]
