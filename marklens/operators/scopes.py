@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklens.sources.shared import checkpoint
+from marklens.sources.shared import Grown, checkpoint
 
-from . import markup, nesting
+from . import graph, markup, nesting
 
 # fixed values: bits of what a name may stand for
 SYMBOL, DEFINITION, MODULE, BINDING = 1, 2, 4, 8
@@ -109,6 +109,52 @@ def brought(found: DataFrame, imported: DataFrame, around: DataFrame, roots: Dat
     return known.select("scope", "node", "below")
 
 
+def asked(refs: DataFrame, around: DataFrame, found: DataFrame) -> DataFrame:
+    """``(scope, name)``: the names that ``lookup`` of ``refs`` asks of scopes. What imports bring holds no scopes, so scopes further on come from the trees alone."""
+    own = found.filter("kind IN ('module', 'binding') AND name IS NOT NULL").select("parent", "name", F.col("scope").alias("node"))
+    longest = refs.agg(F.max(F.size("ids"))).first()[0] or 0  # one row
+    now = refs.join(around, "scope").select(F.col("bound").alias("scope"), "ids").distinct()
+    parts = [refs.select("scope", F.lit("").alias("name")).limit(0)]
+    for k in range(longest):
+        now = checkpoint(now.filter(F.size("ids") > k).withColumn("name", F.get("ids", F.lit(k))))
+        parts.append(now.select("scope", "name"))
+        now = now.withColumnRenamed("scope", "parent").join(own, ["parent", "name"]).select(F.col("node").alias("scope"), "ids").distinct()
+    return reduce(DataFrame.union, parts).filter("name IS NOT NULL").distinct()
+
+
+def brought_by_name(found: DataFrame, imported: DataFrame, around: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(scope, node)``: of what ``brought`` gives, the modules of the names that are ``wanted(scope, name)`` of a scope.
+
+    A module that the scope imports itself needs no walk. For other names, walks begin at imported modules rather than at scopes, once
+    for all scopes that import one, and only where a name that isn't settled is some exported import's. Below a use-import the walk
+    goes by the module and the name that it mustn't meet, if any import could bring that. Modules and names go by number; known rows stay where they are.
+    """
+    n = lambda df, nodes=(), names=(): reduce(lambda d, c: graph.numbered(d, c, ids), nodes, reduce(lambda d, c: graph.numbered(d, c, words), names, df))
+    modules = found.filter("kind = 'module' AND name IS NOT NULL").select(F.col("scope").alias("node"), "name")
+    got = imported.select("scope", "node", "export").distinct().join(modules, "node")
+    ids, words = graph.numbers(got.select(F.col("node").alias("name"))), graph.numbers(got.select("name"))
+    got = checkpoint(n(got, ("node",), ("name",)))
+    want = checkpoint(n(wanted.join(got.select("scope").distinct(), "scope", "left_semi"), (), ("name",)).filter("name > 0"))
+    direct = checkpoint(want.join(got.select("scope", "name", "node").distinct(), ["scope", "name"]))
+    edges = got.filter("export").select("scope", F.col("node").alias("next"), "name").distinct()
+    edges = checkpoint(edges.join(ids.select(F.col("name").alias("scope"), F.col("id").alias("node")), "scope").select("node", "next", "name"))
+    single = got.select("name", "node").distinct().groupBy("name").agg(F.count("*").alias("n")).filter("n = 1").select("name")
+    onward = checkpoint(edges.select("name").distinct())
+    left = want.join(onward, "name", "left_semi").join(direct.join(single, "name", "left_semi").select("scope", "name"), ["scope", "name"], "left_anti")
+    home = around.filter("bound = top").select("scope", F.col("bound").alias("node")).join(found.select(F.col("scope").alias("node"), "name"), "node").select("scope", "name")
+    home = n(home, (), ("name",)).join(onward, "name").select("scope", F.col("name").alias("home"))
+    first = got.withColumnRenamed("name", "first").join(home, "scope", "left").withColumn("shun", F.when(~F.col("export"), F.col("home"))).fillna(0, ["shun"])
+    asks = checkpoint(left.join(first, "scope").select("scope", "name", F.col("node").alias("start"), "shun", "first"))
+    known = Grown(found.sparkSession, "start", "shun", "node")
+    known.add(asks.select("start", "shun", F.col("start").alias("node"), F.col("first").alias("name")).distinct())
+    while not (new := known.latest()).isEmpty():
+        step = new.drop("name").join(edges, "node").filter("name <> shun").select("start", "shun", F.col("next").alias("node"), "name")
+        step = step.groupBy("start", "shun", "node").agg(F.first("name").alias("name"))
+        known.add(step.join(known.all(), ["start", "shun", "node"], "left_anti").select("start", "shun", "node", "name"))
+    hits = asks.join(known.all(), ["start", "shun", "name"]).select("scope", "node").union(direct.select("scope", "node")).distinct()
+    return hits.join(ids.select(F.col("id").alias("node"), F.col("name").alias("__node")), "node").select("scope", F.col("__node").alias("node"))
+
+
 def visible(found: DataFrame, symbols: DataFrame, reached: DataFrame) -> DataFrame:
     """``children`` with what imports bring: a copy of each module that a scope gets, and the copy's public symbols."""
     own = children(found, symbols)
@@ -149,7 +195,8 @@ def resolve(placed: DataFrame, regions: DataFrame, envs: DataFrame, deps: DataFr
     around = outward(found)
     imported = checkpoint(imports(deps, found, around))
     refs = checkpoint(in_scope(identifier_paths(placed), found))
-    seen = checkpoint(visible(found, symbols, brought(found, imported, around)))
+    got = checkpoint(brought_by_name(found, imported, around, checkpoint(asked(refs, around, found))))
+    seen = checkpoint(visible(found, symbols, got))
     return lookup(refs, around, seen)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marklens.operators import features, graph, link, suggest
+from marklens.operators import features, graph, link, scopes, suggest
 from marklens.plans import registry
 from marklens.sources import shared
 
@@ -95,3 +95,37 @@ def test_prefixes_are_as_long_as_what_is_typed(spark):
     names = spark.createDataFrame([("abcdefghij",), ("ab",), (None,)], "name string")
     assert sorted(map(tuple, suggest.prefixes(names, wanted, "name").collect())) == [("ab", ""), ("ab", "a"), ("abcdefghij", ""), ("abcdefghij", "a"), ("abcdefghij", "abc")]
     assert sorted(map(tuple, suggest.prefix_join(wanted, names, "name").collect())) == [("", "ab"), ("", "abcdefghij"), ("a", "ab"), ("a", "abcdefghij"), ("abc", "abcdefghij")]
+
+
+def _import_graph(spark):
+    """Scopes of two files' worth of names on a random graph: use-imports, modules of one name, rings."""
+    import random
+
+    rnd, n = random.Random(5), 60
+    found = [(f"f{i}", 0, 90, f"f{i}#0", f"f{i}", "module", f"m{i % 50}", 0) for i in range(n)]
+    found += [(f"f{i}", 9, 20, f"f{i}#9", f"f{i}#0", "scope", "omtext", 0) for i in range(0, n, 4)]
+    imported = [(f[0], k, f[3], f"f{j}#0", f"m{j % 50}", rnd.random() < 0.6, 1) for f in found for k, j in enumerate(rnd.sample(range(n), 2))]
+    found = spark.createDataFrame(found, "path string, begin_pos long, end_pos long, scope string, parent string, kind string, name string, access int")
+    return found, spark.createDataFrame(imported, "path string, pos long, scope string, node string, module string, export boolean, n_modules long")
+
+
+def test_imports_by_name_are_those_of_all_imports(spark):
+    found, imported = _import_graph(spark)
+    around = scopes.outward(found)
+    wanted = found.select("scope").crossJoin(spark.range(52).select(F.concat(F.lit("m"), "id").alias("name"))).filter("hash(scope, name) % 3 = 0")
+    names = found.filter("kind = 'module'").select(F.col("scope").alias("node"), "name")
+    want = scopes.brought(found, imported, around).join(names, "node").join(wanted, ["scope", "name"]).select("scope", "node").distinct()
+    got = scopes.brought_by_name(found, imported, around, wanted)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not got.isEmpty()
+
+
+def test_what_a_scope_imports_itself_needs_no_walk(spark, monkeypatch):
+    """A chain of 40 modules that each name what they import: 780 pairs of a scope and what it gets, none of which is walked."""
+    found = spark.createDataFrame([(f"f{i}", 0, 9, f"f{i}#0", f"f{i}", "module", f"m{i}", 0) for i in range(40)], "path string, begin_pos long, end_pos long, scope string, parent string, kind string, name string, access int")
+    imported = spark.createDataFrame([(f"f{i}", 1, f"f{i}#0", f"f{i + 1}#0", f"m{i + 1}", True, 1) for i in range(39)], "path string, pos long, scope string, node string, module string, export boolean, n_modules long")
+    refs = imported.select("path", F.col("pos").alias("ref"), "pos", "scope", F.array("module").alias("ids"), F.lit(4).alias("mask"))
+    around, walked = scopes.outward(found), []
+    add = shared.Grown.add
+    monkeypatch.setattr(shared.Grown, "add", lambda self, df: (add(self, df), walked.append(self.latest().count())))
+    got = scopes.brought_by_name(found, imported, around, scopes.asked(refs, around, found))
+    assert {tuple(r) for r in got.collect()} == {(f"f{i}#0", f"f{i + 1}#0") for i in range(39)} and sum(walked) == 0
