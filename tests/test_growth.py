@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marklens.operators import features, graph, link, scopes, suggest
+from marklens.operators import features, graph, link, markup, scopes, suggest, tokens
 from marklens.plans import registry
 from marklens.sources import shared
 
@@ -129,3 +129,18 @@ def test_what_a_scope_imports_itself_needs_no_walk(spark, monkeypatch):
     monkeypatch.setattr(shared.Grown, "add", lambda self, df: (add(self, df), walked.append(self.latest().count())))
     got = scopes.brought_by_name(found, imported, around, scopes.asked(refs, around, found))
     assert {tuple(r) for r in got.collect()} == {(f"f{i}#0", f"f{i + 1}#0") for i in range(39)} and sum(walked) == 0
+
+
+def test_braces_are_counted_one_by_one_only_where_they_may_be_deep(spark):
+    n = markup.LEVELS
+    texts = ["", "a", "{}" * 40, "}" * 20 + "{x}" * 20, "{" * n + "x" + "}" * n, "{" * (n + 1) + "x" + "}" * (n + 1), "{" * (n + 1), "{" * n, "{x" * 9 + "}" * 20 + "{y" * n + "}", "{a}" * 9 + "{" * (n - 1) + "{}{}" + "}" * 3 + "{{", "}{" * 30, None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(markup.is_deep(F.col("text")).alias("deep"), (markup.brace_depth(F.col("text")) > n).alias("want")).collect()
+    assert [bool(r.deep) for r in rows] == [bool(r.want) for r in rows] and any(r.deep for r in rows)
+
+
+def test_namespaces_take_environments_as_written(spark, monkeypatch):
+    calls, own = [], tokens.environments
+    monkeypatch.setattr(tokens, "environments", lambda args: calls.append(1) or own(args))
+    registry.queries()["l25_namespaces"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
