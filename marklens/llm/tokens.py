@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, drop_table, new_path, write_table
+from .storage import bounded_batches, drop_table, new_path, without_old_exchanges, write_table
 
 END_ID = 2
 LONG_SPACE = 100_000  # white space that tiktoken's split, which backtracks over it, isn't given; it fails at some million
@@ -96,6 +96,7 @@ SEQUENCE = 1024  # tokens of a record
 NO_ID = -(1 << 63)  # stands for a null id
 HEADER = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<u2")])
 SHARD_BYTES = (8 << 20, 64 << 20)  # of one shard, least and most; between them it follows the size of all
+WAVES = 3  # parts of the shards that are exchanged one after the other
 
 
 def record_type(length: int = SEQUENCE) -> np.dtype:
@@ -173,8 +174,8 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, lengt
     """Write all sequences in training order as ``path/shards/shard=K/part-*``: fixed-stride records in order of slot.
 
     The records are written once and counted; record i of all n gets slot ``feistel(i, n)``, a keyed bijection of 0..n-1, so the
-    permuted index is the slot and shard K holds slots K * R to K * R + R - 1. One exchange; Spark's commit protocol
-    makes the files appear once and whole. ``path/layout`` holds n, R and the length; the result, at ``path/documents``, is
+    permuted index is the slot and shard K holds slots K * R to K * R + R - 1. Each record is exchanged once, those of a
+    third of the shards (``WAVES``) at a time, so that a third of the exchange is on disk; Spark's commit protocol makes the files appear once and whole. ``path/layout`` holds n, R and the length; the result, at ``path/documents``, is
     ``(doc_id, slot, offset, n)``: where each document begins and how many ids it has.
     Nulls, repeats, empty tables: as ``sequences``.
     """
@@ -201,9 +202,13 @@ def materialise(docs: DataFrame, path: str, tokenizer: str, key: int = 42, lengt
     records = at.select("index", "record").mapInArrow(permute, "slot bigint, record binary").withColumn("shard", F.expr(f"slot div {per_shard}"))
     shards = max(1, -(-total // per_shard))
     # a binary value cast to string keeps its bytes; the text writer adds one line end, part of the stride
-    dealt = records.repartitionById(min(shards, 8 * parts), F.pmod("shard", F.lit(min(shards, 8 * parts))).cast("int"))
-    dealt = dealt.mapInArrow(unpack, "slot bigint, record binary, shard bigint").sortWithinPartitions("shard", "slot")
-    dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/shards")
+    with without_old_exchanges(spark):
+        for low, high in zip(ends := [shards * w // WAVES for w in range(WAVES + 1)], ends[1:]):
+            if low < high:
+                own, n = records.filter(F.col("shard").between(low, high - 1)), min(high - low, 8 * parts)
+                dealt = own.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int"))
+                dealt = dealt.mapInArrow(unpack, "slot bigint, record binary, shard bigint").sortWithinPartitions("shard", "slot")
+                dealt.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").partitionBy("shard").text(f"{path}/shards")
     held = at.filter(F.size("held") > 0).select("index", "held").mapInArrow(permute, "slot bigint, held array<struct<doc_id:bigint,offset:int,n:bigint>>")
     held.select("slot", F.explode("held").alias("x")).select("x.doc_id", "slot", "x.offset", "x.n").write.parquet(f"{path}/documents")
     spark.range(1).select(F.lit(total).alias("records"), F.lit(per_shard).alias("per_shard"), F.lit(length).alias("length")).write.parquet(f"{path}/layout")

@@ -315,3 +315,18 @@ def test_toxicity_of_words_never_seen(spark):
     new = spark.createDataFrame([(1, "the a of " + like), (2, "the a of"), (3, " ".join(f"n{i}" for i in range(60_000))), (4, "the idiot")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.score(new, model).collect()}
     assert [got[i].predicted for i in (1, 2, 3, 4)] == [0, 0, 0, 1] and got[1].score == got[2].score
+
+
+def test_training_order_exchanges_a_third_at_a_time(spark, tmp_path, monkeypatch):
+    """Exchanged records are on disk beside the written ones and the shards, so they go in parts; none is lost or in two."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    monkeypatch.setattr(tokens, "SHARD_BYTES", (3 * tokens.record_type(64).itemsize, 3 * tokens.record_type(64).itemsize))
+    key, seen, text = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], DataFrameWriter.text
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, *a, **b: (seen.append(spark.conf.get(key)), text(self, path, *a, **b))[1])
+    path, df = str(tmp_path / "w"), spark.createDataFrame([(i, "some words again " * (i % 30)) for i in range(60)], "doc_id long, text string")
+    tokens.materialise(df, path, tokens.vocabulary_path("byte_bpe_50k.json"), length=64)
+    total = spark.read.parquet(f"{path}/layout").first().records
+    assert seen == ["true"] * 3 and spark.conf.get(key, None) == before
+    assert total > 9 and sorted(r.slot for r in tokens.read_shards(spark, path).collect()) == list(range(total))
