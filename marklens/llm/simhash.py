@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, drop_table, write_table
+from .storage import bounded_batches, drop_table, without_old_exchanges, write_table
 
 SHINGLE = 3
 SEED = 42
@@ -338,6 +338,17 @@ def _rooted(nodes: DataFrame, comp: DataFrame | None) -> DataFrame:
     return nodes.join(comp, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("its", "node")).drop("of", "its")
 
 
+def _left_open(meets: DataFrame, compared: DataFrame) -> DataFrame:
+    """``(spot, node, root, main, bytes)``: of ``meets(spot, node, root, n, head, main, far)`` the rows at spots where, after ``compared(a, b, alike, spots)``,
+    some row isn't joined to the smallest, and others stand beside it. Only these rows are looked up: where all are alike, as in a group of copies, none is."""
+    here = W.partitionBy("spot")
+    unsettled = meets.filter("far AND NOT main AND n > 2").select("spot").union(compared.filter("NOT alike").select(F.explode("spots").alias("spot"))).distinct()
+    like = compared.filter("alike").select("a", "b", F.lit(True).alias("like"))
+    rest = meets.filter("n > 2").join(unsettled, "spot", "left_semi").join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left")
+    rest = rest.select("spot", "node", "root", (F.col("main") | F.col("like").isNotNull()).alias("main"))
+    return rest.select("*", F.min("main").over(here).alias("settled")).filter("NOT settled").select("spot", "node", "root", "main", F.lit(8 * WORDS).alias("bytes"))
+
+
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
     """``(node, root)`` over pairs of ``classes(node, sk)`` that meet at an anchor and whose sketches are alike, with leniency."""
     low, high = (lambda w: w.bitwiseAND(0xFFFFFFFF)), (lambda w: F.shiftrightunsigned(w, 32))
@@ -351,7 +362,7 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
     little = lambda w: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(w, 8 * i).bitwiseAND(255)), 2, "0") for i in range(8))))
     packed = classes.select("node", F.concat(*(little(F.col("sk")[i]) for i in range(WORDS))).alias("value"))
-    comp, tried, first = None, None, 1
+    comp, first = None, 1
     for many in TURNS:
         prints = _rooted(classes, comp).select("node", "root", F.explode(F.slice(halves, first, many)).alias("x")).select("node", "root", "x.t", "x.fp", F.shiftright(F.shiftleft("x.check", 32), 32).cast("int").alias("check"))
         first += many
@@ -362,20 +373,15 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame | None:
         at = at.select("spot", "node", "root", "check", head.alias("head"), (F.min("root").over(here) < F.max("root").over(here)).alias("mixed"), F.count("*").over(here).alias("n"))
         far = (F.bit_count(F.col("check").bitwiseXOR(F.col("head.check")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) > FAR).alias("far")
         meets = at.filter("mixed AND node <> head.node").select("spot", "node", "root", "n", F.col("head.node").alias("head"), (F.col("root") == F.col("head.root")).alias("main"), far)
-        meets = write_table(meets.filter("NOT (n = 2 AND far)").drop("n"), "meets")  # two rows that met by chance
-        pairs = meets.filter("NOT main AND NOT far").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        compared = write_table(pairs.join(a, "a").join(b, "b").select("a", "b", (differ <= limit).alias("alike")), "compared")
-        tried = compared if tried is None else tried.union(compared)
-        like = tried.filter("alike").select("a", "b", F.lit(True).alias("like"))
-        # rows of the smallest's own root need no look-up: a large group's rows are most of a spot's
-        apart = meets.filter("NOT main AND NOT far").join(like, (F.col("node") == F.col("a")) & (F.col("head") == F.col("b")), "left").select("spot", "node", "root", F.col("like").isNotNull().alias("main"))
-        rest = meets.filter("main OR far").select("spot", "node", "root", "main").union(apart)
-        rest = rest.select("*", F.count("*").over(here).alias("n"), F.min("main").over(here).alias("settled")).filter("n > 1 AND NOT settled").select("spot", "node", "root", "main", F.lit(8 * WORDS).alias("bytes"))
-        edges = compared.filter("alike").select("a", "b").union(_cross_links(rest, packed, _like_sketches(limit)))
+        meets = write_table(meets.filter("NOT (n = 2 AND far)"), "meets")  # two rows that met by chance
+        # a pair carries the spots where others stand beside it, so those of pairs that aren't alike come from the pairs and not from a look-up of every row
+        pairs = meets.filter("NOT main AND NOT far").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.collect_list(F.when(F.col("n") > 2, F.col("spot"))).alias("spots"))
+        compared = pairs.join(a, "a").join(b, "b").withColumn("alike", differ <= limit)
+        compared = write_table(compared.select("a", "b", "alike", F.when(~F.col("alike"), F.col("spots")).alias("spots")), "compared")
+        edges = compared.filter("alike").select("a", "b").union(_cross_links(_left_open(meets, compared), packed, _like_sketches(limit)))
         comp = components(edges if comp is None else edges.union(comp))
         drop_table(meets)
+        drop_table(compared)
     return comp
 
 
@@ -443,7 +449,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group but never names one (its own is null if no other id is there). An empty table gives no rows;
     only the two named columns are read.
     """
-    rows, classes = _groups(docs, id_col, text_col, size, similarity)
+    with without_old_exchanges(docs.sparkSession):
+        rows, classes = _groups(docs, id_col, text_col, size, similarity)
     lows = classes.groupBy("root").agg(F.min("low").alias("component"))
     named = classes.join(lows, "root").select(F.col("print").alias("c_print"), "component")
     return rows.join(named, F.col("print") == F.col("c_print")).select(F.col("id").alias(id_col), "component")
@@ -455,7 +462,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat that id, the one whose text's digest is smallest; of rows that repeat both, one.
     A null id stays only where its group has no other. All columns return, whatever their names.
     """
-    _, classes = _groups(docs, id_col, text_col, size, similarity)
+    with without_old_exchanges(docs.sparkSession):
+        _, classes = _groups(docs, id_col, text_col, size, similarity)
     first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "low_digest")).alias("x")
     kept = classes.groupBy("root").agg(first).select(F.col("x.low").alias("__k_id"), F.col("x.low_digest").alias("__k_digest"))
     digest = F.unhex(F.md5(F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b""))))

@@ -292,6 +292,43 @@ def test_similar_groups_equal_all_pairs(spark, monkeypatch, block):
     assert {r.doc_id: r.component for r in got.collect()} == want and 2 < len(set(want.values())) < 60
 
 
+def _joined_rows(df):
+    """How many rows each join of a plan that has run made."""
+    made, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+    return made
+
+
+def test_only_rows_of_unsettled_spots_are_looked_up(spark):
+    """600 spots of 20 rows like their smallest, a spot of two, and one with a row unlike it: the look-up makes rows of the last alone."""
+    schema = "spot long, node long, root long, n long, head long, main boolean, far boolean"
+    rows = [(s, 100 + i, 100 + i, 21, 1, False, False) for s in range(600) for i in range(20)] + [(700, 7, 7, 2, 1, False, False)]
+    rows += [(800, 100, 100, 5, 1, False, False), (800, 7, 7, 5, 1, False, False), (800, 8, 8, 5, 1, False, True), (800, 9, 1, 5, 1, True, False)]
+    rows += [(900, 100, 100, 3, 1, False, True), (900, 9, 1, 3, 1, True, True)]  # alike by another fingerprint, so nothing is left
+    compared = [(100 + i, 1, True, None) for i in range(20)] + [(7, 1, False, [800])]
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = simhash._left_open(spark.createDataFrame(rows, schema), spark.createDataFrame(compared, "a long, b long, alike boolean, spots array<long>"))
+        got = sorted((r.spot, r.node, r.root, r.main) for r in out.collect())
+        assert got == [(800, 7, 7, False), (800, 8, 8, False), (800, 9, 1, True), (800, 100, 100, True)]
+        assert sorted(_joined_rows(out)) == [6, 6]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
+def test_similar_groups_leave_no_old_exchanges(spark, monkeypatch):
+    key, seen, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", set(), simhash.write_table
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(simhash, "write_table", lambda df, name: (seen.add(spark.conf.get(key, None)), write(df, name))[1])
+    df = spark.createDataFrame([(i, "the same words again and again " + "x" * (i % 3)) for i in range(9)], "doc_id long, text string")
+    assert simhash.keep_first(df).count() == 3 and seen == {"true"} and spark.conf.get(key, None) == before
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(5)
     plain = [" ".join(rng.choice("the a of in on to and is was for".split()) + rng.choice(["", "x", "y"]) for _ in range(40)) for _ in range(400)]
