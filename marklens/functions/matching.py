@@ -14,7 +14,8 @@ def _with_block(a: Column, b: Column, use) -> Column:
     def step(acc, _):
         at, k = acc["at"], acc["k"]
         longer = (at + k <= F.length(a)) & (F.position(F.substring(a, at, k + 1), b) > 0)
-        return F.struct(F.when(longer, at).otherwise(at + 1).alias("at"), F.when(longer, at).otherwise(acc["i"]).alias("i"), (k + longer.cast("int")).alias("k"))
+        at_this, at_next = F.struct(at.alias("at"), at.alias("i"), (k + 1).alias("k")), F.struct((at + 1).alias("at"), acc["i"].alias("i"), k.alias("k"))
+        return F.when(longer, at_this).otherwise(at_next)  # one condition, evaluated once a step
 
     return F.aggregate(F.sequence(F.lit(1), 2 * F.length(a)), start, step, lambda acc: use(acc["i"], acc["k"]))
 
@@ -51,6 +52,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def numbered_characters(text: Column) -> Column:
-    """A text's characters as a set: each with how often it stood before, ``(-nth, character)`` in order, so repeated ones, which few texts have, come first."""
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    return F.array_sort(F.transform(chars, lambda x, i: F.struct((-F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x))).alias("nth"), x.alias("c"))))
+    """A text's characters as a set of whole numbers: each code with how often it stood before, so what two texts share counts repeated ones.
+
+    In order, equal ones lie together, so the number comes from the first one's place and no character is held against all.
+    """
+    number = lambda chars: F.transform(chars, lambda x, i: F.ascii(x).cast("long") + F.shiftleft((i - F.array_position(chars, x)).cast("long") + 1, 21))
+    ordered = F.array_sort(F.filter(F.split(text, ""), lambda x: x != ""))
+    return F.get(F.transform(F.array(ordered), number), F.lit(0))  # the outer step holds the ordered ones, which would else be sorted anew for each

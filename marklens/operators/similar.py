@@ -11,35 +11,22 @@ from marklens.functions import matching
 from .link import overlaps
 
 
-def _keyed(df: DataFrame, column: str, share: float) -> DataFrame:
-    """``df`` with a row for each of the first numbered characters that a name sharing enough with ``column`` must have one of.
-
-    Two names share at least ``share`` of all their characters, so a name of n characters has a partner of n * share / (1 - share) or more, and
-    at least ``t`` in common with it. Of two ordered sets with t common members, the first (size - t + 1) have one in common.
-    """
-    n = F.length(column)
-    least_partner = F.ceil(n * (share / (1 - share)) - 1e-9)
-    t = F.ceil(share * (n + least_partner) - 1e-9)
-    own = df.filter(n > 0).withColumn("__set", matching.numbered_characters(F.col(column)))
-    return own.withColumn("__key", F.explode(F.slice("__set", F.lit(1), (n - t + 1).cast("int"))))
-
-
 def close_matches(wanted: DataFrame, names: DataFrame, least: float = 0.6, best: int = 3) -> DataFrame:
     """``(path, symbol, mask, name, ratio, nth)``: for ``wanted(path, symbol, mask)``, up to ``best`` of the names that its file sees,
     ``names(path, name, type)``, with a matching-blocks ratio of ``least`` or more; equally good ones by name, last first.
 
     Both are identifier paths, joined by ``?``. A name counts if its type overlaps the mask, or its last identifier is the wanted one's.
-    None that passes is lost: the common characters bound the ratio from above, and names with enough of them meet by one of a few
-    (see ``_keyed``). Nulls and empty names are like nothing; repeated rows count once. Names are compared whole, whatever their length.
+    None that passes is lost: the common characters, repeated ones counted, bound the ratio from above. A name and a reference of one
+    file meet once. Nulls and empty names are like nothing; repeated rows count once. Names are compared whole, whatever their length.
     """
     share = least / 2
-    a = _keyed(wanted.select("path", "symbol", "mask").distinct(), "symbol", share).withColumnRenamed("__set", "__a")
-    b = _keyed(names.select("path", "name", "type").distinct(), "name", share).withColumnRenamed("__set", "__b")
+    held = lambda df, column, out: df.filter(F.length(column) > 0).distinct().withColumn(out, matching.numbered_characters(F.col(column)))
+    a, b = held(wanted.select("path", "symbol", "mask"), "symbol", "__a"), held(names.select("path", "name", "type"), "name", "__b")
     last = lambda c: F.substring_index(c, "?", -1)
     total = F.length("symbol") + F.length("name")
     fits: Column = overlaps(F.col("type"), F.col("mask")) | (last("symbol") == last("name"))
     enough = F.size(F.array_intersect("__a", "__b")) >= share * total - 1e-9
-    pairs = a.join(b, ["path", "__key"]).filter(fits & (F.least(F.length("symbol"), F.length("name")) >= share * total - 1e-9))
+    pairs = a.join(b.hint("merge"), "path").filter(fits & (F.least(F.length("symbol"), F.length("name")) >= share * total - 1e-9))
     pairs = pairs.filter(enough).select("path", "symbol", "mask", "name").distinct()
     known = pairs.select("symbol", "name").distinct().withColumn("ratio", matching.ratio(F.col("name"), F.col("symbol"))).filter(F.col("ratio") >= least)
     rank = F.row_number().over(W.partitionBy("path", "symbol", "mask").orderBy(F.desc("ratio"), F.desc("name")))

@@ -46,3 +46,20 @@ def test_close_matches_lose_none(spark):
     assert ("/a", "n?group", 1) in {(r.path, r.symbol, r.mask) for r in got}
     empty = spark.createDataFrame([], "path string, symbol string, mask int")
     assert similar.close_matches(empty, spark.createDataFrame(names, "path string, name string, type int")).isEmpty()
+
+
+def test_numbered_characters_count_repeats(spark):
+    texts = ["", "a", "abab", "é∘x∘é", "\U0001d538a\U0001d538", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", matching.numbered_characters(F.col("t")).alias("n")).collect()
+    assert all(r.n is None if r.t is None else sorted(x & (1 << 21) - 1 for x in r.n) == sorted(map(ord, r.t)) and len(set(r.n)) == len(r.t) for r in rows)
+    for x, y in [(x, y) for x in rows for y in rows if x.t and y.t]:
+        assert len(set(x.n) & set(y.n)) == sum(min(x.t.count(c), y.t.count(c)) for c in set(x.t))
+
+
+def test_a_name_and_a_reference_meet_once(spark):
+    """Names of one module share most characters; each pair of a file is one row of the join, not one for each character in common."""
+    names = spark.createDataFrame([("/a", f"m1234?ring-{i}", 1) for i in range(20)], "path string, name string, type int")
+    wanted = spark.createDataFrame([("/a", f"m1234?ringe-{i}", 1) for i in range(9)], "path string, symbol string, mask int")
+    out = similar.close_matches(wanted, names)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 27
