@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from marklens.functions import matching
-from marklens.operators import similar
+from marklens.operators import link, similar
 
 
 def _names(rng, n):
@@ -63,3 +63,22 @@ def test_a_name_and_a_reference_meet_once(spark):
     out = similar.close_matches(wanted, names)
     assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 27
+
+
+def test_similar_names_are_those_of_all_pairs_and_bits_bound_the_distance(spark):
+    """Names that are done after one edit, after two, and only among all; equal ratios at the end of a symbol's list, characters beyond two bytes, a long name."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abä𝔘") for _ in range(rng.randint(1, 9))) for _ in range(150)} | {"stone", "stones", "tones", "tone", "x" * 300, "x" * 180 + "y"}
+    symbols = {w if rng.random() < 0.3 else w[: rng.randint(1, len(w))] + rng.choice(["", "b", "ab", "cab"]) for w in sorted(words)} | {"", "ston", "x" * 299}
+    table = lambda rows, column: spark.createDataFrame([(x,) for x in sorted(rows)] * 2, f"{column} string")
+    wanted, names = table(symbols, "symbol"), table(words | {""}, "name")
+    both = wanted.distinct().crossJoin(names.distinct()).filter("symbol <> name AND symbol <> '' AND name <> ''")
+    both = both.withColumn("ratio", F.expr("round(1 - levenshtein(symbol, name) / greatest(length(symbol), length(name)), 6)")).filter("ratio >= 0.6")
+    own: dict = {}
+    for r in both.collect():
+        own.setdefault(r.symbol, []).append((-r.ratio, r.name))
+    want = {(s, name, -ratio) for s, found in own.items() for ratio, name in sorted(found, key=lambda x: (x[0], x[1].encode()))[:3]}
+    assert len({s for s, *_ in want}) > 100 and {tuple(r) for r in link.similar_names(wanted, names).collect()} == want
+    pairs = link._by_length(link._signed(wanted.distinct(), "symbol", "a").withColumn("least", F.lit(0.6)), link._signed(names.distinct(), "name", "b")).filter("symbol <> '' AND name <> ''")
+    assert pairs.filter(link._may_be_near()).count() < pairs.count() / 2
+    assert pairs.filter(~link._may_be_near()).filter("levenshtein(symbol, name) <= k").isEmpty()
