@@ -2,6 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -157,3 +160,21 @@ def test_vocabulary_ranks(spark):
 def test_math_environments(spark):
     text = "a $x$ b \\begin{align*}x\n\\end{align*} c"
     assert spark.createDataFrame([(text,)], "t string").select(tokens.mask_math(F.col("t")).alias("x")).first().x == "a  <math>  b  <math>  c"
+
+
+def test_the_tagger_fits_as_spark_does_and_keeps_a_row_a_document(spark):
+    """Coefficients are those of Spark's own fit, whose nine inputs a token were kept on disk; inputs are those of windows over the tokens."""
+    rows = [(d, p, f"w{(d * 7 + p * p) % 11}", 1 + (d * 7 + p * p) % 5, int((d * p) % 7 == 0)) for d in range(12) for p in range(1 + d * 3)]
+    tok = spark.createDataFrame(rows, "doc_id long, pos long, token string, len long, label int")
+    data = tagger.inputs(tok, tok.filter("doc_id < 9"))
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange") + plan.count("Exchange hashpartitioning(label") + plan.count("Exchange SinglePartition")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    own = features.tfidf_terms(features.keyphraseness_terms(features.packed(tok), features.keyphraseness(tok.filter("doc_id < 9"))), features.idf(tok.filter("doc_id < 9")))
+    own = features.at_positions(own, "tfidf", "keyphraseness")
+    own = own.withColumns({f"{side}{c}": F.coalesce(f(c).over(w), F.lit(0.0)) for c in tagger.COLUMNS for side, f in (("before_", F.lag), ("after_", F.lead))})
+    held = lambda df: {tuple(round(float(r[c]), 9) for c in ("doc_id", "pos", *tagger.INPUTS)) for r in df.collect()}
+    assert held(data) == held(own) and data.count() == len(rows)
+    model = tagger.train(data).stages[-1]
+    fit = LogisticRegression(featuresCol="x", labelCol="keyword", weightCol="weight", maxIter=10).fit(VectorAssembler(inputCols=tagger.INPUTS, outputCol="x").transform(data))
+    assert [*model.coefficients, model.intercept] == pytest.approx([*fit.coefficients, fit.intercept], rel=1e-6, abs=1e-9)
