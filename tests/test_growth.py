@@ -52,6 +52,18 @@ def test_users_names_modules_once_before_pairs(spark):
     assert sorted(map(tuple, out.collect())) == sorted({(u, p) for p, m in deps | refs for u, n in modules if m is not None and m == n and u != p})
 
 
+def test_pairs_of_users_are_made_once_and_do_not_move(spark, monkeypatch):
+    """Files that share several modules, of many files and of one; classes of several blocks."""
+    monkeypatch.setattr(link, "FILES_OF_A_BLOCK", 4)
+    deps = [(f"f{i}", f"m{i % k}") for i in range(40) for k in (2, 3, 7)] + [(f"f{i}", f"own{i * 3 % 40}") for i in range(0, 40, 2)]
+    modules = [(f"f{i}", f"m{i % k}") for i in range(40) for k in (2, 5)] + [(f"f{i}", f"own{i}") for i in range(40)] + [("f3", None)]
+    table = lambda rows: spark.createDataFrame(rows, "path string, module string")
+    out = link.users(table(deps), table(deps[:20]), table(modules))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
+    assert sorted(map(tuple, out.collect())) == sorted({(u, p) for p, m in deps for u, n in modules if m == n and u != p})
+
+
 def test_newest_used_is_that_of_all_pairs(spark):
     deps, refs, modules = _used(spark)
     built = {f"f{i}": i * 7 % 11 for i in range(40) if i % 9} | {"own": 99}
