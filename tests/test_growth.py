@@ -37,6 +37,20 @@ def test_tokens_keep_their_columns_and_null_documents(spark):
     assert sorted((r.doc_id or 0, -1 if r.pos is None else r.pos, r.vec[0]) for r in out.collect()) == [(0, -1, 0.0), (0, 0, 1.0), (1, 0, 1.0), (1, 1, 0.0), (1, 2, 1.0)]
 
 
+def test_assembled_features_meet_one_table_of_words(spark, monkeypatch):
+    """One join by word and one count; positions travel alone, as a token's length is known from it."""
+    tables, packed = [], []
+    written, pack = features.checkpoint, features.packed
+    monkeypatch.setattr(features, "checkpoint", lambda df: tables.append(df.columns) or written(df))
+    monkeypatch.setattr(features, "packed", lambda tok, *a, **k: packed.append(out := pack(tok, *a, **k)) or out)
+    registry.queries()["f25_assembly"](spark, "/root/testdata/sf0.001")
+    assert tables == [["token", "idf", "keyphraseness"]]
+    assert [x.schema["places"].dataType.simpleString() for x in packed] == ["array<int>"]
+    tok = spark.createDataFrame([(d, w, d % 2) for d in range(5) for w in "aab" + "xyz"[d % 3]], "doc_id long, token string, label int")
+    both = features.idf(tok).join(features.keyphraseness(tok), ["token", "df"]).select("token", "df", "idf", "keyphraseness")
+    assert {tuple(r) for r in features.word_values(tok).collect()} == {tuple(r) for r in both.collect()}
+
+
 def _used(spark):
     """Files that hold and use the same few modules, some of them only their own."""
     deps = spark.createDataFrame([(f"f{i}", f"m{i % 3}") for i in range(40)] * 3 + [("own", "alone"), ("f1", None)], "path string, module string")
