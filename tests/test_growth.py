@@ -170,3 +170,10 @@ def test_namespaces_take_environments_as_written(spark, monkeypatch):
     monkeypatch.setattr(tokens, "environments", lambda args: calls.append(1) or own(args))
     registry.queries()["l25_namespaces"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_written_tables_are_packed_closely(spark):
+    """What all linking queries stand on is written in the denser form, which reads back the same."""
+    df = spark.range(50).withColumn("path", F.concat(F.lit("/hub/source/m"), "id"))
+    out = shared.write_table(df, "dense")
+    assert all(f.endswith(".zstd.parquet") for f in out.inputFiles()) and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
